@@ -2,15 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import decision_list, flac, html_text, importance, language, mixing, packing, pii, token_cache
+from .common import shared_dir, table
 from .jaccard_join import jaccard_components
+from .tokens import tokenizer_path
+
+#: Target weights of languages below every domain; sources below a language have the weight of their supply.
+LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def language_weights(domains: int = 4) -> dict[tuple, float]:
+    return {(f"domain{d}", lang): w for d in range(domains) for lang, w in LANGUAGES.items()}
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), f"{shared_dir(spark)}/token-counts")
+
+
+def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", 4, (85, 100))
 
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+def op7_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decision_list.judge(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pii_report(docs, pii.fit(docs))
+
+
+def op9_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(language.remainder("doc_id") != 0))
+    return language.identify(docs, model).select("doc_id", (language.remainder("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, weights=language_weights()).select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.epoch", "mix.order", "mix.n_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets)}
 ORACLE_SQL: dict[str, str] = {}
