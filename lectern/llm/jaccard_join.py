@@ -13,11 +13,12 @@ number of differing shingles, ``|x ^ y|``, and the Jaccard distance ``1 - J``.
     of its first ``n - ceil(t n) + 1`` shingles. Order is by frequency class in a
     table of counts of fixed size, then by hash: regions of common passages come
     last, which costs nothing in exactness.
-2.  *Document pivots.* A region of more than ``region`` members is not paired.
-    Its member of least hashed id is its pivot; members are compared with pivots
-    exactly, members near a pivot join its component, and what remains recurses:
-    only members of different components, and of those only pairs whose distances
-    to the pivot differ by at most ``1 - t`` (triangle-inequality windows), pair.
+2.  *Document pivots.* A region of more than ``region`` members is not paired. Its member of least
+    hashed id is its pivot, regions of one pivot join, and all members are compared with it exactly.
+    Those near it join its component. Where others remain, the region recurses: shells of distance to
+    the pivot are cut into blocks of bounded size, and a block meets only blocks of shells inside the
+    window, as distances of linked documents to the pivot differ by ``1 - t`` at most, and none of
+    the same single component. Two blocks are joined exactly, by a matrix product, which gives a forest of links.
 3.  *Count bound and verification.* A pair must share enough of its windows; what
     passes is verified on the whole sets of 64-bit shingle hashes. No cap drops anything.
 
@@ -26,6 +27,8 @@ Equal sets count as one node from the start, so copies are never paired.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,14 +37,18 @@ from . import kernels
 from .common import staged
 from .components import connected_components
 
-#: Cells of the table of shingle counts: 2^21 classes of one byte go to each executor, whatever the input.
-CELLS = 1 << 21
-#: Cells that one row of the count exchange holds.
-BLOCK = 1 << 13
+#: Cells of the table of shingle counts: 2^22 classes of one byte go to each executor, whatever the input.
+CELLS = 1 << 22
+#: Cells that one row of the count exchange holds; a task counts up to 255 in each.
+BLOCK = 1 << 14
 #: Only shingles below this part of the hash range are counted; the others have class 0.
 COUNTED = np.uint64(int(0.35 * 2**64))
 #: Members up to which a region is paired directly.
 REGION = 32
+#: Shells of distance to the pivot in the width of a window, and members of a block, about.
+SHELLS, BLOCK_ROWS = 4, 256
+#: Columns of shingles that one step of a block's matrix product takes.
+COLUMNS = 8192
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def _profile(k: int):
         blocks = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         none = pa.nulls(len(used)).cast(pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(used.astype(np.int32)), pa.array([np.minimum(blocks[i], 65535).astype(np.uint16).tobytes() for i in used], pa.binary())], schema=schema)
+        yield pa.record_batch([none, none, none, none, pa.array(used.astype(np.int32)), pa.array([np.minimum(blocks[i], 255).astype(np.uint8).tobytes() for i in used], pa.binary())], schema=schema)
 
     return run, "id long, n long, d1 long, d2 long, block int, counts binary"
 
@@ -77,19 +84,20 @@ def _summed(batches):
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            got = np.frombuffer(counts, np.uint16).astype(np.int64)
+            got = np.frombuffer(counts, np.uint8).astype(np.int64)
             totals[block] = totals[block] + got if block in totals else got
     yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in totals.values()], pa.binary())], names=["block", "counts"])
 
 
 def _classes(profile: DataFrame) -> np.ndarray:
-    """The frequency class of each cell: 0 up to four times the mean load plus 64, one more for each doubling."""
+    """The frequency class of each cell: 0 up to what chance puts there (three deviations above the mean, and four), one more for each doubling of the rest."""
     sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary")
     counts = np.zeros(CELLS, np.int64)
     for row in sums.toLocalIterator():
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
-    limit = 4 * counts.mean() + 64
-    return np.where(counts > limit, np.minimum(np.log2(np.maximum(counts, 1) / limit).astype(np.int64) + 1, 20), 0).astype(np.uint8)
+    load = float(np.median(counts))
+    over = counts - (load + 3 * math.sqrt(load) + 4)
+    return np.where(over > 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
 def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -217,6 +225,50 @@ def _verified(num: int, den: int):
     return run
 
 
+def _block_links(num: int, den: int):
+    """Links between the members of two blocks (or in one), as a forest: exact intersections by matrix products."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = {}
+        for side, i, component, hashes in zip(*(table.column(c).to_pylist() for c in ("side", "id", "component", "hashes"))):
+            rows[side, i] = (component, np.frombuffer(hashes, np.uint64))
+        sides = [[(i, *rows[s, i]) for s, i in sorted(rows) if s == side] for side in (0, 1)]
+        a, b = sides[0], sides[1] or sides[0]
+        everyone = a + (b if b is not a else [])
+        flat = np.concatenate([x[2] for x in everyone])
+        owner = np.repeat(np.arange(len(everyone)), [len(x[2]) for x in everyone])
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        column, owner = column[count[column] > 1], owner[count[column] > 1]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(a), len(b)), np.float32)
+        for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            p, q = np.searchsorted(column, [begin, begin + COLUMNS])
+            m = np.zeros((len(everyone), COLUMNS), np.float32)
+            m[owner[p:q], column[p:q] - begin] = 1
+            common += m[: len(a)] @ m[len(everyone) - len(b) :].T
+        common = np.rint(common).astype(np.int64)
+        na, nb = (np.array([len(x[2]) for x in side], np.int64) for side in (a, b))
+        linked = den * common >= num * (na[:, None] + nb[None, :] - common)
+        root = {x[1]: x[1] for x in everyone}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(*(w.tolist() for w in np.nonzero(linked))):
+            x, y = find(a[i][1]), find(b[j][1])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a[i][0], b[j][0]))
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids, of at most 2^24 bytes; where it is fuller, more sets than needed are read, none fewer."""
     size = 1 << 24
@@ -272,45 +324,55 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fits = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
     rest = F.greatest(F.col("nx") - window(F.col("nx")), F.col("ny") - window(F.col("ny")))
 
-    # Small regions pair directly, large ones with pivots: any document that is the pivot of a large region.
-    members = found.where("key is not null").select(F.col("x").alias("id"), F.col("nx").alias("n"), F.col("y").alias("pivot"), F.col("ny").alias("np"), "key")
-    pivots = members.select("pivot").distinct()
-    many = members.groupBy("id").agg(F.countDistinct("key").alias("large"))
-    many = staged(many.join(pivots.select(F.col("pivot").alias("id"), F.lit(True).alias("is_pivot")), "id", "left"), "large")
-    plain = members.select("key", "id", "n").distinct()
-    flagged = plain.join(pivots.select(F.col("pivot").alias("id")), "id", "left_semi").select("key", F.col("id").alias("p"), F.col("n").alias("np"))
-    stars = plain.join(flagged, "key").where("id <> p").select(
-        F.least("id", "p").alias("x"), F.when(F.col("id") < F.col("p"), F.col("n")).otherwise(F.col("np")).alias("nx"),
-        F.greatest("id", "p").alias("y"), F.when(F.col("id") < F.col("p"), F.col("np")).otherwise(F.col("n")).alias("ny"), "key",
-    ).where(fits).distinct().drop("key")
-    small = found.where("key is null").select("x", "nx", "y", "ny")
-    pairs = small.unionByName(stars).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"))
+    # Small regions pair directly.
+    members = found.where("key is not null").select("key", F.col("x").alias("id"), F.col("nx").alias("n"), F.col("y").alias("pivot"), F.col("ny").alias("np"))
+    # Regions of one pivot join: keys of one group of near copies mostly have the same.
+    regions = staged(members.select("pivot", "np", "id", "n").distinct(), "large")
+    large = members.groupBy("id").agg(F.countDistinct("key").alias("large"))
+    pairs = found.where("key is null").select("x", "nx", "y", "ny").groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"))
     for side in "xy":
-        pairs = pairs.join(many.select(F.col("id").alias(side), F.col("large").alias(f"large_{side}"), F.col("is_pivot").alias(f"pivot_{side}")), side, "left")
-    unseen = F.when(F.coalesce("pivot_x", "pivot_y", F.lit(False)), 0).otherwise(F.least(F.coalesce("large_x", F.lit(0)), F.coalesce("large_y", F.lit(0))))
+        pairs = pairs.join(large.select(F.col("id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
+    unseen = F.least(F.coalesce("large_x", F.lit(0)), F.coalesce("large_y", F.lit(0)))
     pairs = staged(pairs.where(F.col("shared") + unseen + rest >= needed).select("x", "y").distinct(), "pairs")
-    compared = staged(verified(pairs), "compared")
-    links = compared.where("linked").select("x", "y")
-    if many.isEmpty():
-        return profile.where("block is null"), classes, links
-
-    # Large regions with members of different components recurse: windows of distance to the pivot.
-    parts = connected_components(links)
-    placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = staged(verified(pairs).where("linked").select("x", "y"), "links")
+    rows_of = profile.where("block is null")
+    if regions.isEmpty():
+        return rows_of, classes, links
+
+    # Large regions: all members are compared with their region's pivot, exactly.
+    star = regions.where((F.col("id") != F.col("pivot")) & (F.least("n", "np") * den >= F.greatest("n", "np") * num))
+    star = star.select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
+    compared = staged(verified(star), "compared")
+    links = staged(links.unionByName(compared.where("linked").select("x", "y")), "links")
+    known = compared.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "d").unionByName(compared.select(F.col("y").alias("id"), F.col("x").alias("pivot"), "d")).distinct()
+
+    # Shells of distance around the pivot, cut into blocks of bounded size; of these, those recurse whose
+    # shells are inside the triangle-inequality window and that hold more than one component.
     gap = 1 - num / den
-    known = compared.where("x <> y")
-    known = known.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "d").unionByName(known.select(F.col("y").alias("id"), F.col("x").alias("pivot"), "d")).distinct()
-    placed = placed.join(known, ["id", "pivot"], "left").withColumn("lo", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(gap)))).withColumn("hi", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-    placed = staged(placed.select("key", "id", "n", "component", "lo", "hi").distinct(), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_ = placed.join(mixed, "key", "left_semi")
-    one = open_.select("key", *(F.col(c).alias(f"{c}_x") for c in ("component", "lo", "hi")), F.col("id").alias("x"), F.col("n").alias("nx"))
-    two = open_.select("key", *(F.col(c).alias(f"{c}_y") for c in ("component", "lo", "hi")), F.col("id").alias("y"), F.col("n").alias("ny"))
-    near = one.join(two, "key").where((F.col("x") < F.col("y")) & (F.col("component_x") != F.col("component_y")) & fits & (F.col("lo_x") - F.col("hi_y") <= gap + 1e-9) & (F.col("lo_y") - F.col("hi_x") <= gap + 1e-9))
-    near = near.groupBy("x", "nx", "y", "ny").agg(F.countDistinct("key").alias("shared")).where(F.col("shared") + rest >= needed).select("x", "y")
-    near = staged(near.distinct().join(pairs, ["x", "y"], "left_anti"), "near")
-    more = staged(verified(near).where("linked").select("x", "y"), "more")
-    return profile.where("block is null"), classes, links.unionByName(more)
+    parts = connected_components(links)
+    placed = regions.join(known, ["id", "pivot"], "left").join(parts, "id", "left")
+    # Sizes that differ too much bound the distance to the pivot from below, and the shell is that of the bound.
+    d = F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")))
+    exact = (F.col("id") == F.col("pivot")) | F.col("d").isNotNull()
+    placed = placed.select("pivot", "id", F.coalesce("component", "id").alias("component"), F.floor(F.when(exact, d).otherwise(2.0) * SHELLS / gap).cast("int").alias("shell"))
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pivot")
+    placed = staged(placed.join(mixed, "pivot", "left_semi"), "placed")
+    cuts = placed.groupBy("pivot", "shell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
+    placed = placed.join(cuts, ["pivot", "shell"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    blocks = placed.groupBy("pivot", "shell", "cut").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    one, two = blocks.toDF("pivot", "shell", "cut", "least", "most"), blocks.toDF("pivot", "shell_2", "cut_2", "least_2", "most_2")
+    far = F.lit(int(2 * SHELLS / gap))
+    inside = (F.col("shell_2") - F.col("shell") <= SHELLS) | (F.col("shell_2") == far)
+    later = (F.col("shell") < F.col("shell_2")) | ((F.col("shell") == F.col("shell_2")) & (F.col("cut") <= F.col("cut_2")))
+    meets = one.join(two, "pivot").where(later & inside & (F.least("least", "least_2") != F.greatest("most", "most_2")))
+    meets = meets.select("pivot", "shell", "cut", "shell_2", "cut_2", F.xxhash64("pivot", "shell", "cut", "shell_2", "cut_2").alias("task"))
+    sides = meets.select("pivot", "shell", "cut", "task", F.lit(0).alias("side")).unionByName(
+        meets.where((F.col("shell") != F.col("shell_2")) | (F.col("cut") != F.col("cut_2"))).select("pivot", F.col("shell_2").alias("shell"), F.col("cut_2").alias("cut"), "task", F.lit(1).alias("side"))
+    )
+    work = placed.select("pivot", "shell", "cut", "id", "component").join(sides, ["pivot", "shell", "cut"]).select("task", "side", "id", "component").distinct()
+    work = work.join(sets, "id").select("task", "side", "id", "component", "hashes")
+    more = staged(work.groupBy("task").applyInArrow(_block_links(num, den), "x long, y long"), "more")
+    return rows_of, classes, links.unionByName(more)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> DataFrame:
