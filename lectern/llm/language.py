@@ -6,12 +6,13 @@ as one space, normalised to ``k / sqrt(k(x,x) k(y,y))``. Landmarks are labelled
 map ``phi(x) = K_xL K_LL^(-1/2)`` feeds a one-versus-rest kernel ridge regression. Presence over
 the landmarks' n-grams is a 0/1 row, so ``K_xL`` and the scores of a batch are matrix products.
 
-Whole texts are read; n-grams that no landmark has cannot add to any kernel value with a landmark.
-``k(x, x)`` counts the distinct n-grams of x within the landmarks' vocabulary, which only scales x.
+Whole texts are read. The vocabulary is the n-grams of two landmarks or more; n-grams that no landmark
+has cannot add to any kernel value with one. ``k(x, x)`` counts those of x in the vocabulary, which only scales x.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +23,9 @@ from . import kernels
 
 MAX_N = 4
 #: Labelled documents of each language, by least hashed id: landmarks, and rows of the regression.
-LANDMARKS, TRAINING = 48, 240
+LANDMARKS, TRAINING = 32, 120
 #: Labels beyond this number (the rarest) are not learned; it bounds what training gathers.
 MAX_LABELS = 64
-#: Bytes of a landmark's or training text that are used; predictions use whole texts.
 RIDGE = 1e-3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,7 +72,7 @@ def _sets(batches):
                 for i in range(len(offsets) - 1):
                     found[i].append((both[cut[i] : cut[i + 1]] & 0xFFFFFFFF) | (n << 32))
             out += [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "lang", "codes"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in out], pa.binary())], names=["id", "lang", "codes"])
 
 
 @dataclass
@@ -96,15 +96,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
     sample = rows.join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi").select("id", "lang", "text")
-    got = sorted(sample.mapInArrow(_sets, "id long, lang string, codes array<long>").collect(), key=lambda r: (r.lang, kernels.mix(np.array([r.id & (2**64 - 1)], np.uint64))[0], r.id))
+    got = sorted(sample.mapInArrow(_sets, f"id {dict(sample.dtypes)['id']}, lang string, codes binary").collect(), key=lambda r: (r.lang, zlib.crc32(str(r.id).encode()), str(r.id)))
     got = list({(r.id, r.lang): r for r in got}.values())
     place: dict[str, int] = {}
     marks = []
     for r in got:
         place[r.lang] = place.get(r.lang, 0) + 1
         if place[r.lang] <= landmarks:
-            marks.append(np.array(r.codes, np.int64))
-    vocabulary = np.unique(np.concatenate(marks))
+            marks.append(np.frombuffer(r.codes, np.int64))
+    vocabulary, found = np.unique(np.concatenate(marks), return_counts=True)
+    vocabulary = vocabulary[found > 1] if (found > 1).any() else vocabulary
     codes = {n: vocabulary[(vocabulary >> 32) == n] & 0xFFFFFFFF for n in range(1, MAX_N + 1)}
 
     def presence(sets):
@@ -121,11 +122,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     root = vectors[:, good] / np.sqrt(values[good])
     project = (mark_rows.T @ root).astype(np.float32)  # K_xL K_LL^(-1/2) = presence @ project
     phi, target = [], []
-    for i in range(0, len(got), 256):
-        x = presence([np.array(r.codes, np.int64) for r in got[i : i + 256]])
+    for i in range(0, len(got), 64):
+        x = presence([np.frombuffer(r.codes, np.int64) for r in got[i : i + 64]])
         x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
         phi.append(x @ project)
-        target += [[1.0 if r.lang == label else -1.0 for label in labels] for r in got[i : i + 256]]
+        target += [[1.0 if r.lang == label else -1.0 for label in labels] for r in got[i : i + 64]]
     phi, target = np.concatenate(phi).astype(np.float64), np.array(target)
     mean, shift = phi.mean(0), target.mean(0)
     alpha = np.linalg.solve((phi - mean).T @ (phi - mean) + RIDGE * len(phi) * np.eye(phi.shape[1]), (phi - mean).T @ (target - shift))
