@@ -12,6 +12,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from . import kernels
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of the cache of pre-tokens, and ids that an entry holds; longer pre-tokens are encoded each time.
-CACHE, WIDTH = 1 << 20, 8
+#: Entries of the cache of pre-tokens (in two ways), and ids that an entry holds; longer pre-tokens are encoded each time.
+CACHE, WIDTH = 1 << 21, 8
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
 
 
@@ -39,7 +40,8 @@ class Encoder:
         self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.keys = np.zeros(CACHE, np.uint64)
         self.lengths = np.zeros(CACHE, np.uint8)
-        self.ids = np.zeros((CACHE, WIDTH), np.int32)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
+        self.ids = np.zeros((CACHE, WIDTH), self.kind)
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
         self.codes = np.zeros(0x110000, np.uint64)
 
@@ -83,19 +85,28 @@ class Encoder:
         """Lengths and rows of ids of pre-tokens, and the ids of those that are longer than a row."""
         slot = (hashes % np.uint64(CACHE)).astype(np.int64)
         hit = self.keys[slot] == hashes
+        other = np.flatnonzero(~hit)
+        second = slot[other] ^ ((hashes[other] >> np.uint64(40)) | np.uint64(1)).astype(np.int64) % CACHE
+        found = self.keys[second] == hashes[other]
+        slot[other[found]] = second[found]
         lengths, rows, long = self.lengths[slot].astype(np.int64), self.ids[slot], {}
-        miss = np.flatnonzero(~hit)
+        miss, second = other[~found], second[~found]
         if len(miss):
             _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             at = miss[first]
             got = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], np.int64)
-            table = np.zeros((len(got), WIDTH), np.int32)
-            fits = sizes <= WIDTH
-            table[np.repeat(np.arange(len(got))[fits], sizes[fits]), np.concatenate([np.arange(m) for m in sizes[fits]] or [np.zeros(0, int)])] = np.concatenate([np.array(x, np.int32) for x, ok in zip(got, fits) if ok] or [np.zeros(0, np.int32)])
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))
+            row = np.repeat(np.arange(len(got)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            table = np.zeros((len(got), WIDTH), self.kind)
+            table[row[place < WIDTH], place[place < WIDTH]] = flat[place < WIDTH]
             lengths[miss], rows[miss] = sizes[back], table[back]
-            keep = at[fits]
-            self.keys[slot[keep]], self.lengths[slot[keep]], self.ids[slot[keep]] = hashes[keep], sizes[fits], table[fits]
+            # A new entry takes its first place if that is free, else its second.
+            fits = sizes <= WIDTH
+            put = np.where(self.keys[slot[at]] == 0, slot[at], second[first])[fits]
+            self.keys[put], self.lengths[put], self.ids[put] = hashes[at[fits]], sizes[fits], table[fits]
+            # Of entries put into one place, the last wrote all three arrays.
             if not fits.all():
                 long = {int(i): got[j] for i, j in zip(miss, back) if not fits[j]}
         return lengths, rows, long
@@ -123,7 +134,7 @@ class Encoder:
                     parts[where[i] + k // WIDTH] = len(part)
         else:
             parts = lengths
-        flat = rows[np.arange(WIDTH) < parts[:, None]]
+        flat = rows[np.arange(WIDTH) < parts[:, None]].astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return flat, ends[np.searchsorted(starts, at)]
 
