@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import once
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -84,5 +86,8 @@ def truncated_context(context: Column, target: Column, max_tokens: int) -> tuple
 
 def find_subsequence(haystack: Column, needle: Column) -> Column:
     """The first place (from 0) of ``needle`` in ``haystack``, or -1."""
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(haystack) - F.size(needle), F.lit(0))), lambda i: F.slice(haystack, i + 1, F.size(needle)) == needle)
-    return F.when(F.size(places) > 0, F.get(places, F.lit(0))).otherwise(-1)
+    def place(h: Column, n: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - F.size(n), F.lit(0))), lambda i: F.slice(h, i + 1, F.size(n)) == n)
+        return F.coalesce(F.get(hits, F.lit(0)), F.lit(-1))
+
+    return once(haystack, lambda h: once(needle, lambda n: place(h, n)))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import once
 from ..functions.text import strip
 
 
@@ -181,10 +182,12 @@ def overlapping_tokens(spans: DataFrame, offsets: DataFrame, by: tuple[str, ...]
 
 def boundary_jaccard(a: Column, b: Column, tolerance: int = 50) -> Column:
     """Positions of either side that have one of the other within the tolerance: the smaller count by the larger side."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    near = lambda p, q: F.size(F.filter(p, lambda u: F.exists(q, lambda v: F.abs(u - v) <= tolerance)))
-    both = F.least(near(x, y), near(y, x)) / F.greatest(F.size(x), F.size(y), F.lit(1))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both)
+    def share(x: Column, y: Column) -> Column:
+        near = lambda p, q: F.size(F.filter(p, lambda u: F.exists(q, lambda v: F.abs(u - v) <= tolerance)))
+        both = F.least(near(x, y), near(y, x)) / F.greatest(F.size(x), F.size(y), F.lit(1))
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both)
+
+    return once(F.array_distinct(a), lambda x: once(F.array_distinct(b), lambda y: share(x, y)))
 
 
 #: Chunkers by name.

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import once
+
 #: Queries that meet the documents in one pass; more take more passes.
 QUERY_BLOCK = 4096
 
@@ -108,11 +110,6 @@ def cosine_scores(asked: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -
     return _set_scores(asked, docs, by, lambda c, q, d: c / F.sqrt(q * d))
 
 
-def once(value: Column, body) -> Column:
-    """``body(value)``, the value computed once for each row: an expression inside a lambda is computed for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_pairs(terms: Column) -> Column:
     pairs = lambda t: F.zip_with(t, F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y)))
     return once(terms, lambda t: F.array_compact(pairs(t)))

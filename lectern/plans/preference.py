@@ -1 +1,202 @@
-"""x"""
+"""Queries of preference data, sampling, joins of records, and incremental work."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import text as tx, vectors as vx
+from ..operators import coverage, prefer, sample
+from ..operators.chunk import native_chunks
+from ..streaming import incremental
+from .registry import query
+from .statistics import _local_folder
+from .views import SQL_PROBE, documents, probe, read, rendering, sql_native, sql_renderings
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    """Orders as pages, their lines as candidates (numbered, as line numbers repeat), a price share as the score."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), n.alias("candidate_idx"), F.round(F.col("l_discount").cast("double") * 10, 6).alias("score"))
+
+
+_CAND = "WITH c AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS candidate_idx, round(CAST(l_discount AS DOUBLE) * 10, 6) AS score FROM lineitem)"
+
+
+def _best(order: str) -> str:
+    other = "ASC" if order == "DESC" else "DESC"
+    return (
+        _CAND + f", b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score {order}, candidate_idx) AS hi, row_number() OVER (PARTITION BY page_id ORDER BY score {other}, candidate_idx DESC) AS lo, count(*) OVER (PARTITION BY page_id) AS n FROM c), "
+        "p AS (SELECT page_id, max(n) AS n, max(candidate_idx) FILTER (WHERE hi = 1) AS chosen, max(candidate_idx) FILTER (WHERE lo = 1) AS rejected, max(score) FILTER (WHERE hi = 1) AS chosen_score, max(score) FILTER (WHERE lo = 1) AS rejected_score FROM b GROUP BY page_id) "
+        "SELECT page_id, CAST(chosen AS INT) AS chosen, CAST(rejected AS INT) AS rejected, chosen_score, rejected_score FROM p WHERE n >= 2 AND abs(chosen_score - rejected_score) >= 0.3::DOUBLE"
+    )
+
+
+@query(_best("DESC"))
+def pairs_best_worst(spark, sf_dir):
+    return prefer.best_and_worst(_candidates(spark, sf_dir), 0.3).drop("gap")
+
+
+@query(_best("ASC"))
+def pairs_closest_farthest(spark, sf_dir):
+    return prefer.best_and_worst(_candidates(spark, sf_dir), 0.3, ascending=True).drop("gap")
+
+
+@query(_CAND + " SELECT page_id, CAST(min(candidate_idx) AS INT) AS candidate_idx FROM c WHERE candidate_idx <> 0 OR page_id % 2 = 0 GROUP BY page_id")
+def representative_candidate(spark, sf_dir):
+    return prefer.representative(_candidates(spark, sf_dir).where("candidate_idx <> 0 OR page_id % 2 = 0"))
+
+
+@query("SELECT doc_id, min_by(src, src) AS src FROM (SELECT doc_id, 0 AS src FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM labels) GROUP BY doc_id")
+def merge_keep_first(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id")
+    parts = [d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"), read(spark, sf_dir, "labels").select("doc_id")]
+    rows = parts[0].withColumn("src", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        rows = rows.unionByName(p.withColumn("src", F.lit(i)))
+    return prefer.keep_first(rows, ("doc_id",), "src")
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id FROM events GROUP BY ALL")
+def last_wins(spark, sf_dir):
+    return prefer.keep_last(read(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ("user_id", "event_type"), "event_id")
+
+
+_POS = f"WITH {sql_renderings('para')}, {sql_native()}, {SQL_PROBE}"
+
+
+@query(_POS + ", h AS (SELECT qa_id, min(pos) AS pos FROM qa_v q JOIN chunks_v c USING (page_id) WHERE contains(c.text, q.answer_span) GROUP BY qa_id) SELECT q.qa_id, CASE WHEN h.pos IS NULL THEN NULL ELSE q.page_id || '::parser_native#' || h.pos END AS chunk_id FROM qa_v q LEFT JOIN h USING (qa_id)")
+def qa_positive_chunks(spark, sf_dir):
+    return prefer.positives(probe(spark, sf_dir), native_chunks(rendering(spark, sf_dir, "para"))).select("qa_id", "chunk_id")
+
+
+@query(_POS + ", h AS (SELECT q.page_id, pos FROM qa_v q JOIN chunks_v c USING (page_id) WHERE contains(c.text, q.answer_span)) SELECT count(*) AS n_rows, count(h.pos) AS positive, count(DISTINCT c.page_id || '#' || c.pos) AS chunks, median(c.n)::DOUBLE AS median_per_page FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM chunks_v) c LEFT JOIN h ON h.page_id = c.page_id AND h.pos = c.pos")
+def cache_manifest(spark, sf_dir):
+    """One row for each chunk and query that hits it, or one without a query."""
+    from pyspark.sql import Window
+
+    chunks = native_chunks(rendering(spark, sf_dir, "para")).withColumn("n", F.count("*").over(Window.partitionBy("page_id")))
+    hits = chunks.join(probe(spark, sf_dir).select("page_id", "qa_id", "answer_span"), "page_id").where(F.contains("text", "answer_span")).select("chunk_id", "qa_id")
+    rows = chunks.select("chunk_id", "n").join(hits, "chunk_id", "left")
+    return rows.agg(F.count("*").alias("n_rows"), F.count("qa_id").alias("positive"), F.countDistinct("chunk_id").alias("chunks"), F.median("n").alias("median_per_page"))
+
+
+@query("WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS page, b.vec_id, round(max(list_dot_product(a.e, b.e)), 6) AS sim FROM e a JOIN e b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY ALL) SELECT CAST(page AS BIGINT) AS page, vec_id, sim, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sim DESC, vec_id) AS rk FROM s) WHERE rk <= 5")
+def hard_negatives(spark, sf_dir):
+    """Labels as pages: the vectors of other labels nearest to any of the label's queries (every 50th vector)."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    asks = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("label").alias("page"), F.col("embedding").alias("q")).limit(1 << 16))
+    sims = asks.join(e, F.col("page") != F.col("label")).select(F.col("page").cast("long").alias("page"), "vec_id", vx.dot(F.col("q"), F.col("embedding")).alias("sim"))
+    return prefer.hard_negatives(sims, 5, "page", "vec_id")
+
+
+@query()
+def distractor_pool(spark, sf_dir):
+    chunks = native_chunks(rendering(spark, sf_dir, "para"))
+    return prefer.distractors(documents(spark, sf_dir).select(F.col("doc_id").alias("page_id")), chunks, 20)
+
+
+@query()
+def sampled_negatives(spark, sf_dir):
+    chunks = native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "chunk_id", "pos", "text")
+    anchors = prefer.positives(probe(spark, sf_dir), chunks).where("chunk_id IS NOT NULL")
+    return prefer.sampled_negatives(anchors, chunks.select("page_id", "chunk_id"), 4)
+
+
+_SPLIT = "WITH d AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5('42-' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)"
+
+
+@query(_SPLIT + " SELECT doc_id, CASE WHEN p <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' ELSE 'eval' END AS fold FROM d")
+def stratified_split(spark, sf_dir):
+    return sample.stratified_split(documents(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id", ("source", "lang")).select("doc_id", "fold")
+
+
+@query(_SPLIT + " SELECT CASE WHEN p <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' ELSE 'eval' END AS fold, lang, count(*) AS n FROM d GROUP BY ALL")
+def fold_statistics(spark, sf_dir):
+    return sample.stratified_split(documents(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id", ("source", "lang")).groupBy("fold", "lang").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH c AS (SELECT doc_id, lang, md5('42-' || doc_id) AS h, greatest(1, round_even(count(*) OVER (PARTITION BY lang) * 100.0::DOUBLE / count(*) OVER (), 0)) AS q FROM documents), s AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) > q)::INT AS spare FROM c) "
+    "SELECT doc_id, lang FROM s ORDER BY spare, h, doc_id LIMIT 100"
+)
+def stratified_sample(spark, sf_dir):
+    return sample.stratified_sample(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id", ("lang",), 100).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || source || '|' || doc_id), doc_id) AS n FROM documents WHERE source IN ('src1', 'src2', 'src3')) WHERE n <= CASE source WHEN 'src1' THEN 50 WHEN 'src2' THEN 30 ELSE 20 END")
+def blind_sample(spark, sf_dir):
+    rows = sample.quota_sample(documents(spark, sf_dir).select("doc_id", "source"), "doc_id", "source", {"src1": 50, "src2": 30, "src3": 20})
+    return rows.select("doc_id", "source")
+
+
+@query(f"WITH {SQL_PROBE} SELECT q.source, count(*) AS n, round(avg(contains(lower(d.text), lower(q.answer_span))::INT), 6) AS em, round(avg((length(trim(d.text)) > 0)::INT), 6) AS answered FROM qa_v q JOIN documents d ON d.doc_id = q.qa_id + 1 GROUP BY q.source")
+def answer_accuracy(spark, sf_dir):
+    """The shortcut before a judge: gold inside the prediction (here: the next document)."""
+    answers = documents(spark, sf_dir).select((F.col("doc_id") - 1).alias("qa_id"), F.col("text").alias("pred"))
+    rows = probe(spark, sf_dir).select("qa_id", "source", "answer_span").join(answers, "qa_id")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.contains(F.lower("pred"), F.lower("answer_span")).cast("double")), 6).alias("em"), F.round(F.avg((F.length(F.trim("pred")) > 0).cast("double")), 6).alias("answered"))
+
+
+@query(f"WITH {SQL_PROBE} SELECT qa_id FROM qa_v JOIN documents ON doc_id = page_id WHERE length(regexp_replace(lower(answer_span), '[|*#`>~_\\s]', '', 'g')) >= 24 AND lower(trim(answer_span)) <> 'none'")
+def answerable_probe(spark, sf_dir):
+    pages = rendering(spark, sf_dir, "raw").select("page_id", "markdown")
+    return coverage.answerable(probe(spark, sf_dir), pages, ("none",), 24).select("qa_id")
+
+
+@query("SELECT a.doc_id AS doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 0 AND substr(sha256(CAST(l.doc_id AS VARCHAR)), 1, 8) = substr(sha256(CAST(a.doc_id AS VARCHAR)), 1, 8))")
+def prefix_anti_match(spark, sf_dir):
+    """Rejected ids are known by their first eight characters only."""
+    key = F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 8).alias("prefix")
+    bad = read(spark, sf_dir, "labels").where("quality = 0").select(key)
+    return documents(spark, sf_dir).select("doc_id", key).join(bad, "prefix", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id, len(list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'the' AND w[i + 2] = 'of')) > 0 AS found, coalesce(list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'the' AND w[i + 2] = 'of')[1], -1) AS at FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+def subsequence_place(spark, sf_dir):
+    """The first place of two words in the words of a text."""
+    words = F.split("text", " ")
+    rows = documents(spark, sf_dir).select("doc_id", vx.find_subsequence(words, F.array(F.lit("the"), F.lit("of"))).cast("long").alias("at"))
+    return rows.select("doc_id", (F.col("at") >= 0).alias("found"), "at")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def events_incremental(spark, sf_dir):
+    """The events table as a file stream, drained into a store, and read back."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    schema = read(spark, sf_dir, "events").schema
+    events = f"{sf_dir}/events.parquet"
+    source = incremental.file_stream(spark, events if _is_folder(spark, events) else f"{sf_dir}/[e]vents.parquet", schema)
+    incremental.drain(source, lambda rows, epoch: rows.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/rows"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _is_folder(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    return incremental.tumbling(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, s.s")
+def events_sessions(spark, sf_dir):
+    return incremental.sessions(read(spark, sf_dir, "events"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '" + tx.TOKEN + "')) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def store_resume(spark, sf_dir):
+    """A store is filled in two runs; the second scores only what the first left."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/store-{uuid.uuid4().hex}"
+    incremental.bind(spark, base, {"rule": "tokens", "version": 1})
+    rows = documents(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("key"), "text")
+    schema = "key string, value long, seq int"
+    count = lambda seq: lambda part: part.select("key", F.size(tx.tokens(F.col("text"), False)).cast("long").alias("value"), F.lit(seq).alias("seq"))
+    incremental.score_pending(rows.where("cast(key AS long) % 2 = 0"), base, "key", count(0), schema)
+    return incremental.score_pending(rows, base, "key", count(1), schema).select(F.col("key").cast("long").alias("doc_id"), F.col("value").alias("n"))

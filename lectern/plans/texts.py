@@ -1 +1,310 @@
-"""x"""
+"""Queries of texts: chunkers, boundaries, coverage, matchers, text functions, manifests, gates, records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import chunk, coverage, gates, hooks
+from ..sources import corpus, sinks
+from .registry import query
+from .views import SQL_PROBE, documents, probe, read, rendering, renderings, sql_native, sql_norm, sql_renderings, sql_strip
+
+
+def _fixed_sql(size: int, overlap: int) -> str:
+    """The windows as a recursive walk: where a window begins decides where it ends."""
+    end = f"CASE WHEN i + {size} >= n THEN n WHEN substr(t, i + {size} + 1, 1) IN (' ', chr(10), chr(9), chr(13)) THEN i + {size} WHEN snap > i + {overlap} THEN snap ELSE i + {size} END"
+    # The last blank at or after the window's second half, from 0; -1 where there is none.
+    window = f"substr(t, i + {(size - overlap) // 2} + 1, {size} - {(size - overlap) // 2})"
+    snap = f"CASE WHEN contains({window}, ' ') THEN i + {size} - strpos(reverse({window}), ' ') ELSE -1 END"
+    return f"""WITH RECURSIVE {sql_renderings('raw')}, t AS (SELECT page_id, {sql_strip('markdown')} AS t, length({sql_strip('markdown')}) AS n FROM pages_v),
+w AS (SELECT page_id, t, n, 0 AS i, {end.replace('i + ', '0 + ')} AS e FROM (SELECT *, {snap.replace('i + ', '0 + ')} AS snap FROM t WHERE t <> '')
+UNION ALL SELECT page_id, t, n, i, {end} AS e FROM (SELECT *, {snap} AS snap FROM (SELECT page_id, t, n, e - {overlap} AS i FROM w WHERE e < n)))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, {sql_strip('substr(t, i + 1, e - i)')} AS text FROM w WHERE {sql_strip('substr(t, i + 1, e - i)')} <> ''"""
+
+
+def _fixed(size: int, overlap: int):
+    def run(spark, sf_dir):
+        return chunk.fixed_chunks(rendering(spark, sf_dir, "raw"), size, overlap).select("page_id", "pos", "text")
+
+    return run
+
+
+for _size, _overlap in ((500, 0), (500, 200), (1000, 200)):
+    query(_fixed_sql(_size, _overlap), f"chunk_{chunk.fixed_name(_size, _overlap)}")(_fixed(_size, _overlap))
+
+
+@query(f"WITH {sql_renderings('para')}, {sql_native()} SELECT page_id, pos, text FROM chunks_v")
+def chunk_parser_native(spark, sf_dir):
+    return chunk.native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "pos", "text")
+
+
+#: Every third line as a header of level 1 to 4.
+def _headed(spark, sf_dir):
+    lines = F.split("markdown", "\n")
+    headed = F.transform(lines, lambda x, i: F.when((i % 3 == 1) & F.trim(x).isNotNull() & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
+    return rendering(spark, sf_dir, "raw").withColumn("markdown", F.array_join(headed, "\n"))
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS l FROM documents),
+h AS (SELECT page_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i - 1) % 3 = 1 AND trim(l[i]) <> '' THEN repeat('#', CAST((i - 1) % 4 + 1 AS INT)) || ' ' || l[i] ELSE l[i] END), chr(10)) AS t FROM l),
+m AS (SELECT page_id, regexp_replace(regexp_replace({sql_strip('t')}, '(?m)^(#{{1,6}})\s+(.+?)\s*$', chr(1) || '\0', 'g'), chr(1) || '(#{{4,6}}\s)', '\1', 'g') AS t FROM h),
+p AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM m)
+SELECT page_id, CAST(i - 1 AS INT) AS pos, p[i] AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)"""
+)
+def chunk_md_h3(spark, sf_dir):
+    return chunk.header_chunks(_headed(spark, sf_dir), 3).select("page_id", "pos", "text")
+
+
+@query(f"WITH p AS (SELECT doc_id AS page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents) SELECT page_id, CAST(i - 1 AS INT) AS pos, p[i] AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)")
+def chunk_base_lines(spark, sf_dir):
+    return chunk.line_chunks(rendering(spark, sf_dir, "raw")).select("page_id", "pos", "text")
+
+
+@query()
+def chunk_topics(spark, sf_dir):
+    return chunk.topic_chunks(rendering(spark, sf_dir, "raw")).select("page_id", "pos", "text")
+
+
+@query(
+    f"""WITH {SQL_PROBE}, a AS (SELECT qa_id, answer_span AS s, text AS t, strpos(text, answer_span) - 1 AS p, length(text) AS n, length(answer_span) AS m FROM qa_v JOIN documents ON doc_id = qa_id),
+b AS (SELECT *, greatest(p - greatest(100, m), 0) AS st0, least(n, p + m + greatest(100, m)) AS en0 FROM a),
+c AS (SELECT *, st0 - length(string_split(substr(t, 1, st0), chr(10))[-1]) AS st, en0 + length(string_split(substr(t, en0 + 1), chr(10))[1]) AS en FROM b),
+d AS (SELECT *, {sql_strip('substr(t, st + 1, en - st)')} AS wide, greatest(p + m // 2 - 400, 0) AS ca, least(n, p + m // 2 + 400) AS cb FROM c)
+SELECT qa_id, CASE WHEN p < 0 THEN NULL WHEN length(wide) > 800 THEN {sql_strip('substr(t, ca + 1, cb - ca)')} WHEN wide = '' THEN NULL ELSE wide END AS chunk FROM d"""
+)
+def expand_to_chunk(spark, sf_dir):
+    rows = probe(spark, sf_dir).select("qa_id", "answer_span").join(documents(spark, sf_dir).select(F.col("doc_id").alias("qa_id"), "text"), "qa_id")
+    return rows.select("qa_id", chunk.expand_span(F.col("answer_span"), F.col("text")).alias("chunk"))
+
+
+@query()
+def split_midpoint(spark, sf_dir):
+    rows = chunk.native_chunks(rendering(spark, sf_dir, "para"))
+    return rows.select("page_id", "pos", chunk.midpoint_split(F.col("text")).alias("s")).select("page_id", "pos", "s.head", "s.tail")
+
+
+_NATIVE = f"WITH {sql_renderings('para')}, {sql_native()}"
+
+
+@query(_NATIVE + "SELECT * FROM (SELECT page_id, pos, md5(text) AS prev_md5, md5(lead(text) OVER (PARTITION BY page_id ORDER BY pos)) AS next_md5 FROM chunks_v) WHERE next_md5 IS NOT NULL")
+def chunk_adjacency(spark, sf_dir):
+    rows = chunk.adjacent(chunk.native_chunks(rendering(spark, sf_dir, "para")))
+    return rows.select("page_id", "pos", F.md5(F.col("prev_text").cast("binary")).alias("prev_md5"), F.md5(F.col("next_text").cast("binary")).alias("next_md5"))
+
+
+@query(_NATIVE + "SELECT page_id, pos, CAST(sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS position FROM chunks_v")
+def boundary_positions(spark, sf_dir):
+    return chunk.boundary_positions(chunk.native_chunks(rendering(spark, sf_dir, "para")))
+
+
+@query(_NATIVE + "SELECT page_id, pos, span_end - length(text) AS span_start, span_end FROM (SELECT *, CAST(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS span_end FROM chunks_v)")
+def late_chunk_spans(spark, sf_dir):
+    return chunk.joined_spans(chunk.native_chunks(rendering(spark, sf_dir, "para"))).select("page_id", "pos", "span_start", "span_end")
+
+
+@query(
+    _NATIVE
+    + """, sp AS (SELECT page_id, pos, span_end - length(text) AS a, span_end AS b FROM (SELECT *, CAST(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS span_end FROM chunks_v)),
+tk AS (SELECT page_id, n, unnest(range(0, n, 97)) AS t FROM (SELECT page_id, max(b) AS n FROM sp GROUP BY page_id))
+SELECT sp.page_id, pos, count(*) AS n_tokens FROM sp JOIN tk ON sp.page_id = tk.page_id AND t < b AND least(t + 97, n) > a AND least(t + 97, n) > t GROUP BY ALL"""
+)
+def token_span_overlap(spark, sf_dir):
+    """Tokens of 97 characters as offsets: how many overlap each chunk."""
+    spans = chunk.joined_spans(chunk.native_chunks(rendering(spark, sf_dir, "para")))
+    sizes = spans.groupBy("page_id").agg(F.max("span_end").alias("n")).where("n > 0")
+    offsets = sizes.select("page_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(97).cast("long"))).alias("tok_start"))
+    offsets = offsets.select("page_id", "tok_start", F.least(F.col("tok_start") + 97, F.col("n")).alias("tok_end"))
+    return chunk.overlapping_tokens(spans, offsets).groupBy("page_id", "pos").agg(F.count("*").alias("n_tokens"))
+
+
+_DIFF = f"""WITH {sql_renderings('para', 'trunc')}, two AS (SELECT system, page_id, CASE WHEN system = 'trunc' THEN replace(markdown, chr(10), chr(10) || chr(10)) ELSE markdown END AS markdown FROM pages_v), {sql_native('two')},
+b AS (SELECT system, page_id, CAST(sum(length(text)) OVER (PARTITION BY system, page_id ORDER BY pos) AS BIGINT) AS p FROM chunks_v),
+l AS (SELECT page_id, list(DISTINCT p) FILTER (WHERE system = 'para') AS x, list(DISTINCT p) FILTER (WHERE system = 'trunc') AS y FROM b GROUP BY page_id),
+j AS (SELECT page_id, len(x) AS nx, len(y) AS ny, len(list_filter(x, lambda u: len(list_filter(y, lambda v: abs(u - v) <= 50)) > 0)) AS mx, len(list_filter(y, lambda v: len(list_filter(x, lambda u: abs(u - v) <= 50)) > 0)) AS my FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
+d AS (SELECT page_id, nx, ny, round(least(mx, my)::DOUBLE / greatest(nx, ny), 6) AS jaccard FROM j)
+"""
+
+
+def _diff(spark, sf_dir):
+    rows = renderings(spark, sf_dir, "para", "trunc").withColumn("markdown", F.when(F.col("system") == "trunc", F.replace("markdown", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("markdown")))
+    positions = chunk.boundary_positions(chunk.native_chunks(rows), ("system", "page_id"))
+    side = lambda s: positions.where(F.col("system") == s).groupBy("page_id").agg(F.collect_set("position").alias(s))
+    both = side("para").join(side("trunc"), "page_id")
+    return both.select("page_id", F.size("para").cast("long").alias("nx"), F.size("trunc").cast("long").alias("ny"), F.round(chunk.boundary_jaccard(F.col("para"), F.col("trunc")), 6).alias("jaccard"))
+
+
+@query(_DIFF + "SELECT page_id, nx, ny, jaccard FROM d")
+def boundary_jaccard(spark, sf_dir):
+    return _diff(spark, sf_dir)
+
+
+@query(_DIFF + "SELECT count(*) AS n_pages, round(avg(ny - nx), 6) AS mean_change, round(100 * avg(CASE WHEN nx <> ny THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS changed, round(avg(jaccard), 6) AS jaccard FROM d")
+def chunk_diff(spark, sf_dir):
+    d = F.col("ny") - F.col("nx")
+    return _diff(spark, sf_dir).agg(F.count("*").alias("n_pages"), F.round(F.avg(d), 6).alias("mean_change"), F.round(100 * F.avg((d != 0).cast("double")), 6).alias("changed"), F.round(F.avg("jaccard"), 6).alias("jaccard"))
+
+
+@query(_NATIVE + "SELECT count(*) AS n, round(avg(length(text)), 6) AS mean, median(length(text))::DOUBLE AS median, round(stddev_samp(length(text)), 6) AS sd, CAST(min(length(text)) AS INT) AS low, CAST(max(length(text)) AS INT) AS high, count(DISTINCT page_id) AS pages FROM chunks_v")
+def boundary_stats(spark, sf_dir):
+    n = F.length("text")
+    return chunk.native_chunks(rendering(spark, sf_dir, "para")).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("sd"), F.min(n).alias("low"), F.max(n).alias("high"), F.countDistinct("page_id").alias("pages"))
+
+
+@query()
+def boundary_clarity(spark, sf_dir):
+    """With the offline scorer; a language model takes its place as a function."""
+    pairs = chunk.adjacent(chunk.native_chunks(rendering(spark, sf_dir, "para")))
+    return hooks.summary(hooks.boundary_clarity(pairs))
+
+
+_SYSTEMS = ("para", "trunc")
+_LOCATED = f"""WITH {sql_renderings(*_SYSTEMS)}, {sql_native()}, {SQL_PROBE},
+ck AS MATERIALIZED (SELECT system, page_id, {sql_norm('text')} AS c FROM chunks_v), q AS (SELECT *, {sql_norm('answer_span')} AS s FROM qa_v),
+f AS (SELECT DISTINCT system, qa_id FROM q JOIN ck USING (page_id) WHERE contains(c, s)),
+located AS MATERIALIZED (SELECT p.system, q.qa_id, q.question_type, q.difficulty, q.source, CASE WHEN p.markdown IS NULL THEN 'no_parse' WHEN s = '' THEN 'absent' WHEN f.qa_id IS NOT NULL THEN 'covered' WHEN contains({sql_norm('p.markdown')}, s) THEN 'split' ELSE 'absent' END AS location
+  FROM q JOIN pages_v p USING (page_id) LEFT JOIN f ON f.system = p.system AND f.qa_id = q.qa_id)
+"""
+
+
+def _located(spark, sf_dir):
+    """All renderings at once: a page's key names its system too."""
+    key = F.concat_ws("/", "system", F.col("page_id").cast("string"))
+    pages = renderings(spark, sf_dir, *_SYSTEMS)
+    chunks = chunk.native_chunks(pages).withColumn("page_id", key)
+    qa = probe(spark, sf_dir).withColumn("system", F.explode(F.array(*map(F.lit, _SYSTEMS)))).withColumn("page_id", key)
+    return coverage.classify(qa, pages.withColumn("page_id", key).select("page_id", "markdown"), chunks.select("page_id", "text"), False)
+
+
+@query(_LOCATED + "SELECT system, qa_id, location FROM located")
+def coverage_classify(spark, sf_dir):
+    return _located(spark, sf_dir).select("system", "qa_id", "location")
+
+
+@query(_LOCATED + "SELECT CASE WHEN grouping(question_type) = 0 THEN 'question_type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'all' END AS dimension, coalesce(question_type, difficulty, 'all') AS level, location, count(*) AS n FROM located GROUP BY GROUPING SETS ((location), (location, question_type), (location, difficulty))")
+def coverage_grouping_sets(spark, sf_dir):
+    return coverage.tally(_located(spark, sf_dir))
+
+
+@query(_LOCATED + "SELECT system, count(*) AS total, round(avg((location = 'covered')::INT), 6) AS coverage, round(avg((location = 'split')::INT), 6) AS split_rate, round(avg((location IN ('absent', 'no_parse'))::INT), 6) AS parser_fault FROM located GROUP BY system")
+def coverage_rates(spark, sf_dir):
+    return coverage.rates(_located(spark, sf_dir), ("system",)).select("system", "total", *(F.round(c, 6).alias(c) for c in ("coverage", "split_rate", "parser_fault")))
+
+
+@query(_LOCATED + "SELECT location, qa_id, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY qa_id) AS rk FROM located WHERE system = 'trunc') WHERE rk <= 5")
+def coverage_examples(spark, sf_dir):
+    return coverage.examples(_located(spark, sf_dir).where("system = 'trunc'"), "qa_id").select("location", "qa_id", "rk")
+
+
+@query(_LOCATED + "SELECT coalesce(source, 'overall') AS source, count(*) AS n, round(avg((location IN ('absent', 'no_parse'))::INT), 6) AS absent FROM located GROUP BY ROLLUP (source)")
+def absent_by_source(spark, sf_dir):
+    rows = _located(spark, sf_dir).rollup("source").agg(F.count("*").alias("n"), F.round(F.avg(F.col("location").isin("absent", "no_parse").cast("double")), 6).alias("absent"))
+    return rows.withColumn("source", F.coalesce("source", F.lit("overall")))
+
+
+_TOKENS = rf"regexp_extract_all(lower({{}}), '{tx.TOKEN}')"
+_LADDER = f"""WITH {sql_renderings('trunc')}, {SQL_PROBE}, q AS (SELECT qa_id, question_type, answer_span AS a, markdown AS p, {sql_norm('answer_span')} AS na, {sql_norm('markdown')} AS np FROM qa_v JOIN pages_v USING (page_id)),
+r AS MATERIALIZED (SELECT qa_id, question_type, {sql_strip('a')} <> '' AND contains(p, {sql_strip('a')}) AS l0, na <> '' AND contains(np, na) AS l1,
+  regexp_replace(na, '[{tx.SEPARATORS}]', '', 'g') <> '' AND contains(regexp_replace(np, '[{tx.SEPARATORS}]', '', 'g'), regexp_replace(na, '[{tx.SEPARATORS}]', '', 'g')) AS l2,
+  CASE WHEN len({_TOKENS.format('a')}) = 0 THEN FALSE ELSE len(list_filter({_TOKENS.format('a')}, lambda t: list_contains({_TOKENS.format('p')}, t)))::DOUBLE / len({_TOKENS.format('a')}) >= 0.9::DOUBLE END AS l3 FROM q)
+"""
+
+
+@query(_LADDER + "SELECT rung, coalesce(question_type, 'all') AS level, count(*) AS n, round(avg((NOT present)::INT), 6) AS absent FROM (SELECT question_type, unnest(['L0_exact', 'L1_normalized', 'L2_numeric', 'L3_token_recall']) AS rung, unnest([l0, l1, l2, l3]) AS present FROM r) GROUP BY GROUPING SETS ((rung), (rung, question_type))")
+def ladder_rates(spark, sf_dir):
+    pages = rendering(spark, sf_dir, "trunc").select("page_id", "markdown")
+    out = coverage.absent_rates(probe(spark, sf_dir), pages, ("L0_exact", "L1_normalized", "L2_numeric", "L3_token_recall"), exact_unicode=False)
+    return out.withColumn("absent", F.round("absent", 6))
+
+
+@query()
+def ladder_l4_lcs(spark, sf_dir):
+    """Longest common substrings: no SQL. Held against a plain dynamic program in the tests."""
+    rows = probe(spark, sf_dir).join(rendering(spark, sf_dir, "trunc").select("page_id", "markdown"), "page_id")
+    return rows.select("qa_id", coverage.l4(F.col("answer_span"), F.col("markdown")).alias("present"))
+
+
+@query(f"WITH {SQL_PROBE} SELECT qa_id, question_type FROM qa_v WHERE page_id NOT IN (SELECT doc_id FROM labels)")
+def evidence_gate_missing(spark, sf_dir):
+    have = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
+    return gates.missing(probe(spark, sf_dir), have, "page_id").select("qa_id", "question_type")
+
+
+@query(f"WITH {SQL_PROBE} SELECT qa_id FROM qa_v WHERE source NOT IN ('src0', 'src3') AND qa_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def strict_mask(spark, sf_dir):
+    bad = read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("qa_id"))
+    return gates.strict_mask(probe(spark, sf_dir).withColumn("domain", F.col("source")), ("src0", "src3"), bad).select("qa_id")
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
+def strip_html(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM pages")
+def escape_html(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", tx.escape_html(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, {sql_norm('text')} AS norm FROM documents")
+def normalize_match(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_for_match(F.col("text")).alias("norm"))
+
+
+@query("SELECT doc_id, CASE WHEN ko > en THEN 'ko' WHEN en > ko * 2 THEN 'en' ELSE 'mixed' END AS language, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' ELSE 'en' END AS question_language FROM (SELECT doc_id, text, length(regexp_replace(text, '[^가-힯]', '', 'g')) AS ko, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM documents)")
+def detect_language(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.detect_language(F.col("text")).alias("language"), tx.question_language(F.col("text")).alias("question_language"))
+
+
+@query(
+    """SELECT page_id, regexp_extract(path, '(?:documents|papers)/([^/]*)', 1) AS doc, regexp_extract(path, '([^/]+)/[^/]+$', 1) || '_' || regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS doc_page,
+CASE WHEN contains(path, 'documents') THEN 'kogov' WHEN contains(path, 'papers') THEN 'arxiv' ELSE 'unknown' END AS domain, 'a' || '__p' || page_id AS page_key, 'val_' || lpad(CAST(page_id AS VARCHAR), 4, '0') AS row_key, '/data/' || regexp_extract(path, '(?:documents|papers)/(.*)$', 1) AS rebased
+FROM (SELECT page_id, '/x/' || CASE WHEN page_id % 2 = 0 THEN 'documents' ELSE 'papers' END || '/doc_' || (page_id % 7) || '/page_' || page_id || '.png' AS path FROM pages)"""
+)
+def path_ids(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/x/"), F.when(F.col("page_id") % 2 == 0, "documents").otherwise("papers"), F.lit("/doc_"), (F.col("page_id") % 7).cast("string"), F.lit("/page_"), i, F.lit(".png")).alias("path"))
+    p = F.col("path")
+    return rows.select("page_id", tx.derive_doc_id(p).alias("doc"), tx.doc_page(p).alias("doc_page"), tx.infer_domain(p).alias("domain"), tx.page_key(F.lit("x/y/a"), F.col("page_id")).alias("page_key"), tx.row_key(F.col("page_id")).alias("row_key"), F.when(F.contains(p, F.lit("documents/")), tx.rebase_path(p, "documents/", "/data")).otherwise(tx.rebase_path(p, "papers/", "/data")).alias("rebased"))
+
+
+@query("WITH m AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT sha256(string_agg(h || '  ' || doc_id, chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest, count(*) AS n FROM m")
+def sha_manifest(spark, sf_dir):
+    return sinks.manifest_digest(sinks.manifest(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
+@query("WITH p AS (SELECT a.item_id, regexp_replace(a.text, '[^ -~]', '?', 'g') AS a, regexp_replace(b.text, '[^ -~]', '?', 'g') AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) SELECT item_id, round(CASE WHEN a = b THEN 0.0::DOUBLE ELSE levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ned FROM p")
+def text_ned(spark, sf_dir):
+    """Each benchmark text against the next (in ASCII, as the SQL counts bytes)."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("a"))
+    after = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return rows.join(after, "item_id").select("item_id", F.round(tx.text_ned(F.col("a"), F.col("b")), 6).alias("ned"))
+
+
+@query()
+def text_similarity(spark, sf_dir):
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"), F.lower("text").alias("b"))
+    return rows.select("item_id", F.round(tx.sequence_ratio("a", "b"), 6).alias("ratio"))
+
+
+@query(
+    f"""WITH {SQL_PROBE}, v AS (SELECT qa_id, CASE WHEN NOT contains(text, answer_span) THEN 'span not in page' WHEN NOT length(question) BETWEEN 20 AND 200 THEN 'question length' WHEN NOT length(answer_span) BETWEEN 10 AND 100 THEN 'span length' WHEN NOT contains(substr(text, 1, 2000), answer_span) THEN 'no chunk' ELSE 'ok' END AS reason FROM qa_v JOIN documents ON doc_id = qa_id)
+SELECT reason, count(*) AS n FROM v GROUP BY reason"""
+)
+def qa_validation(spark, sf_dir):
+    rows = probe(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("qa_id"), "text"), "qa_id")
+    v = coverage.validate(F.col("question"), F.col("answer_span"), F.substring("text", 1, 2000), F.col("text"), (20, 200), (10, 100))
+    return rows.select(v.alias("v")).groupBy(F.col("v.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS markdown, count(*) AS turns FROM conversations GROUP BY conv_id")
+def message_extract(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return turns.select("conv_id", corpus.assistant_message(F.col("messages")).alias("markdown"), F.size("messages").cast("long").alias("turns"))
+
+
+@query("SELECT 'hit' AS metric, 5 AS k, 'dense' AS retriever, count(*) AS n FROM region")
+def metric_keys(spark, sf_dir):
+    rows = read(spark, sf_dir, "region").select(corpus.parse_metric_key(F.lit("hit@5__dense")).alias("m"))
+    return rows.groupBy("m.metric", "m.k", "m.retriever").agg(F.count("*").alias("n"))

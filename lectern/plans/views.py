@@ -63,6 +63,6 @@ def sql_strip(x: str) -> str:
 
 def sql_native(pages: str = "pages_v", least: int = 30) -> str:
     """chunks_v(system, page_id, pos, text): paragraphs, or the page where none is long enough."""
-    return rf"""parts_v AS (SELECT system, page_id, {sql_strip('markdown')} AS whole, list_filter(list_transform(string_split_regex({sql_strip('markdown')}, '\n\s*\n+'), lambda p: {sql_strip('p')}), lambda p: length(p) >= {least}) AS parts FROM {pages}),
+    return rf"""parts_v AS MATERIALIZED (SELECT system, page_id, {sql_strip('markdown')} AS whole, list_filter(list_transform(string_split_regex({sql_strip('markdown')}, '\n\s*\n+'), lambda p: {sql_strip('p')}), lambda p: length(p) >= {least}) AS parts FROM {pages}),
 listed_v AS (SELECT system, page_id, CASE WHEN whole = '' THEN [] WHEN len(parts) > 0 THEN parts ELSE [whole] END AS parts FROM parts_v WHERE whole IS NOT NULL),
-chunks_v AS (SELECT system, page_id, CAST(i - 1 AS INT) AS pos, parts[i] AS text FROM (SELECT system, page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM listed_v))"""
+chunks_v AS MATERIALIZED (SELECT system, page_id, CAST(i - 1 AS INT) AS pos, parts[i] AS text FROM (SELECT system, page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM listed_v))"""

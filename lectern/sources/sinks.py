@@ -25,7 +25,7 @@ def cube_json(cube: DataFrame) -> DataFrame:
     cells = cube.groupBy("system", "retriever", "metric", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("qa_id", "value"))), lambda x: x["value"]).alias("v"))
     named = cells.groupBy("system").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("__", "retriever", F.concat_ws("@", "metric", F.col("k").cast("string"))).alias("key"), "v")))).alias("cells"))
     ids = cube.agg(F.array_sort(F.collect_set("qa_id")).alias("qa_ids"))
-    return named.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("system", "cells")))).alias("systems")).crossJoin(ids).select(F.to_json(F.struct(F.struct("qa_ids").alias("meta"), "systems")).alias("value"))
+    return named.agg(F.map_from_entries(F.collect_list(F.struct("system", "cells"))).alias("systems")).crossJoin(ids).select(F.to_json(F.struct(F.struct("qa_ids").alias("meta"), "systems")).alias("value"))
 
 
 def write_strict_json(rows: DataFrame, path: str) -> None:
