@@ -543,7 +543,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(kernels.tidy(run), f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _media_slices(media: list[bytes | None]):
@@ -583,7 +583,7 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["id", "block", "sample_offset", "n_samples", "pcm", "crc_ok", "md5_ok", "error"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, block int, sample_offset long, n_samples long, pcm binary, crc_ok boolean, md5_ok boolean, error string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(kernels.tidy(run), f"id {dict(rows.dtypes)['id']}, block int, sample_offset long, n_samples long, pcm binary, crc_ok boolean, md5_ok boolean, error string").withColumnRenamed("id", id_col)
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -610,4 +610,4 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(kernels.tidy(run), f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

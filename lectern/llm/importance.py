@@ -75,7 +75,7 @@ def _scores(shared):
 def log_ratios(df: DataFrame, target, text_col: str = "text") -> np.ndarray:
     """``log p_target - log p_raw`` of every cell; ``target`` is a boolean column of ``df``."""
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    cells = rows.mapInArrow(_counts, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    cells = rows.mapInArrow(kernels.tidy(_counts), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, good = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
     for r in cells.collect():  # BUCKETS rows at most
         raw[r.cell] += r.raw
@@ -123,7 +123,7 @@ def importance_resample(df: DataFrame, labels: DataFrame, keep: float = KEEP, sc
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(F.broadcast(good.withColumn("target", F.lit(True))), "id", "left")
     shared = df.sparkSession.sparkContext.broadcast(log_ratios(marked, F.col("target")))
-    scored = rows.mapInArrow(_scores(shared), f"id {dict(rows.dtypes)['id']}, ratio double, n_grams long")
+    scored = rows.mapInArrow(kernels.tidy(_scores(shared)), f"id {dict(rows.dtypes)['id']}, ratio double, n_grams long")
     unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
     scored = staged(scored.withColumn("key", F.lit(scale) * F.col("ratio") - F.log(-F.log(unit))), "scores")
     n = scored.count()

@@ -91,7 +91,7 @@ def _summed(batches):
 
 def _classes(profile: DataFrame) -> np.ndarray:
     """The frequency class of each cell: 0 up to what chance puts there (three deviations above the mean, and four), one more for each doubling of the rest."""
-    sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary")
+    sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(kernels.tidy(_summed), "block int, counts binary")
     counts = np.zeros(CELLS, np.int64)
     for row in sums.toLocalIterator():
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
@@ -283,7 +283,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
 
     bits = np.zeros(size, bool)
-    for row in ids.select("id").mapInArrow(run, "bits binary").toLocalIterator():
+    for row in ids.select("id").mapInArrow(kernels.tidy(run), "bits binary").toLocalIterator():
         bits |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
     return bits
 
@@ -298,26 +298,26 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     num, den = threshold
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _profile(k)
-    profile = staged(docs.mapInArrow(run, schema), "profile")
+    profile = staged(docs.mapInArrow(kernels.tidy(run), schema), "profile")
     nodes = profile.where("block is null and n > 0").select("id", "n", "d1", "d2")
     classes = staged(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     table = spark.sparkContext.broadcast(_classes(profile))
 
-    anchors = docs.mapInArrow(_anchors(k, num, den, table), "id long, n long, keys array<long>").where("n > 0")
+    anchors = docs.mapInArrow(kernels.tidy(_anchors(k, num, den, table)), "id long, n long, keys array<long>").where("n > 0")
     anchors = anchors.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     rows = anchors.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     rows = rows.sortWithinPartitions("key", F.xxhash64("id")).select("key", "id", "n")
-    found = staged(rows.mapInArrow(_regions(num, den, region), _REGION_SCHEMA), "regions")
+    found = staged(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")
 
     wanted = found.select(F.col("x").alias("id")).unionByName(found.select(F.col("y").alias("id"))).distinct()
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
-    sets = staged(docs.mapInArrow(_sets(k, bits), "id long, hashes binary"), "sets")
+    sets = staged(docs.mapInArrow(kernels.tidy(_sets(k, bits)), "id long, hashes binary"), "sets")
     sets = sets.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sets.toDF("x", "a"), sets.toDF("y", "b")
         both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b")
-        return both.mapInArrow(_verified(num, den), "x long, y long, linked boolean, d double")
+        return both.mapInArrow(kernels.tidy(_verified(num, den)), "x long, y long, linked boolean, d double")
 
     window = lambda n: n - F.ceil(n * num / den) + 1
     needed = F.ceil((F.col("nx") + F.col("ny")) * F.lit(num) / F.lit(num + den) - 1e-9)

@@ -8,13 +8,14 @@ bytes, which is the same as on code points, since all separators are ASCII.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice holds; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -28,6 +29,36 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from task to task, made once."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def tidy(run, keep: bool = False):
+    """A task that begins without what other operators hold in this worker (unless ``keep``) and returns its free memory at the end."""
+    def task(batches):
+        if not keep:
+            _held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the multiplier and of its inverse, modulo 2^64."""
     if len(_powers["up"]) < n:

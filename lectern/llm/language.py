@@ -27,6 +27,8 @@ LANDMARKS, TRAINING = 32, 120
 #: Labels beyond this number (the rarest) are not learned; it bounds what training gathers.
 MAX_LABELS = 64
 RIDGE = 1e-3
+#: Bytes of a slice, and rows of a presence matrix.
+SLICE, ROWS = 1 << 18, 96
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,7 +98,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
     sample = rows.join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi").select("id", "lang", "text")
-    got = sorted(sample.mapInArrow(_sets, f"id {dict(sample.dtypes)['id']}, lang string, codes binary").collect(), key=lambda r: (r.lang, zlib.crc32(str(r.id).encode()), str(r.id)))
+    got = sorted(sample.mapInArrow(kernels.tidy(_sets), f"id {dict(sample.dtypes)['id']}, lang string, codes binary").collect(), key=lambda r: (r.lang, zlib.crc32(str(r.id).encode()), str(r.id)))
     got = list({(r.id, r.lang): r for r in got}.values())
     place: dict[str, int] = {}
     marks = []
@@ -153,12 +155,12 @@ def _scorer(shared, text_at: int = 1):
         size = len(model.weights)
         for batch in batches:
             best, score = [], []
-            for _, _, data, offsets in kernels.slices(batch.column(text_at)):
+            for _, _, data, offsets in kernels.slices(batch.column(text_at), SLICE):
                 docs = len(offsets) - 1
                 f = np.empty((docs, len(model.labels)))
                 grams = list(_grams(data, offsets))
-                for i in range(0, docs, 256):  # bounds the presence matrix
-                    m = min(256, docs - i)
+                for i in range(0, docs, ROWS):  # bounds the presence matrix
+                    m = min(ROWS, docs - i)
                     x = np.zeros((m, size + 1), np.float32)
                     for n, code, doc in grams:
                         a, b = np.searchsorted(doc, [i, i + m])
@@ -193,7 +195,7 @@ def _predicted(rows: DataFrame, model: LanguageModel) -> DataFrame:
         return rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.mapInArrow(_scorer(shared, rows.columns.index("text")), kinds + ", lang_pred string, score double")
+    out = rows.mapInArrow(kernels.tidy(_scorer(shared, rows.columns.index("text"))), kinds + ", lang_pred string, score double")
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return out.withColumn("score", F.when(letter, F.col("score")).otherwise(0.0)).withColumn("lang_pred", F.when(letter, F.col("lang_pred")).otherwise("und"))
 

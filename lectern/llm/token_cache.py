@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import kernels
 from .common import shared_dir
 from .tokens import encoder
 
@@ -87,11 +88,11 @@ def count_tokens(df: DataFrame, path: str, cache: str | None = None, id_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer)
-    misses = rows.select("digest", "text").mapInArrow(_once, "digest binary, text string")
+    misses = rows.select("digest", "text").mapInArrow(kernels.tidy(_once, keep=True), "digest binary, text string")
     if not stored.isEmpty():
         misses = misses.join(stored.select(F.col("text_digest").alias("digest")).distinct(), "digest", "left_anti")
     misses = misses.repartition("digest").sortWithinPartitions("digest")
-    misses.mapInArrow(_counted(path, tokenizer), SCHEMA).write.mode("append").parquet(cache)
+    misses.mapInArrow(kernels.tidy(_counted(path, tokenizer), keep=True), SCHEMA).write.mode("append").parquet(cache)
     known = read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer).groupBy(F.col("text_digest").alias("digest")).agg(F.max("n_tokens").alias("n_tokens"))
     out = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(known, "digest")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -164,10 +163,9 @@ class Encoder:
                 yield np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
-    return Encoder(path)
+    return kernels.held(("encoder", path), lambda: Encoder(path))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
