@@ -426,7 +426,8 @@ def _subframes(bits: _Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray)
             p[on] += d[on]
         for o in range(1, 5):
             on = ~linear & (order == o)
-            coefficient[:o, on] = np.array(FIXED[o])[:, None]
+            if on.any():
+                coefficient[:o, on] = np.array(FIXED[o])[:, None]
         on = np.flatnonzero(linear)
         if len(on):
             precision = bits.take(p[on], 4) + 1
