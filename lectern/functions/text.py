@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -157,3 +158,17 @@ def _longest_common(a: str, b: str) -> int:
 @F.pandas_udf(T.IntegerType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else len(x) if x in y else _longest_common(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@F.pandas_udf(T.DoubleType())
+def token_recall(answer: pd.Series, page: pd.Series) -> pd.Series:
+    """The share of an answer's tokens, each time it has one, that are on the page; 0 without tokens. NFKC is exact, which no lambda can call."""
+    split = lambda t: re.findall(TOKEN, unicodedata.normalize("NFKC", t).lower())
+
+    def share(a, p):
+        if a is None or p is None:
+            return None
+        want, have = split(a), set(split(p))
+        return sum(t in have for t in want) / len(want) if want else 0.0
+
+    return pd.Series([share(a, p) for a, p in zip(answer, page)], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import once
-from ..functions.text import longest_common_substring, normalize_for_match, numeric_form, strip, tokens
+from ..functions.text import longest_common_substring, normalize_for_match, numeric_form, strip, token_recall, tokens
 
 #: Fixed thresholds of the token and substring rungs.
 TOKEN_RECALL, SUBSTRING = 0.90, 0.80
@@ -58,11 +58,14 @@ def l2(answer: Column, page: Column, exact_unicode: bool = True) -> Column:
 
 
 def l3(answer: Column, page: Column, exact_unicode: bool = True, least: float = TOKEN_RECALL) -> Column:
+    if exact_unicode:
+        return token_recall(answer, page) >= least
+
     def recalled(a: Column, p: Column) -> Column:
         hits = F.size(F.filter(a, lambda t: F.array_contains(p, t)))
         return F.when(F.size(a) == 0, False).otherwise(hits / F.greatest(F.size(a), F.lit(1)) >= least)
 
-    return once(tokens(answer, exact_unicode), lambda a: once(F.array_distinct(tokens(page, exact_unicode)), lambda p: recalled(a, p)))
+    return once(tokens(answer, False), lambda a: once(F.array_distinct(tokens(page, False)), lambda p: recalled(a, p)))
 
 
 def l4(answer: Column, page: Column, least: float = SUBSTRING) -> Column:

@@ -33,6 +33,7 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str =
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
+    kind = {"int": pa.int32(), "bigint": pa.int64()}.get(dict(queries.dtypes)[query_id], pa.string())
     total = queries.count()
     out = None
     order = Window.orderBy(query_id)
@@ -63,7 +64,7 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str =
                 m = min(k, len(keys))
                 cut = np.partition(s, len(keys) - m, axis=0)[len(keys) - m]
                 d, j = np.nonzero((s >= cut) & np.isfinite(s))
-                yield pa.record_batch([pa.array([ids[x] for x in j]), keys.take(pa.array(d)), pa.array(s[d, j])], names=[query_id, doc_id, "score"])
+                yield pa.record_batch([pa.array([ids[x] for x in j], kind), keys.take(pa.array(d)), pa.array(s[d, j])], names=[query_id, doc_id, "score"])
 
         part = docs.select(doc_id, vector).mapInArrow(score, f"{query_id} {dict(queries.dtypes)[query_id]}, {doc_id} {kinds[doc_id]}, score double")
         out = part if out is None else out.unionByName(part)

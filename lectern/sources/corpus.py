@@ -61,10 +61,15 @@ def assistant_message(messages):
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
     """(stem, path, markdown) of every file, in the order of names. An empty file is an empty text."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
-    rows = (reader.option("recursiveFileLookup", True) if recursive else reader).text(folder)
-    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
-    return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("_metadata.file_path").alias("path"), F.coalesce("value", F.lit("")).alias("markdown")).orderBy("stem")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    files = reader.load(folder)
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    # File sources leave out empty files, so the listing that the driver has anyway says which there are.
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(bare(F.url_decode("path")).alias("path"))
+    read = files.select(bare("path").alias("path"), F.decode("content", F.lit("UTF-8")).alias("markdown"))
+    name = F.substring_index(F.col("path"), "/", -1)
+    rows = listed.join(read, "path", "left").select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "path", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    return rows.orderBy("stem")
 
 
 def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: str, strict: bool = False) -> DataFrame:
@@ -79,7 +84,8 @@ def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: st
 
 def document_index(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """(name, path) of all files below a folder; two files of one name raise."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).inputFiles()
+    files = spark.createDataFrame([(f,) for f in files], "path string").select(F.url_decode("path").alias("path"))
     return require_unique(files.select(F.regexp_replace(F.substring_index("path", "/", -1), rf"{suffix.replace('.', '[.]')}$", "").alias("name"), "path"), "name")
 
 
