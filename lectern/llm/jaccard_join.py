@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import staged
+from .common import bounded_batches, release, staged
 from .components import connected_components
 
 #: Cells of the table of shingle counts: 2^22 classes of one byte go to each executor, whatever the input.
@@ -46,7 +46,7 @@ COUNTED = np.uint64(int(0.35 * 2**64))
 #: Members up to which a region is paired directly.
 REGION = 32
 #: Shells of distance to the pivot in the width of a window, and members of a block, about.
-SHELLS, BLOCK_ROWS = 4, 256
+SHELLS, BLOCK_ROWS = 4, 128
 #: Columns of shingles that one step of a block's matrix product takes.
 COLUMNS = 8192
 
@@ -264,6 +264,7 @@ def _block_links(num: int, den: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((a[i][0], b[j][0]))
+        kernels.trim()
         return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -296,6 +297,7 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     num, den = threshold
+    bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _profile(k)
     profile = staged(docs.mapInArrow(kernels.tidy(run), schema), "profile")
@@ -308,6 +310,7 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = anchors.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     rows = rows.sortWithinPartitions("key", F.xxhash64("id")).select("key", "id", "n")
     found = staged(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")
+    release(spark)
 
     wanted = found.select(F.col("x").alias("id")).unionByName(found.select(F.col("y").alias("id"))).distinct()
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
@@ -335,6 +338,7 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unseen = F.least(F.coalesce("large_x", F.lit(0)), F.coalesce("large_y", F.lit(0)))
     pairs = staged(pairs.where(F.col("shared") + unseen + rest >= needed).select("x", "y").distinct(), "pairs")
     links = staged(verified(pairs).where("linked").select("x", "y"), "links")
+    release(spark)
     rows_of = profile.where("block is null")
     if regions.isEmpty():
         return rows_of, classes, links
@@ -343,6 +347,7 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = regions.where((F.col("id") != F.col("pivot")) & (F.least("n", "np") * den >= F.greatest("n", "np") * num))
     star = star.select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
     compared = staged(verified(star), "compared")
+    release(spark)
     links = staged(links.unionByName(compared.where("linked").select("x", "y")), "links")
     known = compared.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "d").unionByName(compared.select(F.col("y").alias("id"), F.col("x").alias("pivot"), "d")).distinct()
 

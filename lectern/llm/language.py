@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
+from .common import bounded_batches
 
 MAX_N = 4
 #: Labelled documents of each language, by least hashed id: landmarks, and rows of the regression.
@@ -193,6 +194,7 @@ def _predicted(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """``rows`` (with a column ``text``) with lang_pred and score."""
     if not model.labels:
         return rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     out = rows.mapInArrow(kernels.tidy(_scorer(shared, rows.columns.index("text"))), kinds + ", lang_pred string, score double")

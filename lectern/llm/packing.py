@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import staged
+from .common import bounded_batches, staged
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -120,6 +120,7 @@ def _packed(capacity: int, last: bool):
 
 def tokenised_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every row; a null text counts as empty and has its end id alone."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(kernels.tidy(_pieces(path, end_id, capacity), keep=True), f"id {dict(rows.dtypes)['id']}, piece int, start long, length long, ids_crc32 long")
 
