@@ -4,9 +4,11 @@ Two generative models of hashed word n-grams (1 and 2 words, lower-cased A-Z) ar
 text (labelled good and not toxic), one of all raw text. The log importance weight of a document is the
 mean of ``log p_target - log p_raw`` over its n-grams, times ``scale``; with a mean instead of a sum a
 document is not chosen for being short or long. Documents are drawn without replacement by their weights:
-the ``k`` largest of ``log weight + Gumbel noise``, the noise being a seeded hash of the id.
+the ``k`` largest of ``log weight + Gumbel noise``, the noise being a seeded hash of the id. Unless it is
+given, ``k`` is the sum of ``min(1, weight)``: as many as the target model expects among the raw documents,
+so that text like the target stays whole, however much or little of the rest there is.
 
-All documents are counted and scored. The model has ``BUCKETS`` cells, whatever the input.
+All documents are counted and scored. The model has ``BUCKETS`` cells for each n, whatever the input.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import staged
+from .common import bounded_batches, staged
 
 BUCKETS = 1 << 16
 #: Pseudo-count of every cell, in expected occurrences.
 SMOOTH = 0.5
-SCALE = 24.0
-KEEP = 0.85
+SCALE = 100.0
+#: The ratio of a text without words.
+NOTHING = -10.0
 #: Labelled good documents that the target model counts, at most, by least hashed id. The raw model counts all.
 TARGET = 20_000
 
@@ -34,7 +37,7 @@ def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     one = (h % np.uint64(BUCKETS)).astype(np.int64)
     two = np.full(len(h), -1, np.int64)
     if len(h) > 1:
-        two[:-1] = (kernels.runs(h, 2) % np.uint64(BUCKETS)).astype(np.int64)
+        two[:-1] = (kernels.runs(h, 2) % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS
         lasts = at[1:][at[1:] > at[:-1]] - 1
         two[lasts] = -1
     return one, two, at
@@ -42,15 +45,15 @@ def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _counts(batches):
     """(cell, raw, target) of a task; column 2 marks target rows."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     for batch in batches:
         marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for i, j, data, offsets in kernels.slices(batch.column(0)):
             one, two, at = _cells(data, offsets)
             mark = np.repeat(marks[i:j], np.diff(at))
             for cells in (one, two):
-                raw += np.bincount(cells[cells >= 0], minlength=BUCKETS)
-                target += np.bincount(cells[(cells >= 0) & mark], minlength=BUCKETS)
+                raw += np.bincount(cells[cells >= 0], minlength=2 * BUCKETS)
+                target += np.bincount(cells[(cells >= 0) & mark], minlength=2 * BUCKETS)
     used = np.flatnonzero(raw)
     yield pa.record_batch([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["cell", "raw", "target"])
 
@@ -67,7 +70,7 @@ def _scores(shared):
                 sums.append(total[at[1:]] - total[at[:-1]])
                 sizes.append(np.maximum(2 * np.diff(at) - 1, 0))
             s, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, sizes))
-            yield pa.record_batch([batch.column(0), pa.array(s / np.maximum(n, 1)), pa.array(n, pa.int64())], names=["id", "ratio", "n_grams"])
+            yield pa.record_batch([batch.column(0), pa.array(np.where(n > 0, s / np.maximum(n, 1), NOTHING)), pa.array(n, pa.int64())], names=["id", "ratio", "n_grams"])
 
     return run
 
@@ -76,11 +79,12 @@ def log_ratios(df: DataFrame, target, text_col: str = "text") -> np.ndarray:
     """``log p_target - log p_raw`` of every cell; ``target`` is a boolean column of ``df``."""
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     cells = rows.mapInArrow(kernels.tidy(_counts), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, good = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
-    for r in cells.collect():  # BUCKETS rows at most
-        raw[r.cell] += r.raw
-        good[r.cell] += r.target
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    raw, good = np.full((2, BUCKETS), SMOOTH), np.full((2, BUCKETS), SMOOTH)
+    for r in cells.collect():  # twice BUCKETS rows at most
+        raw.flat[r.cell] += r.raw
+        good.flat[r.cell] += r.target
+    each = np.log(good / good.sum(1, keepdims=True)) - np.log(raw / raw.sum(1, keepdims=True))
+    return each.ravel()
 
 
 def top_k(df: DataFrame, key: str, k: int, tie: str) -> DataFrame:
@@ -110,22 +114,23 @@ def top_k(df: DataFrame, key: str, k: int, tie: str) -> DataFrame:
     return df.withColumn("selected", (F.col(key) > last["key"]) | ((F.col(key) == last["key"]) & (F.col(tie) <= last["tie"])))
 
 
-def importance_resample(df: DataFrame, labels: DataFrame, keep: float = KEEP, scale: float = SCALE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> DataFrame:
-    """(id_col, n_grams, log_ratio, key, kept): ``keep`` of all rows are drawn.
+def importance_resample(df: DataFrame, labels: DataFrame, keep: float | None = None, scale: float = SCALE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> DataFrame:
+    """(id_col, n_grams, log_ratio, key, kept): a share ``keep`` of all rows is drawn, or as many as expected.
 
-    ``labels`` has the id, quality and toxic of some documents (0 or 1; null: unknown, not target). Null
-    and empty texts have no n-gram and ratio 0. Equal texts have equal ratios, each id its own noise.
+    ``labels`` has the id, quality and toxic of some documents (0 or 1; null: unknown, not target). Null,
+    empty and blank texts have no n-gram and the ratio ``NOTHING``. Equal texts have equal ratios, each id its own noise.
     Repeated rows of one id are tied and drawn as rows of their own, up to the cut's tie, which takes
     them all. An empty table gives an empty result. Other columns are ignored.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col(id_col).alias("id")).distinct()
     good = good.orderBy(F.xxhash64("id"), "id").limit(target)
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(F.broadcast(good.withColumn("target", F.lit(True))), "id", "left")
     shared = df.sparkSession.sparkContext.broadcast(log_ratios(marked, F.col("target")))
     scored = rows.mapInArrow(kernels.tidy(_scores(shared)), f"id {dict(rows.dtypes)['id']}, ratio double, n_grams long")
     unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
     scored = staged(scored.withColumn("key", F.lit(scale) * F.col("ratio") - F.log(-F.log(unit))), "scores")
-    n = scored.count()
-    out = top_k(scored, "key", round(n * keep), "id")
+    n = scored.agg(F.count("*").alias("n"), F.sum(F.least(F.lit(1.0), F.exp(F.lit(scale) * F.col("ratio")))).alias("expected")).first()
+    out = top_k(scored, "key", round(n["n"] * keep) if keep is not None else round(n["expected"] or 0), "id")
     return out.select(F.col("id").alias(id_col), "n_grams", F.col("ratio").alias("log_ratio"), "key", F.col("selected").alias("kept"))
