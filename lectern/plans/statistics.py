@@ -122,16 +122,16 @@ def _balances(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("v"), (F.col("c_acctbal").cast("double") - F.lit(100.0) * (F.col("c_custkey") % 90)).alias("d"))
 
 
-@query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE)") + "SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(v), 4) FROM v) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m")
+@query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE)") + "SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(v), 6) FROM v) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def bootstrap_ci(spark, sf_dir):
     out = resample.hashed_bootstrap(_balances(spark, sf_dir), "v", "c_custkey", 200)
-    return out.select("n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
-@query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)") + "SELECT (SELECT round(avg(v), 4) FROM v) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM m")
+@query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)") + "SELECT (SELECT round(avg(v), 6) FROM v) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM m")
 def bootstrap_paired(spark, sf_dir):
     out = resample.hashed_bootstrap(_balances(spark, sf_dir), "d", "c_custkey", 200)
-    return out.select(*(F.round(c, 4).alias(c) for c in ("mean", "low", "high")), F.round("p_positive", 6).alias("p_positive"))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), F.round("p_positive", 6).alias("p_positive"))
 
 
 @query()
