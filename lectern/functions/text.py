@@ -65,8 +65,12 @@ def question_language(text: Column) -> Column:
     return F.when(text.rlike("[가-힣]"), "ko").otherwise("en")
 
 
-def infer_domain(path: Column) -> Column:
-    return F.when(F.contains(path, F.lit("documents")), "kogov").when(F.contains(path, F.lit("papers")), "arxiv").otherwise("unknown")
+def infer_domain(path: Column, labels: tuple[tuple[str, str], ...] = (("documents", "documents"), ("papers", "papers"))) -> Column:
+    """The label of the first folder name that the path contains, else unknown; ``labels`` are (name, label)."""
+    out = F.lit("unknown")
+    for name, label in reversed(labels):
+        out = F.when(F.contains(path, F.lit(name)), label).otherwise(out)
+    return out
 
 
 def derive_doc_id(path: Column) -> Column:

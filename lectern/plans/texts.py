@@ -259,7 +259,7 @@ def detect_language(spark, sf_dir):
 
 @query(
     """SELECT page_id, regexp_extract(path, '(?:documents|papers)/([^/]*)', 1) AS doc, regexp_extract(path, '([^/]+)/[^/]+$', 1) || '_' || regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS doc_page,
-CASE WHEN contains(path, 'documents') THEN 'kogov' WHEN contains(path, 'papers') THEN 'arxiv' ELSE 'unknown' END AS domain, 'a' || '__p' || page_id AS page_key, 'val_' || lpad(CAST(page_id AS VARCHAR), 4, '0') AS row_key, '/data/' || regexp_extract(path, '(?:documents|papers)/(.*)$', 1) AS rebased
+CASE WHEN contains(path, 'documents') THEN 'documents' WHEN contains(path, 'papers') THEN 'papers' ELSE 'unknown' END AS domain, 'a' || '__p' || page_id AS page_key, 'val_' || lpad(CAST(page_id AS VARCHAR), 4, '0') AS row_key, '/data/' || regexp_extract(path, '(?:documents|papers)/(.*)$', 1) AS rebased
 FROM (SELECT page_id, '/x/' || CASE WHEN page_id % 2 = 0 THEN 'documents' ELSE 'papers' END || '/doc_' || (page_id % 7) || '/page_' || page_id || '.png' AS path FROM pages)"""
 )
 def path_ids(spark, sf_dir):
