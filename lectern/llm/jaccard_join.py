@@ -105,11 +105,20 @@ def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * n) // den)
 
 
-def _anchors(k: int, num: int, den: int, classes):
-    """(id, n, keys): the anchor shingles of the regions into which a document is replicated."""
+def _place(ids: np.ndarray, size: int) -> np.ndarray:
+    return (kernels.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def _anchors(k: int, num: int, den: int, classes, reps):
+    """(id, n, keys): the anchor shingles of the regions into which a document is replicated.
+
+    Documents that cannot be the first of equal sets are left out by a bitmap; one that slips through only adds rows,
+    as its set is not among those that verify.
+    """
     def run(batches):
-        cls = classes.value
+        cls, bits = classes.value, reps.value
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(bits[_place(batch.column(0).to_numpy(zero_copy_only=False), len(bits))])))
             sizes, keys = [], []
             for _, _, data, offsets in kernels.slices(batch.column(1)):
                 for s in kernels.shingle_sets(data, offsets, k):
@@ -201,7 +210,7 @@ def _sets(k: int, wanted):
         bits = wanted.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = np.flatnonzero(bits[(kernels.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(len(bits))).astype(np.int64)])
+            take = np.flatnonzero(bits[_place(ids, len(bits))])
             part = batch.take(pa.array(take))
             got = [s.tobytes() for _, _, data, offsets in kernels.slices(part.column(1)) for s in kernels.shingle_sets(data, offsets, k)]
             yield pa.record_batch([part.column(0), pa.array(got, pa.binary())], names=["id", "hashes"])
@@ -279,8 +288,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     def run(batches):
         seen = np.zeros(size, bool)
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            seen[(kernels.mix(x) % np.uint64(size)).astype(np.int64)] = True
+            seen[_place(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
         yield pa.record_batch([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
 
     bits = np.zeros(size, bool)
@@ -305,8 +313,8 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = staged(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     table = spark.sparkContext.broadcast(_classes(profile))
 
-    anchors = docs.mapInArrow(kernels.tidy(_anchors(k, num, den, table)), "id long, n long, keys array<long>").where("n > 0")
-    anchors = anchors.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = spark.sparkContext.broadcast(_bitmap(classes.select(F.col("rep").alias("id"))))
+    anchors = docs.mapInArrow(kernels.tidy(_anchors(k, num, den, table, reps)), "id long, n long, keys array<long>").where("n > 0")
     rows = anchors.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     rows = rows.sortWithinPartitions("key", F.xxhash64("id")).select("key", "id", "n")
     found = staged(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")

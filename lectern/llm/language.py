@@ -34,8 +34,8 @@ SLICE, ROWS = 1 << 18, 96
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
-#: 4-grams are found by 20 bits of a hash, shorter ones exactly.
-_BITS4 = 22
+#: 3- and 4-grams are found by 20 bits of a hash, shorter ones exactly.
+_BITS = 20
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -54,13 +54,13 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
         code = text[:m].copy()
         for i in range(1, n):
             code = (code << np.uint32(8)) | text[i : m + i]
-        if n == 4:
-            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS4)
+        if n > 2:
+            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
         inside = doc[:m] == doc[n - 1 :]
         yield n, code[inside], doc[:m][inside]
 
 
-_SPACE = {1: 1 << 8, 2: 1 << 16, 3: 1 << 24, 4: 1 << _BITS4}
+_SPACE = {1: 1 << 8, 2: 1 << 16, 3: 1 << _BITS, 4: 1 << _BITS}
 
 
 def _sets(batches):
