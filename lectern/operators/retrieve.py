@@ -8,6 +8,7 @@ each task keeps its own top k.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,51 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str =
     return out
 
 
+def nearest_of_others(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(page, item, sim) of queries(page, vector) and docs(item, owner, vector), ids as longs: for each page the ``n`` items of
+    other owners most similar to any of its queries, of each task and block of queries, at least. Rows with a null are left out.
+
+    A cut loses nothing: an item among a page's best is among the best of its task in the block of its nearest query. Ties at
+    a cut go to the least item. The driver holds one block of queries at a time.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("item", "owner", "vector").dropna()
+    made = "page long, item long, sim double"
+    out = None
+    for block in batched(queries.select("page", "vector").dropna().orderBy("page").toLocalIterator(), QUERY_BLOCK):
+        pages, at = np.unique(np.array([r[0] for r in block], np.int64), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        vectors = np.array([r[1] for r in block], np.float64)[order]
+        shared = spark.sparkContext.broadcast((pages, np.searchsorted(at[order], np.arange(len(pages))), vectors))
+
+        def score(batches, shared=shared):
+            pages, first, q = shared.value
+            held: tuple | None = None
+            for batch in batches:
+                keys, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                for i in range(0, len(keys), 1024):  # bounds the product
+                    m = min(1024, len(keys) - i)
+                    width = len(flat) // len(keys)
+                    v = flat[i * width : (i + m) * width].astype(np.float64).reshape(m, -1)
+                    s = np.round(np.maximum.reduceat(v @ q.T, first, axis=1), 6)
+                    s[owner[i : i + m, None] == pages] = -np.inf
+                    cut = np.partition(s, m - min(n, m), axis=0)[m - min(n, m)]
+                    d, j = np.nonzero((s >= cut) & np.isfinite(s))
+                    new = (j, keys[i : i + m][d], s[d, j])
+                    j, k, x = new if held is None else map(np.concatenate, zip(held, new))
+                    by = np.lexsort((k, -x, j))
+                    j, k, x = j[by], k[by], x[by]
+                    best = np.arange(len(j)) - np.searchsorted(j, j) < n
+                    held = j[best], k[best], x[best]
+            if held is not None:
+                yield pa.record_batch([pa.array(pages[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["page", "item", "sim"])
+
+        part = rows.mapInArrow(score, made)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], made) if out is None else out
+
+
 def asked_terms(queries: DataFrame, terms: str = "terms", query_id: str = "qa_id") -> DataFrame:
     """(qa_id, term): the distinct terms of an array column."""
     return queries.select(F.col(query_id).alias("qa_id"), F.explode(F.array_distinct(terms)).alias("term"))

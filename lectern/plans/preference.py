@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx, vectors as vx
-from ..operators import coverage, prefer, sample
+from ..operators import coverage, prefer, retrieve, sample
 from ..operators.chunk import native_chunks
 from ..streaming import incremental
 from .registry import query
@@ -87,9 +87,9 @@ def cache_manifest(spark, sf_dir):
 @query("WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS page, b.vec_id, round(max(list_dot_product(a.e, b.e)), 6) AS sim FROM e a JOIN e b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY ALL) SELECT CAST(page AS BIGINT) AS page, vec_id, sim, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sim DESC, vec_id) AS rk FROM s) WHERE rk <= 5")
 def hard_negatives(spark, sf_dir):
     """Labels as pages: the vectors of other labels nearest to any of the label's queries (every 50th vector)."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asks = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("label").alias("page"), F.col("embedding").alias("q")).limit(1 << 16))
-    sims = asks.join(e, F.col("page") != F.col("label")).select(F.col("page").cast("long").alias("page"), "vec_id", vx.dot(F.col("q"), F.col("embedding")).alias("sim"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("item"), F.col("label").cast("long").alias("owner"), F.col("embedding").alias("vector"))
+    asks = e.where("item % 50 = 0").withColumnRenamed("owner", "page")
+    sims = retrieve.nearest_of_others(asks, e, 5).withColumnRenamed("item", "vec_id")
     return prefer.hard_negatives(sims, 5, "page", "vec_id")
 
 

@@ -146,6 +146,30 @@ def test_dense_scores_in_blocks(spark, monkeypatch):
         assert [got[i, k + 1] for k in range(5)] == order
 
 
+def test_nearest_of_others_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(60, 4)).round(1), np.ones((20, 4))])
+    own = [i % 5 for i in range(80)]
+    df = spark.createDataFrame([(i, own[i], [float(x) for x in r]) for i, r in enumerate(v)], "item long, owner long, vector array<float>").repartition(3)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 7)
+    got = prefer.hard_negatives(retrieve.nearest_of_others(df.where("item % 2 = 0").withColumnRenamed("owner", "page"), df, 6), 6, "page", "item").collect()
+    sims = np.round(v.astype(np.float32).astype(float) @ v.astype(np.float32).astype(float).T, 6)
+    for page in range(5):
+        best = {i: max(sims[q, i] for q in range(0, 80, 2) if own[q] == page) for i in range(80) if own[i] != page}
+        want = sorted(best, key=lambda i: (-best[i], i))[:6]
+        assert [r.item for r in sorted((r for r in got if r.page == page), key=lambda r: r.rk)] == want
+
+
+def test_hard_negatives_ask_all_queries(spark, tmp_path):
+    from lectern.plans import preference
+
+    n = 50 * ((1 << 16) + 2)  # more queries than 65,536; the last alone is near vector 1
+    rows = spark.range(0, n, 50, 1).select(F.col("id").alias("vec_id"), F.when(F.col("id") == n - 50, 1).otherwise(0).alias("label"), F.array(*[F.when(F.col("id") == n - 50, float(i)).otherwise(float(1 - i)).cast("float") for i in range(2)]).alias("embedding"))
+    rows.union(spark.sql("SELECT 1L, 0, array(float(0), float(1))")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.page, r.rk): (r.vec_id, r.sim) for r in preference.hard_negatives(spark, str(tmp_path)).collect()}
+    assert got[1, 1] == (1, 1.0) and got[0, 1] == (n - 50, 0.0)
+
+
 def test_best_and_worst_ties(spark):
     df = spark.createDataFrame([("p", 0, 0.5), ("p", 1, 0.9), ("p", 2, 0.9), ("p", 3, 0.5), ("q", 0, 1.0), ("r", 0, 0.1), ("r", 1, 0.15)], "page_id string, candidate_idx int, score double")
     got = prefer.best_and_worst(df, 0.2).collect()
