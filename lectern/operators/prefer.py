@@ -43,19 +43,38 @@ def hard_negatives(similar: DataFrame, n: int, page: str = "page_id", item: str
 
 
 def distractors(pages: DataFrame, chunks: DataFrame, n: int, seed: int = 42, key: Column | None = None, candidates: int = 4) -> DataFrame:
-    """``n`` chunks of other pages for each page, by a seeded order that any run repeats.
+    """``n`` chunks of other pages for each page, or all of them where there are fewer, by a seeded order that any run repeats.
 
     Chunks stand on a ring by hash; a page takes the next ones from its own place. No page meets all chunks: ring cells of
-    about ``n`` chunks are joined by number, ``candidates`` cells for each page.
+    about ``n`` chunks are gathered in arcs of ``candidates`` cells, and a page takes from the arc that begins at its cell.
+    A page that owns too much of its arc is joined with as many cells as have ``n`` chunks besides its own.
     """
     total = chunks.count()
     cells = max(1, total // max(n, 1))
+    width = min(candidates, cells)
     place = lambda c: F.md5(F.concat(c.cast("string"), F.lit(f"-{seed}")).cast("binary"))
     cell = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % cells
+    steps = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("step")
     ring = chunks.select("chunk_id", F.col("page_id").alias("owner"), place(F.col("chunk_id")).alias("h")).withColumn("cell", cell(F.col("h")))
-    asks = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(min(candidates, cells) - 1))).alias("step"), place(F.col("page_id")).alias("p")).withColumn("cell", (cell(F.col("p")) + F.col("step")) % cells)
+    starts = ring.select("cell", "h", "chunk_id", "owner", steps(F.lit(width).cast("long"))).withColumn("cell", (F.col("cell") - F.col("step") + cells) % cells)
+    arcs = starts.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("step", "h", "chunk_id", "owner"))).alias("arc"))
+    asks = pages.select("page_id", cell(place(F.col("page_id"))).alias("cell")).join(arcs, "cell", "left")
+    pool = asks.select("page_id", "cell", F.slice(F.filter(F.coalesce("arc", F.array()), lambda c: c["owner"] != F.col("page_id")), 1, n).alias("pool"))
+    whole = F.lit(width == cells) | (F.size("pool") >= n)
+    out = pool.where(whole).select("page_id", F.posexplode("pool").alias("at", "c")).select("page_id", "c.chunk_id", (F.col("at") + 1).alias("rk"))
+    if width == cells:
+        return out
+    few = pool.where(~whole).select("page_id", F.col("cell").alias("first"))
+    owned = chunks.groupBy("page_id").agg(F.count("*").alias("owned"))
+    need = few.join(owned, "page_id", "left").withColumn("need", F.coalesce("owned", F.lit(0)) + n)
+    need = need.withColumn("span", F.least(F.lit(cells), 2 * F.ceil(F.col("need") / n) + 6 + 64 // n))
+    sizes = ring.groupBy("cell").agg(F.count("*").alias("size"))
+    near = need.select("page_id", "first", "need", "span", steps(F.col("span"))).withColumn("cell", (F.col("first") + F.col("step")) % cells)
+    reach = near.join(sizes, "cell", "left").groupBy("page_id", "first", "need", "span").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("reach"))
+    far = reach.select("page_id", "first", steps(F.when(F.col("reach") >= F.col("need"), F.col("span")).otherwise(F.lit(cells)))).withColumn("cell", (F.col("first") + F.col("step")) % cells)
     w = Window.partitionBy("page_id").orderBy("step", "h", "chunk_id")
-    return asks.join(ring, "cell").where(F.col("owner") != F.col("page_id")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n).select("page_id", "chunk_id", "rk")
+    more = far.join(ring, "cell").where(F.col("owner") != F.col("page_id")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
+    return out.unionByName(more.select("page_id", "chunk_id", "rk"))
 
 
 def positives(qa: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -95,8 +95,11 @@ def hard_negatives(spark, sf_dir):
 
 @query()
 def distractor_pool(spark, sf_dir):
-    chunks = native_chunks(rendering(spark, sf_dir, "para"))
-    return prefer.distractors(documents(spark, sf_dir).select(F.col("doc_id").alias("page_id")), chunks, 20)
+    """The ids of chunks are written first, as they are read again."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/chunks-{uuid.uuid4().hex}"
+    native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "chunk_id").write.parquet(base)
+    chunks = spark.read.parquet(base)
+    return prefer.distractors(documents(spark, sf_dir).select(F.col("doc_id").alias("page_id")), chunks, 100)
 
 
 @query()

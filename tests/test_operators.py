@@ -187,6 +187,23 @@ def test_distractors_and_negatives(spark):
     assert len(got) == 20 and all(owner[r.chunk_id] == "p0" and r.chunk_id != "c00" for r in got)
 
 
+def test_distractors_are_whole(spark):
+    import hashlib
+
+    # p0 owns nearly all of 600 chunks, p9 none: both get as many as there are, at most n
+    own = {f"c{i:03d}": "p0" if i % 20 else f"p{1 + i // 20 % 8}" for i in range(600)}
+    chunks = spark.createDataFrame([(p, c) for c, p in own.items()], "page_id string, chunk_id string")
+    pg = spark.createDataFrame([(f"p{i}",) for i in range(10)], "page_id string")
+    md5 = lambda x: hashlib.md5(f"{x}-42".encode()).hexdigest()
+    for n in (5, 25, 100, 1000):
+        cells = max(1, 600 // n)
+        cell = lambda x: int(md5(x)[:8], 16) % cells  # noqa: E731, B023
+        got = prefer.distractors(pg, chunks, n).collect()
+        for p in (f"p{i}" for i in range(10)):
+            want = sorted((c for c in own if own[c] != p), key=lambda c: ((cell(c) - cell(p)) % cells, md5(c), c))[:n]
+            assert [r.chunk_id for r in sorted(got, key=lambda r: r.rk) if r.page_id == p] == want and len(want) == min(n, sum(o != p for o in own.values()))
+
+
 def test_split_is_half_even(spark):
     df = spark.range(5).select(F.col("id").alias("k"), F.lit("s").alias("s"))
     assert sample.stratified_split(df, "k", ("s",), 0.5).where("fold = 'train'").count() == 2
