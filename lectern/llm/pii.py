@@ -1,12 +1,15 @@
 """Personal data: base formats, and boosted trees over high-recall candidates; DataFrame functions only.
 
-Generators propose spans: four base formats with their checks, and every token with a digit or an @.
-The candidates overlap. Tokens are described by format (length, shares of digits, capitals and hex
+Generators propose spans: four base formats with their checks, every token with a digit or an @, values
+assigned to credential names, groups of digits, account numbers in groups, and numbers after contact words.
+The candidates overlap. They are described by format (length, shares of digits, capitals and hex
 digits, separators, checks) and context (words just before them), and scored by gradient-boosted trees,
 emitted as CASE expressions. The trees are fitted on a bounded sample of candidates whose labels are
-checks that need no reader: base spans, published key prefixes, and values assigned to credential names.
+checks that need no reader: base spans, published key prefixes, values assigned to credential names,
+account numbers (modulo 97), and numbers of a phone's format or length after a word for one.
 A threshold is calibrated on the half of the sample that was not fitted, for the wanted precision.
-Base spans always stay; a selected candidate is added where it overlaps none of them.
+Base spans always stay. Of overlapping selected candidates the one of the best score is added, the longest
+at equal scores, where it overlaps no base span.
 
 Positions: a text is split at the matches of a pattern, and the lengths of parts and matches add up in
 one pass of ``aggregate``. Patterns have no nested repetition, so long texts neither backtrack nor recurse.
@@ -25,6 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Documents whose candidates train the trees, and candidates taken of them, at most.
 SAMPLE_DOCS, SAMPLE = 3000, 6000
 PRECISION = 0.98
+FEATURES = 18
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: A match begins where a run of its characters begins, or where the last match ended (\\G).
@@ -35,6 +39,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)(?=\S*?[0-9@])\S{6,}+"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CREDENTIAL = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+#: What assigns a value to a credential name.
+_ASSIGNS = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_NUMBER_OF = r"(?i)(?<![A-Za-z])(?:call|phone|telephone|tel|mobile|cell|fax|account|acct|iban|ssn|card)(?:\W{1,3}(?:is|at|no|number|us|me|on))?\W{1,4}"
+ASSIGNED = _CREDENTIAL + _ASSIGNS + r"[^\s\"']++"
+GROUPS = r"(?<![A-Za-z0-9+])\(?[0-9]{2,6}\)?(?:[\x20.-]{1,2}\(?[0-9]{2,6}\)?){1,5}+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+NUMBER = _NUMBER_OF + r"\(?[0-9][0-9A-Za-z]{0,33}+(?:[\x20().-]{1,3}[0-9][0-9A-Za-z]{0,33}+){0,8}+"
 _CONTACT = r"(?i)(?:call|phone|tel|mail|contact|card|account|iban|ssn|ip|address)"
 
 
@@ -123,22 +134,67 @@ def base_spans(text: Column) -> Column:
 _CANDIDATE = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 
 
-def candidates(text: Column) -> Column:
-    """Tokens of six characters or more with a digit or an @, without what assigns, quotes or ends them, and up to 48 characters before them."""
+_ENDING = r"[\"')\]}>.,;:!?]+$"
+
+
+def _proposed(text: Column, pattern: str, lead_pattern: str | None, least: int, ending: str | None = None) -> Column:
+    """The matches of a pattern without their lead and ending, with up to 48 characters and the lead before them."""
     def made(hit, begin, part):
-        lead = F.regexp_extract(hit, r"^(?:[^=:]*+[=:])?[\"'(\[{<]*", 0)
-        body = F.substring(hit, F.length(lead) + 1, F.length(hit))
-        value = F.regexp_replace(body, r"[\"')\]}>.,;:!?]+$", "")
+        lead = F.regexp_extract(hit, lead_pattern, 0) if lead_pattern else F.lit("")
+        value = F.substring(hit, F.length(lead) + 1, F.length(hit))
+        value = F.regexp_replace(value, ending, "") if ending else value
         start = begin + F.length(lead)
         span = F.struct(start.cast("bigint").alias("start"), (start + F.length(value)).cast("bigint").alias("end"), value.alias("value"), F.concat(F.substring(part, -48, 48), lead).alias("before"))
-        return F.when(hit.isNotNull() & (F.length(value) >= 6), span)
+        return F.when(hit.isNotNull() & (F.length(value) >= least), span)
+
+    return _scan(text, pattern, made, _CANDIDATE)
+
+
+def _worth(text: Column) -> Column:
+    """Whether a text can have candidates."""
+    return text.rlike("[0-9@]") | text.rlike(ASSIGNED)
 
-    return F.when(text.rlike("[0-9@]"), _scan(text, TOKEN, made, _CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
+
+def candidates(text: Column) -> Column:
+    """The spans of all generators, which overlap; equal ones once.
+
+    Tokens of six characters or more with a digit or an @, without what assigns, quotes or ends them; values of any
+    characters and length assigned to a credential name; groups of digits over blanks, dots, hyphens and parentheses;
+    account numbers, in groups or not; and numbers after a word for a phone, an account or a card.
+    """
+    none = F.array().cast(_CANDIDATE)
+    found = [
+        F.when(text.rlike("[0-9@]"), _proposed(text, TOKEN, r"^(?:[^=:]*+[=:])?[\"'(\[{<]*", 6, _ENDING)).otherwise(none),
+        F.when(text.rlike(ASSIGNED), _proposed(text, ASSIGNED, "^" + _CREDENTIAL + _ASSIGNS, 1, _ENDING)).otherwise(none),
+        *(F.when(_has_digit(text), _proposed(text, p, lead, 6)).otherwise(none) for p, lead in ((GROUPS, None), (IBAN, None), (NUMBER, "^" + _NUMBER_OF))),
+    ]
+    return F.array_distinct(F.concat(*found))
 
 
 _KEY_PREFIX = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,})$"
 
 
+_PHONE_FORMAT = r"^\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[2-9][0-9]{2}[\x20.-][0-9]{4}$"
+
+
+def _iban_ok(value: Column) -> Column:
+    """Whether an account number passes its check, modulo 97."""
+    flat = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(flat, 5, 34), F.substring(flat, 1, 4)), "")
+
+    def add(acc, c):
+        letter = F.ascii(c) - 55
+        return F.when(letter >= 10, acc * 100 + letter).otherwise(acc * 10 + F.ascii(c) - 48) % 97
+
+    return F.when(value.rlike(f"^{IBAN}$"), F.aggregate(turned, F.lit(0), add) == 1).otherwise(False)
+
+
+def _numbered(value: Column, before: Column) -> Column:
+    """Whether a number has a phone's format, or 7 to 19 digits and a word for it just before."""
+    named = before.rlike(_NUMBER_OF + r"\(?$") & value.rlike(r"^[0-9\x20().-]+$") & F.length(_digits(value)).between(7, 19)
+    return value.rlike(_PHONE_FORMAT) | named
+
+
 def features(value: Column, before: Column) -> list[Column]:
     """Format and context of a candidate, as doubles."""
     n = F.length(value).cast("double")
@@ -149,15 +205,16 @@ def features(value: Column, before: Column) -> list[Column]:
         F.size(F.split(value, "(?<=[A-Za-z])(?=[0-9])")),
         before.rlike(_CREDENTIAL + r"\W{0,6}$"), before.rlike(r"[=:]\s?[\"']?$"), before.rlike(_CONTACT),
         F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False), value.rlike(_KEY_PREFIX),
+        share(r"\x20()"), before.rlike(_CREDENTIAL + _ASSIGNS + "$"), _iban_ok(value), _numbered(value, before),
     ]
     return [f.cast("double") for f in out]
 
 
 def _label(value: Column, before: Column) -> Column:
-    """What a check proves: a base span, a published key prefix, or a value assigned to a credential name."""
-    assigned = before.rlike(_CREDENTIAL + r"\s?[=:]\s?[\"']?$")
+    """What a check proves: a base span, a published key prefix, a value assigned to a credential name, an account or phone number."""
+    assigned = before.rlike(_CREDENTIAL + _ASSIGNS + "$")
     based = value.rlike(f"^{EMAIL}$") | _ip_ok(value) | (value.rlike(f"^{CARD}$") & _card_ok(value))
-    return (assigned | value.rlike(_KEY_PREFIX) | based).cast("double")
+    return (assigned | value.rlike(_KEY_PREFIX) | based | _iban_ok(value) | _numbered(value, before)).cast("double")
 
 
 @dataclass
@@ -167,9 +224,9 @@ class PiiModel:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS, rows: int = SAMPLE, precision: float = PRECISION) -> PiiModel:
-    """Fit on candidates of ``docs`` documents with a digit or an @, by least hashed id; ``rows`` of them at most."""
+    """Fit on candidates of ``docs`` documents that can have any, by least hashed id; ``rows`` of them at most."""
     text = F.col(text_col).cast("string")
-    some = df.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
+    some = df.select(F.col(id_col).alias("id"), text.alias("text")).where(_worth(F.col("text")))
     ids = some.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(docs).select("id").distinct()
     each = some.join(F.broadcast(ids), "id", "left_semi").select(F.explode(candidates(F.col("text"))).alias("c"))
     value, before = F.col("c.value"), F.col("c.before")
@@ -191,10 +248,19 @@ def _added(text: Column, base: Column, model: PiiModel) -> Column:
     """Spans of the candidates that the trees select and no base span overlaps."""
     if not model.trees.trees or model.threshold == float("inf"):
         return F.array().cast(_SPAN)
-    names = [f"f{i}" for i in range(14)]
-    described = F.transform(candidates(text), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), *(f.alias(n) for n, f in zip(names, features(c["value"], c["before"])))))
-    picked = F.filter(described, lambda c: (model.trees.expression([c[n] for n in names]) >= model.threshold) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.transform(picked, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("ord"), c["end"].alias("end")))
+    def scored(c):
+        described = F.array(F.struct(*(f.alias(f"f{i}") for i, f in enumerate(features(c["value"], c["before"])))))
+        score = F.transform(described, lambda d: model.trees.expression([d[f"f{i}"] for i in range(FEATURES)]))[0]
+        return F.struct((-score).alias("loss"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["end"].alias("end"))
+
+    over = lambda spans, c: F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    free = F.filter(candidates(text), lambda c: ~over(base, c))
+    picked = F.sort_array(F.filter(F.transform(free, scored), lambda c: c["loss"] <= -model.threshold))
+
+    def add(kept, c):
+        return F.when(over(kept, c), kept).otherwise(F.concat(kept, F.array(F.struct(c["start"].alias("start"), F.lit(4).alias("ord"), c["end"].alias("end")))))
+
+    return F.aggregate(picked, F.array().cast(_SPAN), add)
 
 
 def _joined(spans: Column) -> Column:

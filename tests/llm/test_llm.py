@@ -387,6 +387,26 @@ def test_boosted_candidates(spark, empty):
     assert pii.fit(empty).trees.trees == [] and pii.pii_report(empty, model).collect() == []
 
 
+def test_candidates_of_several_words(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        flat = f"DE{98 - int(body + '131400') % 97:02d}" + body
+        return " ".join(flat[i : i + 4] for i in range(0, 22, 4))
+
+    values = [word(rng.randrange(3, 14)) for _ in range(150)] + [iban() for _ in range(150)] + [f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(10_000):04d}" for _ in range(150)]
+    lead = ["login with password = "] * 150 + ["money goes to "] * 150 + ["ring "] * 150
+    rows = [(i, f"{a}{v} and then, 12 of 40 pages of 2024-{i:04d}") for i, (a, v) in enumerate(zip(lead, values))]
+    df = spark.createDataFrame(rows + [(999, 'the "password": "correcthorse" of one')], "doc_id long, text string")
+    proposed = {(r.doc_id, r.c.value) for r in df.select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("c")).collect()}
+    assert all((i, v) in proposed for i, v in enumerate(values)) and (999, "correcthorse") in proposed
+    clean = {r.doc_id: r.text for r in pii.redact(df, pii.fit(df)).collect()}
+    assert sum(clean[i] == rows[i][1].replace(v, "[SECRET]") for i, v in enumerate(values)) > 440
+    assert clean[999] == 'the "password": "[SECRET]" of one'
+
+
 def test_trees_as_expression(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
