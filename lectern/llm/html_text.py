@@ -4,7 +4,8 @@ A page becomes a tree. Every node has its characters C, tags T, link characters
 density ``C/T * log(C/LC * T/LT)`` to the base ``ln(C/(C-LC) * LC + LCb/Cb * C + e)`` (b: the body). The
 node whose children's densities have the greatest sum is the main subtree; the least density on its path to
 the body is the threshold of what else belongs to the article. Elements that by name, role or class are menus,
-headers, footers, side bars, notices, adverts, forms or comments have no characters and no tags.
+headers, footers, side bars, notices, adverts, forms or comments have no characters and no tags; a role or class does
+not count where most of the text is below it, or the only article is and much of the text (``Page.judge``).
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class Page:
     def __init__(self, source: str, forms: bool = False):
         self.tag, self.parent, self.items, self.off = ["#root"], [-1], [[]], [False]
         self.stack, self.forms, self.main = [0], forms, [False]
+        self.named = [False]
         at = 0
         lower = None
         n = len(source)
@@ -68,6 +70,39 @@ class Page:
                 lower = lower or source.lower()
                 end = lower.find(f"</{name}", at)
                 at = n if end < 0 else end
+        self.judge()
+
+    def judge(self) -> None:
+        """Switch off what a class, id or role marks as noise, with all below it, but not where the text of the page is.
+
+        Text counts for the nearest marked element around it, or as unmarked; links do not count. From the largest on, an
+        element is no noise if it has more text than is unmarked, or over a quarter of that and an article or main. Where an
+        unmarked article or main has text, only what is inside one and has over four times the unmarked text is no noise.
+        Then neither are the marked elements around it, and their text is unmarked too.
+        """
+        if not any(self.named):
+            return
+        n = len(self.tag)
+        near, linked, own, holds = [0] * n, [False] * n, [0] * n, [False] * n
+        for i in range(n):
+            up = self.parent[i]
+            near[i] = i if self.named[i] else near[up] if up >= 0 else 0
+            linked[i] = self.tag[i] == "a" or up >= 0 and linked[up]
+            if not self.off[i] and not linked[i]:
+                count = sum(len(x.strip()) for x in self.items[i] if isinstance(x, str))
+                own[near[i]] += count
+                holds[near[i]] = holds[near[i]] or count > 0 and self.main[i]
+        text, framed = own[0], holds[0]
+        for i in sorted((i for i in range(n) if self.named[i]), key=lambda i: (-own[i], i)):
+            if self.named[i] and (self.main[i] and own[i] > text * 4 if framed else own[i] > text or holds[i] and own[i] * 4 > text):
+                at = i
+                while at > 0:
+                    if self.named[at]:
+                        self.named[at] = False
+                        text, framed = text + own[at], framed or holds[at]
+                    at = self.parent[at]
+        for i in range(1, n):
+            self.off[i] = self.off[i] or self.named[i] or self.off[self.parent[i]]
 
     def _text(self, text: str) -> None:
         if not self.off[self.stack[-1]]:
@@ -93,17 +128,18 @@ class Page:
                 if tag[stack[d]] in ends:
                     self._pop_to(d)
         up = stack[-1]
-        off, inside = self.off[up], self.main[up]
+        off, inside, named = self.off[up], self.main[up], False
         if not off and name not in ("html", "body", "article", "main"):
             off = name in NOISE and not (self.forms and name in ("form", "fieldset", "label")) or name == "header" and not inside
             if not off and attributes:
                 for m in _NAME.finditer(attributes):
                     words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
                     if not NOISE_WORDS.isdisjoint(words) or not inside and "header" in words:
-                        off = True
+                        named = True
                         break
         i = len(tag)
         tag.append(name)
+        self.named.append(named)
         self.parent.append(up)
         self.items.append([])
         self.off.append(off)
@@ -149,8 +185,9 @@ class Page:
             sums[self.parent[i]] += density[i]
         return density, sums, body
 
-    def blocks(self, roots: list[int]) -> list[str]:
-        """The texts of all blocks below the roots, in page order."""
+    def blocks(self, roots: list[int], kept: dict[int, set[int]] | None = None, edges: frozenset[int] = frozenset()) -> list[str]:
+        """The texts of all blocks below the roots, in page order. ``kept``: of these nodes only the named children, and text."""
+        kept = kept or {}
         out: list[str] = []
         held: list[str] = []
 
@@ -171,11 +208,11 @@ class Page:
                 elif not self.off[x]:
                     if self.tag[x] == "br":
                         held.append(" ")
-                    edge = self.tag[x] in BLOCK or x == root
+                    edge = self.tag[x] in BLOCK or x == root or x in edges
                     if edge:
                         flush()
                         todo.append(None)
-                    todo.extend(reversed(self.items[x]))
+                    todo.extend(y for y in reversed(self.items[x]) if x not in kept or isinstance(y, str) or y in kept[x])
             flush()
         return out
 
@@ -202,14 +239,24 @@ def main_text(source: str | None) -> str:
     frame = next((i for i in reversed(path) if page.tag[i] in ("article", "main") and density[i] >= threshold), None)
     if frame is not None:
         return "\n".join(page.blocks([frame]))
-    taken = {best}
+    kept: dict[int, set[int]] = {}
+    edges = {best}
+    top = best
     for up, child in zip(path[1:], path):
-        for x in page.items[up]:
-            if isinstance(x, int) and x != child and not page.off[x] and (density[x] >= threshold or page.tag[x] in ("h1", "h2", "h3")):
-                taken.add(x)
-        if up == body:
+        if child == body:
             break
-    return "\n".join(page.blocks(sorted(taken)))
+        top = up
+        items, kept[up] = page.items[up], {child}
+        words = [isinstance(x, str) and any(map(str.isalnum, x)) for x in items]
+        for k, x in enumerate(items):
+            if isinstance(x, int) and x != child and not page.off[x]:
+                # What stands in a line of bare text is a part of it.
+                inline = page.tag[x] not in BLOCK and (k > 0 and words[k - 1] or k + 1 < len(items) and words[k + 1])
+                if inline or density[x] >= threshold or page.tag[x] in ("h1", "h2", "h3"):
+                    kept[up].add(x)
+                    if not inline:
+                        edges.add(x)
+    return "\n".join(page.blocks([top], kept, frozenset(edges)))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

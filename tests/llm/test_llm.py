@@ -295,6 +295,25 @@ def test_html_without_article():
     assert text.split("\n") == ["Head", words.strip(), words.strip()]
 
 
+def test_html_names_are_overruled():
+    words = "Some words of a paragraph that is long enough to be dense. " * 4
+    article = f"<article><h1>Head</h1><p>{words}</p></article>"
+    want = ["Head", words.strip()]
+    bar = "<div class='sidebar'><p>Short notes at the side</p></div>"
+    for name in ("layout with-sidebar", "no-sidebar", "has-nav", "post share"):
+        for inner in (article, f"<h1>Head</h1><p>{words}</p>", f"<div class='has-nav'>{article}</div>"):
+            assert html_text.main_text(PAGE % f"<div class='{name}'>{inner}{bar}</div>").split("\n") == want, (name, inner)
+    comments = "<div class='comments'>" + f"<div class='comment'><p>{words}</p></div>" * 3 + "</div>"
+    assert html_text.main_text(PAGE % (article + comments)).split("\n") == want
+    assert html_text.main_text(PAGE % f"{article}<div class='related'><article><p>Another one</p></article></div>").split("\n") == want
+
+
+def test_html_bare_text():
+    words = "Some words of a paragraph that is long enough to be dense. " * 4
+    body = f"<div>First bare <b>bold</b> text.<div><p>{words}</p><p>{words}</p></div>Last bare text.</div>"
+    assert html_text.main_text(f"<html><body>{body}</body></html>").split("\n") == ["First bare bold text.", words.strip(), words.strip(), "Last bare text."]
+
+
 def test_html_odd(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<p>open <b>never closed"), (5, "u", "<" * 1000), (6, "u", "<div>" * 20_000 + "deep"), (7, "u", "<!-- never closed"), (8, None, "<form><p>Only a form holds the text of this page</p></form>")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
