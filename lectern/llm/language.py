@@ -25,8 +25,9 @@ from .common import bounded_batches
 MAX_N = 4
 #: Labelled documents of each language, by least hashed id: landmarks, and rows of the regression.
 LANDMARKS, TRAINING = 32, 120
-#: Labels beyond this number (the rarest) are not learned; it bounds what training gathers.
-MAX_LABELS = 64
+#: All labels are learned. Beyond this number of labels each has fewer landmarks and documents, so that their sums stay
+#: the same, but LEAST of either.
+FULL_LABELS, LEAST = 64, 4
 RIDGE = 1e-3
 #: Bytes of a slice, and rows of a presence matrix.
 SLICE, ROWS = 1 << 18, 96
@@ -89,15 +90,17 @@ class LanguageModel:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, training: int = TRAINING) -> LanguageModel:
-    """Learn from rows with a label and a letter: ``training`` documents of each label, the first
-    ``landmarks`` of them as landmarks, both by least hashed id (bounded, documented parameters)."""
+    """Learn every label from rows with a label and a letter: ``training`` documents of each label, the first
+    ``landmarks`` of them as landmarks, both by least hashed id (bounded, documented parameters; fewer of each label
+    where there are more than FULL_LABELS)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    some = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    labels = sorted(r.lang for r in some.orderBy(F.desc("rows"), "lang").limit(MAX_LABELS).collect())
+    labels = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not labels:
         return LanguageModel([], {}, np.zeros((0, 0), np.float32), np.zeros(0))
+    share = min(1.0, FULL_LABELS / len(labels))
+    landmarks, training = (min(n, max(LEAST, int(n * share))) for n in (landmarks, training))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.where(F.col("lang").isin(labels)).select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
+    picked = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
     sample = rows.join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi").select("id", "lang", "text")
     got = sorted(sample.mapInArrow(kernels.tidy(_sets), f"id {dict(sample.dtypes)['id']}, lang string, codes binary").collect(), key=lambda r: (r.lang, zlib.crc32(str(r.id).encode()), str(r.id)))
     got = list({(r.id, r.lang): r for r in got}.values())

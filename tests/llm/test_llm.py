@@ -447,6 +447,18 @@ def test_language_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(4))
+    rows = [(100 * k + i, " ".join(word(k) for _ in range(60)), f"l{k:02d}") for k in range(80) for i in range(8 if k < 70 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model.labels == [f"l{k:02d}" for k in range(80)]
+    new = [(k, " ".join(word(k) for _ in range(60))) for k in range(80)]
+    got = language.identify(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id:02d}" for r in got) and len(got) == 80
+
+
 def test_language_odd(spark, odd, empty):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog of the house", "en"), ("der hund und die katze im haus", "de")] * 6)], "doc_id long, text string, lang string")
     model = language.fit(train)
