@@ -1,53 +1,183 @@
-"""What the operators of this package share: reading tables, shared folders, staged tables."""
+"""What the operators of this package share: reading tables, the shared folder, staged tables, sets of ids, joins with hot keys."""
 
 from __future__ import annotations
 
 import atexit
-import gc
+import functools
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from . import kernels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests, where driver and executors are one
-    process) a temporary folder stands in, removed at exit.
+    Where that is unset, a local master (driver and executors are one process) has a temporary folder,
+    removed at exit; on a cluster this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+#: What holds while a step is written: rows can be long, so few bytes cross to Python at once; shuffle files go when the step has ended.
+_STEP = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def _step(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Scratch:
+    """Tables that steps of one call write into the shared folder and read back.
 
+    This cuts the lineage in a place that survives the loss of executors. A table goes (``drop``) when what reads
+    it has been written; the folder goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self._hadoop(self.path)[0].deleteOnExit(self._hadoop(self.path)[1])
 
-def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Texts and sets cross to Python in batches of ``rows`` at most, from now on in this session, as rows can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        with _step(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._staged = path
+        return out
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, which lets Spark remove the shuffle files of finished steps from the executors."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            fs, p = self._hadoop(t._staged)
+            fs.delete(p, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+    """One staged table; it stays until the application ends."""
+    return Scratch(df.sparkSession, label).stage(df, "rows")
+
+
+#: Bits of a set of ids, at most, and for each id, about: one of 16 others passes. Beyond it a join takes its place.
+MOST_BITS, BITS_EACH = 1 << 26, 16
+_BLOCK = 1 << 15
+
+
+def _place(ids: np.ndarray, size: int) -> np.ndarray:
+    return (kernels.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def among(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether 64-bit ids may be in a set that ``id_bits`` made (all that are, and few others)."""
+    at = _place(ids, len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
+def _set_bits(size: int):
+    def run(batches):
+        seen = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = _place(batch.column(0).to_numpy(zero_copy_only=False), size)
+            np.bitwise_or.at(seen, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        step = min(_BLOCK, size) // 8
+        parts = seen.reshape(-1, step)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+    return run
+
+
+def _merged(batches):
+    """The union of each block that this task has; a running union, not a gathered group."""
+    got: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            one = np.frombuffer(bits, np.uint8)
+            got[block] = got[block] | one if block in got else one
+    yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], names=["block", "bits"])
+
+
+def id_bits(ids: DataFrame) -> np.ndarray | None:
+    """A set of the 64-bit ids of a table's first column as bits; None where it would need more than ``MOST_BITS``.
+
+    Executors merge the blocks, so the driver gets ``MOST_BITS`` once, whatever the number of tasks.
+    """
+    size = 1 << max(12, (BITS_EACH * ids.count()).bit_length())
+    if size > MOST_BITS:
+        return None
+    rows = ids.mapInArrow(kernels.tidy(_set_bits(size)), "block int, bits binary").repartition("block").mapInArrow(kernels.tidy(_merged), "block int, bits binary")
+    bits = np.zeros(size // 8, np.uint8)
+    step = min(_BLOCK, size) // 8
+    with _step(ids.sparkSession):
+        for row in rows.collect():
+            bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+#: A key is hot if it has more than LEAST_HOT rows and more than this part of all; so there are fewer hot keys than HOT.
+HOT, LEAST_HOT = 50_000, 256
+
+
+def _most(total: int) -> int:
+    return max(LEAST_HOT, total // HOT)
+
+
+def join_counts(rows: DataFrame, keys: list[str], table: DataFrame, count: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has each of ``keys`` once and beside it the number of rows that have it.
+
+    The hot keys are broadcast (fewer than ``HOT``), so that no task gathers one. The others meet by an
+    exchange. Keys are not null.
+    """
+    most = _most(table.agg(F.sum(count)).first()[0] or 0 if total is None else total)
+    hot = table.where(F.col(count) > most).drop(count)
+    cold = table.where(F.col(count) <= most).drop(count)
+    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return spread.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def salted(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (each ``key`` once), the rows of a hot key over several tasks.
 
-    This cuts the lineage in a place that survives the loss of executors.
+    The number of tasks of each hot key is broadcast (fewer than ``HOT`` keys); its row of ``table`` is copied for each.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    most = _most(rows.count())
+    fans = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_fan")).where("_fan > 1")
+    names = [c for c in table.columns if c != key]
+    fan = F.coalesce(F.col("_fan"), F.lit(1))
+    wide = table.join(F.broadcast(fans), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
+    own = rows.join(F.broadcast(fans), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), fan).cast("int")).drop("_fan")
+    return own.join(wide, [key, "_salt"]).select(*rows.columns, *names)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import Scratch, join_counts
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the least neighbour of u, u included. The minimum is pre-aggregated, so hubs do not gather."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Each (u, v) with the least neighbour of u, u included. The minimum is pre-aggregated, and hubs are spread."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counts(edges, ["u"], least, "n", total)
 
 
 def connected_components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -20,20 +20,24 @@ def connected_components(links: DataFrame, x: str = "x", y: str = "y") -> DataFr
     links count once, and an empty table gives an empty result. Every round is written to
     the shared folder, so a lost executor costs at most one round.
     """
+    scratch = Scratch(links.sparkSession, "components")
+
     def between(pairs: DataFrame) -> DataFrame:
         return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    edges = staged(between(links.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v"))), "edges")
-    before = None
-    while True:
+    edges = scratch.stage(between(links.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v"))), "edges")
+    before, total = None, edges.count()
+    while total:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _with_least(between(large))
-        edges = staged(between(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = scratch.stage(between(_with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        small = _with_least(large, total)
+        new = scratch.stage(between(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))), "edges")
+        scratch.drop(edges, large)
+        edges = new
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

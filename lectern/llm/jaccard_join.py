@@ -13,16 +13,23 @@ number of differing shingles, ``|x ^ y|``, and the Jaccard distance ``1 - J``.
     of its first ``n - ceil(t n) + 1`` shingles. Order is by frequency class in a
     table of counts of fixed size, then by hash: regions of common passages come
     last, which costs nothing in exactness.
+    A shingle that many documents of a task have in their window is dealt out already there: all but a few of those rows
+    wait until the region's pivot is known, so that no task gathers a hot region.
 2.  *Document pivots.* A region of more than ``region`` members is not paired. Its member of least
     hashed id is its pivot, regions of one pivot join, and all members are compared with it exactly.
     Those near it join its component. Where others remain, the region recurses: shells of distance to
     the pivot are cut into blocks of bounded size, and a block meets only blocks of shells inside the
     window, as distances of linked documents to the pivot differ by ``1 - t`` at most, and none of
     the same single component. Two blocks are joined exactly, by a matrix product, which gives a forest of links.
-3.  *Count bound and verification.* A pair must share enough of its windows; what
-    passes is verified on the whole sets of 64-bit shingle hashes. No cap drops anything.
+3.  *Bounds and verification.* A pair must share enough of its windows, and parity bits of its sets may differ
+    in no more places than linked sets can (``|x ^ y|`` again, from below). What passes is verified on the whole sets
+    of shingle hashes. No cap drops anything.
 
 Equal sets count as one node from the start, so copies are never paired.
+
+Shingles are 64-bit hashes. Two sets of n shingles are judged by a false common one with a chance of n^2 / 2^64
+(5e-15 for n = 300), and two different sets taken as equal with 1 / 2^128 for each pair of documents, which is 2e-17 for
+10^11 of them together.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import bounded_batches, release, staged
+from .common import Scratch, among, id_bits, join_counts, salted
 from .components import connected_components
 
 #: Cells of the table of shingle counts: 2^22 classes of one byte go to each executor, whatever the input.
@@ -105,42 +112,82 @@ def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * n) // den)
 
 
-def _place(ids: np.ndarray, size: int) -> np.ndarray:
-    return (kernels.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+#: Anchor rows that a task looks through at once for keys that are hot already there.
+CHUNK = 1 << 20
+#: Parity bits of a set.
+PARITY = 1024
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """One bit for each of ``PARITY`` cells: whether an odd number of shingles falls into it."""
+    odd = np.bincount((kernels.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _anchors(k: int, num: int, den: int, classes, reps):
-    """(id, n, keys): the anchor shingles of the regions into which a document is replicated.
+def _window(s: np.ndarray, num: int, den: int, cls: np.ndarray) -> np.ndarray:
+    """The anchor shingles of a set: its first n - ceil(t n) + 1 in the order of classes, then hashes."""
+    n = len(s)
+    p = n - -((-num * n) // den) + 1 if n else 0
+    low = int(np.searchsorted(s, COUNTED))
+    c = cls[(s[:low] % np.uint64(CELLS)).astype(np.int64)]
+    if c.any():
+        order = np.concatenate([np.flatnonzero(c == 0), np.arange(low, n)])
+        if len(order) < p:
+            hot = np.flatnonzero(c)
+            order = np.concatenate([order, hot[np.argsort(c[hot], kind="stable")]])
+        s = s[order[:p]]
+    return s[:p]
 
-    Documents that cannot be the first of equal sets are left out by a bitmap; one that slips through only adds rows,
-    as its set is not among those that verify.
+
+def _anchors(k: int, num: int, den: int, region: int, classes, reps):
+    """(id, n, parity, keys, late): the anchor shingles of the regions into which a document is replicated.
+
+    Documents that cannot be the first of equal sets are left out by bits; one that slips through adds rows whose links are
+    true ones. ``late`` are keys of which this run of rows has more than ``region`` + 1 others already.
     """
+    def made(ids, sizes, marks, keys):
+        counts = np.array([len(x) for x in keys], np.int64)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        late = np.zeros(len(flat), bool)
+        order = np.argsort(flat, kind="stable")
+        inside = flat[order]
+        if len(flat) > region + 1 and (inside[region + 1 :] == inside[: -region - 1]).any():
+            first = np.concatenate([[True], inside[1:] != inside[:-1]])
+            place = np.arange(len(inside)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            late[order] = place > region
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        lists = []
+        for mask in (~late, late):
+            at = np.concatenate([[0], np.cumsum(mask)])[ends]
+            lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(_signed(flat[mask]))))
+        marked = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
+        return pa.record_batch([pa.array(np.array(ids, np.int64)), pa.array(np.array(sizes, np.int64)), marked, *lists], names=["id", "n", "parity", "keys", "late"])
+
     def run(batches):
-        cls, bits = classes.value, reps.value
+        cls, bits = classes.value, reps.value if reps is not None else None
+        ids, sizes, marks, keys, held = [], [], [], [], 0
         for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(bits[_place(batch.column(0).to_numpy(zero_copy_only=False), len(bits))])))
-            sizes, keys = [], []
-            for _, _, data, offsets in kernels.slices(batch.column(1)):
-                for s in kernels.shingle_sets(data, offsets, k):
-                    n = len(s)
-                    sizes.append(n)
-                    p = n - -((-num * n) // den) + 1 if n else 0
-                    low = int(np.searchsorted(s, COUNTED))
-                    c = cls[(s[:low] % np.uint64(CELLS)).astype(np.int64)]
-                    if c.any():
-                        order = np.concatenate([np.flatnonzero(c == 0), np.arange(low, n)])
-                        if len(order) < p:
-                            hot = np.flatnonzero(c)
-                            order = np.concatenate([order, hot[np.argsort(c[hot], kind="stable")]])
-                        s = s[order[:p]]
-                    keys.append(s[:p])
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = _signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["id", "n", "keys"])
+            if bits is not None:
+                batch = batch.take(pa.array(np.flatnonzero(among(bits, batch.column(0).to_numpy(zero_copy_only=False)))))
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, data, offsets in kernels.slices(batch.column(1)):
+                for d, s in enumerate(kernels.shingle_sets(data, offsets, k)):
+                    if not len(s):
+                        continue
+                    ids.append(own[i + d])
+                    sizes.append(len(s))
+                    marks.append(_parity(s))
+                    keys.append(_window(s, num, den, cls))
+                    held += len(keys[-1])
+                if held >= CHUNK:
+                    yield made(ids, sizes, marks, keys)
+                    ids, sizes, marks, keys, held = [], [], [], [], 0
+        yield made(ids, sizes, marks, keys)
 
     return run
 
 
+_ANCHORS = "id long, n long, parity array<long>, keys array<long>, late array<long>"
 _REGION_SCHEMA = "x long, nx long, y long, ny long, key long"
 
 
@@ -205,13 +252,12 @@ def _regions(num: int, den: int, region: int):
 
 
 def _sets(k: int, wanted):
-    """(id, set) of the documents whose id is in the bitmap (and of few others)."""
+    """(id, set) of the documents whose id is among the bits (and of few others)."""
     def run(batches):
-        bits = wanted.value
+        bits = wanted.value if wanted is not None else None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = np.flatnonzero(bits[_place(ids, len(bits))])
-            part = batch.take(pa.array(take))
+            part = batch.take(pa.array(np.flatnonzero(among(bits, ids)))) if bits is not None else batch
             got = [s.tobytes() for _, _, data, offsets in kernels.slices(part.column(1)) for s in kernels.shingle_sets(data, offsets, k)]
             yield pa.record_batch([part.column(0), pa.array(got, pa.binary())], names=["id", "hashes"])
 
@@ -279,112 +325,107 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of at most 2^24 bytes; where it is fuller, more sets than needed are read, none fewer."""
-    size = 1 << 24
-    while size > 1 << 12 and size > 32 * ids.count():
-        size >>= 1
-
-    def run(batches):
-        seen = np.zeros(size, bool)
-        for batch in batches:
-            seen[_place(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
-        yield pa.record_batch([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
-
-    bits = np.zeros(size, bool)
-    for row in ids.select("id").mapInArrow(kernels.tidy(run), "bits binary").toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    return bits
-
-
 def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): (id, n, rep) of all rows; reps of equal sets; links (x, y) between reps.
+    """(documents, classes, links): (id, n, d1, d2) of all rows; (d1, d2, n, rep, copies) of equal sets; links (x, y) between reps.
 
     ``links`` connects exactly what all links of the join connect: inside a large region, members
     that are already connected are not compared with each other again.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    stage, drop = scratch.stage, scratch.drop
     num, den = threshold
-    bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+    def only(ids: DataFrame) -> tuple[DataFrame, object]:
+        """The documents of these ids: bits to choose by in the scan, or a join where there are too many ids for that."""
+        bits = id_bits(ids)
+        return (docs, spark.sparkContext.broadcast(bits)) if bits is not None else (docs.join(ids.distinct(), "id", "left_semi"), None)
+
     run, schema = _profile(k)
-    profile = staged(docs.mapInArrow(kernels.tidy(run), schema), "profile")
-    nodes = profile.where("block is null and n > 0").select("id", "n", "d1", "d2")
-    classes = staged(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
+    profile = stage(docs.mapInArrow(kernels.tidy(run), schema), "profile")
+    rows_of = profile.where("block is null").select("id", "n", "d1", "d2")
+    classes = stage(rows_of.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     table = spark.sparkContext.broadcast(_classes(profile))
 
-    reps = spark.sparkContext.broadcast(_bitmap(classes.select(F.col("rep").alias("id"))))
-    anchors = docs.mapInArrow(kernels.tidy(_anchors(k, num, den, table, reps)), "id long, n long, keys array<long>").where("n > 0")
+    some, reps = only(classes.select(F.col("rep").alias("id")))
+    anchors = stage(some.mapInArrow(kernels.tidy(_anchors(k, num, den, region, table, reps)), _ANCHORS), "anchors")
     rows = anchors.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     rows = rows.sortWithinPartitions("key", F.xxhash64("id")).select("key", "id", "n")
-    found = staged(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")
-    release(spark)
-
-    wanted = found.select(F.col("x").alias("id")).unionByName(found.select(F.col("y").alias("id"))).distinct()
-    bits = spark.sparkContext.broadcast(_bitmap(wanted))
-    sets = staged(docs.mapInArrow(kernels.tidy(_sets(k, bits)), "id long, hashes binary"), "sets")
-    sets = sets.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sets.toDF("x", "a"), sets.toDF("y", "b")
-        both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b")
-        return both.mapInArrow(kernels.tidy(_verified(num, den)), "x long, y long, linked boolean, d double")
+    found = stage(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")
 
     window = lambda n: n - F.ceil(n * num / den) + 1
     needed = F.ceil((F.col("nx") + F.col("ny")) * F.lit(num) / F.lit(num + den) - 1e-9)
     fits = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
     rest = F.greatest(F.col("nx") - window(F.col("nx")), F.col("ny") - window(F.col("ny")))
 
-    # Small regions pair directly.
+    # Members of large regions, with their pivots: those that waited, too. Regions of one pivot join: keys of one group
+    # of near copies mostly have the same.
     members = found.where("key is not null").select("key", F.col("x").alias("id"), F.col("nx").alias("n"), F.col("y").alias("pivot"), F.col("ny").alias("np"))
-    # Regions of one pivot join: keys of one group of near copies mostly have the same.
-    regions = staged(members.select("pivot", "np", "id", "n").distinct(), "large")
-    large = members.groupBy("id").agg(F.countDistinct("key").alias("large"))
-    pairs = found.where("key is null").select("x", "nx", "y", "ny").groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"))
+    late = anchors.select(F.explode("late").alias("key"), "id", "n")
+    members = members.unionByName(salted(late, "key", members.where("id = pivot").select("key", "pivot", "np")))
+    members = stage(members.groupBy("id", "n", "pivot", "np").agg(F.count("*").alias("regions")), "members")
+    large = members.groupBy("id").agg(F.sum("regions").alias("large"))
+
+    # Small regions pair directly.
+    pairs = found.where("key is null").groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"))
     for side in "xy":
         pairs = pairs.join(large.select(F.col("id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
     unseen = F.least(F.coalesce("large_x", F.lit(0)), F.coalesce("large_y", F.lit(0)))
-    pairs = staged(pairs.where(F.col("shared") + unseen + rest >= needed).select("x", "y").distinct(), "pairs")
-    links = staged(verified(pairs).where("linked").select("x", "y"), "links")
-    release(spark)
-    rows_of = profile.where("block is null")
-    if regions.isEmpty():
+    pairs = counted = stage(pairs.where(F.col("shared") + unseen + rest >= needed).select("x", "nx", "y", "ny"), "pairs")
+    for side in "xy":
+        pairs = pairs.join(anchors.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"parity_{side}")), [side, f"n{side}"])
+    differ = sum((F.bit_count(F.col("parity_x")[i].bitwiseXOR(F.col("parity_y")[i])) for i in range(PARITY // 64)), F.lit(0))
+    close = stage(pairs.where(differ <= F.col("nx") + F.col("ny") - 2 * needed).select("x", "y").distinct(), "close")
+
+    # All members of a large region are compared with its pivot, exactly.
+    star = members.where((F.col("id") != F.col("pivot")) & (F.least("n", "np") * den >= F.greatest("n", "np") * num))
+    star = star.select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y"))
+    asked = stage(close.unionByName(star).distinct(), "asked")
+    drop(found, anchors, counted)
+
+    some, wanted = only(asked.select(F.explode(F.array("x", "y")).alias("id")).unionByName(members.select("id")).distinct())
+    sets = stage(some.mapInArrow(kernels.tidy(_sets(k, wanted)), "id long, hashes binary"), "sets")
+    both = salted(salted(asked, "x", sets.toDF("x", "a")), "y", sets.toDF("y", "b")).select("x", "y", "a", "b")
+    compared = stage(both.mapInArrow(kernels.tidy(_verified(num, den)), "x long, y long, linked boolean, d double"), "compared")
+    links = stage(compared.where("linked").select("x", "y"), "links")
+    if members.isEmpty():
+        drop(sets, compared, members, asked, close)
         return rows_of, classes, links
 
-    # Large regions: all members are compared with their region's pivot, exactly.
-    star = regions.where((F.col("id") != F.col("pivot")) & (F.least("n", "np") * den >= F.greatest("n", "np") * num))
-    star = star.select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
-    compared = staged(verified(star), "compared")
-    release(spark)
-    links = staged(links.unionByName(compared.where("linked").select("x", "y")), "links")
-    known = compared.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "d").unionByName(compared.select(F.col("y").alias("id"), F.col("x").alias("pivot"), "d")).distinct()
-
     # Shells of distance around the pivot, cut into blocks of bounded size; of these, those recurse whose
     # shells are inside the triangle-inequality window and that hold more than one component.
+    known = compared.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "d").unionByName(compared.select(F.col("y").alias("id"), F.col("x").alias("pivot"), "d"))
     gap = 1 - num / den
     parts = connected_components(links)
-    placed = regions.join(known, ["id", "pivot"], "left").join(parts, "id", "left")
+    placed = members.join(known, ["id", "pivot"], "left").join(parts, "id", "left")
     # Sizes that differ too much bound the distance to the pivot from below, and the shell is that of the bound.
     d = F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")))
     exact = (F.col("id") == F.col("pivot")) | F.col("d").isNotNull()
     placed = placed.select("pivot", "id", F.coalesce("component", "id").alias("component"), F.floor(F.when(exact, d).otherwise(2.0) * SHELLS / gap).cast("int").alias("shell"))
-    mixed = placed.groupBy("pivot").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pivot")
-    placed = staged(placed.join(mixed, "pivot", "left_semi"), "placed")
-    cuts = placed.groupBy("pivot", "shell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
-    placed = placed.join(cuts, ["pivot", "shell"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    placed = stage(placed, "placed")
+    drop(members, asked, close)
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("pivot", "n")
+    cuts = placed.groupBy("pivot", "shell").agg(F.count("*").alias("n")).withColumn("cuts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    placed = join_counts(join_counts(placed, ["pivot"], mixed, "n"), ["pivot", "shell"], cuts, "n").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    placed = stage(placed.select("pivot", "shell", "cut", "id", "component"), "blocks")
     blocks = placed.groupBy("pivot", "shell", "cut").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    one, two = blocks.toDF("pivot", "shell", "cut", "least", "most"), blocks.toDF("pivot", "shell_2", "cut_2", "least_2", "most_2")
+    # The blocks of one pivot meet in several tasks, of 64 blocks on one side each.
+    blocks = blocks.join(blocks.groupBy("pivot").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts")), "pivot")
+    one = blocks.select("pivot", "shell", "cut", "least", "most", F.pmod(F.xxhash64("shell", "cut"), F.col("parts")).cast("int").alias("part"))
+    two = blocks.select("pivot", "shell", "cut", "least", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).toDF("pivot", "shell_2", "cut_2", "least_2", "most_2", "part")
     far = F.lit(int(2 * SHELLS / gap))
     inside = (F.col("shell_2") - F.col("shell") <= SHELLS) | (F.col("shell_2") == far)
     later = (F.col("shell") < F.col("shell_2")) | ((F.col("shell") == F.col("shell_2")) & (F.col("cut") <= F.col("cut_2")))
-    meets = one.join(two, "pivot").where(later & inside & (F.least("least", "least_2") != F.greatest("most", "most_2")))
+    meets = one.join(two, ["pivot", "part"]).where(later & inside & (F.least("least", "least_2") != F.greatest("most", "most_2")))
     meets = meets.select("pivot", "shell", "cut", "shell_2", "cut_2", F.xxhash64("pivot", "shell", "cut", "shell_2", "cut_2").alias("task"))
     sides = meets.select("pivot", "shell", "cut", "task", F.lit(0).alias("side")).unionByName(
         meets.where((F.col("shell") != F.col("shell_2")) | (F.col("cut") != F.col("cut_2"))).select("pivot", F.col("shell_2").alias("shell"), F.col("cut_2").alias("cut"), "task", F.lit(1).alias("side"))
     )
-    work = placed.select("pivot", "shell", "cut", "id", "component").join(sides, ["pivot", "shell", "cut"]).select("task", "side", "id", "component").distinct()
+    work = placed.join(sides, ["pivot", "shell", "cut"]).select("task", "side", "id", "component").distinct()
     work = work.join(sets, "id").select("task", "side", "id", "component", "hashes")
-    more = staged(work.groupBy("task").applyInArrow(_block_links(num, den), "x long, y long"), "more")
+    more = stage(work.groupBy("task").applyInArrow(_block_links(num, den), "x long, y long"), "more")
+    drop(sets, placed, compared)
     return rows_of, classes, links.unionByName(more)
 
 
@@ -398,8 +439,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs, classes, links = jaccard_nodes(df, id_col, text_col, k, threshold, region)
     parts = connected_components(links)
-    reps = docs.where("n > 0").join(classes, ["d1", "d2", "n"]).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    reps = reps.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
+    reps = join_counts(docs.where("n > 0"), ["d1", "d2", "n"], classes, "copies").select("id", "n", "component_id")
     out = reps.unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     lost = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"))
     return out.unionByName(lost.toDF("id", "n", "component_id")).toDF(id_col, "n_shingles", "component_id")

@@ -141,13 +141,72 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total + np.uint64(k))
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice, and for each document the index of its first word (one more at the end).
+
+    A text longer than a slice is hashed in parts of ``SLICE_BYTES``; a word across parts has the hash it would have
+    in one, so memory beyond the result stays that of a part.
+    """
+    if len(data) <= SLICE_BYTES:
+        starts, stops, at = words(data, offsets)
+        return word_hashes(data, starts, stops, lower), at
+    if len(offsets) != 2:
+        parts = [hashed_words(data[a:b], np.array([0, b - a]), lower)[0] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    codes = _BYTE_LOWER if lower else _BYTE
+    out, mask = [], (1 << 64) - 1
+    open_sum, open_at = 0, None  # of a word that has begun in an earlier part: its sum, and where it began
+    for a in range(0, len(data), SLICE_BYTES):
+        part = data[a : a + SLICE_BYTES]
+        starts, stops, _ = words(part, np.array([0, len(part)]))
+        if not len(starts):
+            if open_at is not None:
+                out.append(mix(np.array([open_sum], np.uint64)))
+                open_at = None
+            continue
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(codes[part] * up[: len(part)], out=sums[1:])
+        raw = (sums[stops] - sums[starts]) * down[starts]
+        if open_at is not None:
+            if starts[0] == 0:  # the word goes on
+                raw[0] = np.uint64((open_sum + int(raw[0]) * pow(_MULTIPLIER, a - open_at, 1 << 64)) & mask)
+            else:
+                out.append(mix(np.array([open_sum], np.uint64)))
+                open_at = None
+        if stops[-1] == len(part) and a + len(part) < len(data):
+            open_at = open_at if open_at is not None and len(raw) == 1 and starts[0] == 0 else a + int(starts[-1])
+            open_sum = int(raw[-1])
+            raw = raw[:-1]
+        else:
+            open_at = None
+        out.append(mix(raw))
+    if open_at is not None:
+        out.append(mix(np.array([open_sum], np.uint64)))
+    hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return hashes, np.array([0, len(hashes)])
+
+
+def _distinct_runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct hashes of all runs of ``k`` neighbours, in parts of bounded size."""
+    n, step = len(hashes) - k + 1, SLICE_BYTES
+    if n <= step:
+        return np.unique(runs(hashes, k))
+    found = [np.unique(runs(hashes[i : i + step + k - 1], k)) for i in range(0, n, step)]
+    while len(found) > 1:
+        found = [np.union1d(*found[i : i + 2]) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return found[0]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each document the sorted distinct hashes of its k-word shingles (A-Z lower-cased).
 
     A document of fewer words has its whole sequence as its only shingle; one without words has none.
     """
-    starts, stops, at = words(data, offsets)
-    hashes = word_hashes(data, starts, stops)
+    hashes, at = hashed_words(data, offsets)
+    if len(offsets) == 2:
+        yield _distinct_runs(hashes, k) if len(hashes) >= k else runs(hashes, len(hashes)) if len(hashes) else hashes
+        return
     full = runs(hashes, k)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= k:
