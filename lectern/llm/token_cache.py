@@ -3,7 +3,7 @@
 The cache is a Parquet folder of (text_digest, tokenizer_digest, n_tokens). A text's digest is the
 SHA-256 of its normalised content; the tokenizer's digest is that of its file and of this module's
 rules, so a new version misses every old entry. Digests are joined to stored counts; only the distinct
-texts that miss are encoded; their counts are appended.
+texts that miss are encoded; their counts are appended. Texts do not cross an exchange.
 
 Normalisation must not change a count: it is what the tokenizer itself does first, which for a byte-level
 BPE is nothing, so content is the text itself (null as the empty text).
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from . import kernels
-from .common import shared_dir
+from .common import Scratch, among, id_bits, join_counts, shared_dir
 from .tokens import encoder
 
 RULES = "counts-1"
 SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens long"
-#: Digests that a task remembers to drop copies early; beyond it copies are dropped after the exchange.
+#: Digests that a task remembers, so as not to encode one again.
 SEEN = 1 << 20
 
 
@@ -33,34 +33,25 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(RULES.encode() + f.read()).hexdigest()
 
 
-def _once(batches):
-    """Rows whose digest this task has not seen yet, so that a hot text crosses the exchange once a task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for i, digest in enumerate(batch.column(0).to_pylist()):
-            if digest not in seen:
-                keep.append(i)
-                if len(seen) < SEEN:
-                    seen.add(digest)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
-def _counted(path: str, tokenizer: str):
-    """Rows sorted by digest: one count for each distinct digest."""
+def _counted(path: str, tokenizer: str, wanted):
+    """Counts of rows (place, digest, text) whose place is among the bits, each digest once in a task."""
     def run(batches):
         enc = encoder(path)
-        last = None
+        bits = wanted.value if wanted is not None else None
+        seen: set[bytes] = set()
         for batch in batches:
+            if bits is not None:
+                batch = batch.take(pa.array(np.flatnonzero(among(bits, batch.column(0).to_numpy(zero_copy_only=False)))))
             keep = []
-            for i, digest in enumerate(batch.column(0).to_pylist()):
-                if digest != last:
+            for i, digest in enumerate(batch.column(1).to_pylist()):
+                if digest not in seen:
                     keep.append(i)
-                last = digest
+                    if len(seen) < SEEN:
+                        seen.add(digest)
             part = batch.take(pa.array(keep, pa.int64()))
-            counts = [np.diff(offsets) for _, offsets in enc.batches(part.column(1))]
+            counts = [np.diff(offsets) for _, offsets in enc.batches(part.column(2))]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pa.record_batch([part.column(0), pa.array([tokenizer] * len(part), pa.string()), pa.array(n, pa.int64())], names=["text_digest", "tokenizer_digest", "n_tokens"])
+            yield pa.record_batch([part.column(1), pa.array([tokenizer] * len(part), pa.string()), pa.array(n, pa.int64())], names=["text_digest", "tokenizer_digest", "n_tokens"])
 
     return run
 
@@ -75,24 +66,41 @@ def read_cache(spark, cache: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def compact(spark, cache: str, to: str) -> None:
+    """Write the stored counts to a new folder, each once: appends leave a file or more for each run."""
+    read_cache(spark, cache).groupBy("text_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(to)
+
+
 def count_tokens(df: DataFrame, path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of every row; what the cache lacks is encoded and appended to it.
 
-    ``cache`` is a folder that executors share (default: one in ``spark.checkpoint.dir``). Copies and
-    repeated rows are encoded once; a null text counts as empty, with 0 tokens. Two appends of one text
-    by runs at the same time leave two equal rows, which are read as one. Other columns are ignored.
+    ``cache`` is a folder that executors share (default: one in ``spark.checkpoint.dir``). Only digests are exchanged: those
+    that the cache lacks choose one row each, which is encoded where it is read, so texts stay in place (beyond
+    ``common.MOST_BITS`` by 16 rows a join brings the texts to the digests). Rows equal in id and text are chosen together,
+    and encoded once by each task. A null text counts as empty, with 0 tokens. Nothing is appended where nothing is lacking;
+    two appends of one text by runs at the same time leave two equal rows, which are read as one. Other columns are ignored.
+    An empty table gives an empty result.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark, "counts")
     cache = cache or f"{shared_dir(spark)}/token-counts"
     tokenizer = tokenizer_digest(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer)
-    misses = rows.select("digest", "text").mapInArrow(kernels.tidy(_once, keep=True), "digest binary, text string")
-    if not stored.isEmpty():
-        misses = misses.join(stored.select(F.col("text_digest").alias("digest")).distinct(), "digest", "left_anti")
-    misses = misses.repartition("digest").sortWithinPartitions("digest")
-    misses.mapInArrow(kernels.tidy(_counted(path, tokenizer), keep=True), SCHEMA).write.mode("append").parquet(cache)
-    known = read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer).groupBy(F.col("text_digest").alias("digest")).agg(F.max("n_tokens").alias("n_tokens"))
-    out = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(known, "digest")
+    place = F.xxhash64(F.col("id").cast("string"), "digest")
+    each = scratch.stage(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    stored = lambda: read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer).select(F.col("text_digest").alias("digest"), "n_tokens")
+    distinct = scratch.stage(each.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("place")), "distinct")
+    lacking = scratch.stage(distinct.join(stored(), "digest", "left_anti").select("place", "digest"), "lacking")
+    if not lacking.isEmpty():
+        bits = id_bits(lacking.select("place"))
+        asked = rows.select(place.alias("place"), "digest", "text")
+        asked = asked if bits is not None else asked.join(lacking, ["place", "digest"], "left_semi")
+        made = asked.mapInArrow(kernels.tidy(_counted(path, tokenizer, spark.sparkContext.broadcast(bits) if bits is not None else None), keep=True), SCHEMA)
+        made = scratch.stage(made, "made")
+        new = made.dropDuplicates(["text_digest"]).join(lacking.select(F.col("digest").alias("text_digest")), "text_digest", "left_semi")
+        new.write.mode("append").parquet(cache)
+        scratch.drop(made)
+    known = distinct.join(stored(), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.max("copies").alias("copies"))
+    out = join_counts(each, ["digest"], known, "copies")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

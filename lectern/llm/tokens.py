@@ -2,14 +2,18 @@
 
 A byte-level BPE encodes each pre-token alone, so equal pre-tokens have equal ids. Pre-tokens of a
 slice of texts are found by array arithmetic, looked up by a 64-bit hash in a direct-mapped cache of
-fixed size, and only those not in it are encoded, by the library itself. Texts with the string of an
-added token, and tokenizers of any other build, go to the library whole.
+fixed size, and only those not in it are encoded, by the library itself. Texts are cut at the strings of added
+tokens, and long ones between pre-tokens. Tokenizers of any other build get whole texts.
+
+Two different pre-tokens with one hash would be taken for each other: a chance of 1 / 2^64 for a pre-token and an
+entry of the cache, 1e-13 for each look-up.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,7 +40,10 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("dropout")
-        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        tokens = spec.get("added_tokens", [])
+        self.plain &= not any(t.get(flag) for t in tokens for flag in ("lstrip", "rstrip", "single_word"))
+        self.added = {t["content"].encode(): t["id"] for t in tokens}
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self.keys = np.zeros(CACHE, np.uint64)
         self.lengths = np.zeros(CACHE, np.uint8)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
@@ -120,7 +127,7 @@ class Encoder:
         begins[at[:-1][at[:-1] < len(points)]] = True
         starts = self._starts(points, begins)
         stops = np.concatenate([starts[1:], [len(points)]])
-        hashes = kernels.span_hashes(self.codes[points], starts, stops)
+        hashes = np.maximum(kernels.span_hashes(self.codes[points], starts, stops), np.uint64(1))  # 0 is an empty place
         lengths, rows, long = self._look_up(text, hashes, starts, stops)
         if long:
             repeats = np.maximum(1, -(-lengths // WIDTH))
@@ -137,30 +144,55 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return flat, ends[np.searchsorted(starts, at)]
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """The ids of one text, cut between pre-tokens into parts of about a slice."""
+        if not raw:
+            return np.zeros(0, np.int32)
+        if len(raw) <= kernels.SLICE_BYTES:
+            return self._slice(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        text = raw.decode()
+        out, at = [], 0
+        while at < len(text):
+            end = min(len(text), at + kernels.SLICE_BYTES)
+            while end < len(text) and not _between(text, end):
+                end += 1
+            out.append(self._slice(np.frombuffer(part := text[at:end].encode(), np.uint8), np.array([0, len(part)]))[0])
+            at = end
+        return np.concatenate(out)
+
+    def _whole(self, raw: bytes) -> np.ndarray:
+        """The ids of one text that may hold strings of added tokens."""
+        if not self.plain:
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.int32)
+        parts = self.split.split(raw) if self.split else [raw]
+        return np.concatenate([np.array([self.added[p]], np.int32) if i % 2 else self._long(p) for i, p in enumerate(parts)])
+
     def batches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets by text) for consecutive slices of a string column; null counts as empty."""
         for _, _, data, offsets in kernels.slices(column):
-            raw = data.tobytes() if self.added or not self.plain else b""
-            special = [] if self.plain else list(range(len(offsets) - 1))
-            for token in self.added if self.plain else []:
-                i = raw.find(token)
-                while i >= 0:
-                    special.append(int(np.searchsorted(offsets, i, "right")) - 1)
-                    i = raw.find(token, i + 1)
             if not len(data):
                 yield np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-            elif not special:
+                continue
+            raw = data.tobytes()
+            whole = range(len(offsets) - 1)
+            if self.plain and len(offsets) > 2:
+                found = [m.start() for m in self.split.finditer(raw)] if self.split else []
+                whole = set((np.searchsorted(offsets, found, "right") - 1).tolist())
+            if not whole:
                 yield self._slice(data, offsets)
-            else:
-                whole = set(special)
-                parts = []
-                for d in range(len(offsets) - 1):
-                    piece = data[offsets[d] : offsets[d + 1]]
-                    if d in whole:
-                        parts.append(np.array(self.tokenizer.encode(piece.tobytes().decode(), add_special_tokens=False).ids, np.int32))
-                    else:
-                        parts.append(self._slice(piece, np.array([0, len(piece)]))[0] if len(piece) else np.zeros(0, np.int32))
-                yield np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                continue
+            parts = []
+            for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                parts.append(self._whole(raw[a:b]) if d in whole else self._long(raw[a:b]))
+            yield np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def _between(text: str, at: int) -> bool:
+    """Whether a pre-token surely begins here: a blank or line feed between two others, or no letter, number or space after a letter."""
+    c, before = text[at], text[at - 1]
+    if c in " \n":
+        return not before.isspace() and at + 1 < len(text) and not text[at + 1].isspace()
+    return before.isalpha() and not c.isalnum() and not c.isnumeric() and not c.isspace()
 
 
 def encoder(path: str) -> Encoder:
