@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +30,39 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("lectern", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a local master (driver and executors are one process) has a temporary folder,
+    removed at exit; on a cluster this is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -5,15 +5,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import page_key, row_key
-from ..operators.gates import GateError, require_unique
+from ..operators.gates import GateError, require_coverage, require_unique
 
 QA_SCHEMA = (
     "qa_id string, page_id string, doc_id string, language string, domain string, question string, answer_span string, answer_chunk string, question_type string, difficulty string, "
     "multi_page boolean, referenced_pages array<string>, metadata struct<generator_model:string,generator_temperature:double,generation_timestamp:string,human_verified:boolean,verification_notes:string,rationale:string>"
 )
+
+
+def _decoded(path) -> Column:
+    """A file's path without the escapes of a URI; a plus is a plus."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 MESSAGES = "messages array<struct<role:string,content:string>>, images array<string>"
 CHUNKS = "chunk_id string, page_id string, text string"
 PREFERENCE = "page_id string, image string, system_prompt string, user_prompt string, chosen_markdown string, rejected_markdown string, chosen_rcps double, rejected_rcps double, rcps_gap double, n_qa int"
@@ -49,10 +56,11 @@ def page_index(spark: SparkSession, path: str, prefix: str = "val") -> DataFrame
     return rows.select(row_key(F.col("index"), prefix).alias("page_id"), doc_page(F.get("r.images", F.lit(0))).alias("stem"))
 
 
-def ground_truth(spark: SparkSession, path: str, prefix: str = "val") -> DataFrame:
-    """(page_id, markdown): the first assistant message of each line."""
+def ground_truth(spark: SparkSession, path: str, prefix: str = "val", pages: DataFrame | None = None) -> DataFrame:
+    """(page_id, markdown): the first assistant message of each line, of the given pages only."""
     rows = numbered_lines(spark, path).withColumn("r", F.from_json("value", MESSAGES))
-    return rows.select(row_key(F.col("index"), prefix).alias("page_id"), assistant_message(F.col("r.messages")).alias("markdown"))
+    out = rows.select(row_key(F.col("index"), prefix).alias("page_id"), assistant_message(F.col("r.messages")).alias("markdown"))
+    return out if pages is None else out.join(pages.select("page_id").distinct(), "page_id", "left_semi")
 
 
 def assistant_message(messages):
@@ -60,16 +68,23 @@ def assistant_message(messages):
 
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
-    """(stem, path, markdown) of every file, in the order of names. An empty file is an empty text."""
+    """(stem, path, markdown) of every file, in no order. An empty file is an empty text."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     files = reader.load(folder)
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
     # File sources leave out empty files, so the listing that the driver has anyway says which there are.
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(bare(F.url_decode("path")).alias("path"))
-    read = files.select(bare("path").alias("path"), F.decode("content", F.lit("UTF-8")).alias("markdown"))
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(bare(_decoded(F.col("path"))).alias("path"))
+    read = files.select(bare("path").alias("path"), F.decode("content", "UTF-8").alias("markdown"))
     name = F.substring_index(F.col("path"), "/", -1)
-    rows = listed.join(read, "path", "left").select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "path", F.coalesce("markdown", F.lit("")).alias("markdown"))
-    return rows.orderBy("stem")
+    return listed.join(read, "path", "left").select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "path", F.coalesce("markdown", F.lit("")).alias("markdown"))
+
+
+def parsed_pages(spark: SparkSession, root: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(page_id, markdown) of ``<root>/<part>/<page_id>.md``; of the allowed pages only. Two files of one page raise."""
+    files = read_markdown(spark, f"{root}/*").select(F.col("stem").alias("page_id"), "markdown")
+    files = files if allowed is None else files.join(allowed.select("page_id").distinct(), "page_id", "left_semi")
+    require_unique(files.select("page_id"), "page_id")
+    return files
 
 
 def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: str, strict: bool = False) -> DataFrame:
@@ -85,7 +100,7 @@ def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: st
 def document_index(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """(name, path) of all files below a folder; two files of one name raise."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).inputFiles()
-    files = spark.createDataFrame([(f,) for f in files], "path string").select(F.url_decode("path").alias("path"))
+    files = spark.createDataFrame([(f,) for f in files], "path string").select(_decoded(F.col("path")).alias("path"))
     return require_unique(files.select(F.regexp_replace(F.substring_index("path", "/", -1), rf"{suffix.replace('.', '[.]')}$", "").alias("name"), "path"), "name")
 
 
@@ -106,6 +121,16 @@ def flat_questions(rows: DataFrame, domains: Iterable[str] | None = None) -> Dat
     return out if domains is None else out.where(F.col("domain").isin(*domains))
 
 
+def audited_questions(rows: DataFrame, pages: DataFrame, domains: Iterable[str] | None = None) -> DataFrame:
+    """Q-A rows whose declared domain is their page row's, and whose evidence page is in the corpus; others raise."""
+    qa = flat_questions(rows, domains)
+    wrong = qa.where(F.col("domain") != F.col("declared_domain")).count()
+    if wrong:
+        raise GateError(f"{wrong} Q-A rows declare another domain than their page row")
+    require_coverage(qa, pages, "page_id", "corpus")
+    return qa
+
+
 def corpus_page_ids(spark: SparkSession, path: str, without: Iterable[str] = ()) -> DataFrame:
     """Distinct page keys of benchmark rows; only two columns are read."""
     return spark.read.parquet(path).select(page_key(F.col("doc_name"), F.col("page_idx")).alias("page_id")).where(~F.col("page_id").isin(*without)).distinct()
@@ -114,7 +139,7 @@ def corpus_page_ids(spark: SparkSession, path: str, without: Iterable[str] = ())
 def read_page_json(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
     """(page_id, markdown) of one JSON array of (page_idx, text) for each document; a null text of a page becomes ''."""
     rows = spark.read.schema("page_idx int, text string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    name = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), r"\.json$", "")
+    name = F.regexp_replace(F.substring_index(_decoded(F.col("_metadata.file_path")), "/", -1), r"\.json$", "")
     out = rows.select(page_key(name, F.col("page_idx")).alias("page_id"), F.coalesce("text", F.lit("")).alias("markdown"))
     return out if expected is None else out.join(expected.select("page_id"), "page_id", "left_semi")
 
@@ -145,7 +170,10 @@ def parse_metric_key(key):
 
 
 def training_examples(qa: DataFrame, pages: DataFrame, fold: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """(examples, counts of what was left out): Q-A of a fold with the page's text and image, pages without an image left out."""
+    """(examples, counts of what was left out): Q-A of a fold with the page's text and image.
+
+    Q-A without a page, and pages without an image (a null), are left out and counted.
+    """
     own = qa if fold is None else qa.join(fold.select("page_id"), "page_id", "left_semi")
     joined = own.join(pages, "page_id")
     kept = joined.where(F.col("image").isNotNull())
