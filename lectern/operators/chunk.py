@@ -118,23 +118,16 @@ def topic_chunks(pages: DataFrame, boundary: Callable[[list[str], int, int], int
 def midpoint_split(text: Column, min_each: int = 20) -> Column:
     """STRUCT(head, tail) cut at the white space nearest to the middle, left on ties, at most an eighth of the text
     away (else cut there); null where a part is shorter than ``min_each``."""
-    @F.pandas_udf("head string, tail string")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            n = len(t) if t is not None else 0
-            if n < 2 * min_each or not n:
-                rows.append((None, None))
-                continue
-            mid, reach = n // 2, max(1, n // 8)
-            back = next((i for i in range(mid, mid - reach, -1) if t[i] in " \t\n"), mid - reach)
-            ahead = next((i for i in range(mid, mid + reach) if t[i] in " \t\n"), mid + reach)
-            at = ahead if ahead - mid < mid - back else back
-            head, tail = t[:at].strip(), t[at:].strip()
-            rows.append((head, tail) if min(len(head), len(tail)) >= min_each else (None, None))
-        return pd.DataFrame(rows, columns=["head", "tail"])
-
-    return cut(text)
+    n = F.length(text)
+    mid, reach = F.floor(n / 2).cast("int"), F.greatest(F.lit(1), F.floor(n / 8)).cast("int")
+    left, right = F.substring(text, mid - reach + 2, reach), F.substring(text, mid + 1, reach)
+    back = mid - reach + F.length(left) - F.length(F.regexp_extract(left, r"[^ \t\n]*\z", 0))
+    ahead = mid + F.length(F.regexp_extract(right, r"^[^ \t\n]*", 0))
+    at = F.when(ahead - mid < mid - back, ahead).otherwise(back)
+    parts = once(F.struct(text.alias("t"), at.alias("at")), lambda x: F.struct(strip(F.substring(x["t"], F.lit(1), x["at"])).alias("head"), strip(F.substring(x["t"], x["at"] + 1, F.length(x["t"]))).alias("tail")))
+    none = F.lit(None).cast("struct<head:string,tail:string>")
+    whole = once(parts, lambda p: F.when(F.least(F.length(p["head"]), F.length(p["tail"])) >= min_each, p).otherwise(none))
+    return F.when(n >= 2 * min_each, whole).otherwise(F.struct(F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail")))
 
 
 def expand_span(span: Column, text: Column, low: int = 200, high: int = 800) -> Column:
@@ -164,14 +157,16 @@ def adjacent(chunks: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame
 
 def boundary_positions(chunks: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunks.select(*by, "pos", F.sum(F.length("text")).over(w).cast("long").alias("position"))
+    sizes = chunks.select(*by, "pos", F.length("text").alias("_n"))  # lengths cross the exchange, not texts
+    return sizes.select(*by, "pos", F.sum("_n").over(w).cast("long").alias("position"))
 
 
 def joined_spans(chunks: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Where each chunk stands in its page's chunks joined by line breaks: (*by, pos, span_start, span_end)."""
     w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("text") + 1).over(w) - 1
-    return chunks.select(*by, "pos", "chunk_id", (end - F.length("text")).cast("long").alias("span_start"), end.cast("long").alias("span_end"))
+    sizes = chunks.select(*by, "pos", "chunk_id", F.length("text").alias("_n"))  # lengths cross the exchange, not texts
+    end = F.sum(F.col("_n") + 1).over(w) - 1
+    return sizes.select(*by, "pos", "chunk_id", (end - F.col("_n")).cast("long").alias("span_start"), end.cast("long").alias("span_end"))
 
 
 def overlapping_tokens(spans: DataFrame, offsets: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -190,6 +185,21 @@ def boundary_jaccard(a: Column, b: Column, tolerance: int = 50) -> Column:
     return once(F.array_distinct(a), lambda x: once(F.array_distinct(b), lambda y: share(x, y)))
 
 
+def boundaries_near(positions: DataFrame, a: str, b: str, tolerance: int = 50, by: str = "page_id") -> DataFrame:
+    """(by, nx, ny, jaccard) of pages with boundaries (by, system, position) of both systems: as ``boundary_jaccard``, by one
+    sweep over a page's sorted positions, so a page of many boundaries costs no more than their sort."""
+    rows = positions.where(F.col("system").isin(a, b)).select(by, "system", "position").distinct()
+    w = Window.partitionBy(by).orderBy("position")
+    other = lambda s, window, pick: pick(F.when(F.col("system") != s, F.col("position"))).over(window)
+    before, after = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    last = F.when(F.col("system") == a, other(a, before, F.max)).otherwise(other(b, before, F.max))
+    first = F.when(F.col("system") == a, other(a, after, F.min)).otherwise(other(b, after, F.min))
+    near = F.coalesce(F.col("position") - last <= tolerance, F.lit(False)) | F.coalesce(first - F.col("position") <= tolerance, F.lit(False))
+    of = lambda s, c: F.count(F.when((F.col("system") == s) & c, 1))
+    sums = rows.withColumn("_near", near).groupBy(by).agg(of(a, F.lit(True)).alias("nx"), of(b, F.lit(True)).alias("ny"), of(a, F.col("_near")).alias("mx"), of(b, F.col("_near")).alias("my"))
+    return sums.where("nx > 0 AND ny > 0").select(by, "nx", "ny", (F.least("mx", "my") / F.greatest("nx", "ny")).alias("jaccard"))
+
+
 #: Chunkers by name.
 CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fixed500": lambda p: fixed_chunks(p, 500),

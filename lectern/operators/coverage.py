@@ -11,17 +11,30 @@ from ..functions.text import longest_common_substring, normalize_for_match, nume
 TOKEN_RECALL, SUBSTRING = 0.90, 0.80
 
 
-def classify(qa: DataFrame, pages: DataFrame, chunks: DataFrame, exact_unicode: bool = True) -> DataFrame:
-    """``qa`` (page_id, answer_span, ...) with ``location``. A null markdown or a missing page is no_parse; an empty span is absent."""
-    norm = lambda c: normalize_for_match(F.col(c), exact_unicode)
-    keys = qa.withColumn("_span", norm("answer_span")).withColumn("_row", F.monotonically_increasing_id())
-    texts = pages.select("page_id", norm("markdown").alias("_page"), F.col("markdown").isNotNull().alias("_parsed"))
-    found = keys.select("_row", "page_id", "_span").join(chunks.select("page_id", norm("text").alias("_chunk")), "page_id").where(F.contains("_chunk", "_span")).select("_row").distinct().withColumn("_covered", F.lit(True))
-    rows = keys.join(texts, "page_id", "left").join(found, "_row", "left")
-    place = F.when(~F.coalesce("_parsed", F.lit(False)), "no_parse").when(F.coalesce("_span", F.lit("")) == "", "absent").when(F.coalesce("_covered", F.lit(False)), "covered").when(F.contains("_page", "_span"), "split").otherwise("absent")
+#: Stands between the chunks of a page where they are searched as one text; no normalised span has it.
+BETWEEN = "\x01"
+
+
+def classify_pieces(qa: DataFrame, pages: DataFrame, pieces: Column, exact_unicode: bool = True) -> DataFrame:
+    """``qa`` (page_id, answer_span, ...) with ``location``; ``pieces`` is an array of the chunks of each of ``pages``.
+
+    Chunking, normalising and searching happen in the page's row, so no chunk text is a row of its own. A null markdown or a
+    missing page is no_parse; an empty span is absent.
+    """
+    norm = lambda c: normalize_for_match(c, exact_unicode)
+    keys = qa.withColumn("_span", F.replace(norm(F.col("answer_span")), F.lit(BETWEEN), F.lit("")))
+    texts = pages.select("page_id", norm(F.col("markdown")).alias("_page"), norm(F.array_join(pieces, BETWEEN)).alias("_chunks"), F.col("markdown").isNotNull().alias("_parsed"))
+    rows = keys.join(texts, "page_id", "left")
+    place = F.when(~F.coalesce("_parsed", F.lit(False)), "no_parse").when(F.coalesce("_span", F.lit("")) == "", "absent").when(F.coalesce(F.contains("_chunks", "_span"), F.lit(False)), "covered").when(F.contains("_page", "_span"), "split").otherwise("absent")
     return rows.withColumn("location", place).select(*qa.columns, "location")
 
 
+def classify(qa: DataFrame, pages: DataFrame, chunks: DataFrame, exact_unicode: bool = True) -> DataFrame:
+    """As ``classify_pieces``, of a stored table of chunks (page_id, text): a page's chunks meet in its row."""
+    own = chunks.groupBy("page_id").agg(F.collect_list("text").alias("_pieces"))
+    return classify_pieces(qa, pages.join(own, "page_id", "left"), F.coalesce("_pieces", F.array().cast("array<string>")), exact_unicode)
+
+
 def tally(located: DataFrame, dimensions: tuple[str, ...] = ("question_type", "difficulty")) -> DataFrame:
     """Counts over grouping sets: all, and each dimension alone. (dimension, level, location, n)"""
     sets = located.groupingSets([["location"], *(["location", d] for d in dimensions)], "location", *dimensions).agg(F.count("*").alias("n"), *(F.grouping(d).alias(f"_{d}") for d in dimensions))
@@ -77,14 +90,17 @@ def l4(answer: Column, page: Column, least: float = SUBSTRING) -> Column:
 LADDER = {"L0_exact": l0, "L1_normalized": l1, "L2_numeric": l2, "L3_token_recall": l3, "L4_fuzzy_lcs": l4}
 
 
-def absent_rates(qa: DataFrame, pages: DataFrame, rungs: tuple[str, ...] = tuple(LADDER), by: str = "question_type", exact_unicode: bool = True) -> DataFrame:
-    """(rung, level, n, absent): the share without the answer on its page, for all and by a dimension. A page that is not parsed is absent everywhere."""
-    rows = qa.join(pages.select("page_id", "markdown"), "page_id", "left")
+def absent_rates(qa: DataFrame, pages: DataFrame, rungs: tuple[str, ...] = tuple(LADDER), by: str = "question_type", exact_unicode: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, rung, level, n, absent): the share without the answer on its page, for all and by a dimension. A page that is
+    not parsed is absent everywhere. ``within`` names columns of the pages (a parser) that have rates of their own."""
+    rows = qa.join(pages.select("page_id", "markdown", *within), "page_id", "left")
     extra = lambda r: {} if r in ("L0_exact", "L4_fuzzy_lcs") else {"exact_unicode": exact_unicode}
     found = {r: F.coalesce(LADDER[r](F.col("answer_span"), F.col("markdown"), **extra(r)), F.lit(False)) for r in rungs}
-    rows = rows.select(F.col(by).cast("string").alias("level"), *(f.alias(r) for r, f in found.items()))
-    long = rows.select("level", F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), F.col(r).alias("present")) for r in rungs))).alias("x"))
-    return long.select("level", "x.*").groupingSets([["rung"], ["rung", "level"]], "rung", "level").agg(F.count("*").alias("n"), F.avg((~F.col("present")).cast("double")).alias("absent"), F.grouping("level").alias("g")).select("rung", F.when(F.col("g") == 1, "all").otherwise(F.col("level")).alias("level"), "n", "absent")
+    rows = rows.select(*within, F.col(by).cast("string").alias("level"), *(f.alias(r) for r, f in found.items()))
+    long = rows.select(*within, "level", F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), F.col(r).alias("present")) for r in rungs))).alias("x"))
+    sets = long.select(*within, "level", "x.*").groupingSets([[*within, "rung"], [*within, "rung", "level"]], *within, "rung", "level")
+    counts = sets.agg(F.count("*").alias("n"), F.avg((~F.col("present")).cast("double")).alias("absent"), F.grouping("level").alias("g"))
+    return counts.select(*within, "rung", F.when(F.col("g") == 1, "all").otherwise(F.col("level")).alias("level"), "n", "absent")
 
 
 def answerable(qa: DataFrame, pages: DataFrame, stop: tuple[str, ...] = (), least: int = 2) -> DataFrame:

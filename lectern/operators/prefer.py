@@ -11,6 +11,11 @@ def keep_first(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def first_places(rows: DataFrame, keys: tuple[str, ...], order: str, out: str = "first") -> DataFrame:
+    """Distinct keys with the least ``order`` of each: sorted by it, they are in the order in which they first came."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(out))
+
+
 def keep_last(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """The last row of each key, by a pre-aggregated maximum: a hot key does not gather."""
     rest = [c for c in rows.columns if c not in keys]
@@ -84,11 +89,28 @@ def positives(qa: DataFrame, chunks: DataFrame) -> DataFrame:
     return qa.select("qa_id", "page_id").join(first, "qa_id", "left")
 
 
+def positives_in(qa: DataFrame, pages: DataFrame, pieces: Column, name: str) -> DataFrame:
+    """As ``positives``, of pages and an array of their chunks: the first that contains the span, found in the page's row."""
+    rows = qa.select("qa_id", "page_id", "answer_span").join(pages.select("page_id", pieces.alias("_pieces")), "page_id", "left")
+    at = F.array_position(F.transform("_pieces", lambda p: F.contains(p, F.col("answer_span"))), True)
+    return rows.select("qa_id", "page_id", F.when(at > 0, F.concat(F.col("page_id").cast("string"), F.lit(f"::{name}#"), (at - 1).cast("string"))).alias("chunk_id"))
+
+
+def in_batch_negatives(anchors: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(qa_id, batch, chunk_id): the positives of the other anchors of a batch, never those of the same page. Anchors are dealt to
+    batches of about ``size`` by a seeded hash, so a batch is bounded whatever the number of anchors."""
+    batches = F.greatest(F.lit(1), F.ceil(F.lit(anchors.count() / size))).cast("long")
+    dealt = anchors.where("chunk_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64(F.col("qa_id").cast("string"), F.lit(seed)), batches))
+    other = dealt.select("batch", F.col("page_id").alias("_page"), "chunk_id").distinct()
+    return dealt.select("qa_id", "page_id", "batch").join(other, "batch").where(F.col("_page") != F.col("page_id")).select("qa_id", "batch", "chunk_id")
+
+
 def sampled_negatives(anchors: DataFrame, items: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` negatives of each anchor from its own page, never its positive, then repeated from the start where the page has
     too few: anchors(qa_id, page_id, chunk_id), items(page_id, chunk_id)."""
     own = anchors.join(items.withColumnRenamed("chunk_id", "other"), "page_id").where(F.col("other") != F.col("chunk_id"))
-    w = Window.partitionBy("qa_id").orderBy(F.xxhash64("qa_id", "other", F.lit(seed)), "other")
+    place = F.md5(F.concat(F.lit(f"{seed}-"), F.col("qa_id").cast("string"), F.lit("-"), F.col("other")).cast("binary"))
+    w = Window.partitionBy("qa_id").orderBy(place, "other")
     few = own.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
     got = few.groupBy("qa_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "other"))), lambda x: x["other"]).alias("pool"))
     slots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("pool", i % F.size("pool"))))

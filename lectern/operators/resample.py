@@ -22,7 +22,7 @@ def hashed_index(replicate: Column, row: Column, n: Column) -> Column:
 
 def hashed_bootstrap(values: DataFrame, value: str, order: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
     """(n, mean, low, high, p_positive). Rows are numbered by ``order``; replicates run in parallel and only their sums meet."""
-    rows = values.select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
+    rows = numbered(values.select(F.col(value).cast("double").alias("v"), F.col(order).alias("_order")), "_order", out="i")
     n = rows.count()
     spark = values.sparkSession
     draws = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(spark.range(n).select(F.col("id").alias("j")))  # replicates x n draws are the method
@@ -77,7 +77,79 @@ def kendall(ranks: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("rep"
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return rows.withColumn(out, F.rank().over(w) + (ties - 1) / 2.0)
+    """Ranks from 1, ties sharing their mean. Equal values are counted first, so ties of any number are one row."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    before = _running(counts, value, "_n", by)
+    ranks = before.select(*by, F.col(value).alias("_value"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
+    same = F.col(value).eqNullSafe(F.col("_value"))
+    for c in by:
+        ranks = ranks.withColumnRenamed(c, f"_by_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(ranks, same).drop("_value", *(f"_by_{c}" for c in by))
+
+
+#: Cells into which a column's range is cut for running sums.
+CELLS = 1024
+
+
+def _running(rows: DataFrame, order: str, count: str, by: tuple[str, ...] = (), then: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``_before``: the sum of ``count`` of all rows before it in the order of a numeric column (then of others).
+
+    No window has all rows: the column's range is cut into ``CELLS`` cells, whose sums (few rows) are added up, and only a
+    cell's own rows are ordered.
+    """
+    bounds = rows.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    wide = rows.join(F.broadcast(bounds), list(by)) if by else rows.crossJoin(F.broadcast(bounds))  # a row for each group
+    width = (F.col("_high") - F.col("_low")).cast("double") / CELLS
+    cell = F.when(width > 0, F.least(F.floor((F.col(order) - F.col("_low")).cast("double") / width), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    wide = wide.withColumn("_cell", F.coalesce(cell, F.lit(-1)).cast("int")).drop("_low", "_high")
+    sums = wide.groupBy(*by, "_cell").agg(F.sum(count).alias("_sum"))
+    # Bucketed by a constant where there is no group: CELLS rows.
+    until = Window.partitionBy(*(by or (F.lit(0),))).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_cell", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)
+    out = wide.withColumn("_inside", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return out.join(F.broadcast(sums), [*by, "_cell"]).withColumn("_before", F.col("_offset") + F.col("_inside")).drop("_cell", "_offset", "_inside")
+
+
+def numbered(rows: DataFrame, order: str, *then: str, out: str = "i") -> DataFrame:
+    """``rows`` with their number from 0 in the order of a numeric column, then of others."""
+    return _running(rows.withColumn("_one", F.lit(1)), order, "_one", (), then).withColumn(out, F.col("_before").cast("long")).drop("_before", "_one")
+
+
+#: The distribution function of a Poisson variable of mean 1, up to 7.
+POISSON = tuple(float(x) for x in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(8)]))
+
+
+def poisson_bootstrap(values: DataFrame, value: str, key: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(n, mean, low, high, p_positive) with independent Poisson weights of mean 1 for each row and replicate.
+
+    The weight comes from md5('replicate-key'), so a row needs no number and no other row: one pass, of which only the sums of
+    each replicate leave a task.
+    """
+    rows = values.select(F.col(value).cast("double").alias("v"), F.col(key).cast("string").alias("key"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    unit = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        weight = F.when(unit < POISSON[k], k).otherwise(weight)
+    means = drawn.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    interval = means.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("p_positive"))
+    return rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).crossJoin(interval).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_positive")
+
+
+def in_points(interval: DataFrame, digits: int = 4) -> DataFrame:
+    """Mean and interval of a bootstrap in percentage points."""
+    return interval.select("n", *(F.round(F.col(c) * 100, digits).alias(f"{c}_pp") for c in ("mean", "low", "high")), "p_positive")
+
+
+def significance(interval: DataFrame, reference: Column) -> DataFrame:
+    """The interval with ``pct_change`` against a reference mean, and whether 0 is outside it."""
+    return interval.withColumns({"pct_change": 100 * F.col("mean") / reference, "significant": (F.col("low") > 0) | (F.col("high") < 0)})
+
+
+def seed_merged(values: DataFrame, seed: str, value: str, key: str, replicates: int = 1000) -> DataFrame:
+    """One interval over the paired differences of all runs, and ``seed_std``: the sample deviation of the runs' own means."""
+    merged = hashed_bootstrap(values, value, key, replicates)
+    spread = values.groupBy(seed).agg(F.avg(value).alias("m")).agg(F.stddev_samp("m").alias("seed_std"), F.count("*").alias("seeds"))
+    return merged.crossJoin(spread)
