@@ -98,6 +98,30 @@ def rebase_path(path: Column, marker: str, root: str) -> Column:
     return F.when(at > 0, F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.substring(path, at + len(marker), F.length(path)), F.lit("/")))).otherwise(path)
 
 
+def scale_of_name(name: Column, label: str = "lambda") -> Column:
+    """The number that two digits after a label name: ..lambda03.. is 0.3; null without them."""
+    digits = F.regexp_extract(name, f"{label}([0-9])([0-9])", 0)
+    return F.when(digits != "", F.substring(digits, len(label) + 1, 1).cast("int") + F.substring(digits, len(label) + 2, 1).cast("int") / 10.0)
+
+
+def relative_image(path: Column, root: str, sheet: str, marker: str = "/images/") -> Column:
+    """An image's path seen from the folder of a sheet: what follows the first marker, below ``root``. Null without the marker."""
+    import posixpath
+
+    at = F.locate(marker, path)
+    return F.when(at > 0, F.concat(F.lit(posixpath.relpath(root, sheet) + "/"), F.substring(path, at + len(marker), F.length(path))))
+
+
+def interval_text(mean: Column, low: Column, high: Column, digits: int = 4) -> Column:
+    """mean [low, high]"""
+    return F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", F.round(mean, digits), F.round(low, digits), F.round(high, digits))
+
+
+def has_table(text: Column) -> Column:
+    """Whether a page has a table: an HTML one, or a row of a Markdown table's rule."""
+    return text.rlike(r"(?i)<table[\s>]") | text.rlike(r"(?m)^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")
+
+
 def strip_html(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 

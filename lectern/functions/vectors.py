@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .arrays import once
@@ -91,3 +95,23 @@ def find_subsequence(haystack: Column, needle: Column) -> Column:
         return F.coalesce(F.get(hits, F.lit(0)), F.lit(-1))
 
     return once(haystack, lambda h: once(needle, lambda n: place(h, n)))
+
+
+def projection_head(w1, b1, w2, b2, gain, shift, eps: float = 1e-5):
+    """A pandas UDF: pooled vectors through two linear layers with an (erf) GELU between, layer norm, and scaling to length 1.
+
+    Weights are arrays (out x in) that go to the tasks with the function.
+    """
+    w1, b1, w2, b2, gain, shift = (np.asarray(x, np.float64) for x in (w1, b1, w2, b2, gain, shift))
+
+    @F.pandas_udf("array<double>")
+    def project(rows: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros((0, w1.shape[1]))
+        h = x @ w1.T + b1
+        h = h * 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(h / math.sqrt(2))) if h.size else h
+        z = h @ w2.T + b2
+        z = (z - z.mean(1, keepdims=True)) / np.sqrt(z.var(1, keepdims=True) + eps) * gain + shift
+        z = z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+        return pd.Series(list(z))
+
+    return project

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import file_system
 
 
 class GateError(ValueError):
@@ -30,8 +32,9 @@ def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
     return rows
 
 
-def require_counts(rows: DataFrame, **expected: int) -> None:
-    got = rows.agg(*(F.expr(f"count({'distinct ' + c if c != 'rows' else '1'})").alias(c) for c in expected)).first()
+def require_counts(table: DataFrame, /, **expected: int) -> None:
+    """``rows`` and distinct values of columns must be as many as expected; an expectation of None holds for any."""
+    got = table.agg(*(F.expr(f"count({'distinct ' + c if c != 'rows' else '1'})").alias(c) for c in expected)).first()
     wrong = {c: (got[c], n) for c, n in expected.items() if n is not None and got[c] != n}
     if wrong:
         raise GateError(f"counts differ (got, expected): {wrong}")
@@ -79,6 +82,71 @@ def require_status(status: str, allowed: tuple[str, ...]) -> None:
         raise GateError(f"status {status!r} is none of {allowed}")
 
 
+def require_files(spark: SparkSession, *paths: str) -> None:
+    """Every path must be there, on whatever file system it names."""
+    gone = [p for p in paths if not file_system(spark, p)[0].exists(file_system(spark, p)[1])]
+    if gone:
+        raise GateError(f"missing inputs: {gone}")
+
+
+def require_cache_path(path: str, root: str) -> str:
+    """A cache may only be written below its root, without a way out of it."""
+    parts = PurePosixPath(path.split("://")[-1]).parts
+    if ".." in parts or not path.rstrip("/").startswith(root.rstrip("/") + "/"):
+        raise GateError(f"{path} is not below {root}")
+    return path
+
+
+def reconstruction_faults(cells: DataFrame, stored: DataFrame, by: tuple[str, ...], value: str, stored_value: str, tolerance: float = 1e-12) -> DataFrame:
+    """(*by, reconstructed, stored) where the mean of a group's cells is not what is stored for it, or either is missing."""
+    means = cells.groupBy(*by).agg(F.avg(value).alias("reconstructed"))
+    both = means.join(stored.select(*by, F.col(stored_value).alias("stored")), list(by), "full")
+    return both.where(F.col("reconstructed").isNull() | F.col("stored").isNull() | (F.abs(F.col("reconstructed") - F.col("stored")) > tolerance))
+
+
+def partition_faults(parts: DataFrame, whole: DataFrame, key: str = "page_id", part: str = "fold") -> DataFrame:
+    """(key, fault): keys in several parts (overlap), in none (uncovered), or not in the whole (unknown). parts(key, part) and whole(key)."""
+    own = parts.groupBy(key).agg(F.countDistinct(part).alias("n"))
+    both = own.join(whole.select(key).distinct().withColumn("_in", F.lit(True)), key, "full")
+    fault = F.when(F.col("_in").isNull(), "unknown").when(F.col("n").isNull(), "uncovered").when(F.col("n") > 1, "overlap")
+    return both.select(key, fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def release_faults(manifest: DataFrame, stored: DataFrame, texts: DataFrame | None = None, local: tuple[str, ...] = ("/mnt/", "/home/")) -> DataFrame:
+    """(path, fault) of a release: files that are missing or extra, whose hash or size is not the stored one, or (of
+    texts(path, content)) that name a path of this machine. manifest and stored: (path, sha256, size)."""
+    both = manifest.select("path", "sha256", "size").join(stored.select("path", F.col("sha256").alias("_sha"), F.col("size").alias("_size")), "path", "full")
+    fault = F.when(F.col("sha256").isNull(), "missing").when(F.col("_sha").isNull(), "extra").when(F.col("sha256") != F.col("_sha"), "hash").when(F.col("size") != F.col("_size"), "size")
+    out = both.select("path", fault.alias("fault")).where("fault IS NOT NULL")
+    if texts is None:
+        return out
+    leaks = F.lit(False)
+    for mark in local:
+        leaks = leaks | F.contains("content", F.lit(mark))
+    return out.unionByName(texts.where(leaks).select("path", F.lit("local path").alias("fault")))
+
+
+def display_faults(rows: DataFrame, value: str, shown: str, digits: int = 2) -> DataFrame:
+    """Rows whose shown string is not their value, computed again and rounded."""
+    return rows.where(F.col(shown) != F.format_string(f"%.{digits}f", F.round(value, digits)))
+
+
+def require_answers(rows: DataFrame, column: str = "pred", least: float = 0.9) -> DataFrame:
+    """The share of rows that are not blank must reach ``least``: stubs are no answers."""
+    share = rows.agg(F.avg((F.length(F.trim(F.coalesce(column, F.lit("")))) > 0).cast("double"))).first()[0]
+    if share is not None and share < least:
+        raise GateError(f"{share:.3f} of {column} has text, less than {least}")
+    return rows
+
+
+def finite(*columns: str) -> Column:
+    """Whether all columns are numbers."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return out
+
+
 def mean_gap_gate(rows: DataFrame, value: str, threshold: float) -> bool:
     """Whether any value reaches the threshold."""
     return bool(rows.agg(F.coalesce(F.max(value) >= threshold, F.lit(False))).first()[0])

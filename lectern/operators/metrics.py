@@ -34,9 +34,49 @@ def cube(hits: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
 
 
 def rcps(per_qa: DataFrame, by: tuple[str, ...] = (), retriever: str = "retriever") -> DataFrame:
-    """Mean MRR over the cells (retriever, k), each the mean over its queries; an empty group has no row."""
+    """Mean MRR over the cells (retriever, k), each the mean over its queries; the mean of nothing is 0, an empty group has no row."""
     cells = per_qa.groupBy(*by, retriever, "k").agg(F.avg("mrr").alias("mrr"), F.avg(F.when(F.col("k") == 1, F.col("hit"))).alias("hit1"))
-    return cells.groupBy(*by).agg(F.avg("mrr").alias("rcps"), F.avg("hit1").alias("hit1"))
+    return cells.groupBy(*by).agg(mean("mrr").alias("rcps"), mean("hit1").alias("hit1"))
+
+
+def mean(column: str) -> Column:
+    """The mean, 0 of nothing."""
+    return F.coalesce(F.avg(column), F.lit(0.0))
+
+
+def hit_of_mrr(mrr: Column) -> Column:
+    """Whether there was a hit, where only the reciprocal rank is stored."""
+    return (mrr > 0).cast("double")
+
+
+#: What a named series takes of the cells (metric, k).
+SERIES = {
+    "rcps": lambda metric, k: metric == "mrr",
+    "hit@1": lambda metric, k: (metric == "mrr") & (k == 1),
+    "mrr@10": lambda metric, k: (metric == "mrr") & (k == 10),
+}
+
+
+def series(cells: DataFrame, name: str, by: tuple[str, ...] = ("system",)) -> DataFrame:
+    """(*by, qa_id, value): a named series of cells(*by, qa_id, metric, k, value), the mean of the cells that it takes."""
+    return cells.where(SERIES[name](F.col("metric"), F.col("k"))).groupBy(*by, "qa_id").agg(mean("value").alias("value"))
+
+
+def by_family(scores: DataFrame, names: list[tuple[str, str, str]], key: str) -> DataFrame:
+    """``scores`` with the family and severity of their name: (family, severity, name) of each, a small table."""
+    table = scores.sparkSession.createDataFrame(names, f"family string, severity string, {key} string")
+    return scores.join(F.broadcast(table), key)
+
+
+def page_attribution(diffs: DataFrame, pages: DataFrame, value: str = "diff", key: str = "qa_id") -> DataFrame:
+    """(page_id, n_qa, mean_diff_pp): per-query differences by the page of their query."""
+    rows = diffs.select(key, value).join(pages.select(key, "page_id"), key)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_qa"), F.round(100 * F.avg(value), 3).alias("mean_diff_pp"))
+
+
+def best_rows(rows: DataFrame, value: str, name: str, n: int) -> DataFrame:
+    """The ``n`` rows of the greatest value, ties by name."""
+    return rows.orderBy(F.desc(value), name).limit(n)
 
 
 def per_qa_rcps(per_qa: DataFrame, by: tuple[str, ...] = ("qa_id",)) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import once
+from ..functions.text import TOKEN
 
 #: Queries that meet the documents in one pass; more take more passes.
 QUERY_BLOCK = 4096
@@ -30,22 +31,14 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qa_id",), item: str
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "qa_id", doc_id: str = "chunk_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score): dot products, the ``k`` best of each task and query, at least.
 
-    Task-local cuts lose nothing: a global top k row is in the top k of its task. Ties at a cut all stay.
+    Task-local cuts lose nothing: a global top k row is in the top k of its task. Ties at a cut all stay. The driver holds one
+    block of queries at a time; each block reads the documents' vectors once.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     kind = {"int": pa.int32(), "bigint": pa.int64()}.get(dict(queries.dtypes)[query_id], pa.string())
-    total = queries.count()
     out = None
-    order = Window.orderBy(query_id)
-    blocks = [queries] if total <= QUERY_BLOCK else None
-    if blocks is None:
-        numbered = queries.withColumn("_n", F.row_number().over(order))
-        blocks = [numbered.where((F.col("_n") > i) & (F.col("_n") <= i + QUERY_BLOCK)).drop("_n") for i in range(0, total, QUERY_BLOCK)]
-    for block in blocks:
-        rows = block.select(query_id, vector).collect()  # QUERY_BLOCK at most
-        if not rows:
-            continue
+    for rows in batched(queries.select(query_id, vector).toLocalIterator(), QUERY_BLOCK):
         ids = [r[0] for r in rows]
         shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
 
@@ -166,6 +159,58 @@ def char_grams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_encoder(dimensions: int = 64) -> Callable[[Column], Column]:
+    """A deterministic stand-in for a neural encoder: counts of tokens by their md5, as a vector of length 1."""
+    def encoder(text: Column) -> Column:
+        cells = lambda t: F.transform(t, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions)
+        counts = lambda c: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(c, lambda x: x == i)).cast("double"))
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        unit = lambda v: once(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n))
+        return once(cells(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))), lambda c: once(counts(c), unit))
+
+    return encoder
+
+
+#: What goes before a text, by the retriever and the side that asks or answers.
+PREFIXES = {"plain": ("", ""), "asymmetric": ("query: ", "passage: "), "instructed": ("Instruct: find the passage that answers the question. Query: ", "")}
+
+
+def index(chunks: DataFrame, encoder: Callable, retriever: str = "plain", text_col: str = "text") -> DataFrame:
+    """``chunks`` with the embedding of each, encoded once: write it where it is searched more than once. Chunks without a text are left out."""
+    return encode(chunks.where(F.length(F.coalesce(text_col, F.lit(""))) > 0), encoder, text_col, PREFIXES[retriever][1])
+
+
+def search(queries: DataFrame, indexed: DataFrame, encoder: Callable, k: int, retriever: str = "plain", text_col: str = "question") -> DataFrame:
+    """(qa_id, chunk_id, score, rk): the ``k`` best chunks of each query; an empty index gives no row."""
+    asked = encode(queries.select("qa_id", text_col), encoder, text_col, PREFIXES[retriever][0])
+    return top_k(dense_scores(asked, indexed, k), k)
+
+
+def candidate_scores(asks: DataFrame, own: DataFrame, pool: DataFrame, score: Callable[[Column, Column], Column], ks: tuple[int, ...] = (1, 5, 10), itself: bool = True) -> DataFrame:
+    """(page_id, candidate, n_qa, rcps): how well each candidate of a page serves the page's queries.
+
+    asks(page_id, qa_id, ask), own(page_id, candidate, chunk_id, item, relevant(qa_id) as an array of qa_ids),
+    pool(page_id, chunk_id, item): the candidate's chunks are ranked among the page's pool by ``score(ask, item)``, ties by id;
+    the value is the mean of MRR over queries and depths. A page meets its own chunks and its pool only. Of the pool only the scores that
+    beat the first relevant chunk's count, so no ranked list is kept. ``itself``: whether a chunk may answer a query of its own id.
+    """
+    value = F.round(score(F.col("ask"), F.col("item")), 6)
+    mine = asks.join(own, "page_id").withColumn("s", value)
+    mine = mine if itself else mine.where(F.col("chunk_id") != F.col("qa_id"))
+    best = mine.where(F.array_contains("relevant", F.col("qa_id"))).groupBy("page_id", "candidate", "qa_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "chunk_id")).alias("b"))
+    best = best.select("page_id", "candidate", "qa_id", (-F.col("b.s")).alias("bs"), F.col("b.chunk_id").alias("bid"))
+    first = mine.join(best, ["page_id", "candidate", "qa_id"])
+    ahead = (F.col("s") > F.col("bs")) | ((F.col("s") == F.col("bs")) & (F.col("chunk_id") < F.col("bid")))
+    inner = first.groupBy("page_id", "candidate", "qa_id").agg(F.sum(ahead.cast("long")).alias("a"))
+    outer = asks.join(pool, "page_id").withColumn("s", value).select("page_id", "qa_id", "chunk_id", "s").join(best, ["page_id", "qa_id"])
+    outer = outer.groupBy("page_id", "candidate", "qa_id").agg(F.sum(ahead.cast("long")).alias("b"))
+    ranks = inner.join(outer, ["page_id", "candidate", "qa_id"], "left").withColumn("rk", 1 + F.col("a") + F.coalesce("b", F.lit(0)))
+    every = own.select("page_id", "candidate").distinct().join(asks.select("page_id", "qa_id"), "page_id").join(ranks, ["page_id", "candidate", "qa_id"], "left")
+    depths = F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")
+    cells = every.select("page_id", "candidate", "qa_id", "rk", depths).withColumn("mrr", F.when(F.col("rk") <= F.col("k"), 1.0 / F.col("rk")).otherwise(0.0))
+    return cells.groupBy("page_id", "candidate").agg(F.countDistinct("qa_id").alias("n_qa"), F.round(F.avg("mrr"), 6).alias("rcps"))
+
+
 def encode(rows: DataFrame, encoder: Callable, text_col: str = "text", prefix: str = "", out: str = "embedding") -> DataFrame:
     """A pluggable encoder: ``encoder`` is an (iterator) pandas UDF that gives array<float>; ``prefix`` goes before each text."""
     return rows.withColumn(out, encoder(F.concat(F.lit(prefix), F.col(text_col))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gates import GateError
 from ..operators.prefer import keep_last
+from ..session import file_system
 from ..sources.sinks import canonical_digest
 
 
@@ -51,6 +53,20 @@ def read_json_checkpoint(spark: SparkSession, path: str, schema: str, key: str,
     return keep_last(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), (key,), order)
 
 
+def wait_for(spark: SparkSession, path: str, files: int = 1, minutes: float = 240.0, every: float = 60.0) -> int:
+    """Wait until a path (a pattern may be used) has ``files`` files on its file system; how many there are. Raises when time is up."""
+    until = time.monotonic() + 60 * minutes
+    fs, p = file_system(spark, path)
+    while True:
+        found = fs.globStatus(p)
+        n = len(found) if found else 0
+        if n >= files:
+            return n
+        if time.monotonic() >= until:
+            raise GateError(f"{n} of {files} files at {path} after {minutes} minutes")
+        time.sleep(min(every, max(0.0, until - time.monotonic())))
+
+
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process all files that are there, batch by batch, exactly once by the checkpoint, then stop."""
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
