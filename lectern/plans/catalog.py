@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import preference, retrieval, statistics, texts
+from . import artifacts, preference, retrieval, statistics, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "preference", "retrieval", "statistics", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artifacts", "preference", "retrieval", "statistics", "texts"]

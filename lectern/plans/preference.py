@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx, vectors as vx
 from ..operators import coverage, prefer, retrieve, sample
-from ..operators.chunk import native_chunks
+from ..operators.chunk import native_chunks, native_pieces
 from ..streaming import incremental
 from .registry import query
-from .statistics import _local_folder
-from .views import SQL_PROBE, documents, probe, read, rendering, sql_native, sql_renderings
+from ..session import fresh_dir
+from .views import SQL_PROBE, documents, probe, read, rendering, renderings, sql_native, sql_renderings
+
+
+#: Items of a page's pool.
+POOL = 100
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -70,7 +72,7 @@ _POS = f"WITH {sql_renderings('para')}, {sql_native()}, {SQL_PROBE}"
 
 @query(_POS + ", h AS (SELECT qa_id, min(pos) AS pos FROM qa_v q JOIN chunks_v c USING (page_id) WHERE contains(c.text, q.answer_span) GROUP BY qa_id) SELECT q.qa_id, CASE WHEN h.pos IS NULL THEN NULL ELSE q.page_id || '::parser_native#' || h.pos END AS chunk_id FROM qa_v q LEFT JOIN h USING (qa_id)")
 def qa_positive_chunks(spark, sf_dir):
-    return prefer.positives(probe(spark, sf_dir), native_chunks(rendering(spark, sf_dir, "para"))).select("qa_id", "chunk_id")
+    return prefer.positives_in(probe(spark, sf_dir), rendering(spark, sf_dir, "para"), native_pieces(F.col("markdown"), 30), "parser_native").select("qa_id", "chunk_id")
 
 
 @query(_POS + ", h AS (SELECT q.page_id, pos FROM qa_v q JOIN chunks_v c USING (page_id) WHERE contains(c.text, q.answer_span)) SELECT count(*) AS n_rows, count(h.pos) AS positive, count(DISTINCT c.page_id || '#' || c.pos) AS chunks, median(c.n)::DOUBLE AS median_per_page FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM chunks_v) c LEFT JOIN h ON h.page_id = c.page_id AND h.pos = c.pos")
@@ -84,25 +86,109 @@ def cache_manifest(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_rows"), F.count("qa_id").alias("positive"), F.countDistinct("chunk_id").alias("chunks"), F.median("n").alias("median_per_page"))
 
 
-@query("WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS page, b.vec_id, round(max(list_dot_product(a.e, b.e)), 6) AS sim FROM e a JOIN e b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY ALL) SELECT CAST(page AS BIGINT) AS page, vec_id, sim, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sim DESC, vec_id) AS rk FROM s) WHERE rk <= 5")
+@query("WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS page, b.vec_id, round(max(list_dot_product(a.e, b.e)), 6) AS sim FROM e a JOIN e b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY ALL) SELECT CAST(page AS BIGINT) AS page, vec_id, sim, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sim DESC, vec_id) AS rk FROM s) WHERE rk <= 100")
 def hard_negatives(spark, sf_dir):
     """Labels as pages: the vectors of other labels nearest to any of the label's queries (every 50th vector)."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("item"), F.col("label").cast("long").alias("owner"), F.col("embedding").alias("vector"))
     asks = e.where("item % 50 = 0").withColumnRenamed("owner", "page")
-    sims = retrieve.nearest_of_others(asks, e, 5).withColumnRenamed("item", "vec_id")
-    return prefer.hard_negatives(sims, 5, "page", "vec_id")
+    sims = retrieve.nearest_of_others(asks, e, POOL).withColumnRenamed("item", "vec_id")
+    return prefer.hard_negatives(sims, POOL, "page", "vec_id")
 
 
-@query()
-def distractor_pool(spark, sf_dir):
-    """The ids of chunks are written first, as they are read again."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/chunks-{uuid.uuid4().hex}"
+#: Chunks and pages on a ring of cells by md5; a page takes the next ones of other pages.
+_RING = (
+    f"WITH {sql_renderings('para')}, {sql_native()}, {SQL_PROBE}, n AS (SELECT greatest(1, count(*) // {POOL}) AS cells FROM chunks_v), "
+    "ck AS MATERIALIZED (SELECT page_id AS owner, page_id || '::parser_native#' || pos AS chunk_id, text, md5(page_id || '::parser_native#' || pos || '-42') AS h FROM chunks_v), "
+    "rc AS MATERIALIZED (SELECT owner, chunk_id, text, h, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % cells AS cell FROM ck, n), "
+    "rp AS MATERIALIZED (SELECT doc_id AS page_id, CAST(('0x' || substr(md5(doc_id || '-42'), 1, 8)) AS BIGINT) % cells AS first, cells FROM documents, n{where}), "
+    f"pool AS (SELECT page_id, chunk_id, rk FROM (SELECT page_id, chunk_id, row_number() OVER (PARTITION BY page_id ORDER BY (cell - first + cells) % cells, h, chunk_id) AS rk FROM rp JOIN rc ON owner <> page_id) WHERE rk <= {POOL})"
+)
+
+
+def _stored_chunks(spark, sf_dir) -> DataFrame:
+    """The ids of chunks, written first, as they are read again."""
+    base = fresh_dir(spark, "chunks")
     native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "chunk_id").write.parquet(base)
-    chunks = spark.read.parquet(base)
-    return prefer.distractors(documents(spark, sf_dir).select(F.col("doc_id").alias("page_id")), chunks, 100)
+    return spark.read.parquet(base)
+
+
+@query(_RING.replace("{where}", "") + " SELECT page_id, chunk_id, CAST(rk AS INT) AS rk FROM pool")
+def distractor_pool(spark, sf_dir):
+    return prefer.distractors(documents(spark, sf_dir).select(F.col("doc_id").alias("page_id")), _stored_chunks(spark, sf_dir), POOL).withColumn("rk", F.col("rk").cast("int"))
+
+
+#: Distinct terms of a text, and the share of two term sets that both have.
+def _terms(column: str):
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(tx.TOKEN), F.lit(0)))
+
+
+def _jaccard(a, b):
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
+
+
+_CANDIDATES = ("para", "nolines", "trunc")
+
+
+@query(
+    _RING.replace("{where}", " WHERE doc_id % 50 = 0")
+    + f""", {sql_renderings(*_CANDIDATES).replace('pages_v', 'pages_c')}, {sql_native('pages_c').replace('parts_v', 'parts_c').replace('listed_v', 'listed_c').replace('chunks_v', 'chunks_c')},
+asks AS (SELECT qa_id, page_id, answer_span, list_distinct(regexp_extract_all(lower(question), '{tx.TOKEN}')) AS ask FROM qa_v WHERE qa_id % 50 = 0),
+own AS (SELECT page_id, system AS candidate, page_id || '::' || system || '#' || pos AS chunk_id, text, list_distinct(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS item FROM chunks_c WHERE page_id % 50 = 0),
+mine AS MATERIALIZED (SELECT qa_id, page_id, candidate, chunk_id, contains(text, answer_span) AS good, round(coalesce(len(list_intersect(ask, item))::DOUBLE / nullif(len(ask) + len(item) - len(list_intersect(ask, item)), 0), 0), 6) AS s FROM asks JOIN own USING (page_id)),
+others AS MATERIALIZED (SELECT qa_id, page_id, chunk_id, round(coalesce(len(list_intersect(ask, item))::DOUBLE / nullif(len(ask) + len(item) - len(list_intersect(ask, item)), 0), 0), 6) AS s FROM asks JOIN pool USING (page_id) JOIN (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS item FROM rc) USING (chunk_id)),
+al AS (SELECT page_id, candidate, qa_id, chunk_id, s, good FROM mine UNION ALL SELECT c.page_id, c.candidate, o.qa_id, o.chunk_id, o.s, FALSE FROM others o JOIN (SELECT DISTINCT page_id, candidate FROM own) c USING (page_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY page_id, candidate, qa_id ORDER BY s DESC, chunk_id) AS rk FROM al),
+f AS (SELECT page_id, candidate, qa_id, min(rk) FILTER (WHERE good) AS rk FROM rk GROUP BY ALL)
+SELECT page_id, candidate, count(DISTINCT qa_id) AS n_qa, round(avg(CASE WHEN rk <= k THEN 1.0::DOUBLE / rk ELSE 0.0::DOUBLE END), 6) AS rcps FROM f CROSS JOIN (VALUES (1), (5), (10)) t(k) GROUP BY ALL"""
+)
+def candidate_scores(spark, sf_dir):
+    """Renderings as candidates of a page: each is chunked, and its chunks are ranked among the page's pool for the page's queries."""
+    asks = probe(spark, sf_dir).where("qa_id % 50 = 0").select("page_id", "qa_id", "answer_span", _terms("question").alias("ask"))
+    pages = renderings(spark, sf_dir, *_CANDIDATES).join(F.broadcast(asks.select("page_id").distinct()), "page_id", "left_semi")
+    own = native_chunks(pages).join(asks.select("page_id", "qa_id", "answer_span"), "page_id").select(
+        "page_id", F.col("system").alias("candidate"), F.concat(F.col("page_id").cast("string"), F.lit("::"), "system", F.lit("#"), F.col("pos").cast("string")).alias("chunk_id"),
+        _terms("text").alias("item"), F.when(F.contains("text", "answer_span"), F.array("qa_id")).otherwise(F.array().cast("array<bigint>")).alias("relevant"),
+    )
+    pool = prefer.distractors(asks.select("page_id").distinct(), _stored_chunks(spark, sf_dir), POOL)
+    texts = native_chunks(rendering(spark, sf_dir, "para")).select("chunk_id", _terms("text").alias("item"))
+    return retrieve.candidate_scores(asks.drop("answer_span"), own, pool.select("page_id", "chunk_id").join(texts, "chunk_id"), _jaccard)
+
+
+_HARD = (
+    "WITH e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS page, b.vec_id, round(max(list_dot_product(a.e, b.e)), 6) AS sim FROM e a JOIN e b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY ALL), "
+    "pool AS MATERIALIZED (SELECT page, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sim DESC, vec_id) AS rk FROM s) WHERE rk <= 100), "
+    "asks AS (SELECT vec_id AS qa_id, label AS page, e FROM e WHERE vec_id % 50 = 0), "
+    "al AS (SELECT a.page, o.vec_id % 3 AS candidate, a.qa_id, o.vec_id, round(list_dot_product(a.e, o.e), 6) AS s, o.vec_id // 3 % 7 = a.qa_id % 7 AS good FROM asks a JOIN e o ON o.label = a.page AND o.vec_id <> a.qa_id UNION ALL "
+    "SELECT a.page, c.candidate, a.qa_id, p.vec_id, round(list_dot_product(a.e, o.e), 6), FALSE FROM asks a JOIN (VALUES (0), (1), (2)) c(candidate) ON TRUE JOIN pool p ON p.page = a.page JOIN e o ON o.vec_id = p.vec_id WHERE EXISTS (SELECT 1 FROM e x WHERE x.label = a.page AND x.vec_id % 3 = c.candidate)), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY page, candidate, qa_id ORDER BY s DESC, vec_id) AS rk FROM al), f AS (SELECT page, candidate, qa_id, min(rk) FILTER (WHERE good) AS rk FROM rk GROUP BY ALL) "
+    "SELECT CAST(page AS BIGINT) AS page, CAST(candidate AS INT) AS candidate, count(DISTINCT qa_id) AS n_qa, round(avg(CASE WHEN rk <= k THEN 1.0::DOUBLE / rk ELSE 0.0::DOUBLE END), 6) AS rcps FROM f CROSS JOIN (VALUES (1), (5), (10)) t(k) GROUP BY ALL"
+)
+
+
+@query(_HARD)
+def candidate_scores_hard(spark, sf_dir):
+    """As ``candidate_scores``, on vectors: labels as pages, thirds of a label's vectors as its candidates, hard negatives as the pool."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("item"), F.col("label").cast("long").alias("owner"), F.col("embedding").alias("vector"))
+    asks = e.where("item % 50 = 0").withColumnRenamed("owner", "page")
+    pool = prefer.hard_negatives(retrieve.nearest_of_others(asks, e, POOL), POOL, "page", "item")
+    asked = asks.select(F.col("page").alias("page_id"), F.col("item").alias("qa_id"), F.col("vector").alias("ask"))
+    near = F.filter(F.col("asks"), lambda q: (q != F.col("item")) & (q % 7 == F.floor(F.col("item") / 3) % 7)).alias("relevant")
+    queries = asked.groupBy("page_id").agg(F.collect_list("qa_id").alias("asks"))
+    own = e.join(queries, F.col("owner") == F.col("page_id")).select("page_id", (F.col("item") % 3).cast("int").alias("candidate"), "item", "vector", near).toDF("page_id", "candidate", "chunk_id", "item", "relevant")
+    pool = pool.select(F.col("page").alias("page_id"), F.col("item").alias("chunk_id")).join(e.select(F.col("item").alias("chunk_id"), F.col("vector").alias("item")), "chunk_id")
+    return retrieve.candidate_scores(asked, own, pool, vx.dot, itself=False).withColumnRenamed("page_id", "page")
+
+
+_NEGATIVES = _POS + (
+    ", h AS (SELECT qa_id, min(pos) AS pos FROM qa_v q JOIN chunks_v c USING (page_id) WHERE contains(c.text, q.answer_span) GROUP BY qa_id), ids AS (SELECT page_id, page_id || '::parser_native#' || pos AS chunk_id FROM chunks_v), "
+    "o AS (SELECT q.qa_id, ids.chunk_id AS other FROM h JOIN qa_v q USING (qa_id) JOIN ids USING (page_id) WHERE ids.chunk_id <> q.page_id || '::parser_native#' || h.pos), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY md5('0-' || qa_id || '-' || other), other) AS rk FROM o), p AS (SELECT qa_id, list(other ORDER BY rk) AS pool FROM r WHERE rk <= 4 GROUP BY qa_id) "
+    "SELECT qa_id, CAST(i AS INT) AS slot, pool[i % len(pool) + 1] AS chunk_id FROM (SELECT qa_id, pool, unnest(range(4)) AS i FROM p)"
+)
 
 
-@query()
+@query(_NEGATIVES)
 def sampled_negatives(spark, sf_dir):
     chunks = native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "chunk_id", "pos", "text")
     anchors = prefer.positives(probe(spark, sf_dir), chunks).where("chunk_id IS NOT NULL")
@@ -169,7 +255,7 @@ def subsequence_place(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def events_incremental(spark, sf_dir):
     """The events table as a file stream, drained into a store, and read back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = fresh_dir(spark, "stream")
     schema = read(spark, sf_dir, "events").schema
     events = f"{sf_dir}/events.parquet"
     source = incremental.file_stream(spark, events if _is_folder(spark, events) else f"{sf_dir}/[e]vents.parquet", schema)
@@ -193,12 +279,12 @@ def events_sessions(spark, sf_dir):
     return incremental.sessions(read(spark, sf_dir, "events"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '" + tx.TOKEN + "')) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '" + tx.TOKEN + "')) AS n FROM documents")
 def store_resume(spark, sf_dir):
     """A store is filled in two runs; the second scores only what the first left."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/") + f"/store-{uuid.uuid4().hex}"
+    base = fresh_dir(spark, "store")
     incremental.bind(spark, base, {"rule": "tokens", "version": 1})
-    rows = documents(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("key"), "text")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), "text")
     schema = "key string, value long, seq int"
     count = lambda seq: lambda part: part.select("key", F.size(tx.tokens(F.col("text"), False)).cast("long").alias("value"), F.lit(seq).alias("seq"))
     incremental.score_pending(rows.where("cast(key AS long) % 2 = 0"), base, "key", count(0), schema)

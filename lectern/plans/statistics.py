@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import statistics as st, vectors as vx
 from ..operators import gates, metrics, resample
+from ..session import fresh_dir
 from ..sources import corpus, sinks
 from .registry import query
 from .views import read
@@ -25,21 +26,33 @@ _RANKS = "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PART
 
 @query(_RANKS + " SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
 def corr_spearman_ties(spark, sf_dir):
-    rows = resample.average_ranks(resample.average_ranks(read(spark, sf_dir, "part").select("p_size", "p_retailprice"), "p_size", "a"), "p_retailprice", "b")
+    part = read(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").cast("double").alias("price"))
+    rows = resample.average_ranks(resample.average_ranks(part, "p_size", "a"), "price", "b")
     return rows.agg(F.count("*").alias("n"), F.round(st.pearson("a", "b"), 6).alias("rho"))
 
 
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) AS a, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS b FROM part) SELECT count(*) AS n, round(1 - 6 * sum(CAST(a - b AS DOUBLE) * (a - b)) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) AS rho FROM r")
 def spearman_no_ties(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_size", "p_partkey")).alias("a"), F.row_number().over(Window.orderBy("p_retailprice", "p_partkey")).alias("b"))
+    part = read(spark, sf_dir, "part").select("p_size", "p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    rows = resample.numbered(resample.numbered(part, "p_size", "p_partkey", out="a"), "price", "p_partkey", out="b")
     d = (F.col("a") - F.col("b")).cast("double")
     n = F.count("*")
     return rows.agg(n.alias("n"), F.round(1 - 6 * F.sum(d * d) / (n * (n.cast("double") * n - 1)), 6).alias("rho"))
 
 
-@query()
+#: Two-sided p of a correlation by t: Simpson's rule over the density in 4,000 steps.
+def _p_sql(r: str) -> str:
+    t = f"(abs({r}) * sqrt((n - 2) / (1 - {r} * {r})))"
+    density = f"exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt((n - 2) * pi()) * pow(1 + pow(i * {t} / 4000, 2) / (n - 2), -(n - 1) / 2.0::DOUBLE)"
+    return f"1 - 2 * {t} / 12000 * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}))"
+
+
+_BLOCK = "WITH v AS (SELECT CAST(s_nationkey AS DOUBLE) AS x, CAST(s_acctbal AS DOUBLE) AS y FROM supplier), k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM v), c AS (SELECT count(*) AS n, corr(x, y) AS r, corr(a, b) AS rho FROM k)"
+
+
+@query(_BLOCK + f" SELECT n, round(r, 4) AS r, round({_p_sql('r')}, 4) AS p, round(rho, 4) AS rho, round({_p_sql('rho')}, 4) AS p_rho FROM c")
 def correlation_block(spark, sf_dir):
-    """r, its p, and the rank form: the p-value has no SQL; the tests hold it against published vectors."""
+    """r, its p, and the rank form."""
     rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"))
     rows = resample.average_ranks(resample.average_ranks(rows, "x", "a"), "y", "b")
     out = rows.agg(F.count("*").alias("n"), st.pearson("x", "y").alias("r"), st.pearson("a", "b").alias("rho"))
@@ -134,6 +147,37 @@ def bootstrap_paired(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), F.round("p_positive", 6).alias("p_positive"))
 
 
+_POISSON = "CASE " + " ".join(f"WHEN u < {x!r} THEN {k}" for k, x in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
+
+
+@query(
+    f"WITH v AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS v FROM customer), u AS (SELECT rep, v, CAST(('0x' || substr(md5(rep || '-' || c_custkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v CROSS JOIN (SELECT unnest(range(200)) AS rep)), "
+    f"m AS (SELECT rep, sum(v * {_POISSON}) / sum({_POISSON}) AS m FROM u GROUP BY rep) SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(v), 4) FROM v) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM m"
+)
+def bootstrap_poisson(spark, sf_dir):
+    out = resample.poisson_bootstrap(_balances(spark, sf_dir), "v", "c_custkey", 200)
+    return out.select("n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")), F.round("p_positive", 6).alias("p_positive"))
+
+
+_SEEDS = _BOOT.format(value="(CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)) / 10000")
+
+
+@query(_SEEDS + ", s AS (SELECT c_custkey % 3 AS seed, avg((CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)) / 10000) AS m FROM customer GROUP BY ALL) SELECT (SELECT count(*) FROM v) AS n, (SELECT round(100 * avg(v), 4) FROM v) AS mean_pp, round(100 * quantile_cont(m, 0.025), 4) AS low_pp, round(100 * quantile_cont(m, 0.975), 4) AS high_pp, round(avg((m > 0)::INT), 6) AS p_positive, (SELECT round(100 * stddev_samp(m), 4) FROM s) AS seed_std_pp FROM m")
+def seed_merged(spark, sf_dir):
+    """Three runs' paired differences as one, in points, and the deviation of the runs."""
+    rows = _balances(spark, sf_dir).select("c_custkey", (F.col("c_custkey") % 3).alias("seed"), (F.col("d") / 10000).alias("d"))
+    out = resample.seed_merged(rows, "seed", "d", "c_custkey", 200)
+    return resample.in_points(out).crossJoin(out.select(F.round(100 * F.col("seed_std"), 4).alias("seed_std_pp"))).withColumn("p_positive", F.round("p_positive", 6))
+
+
+@query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)") + "SELECT round((SELECT avg(v) FROM v), 4) AS mean, round(100 * (SELECT avg(v) FROM v) / (SELECT avg(CAST(c_acctbal AS DOUBLE)) FROM customer), 4) AS pct_change, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS significant FROM m")
+def significant_change(spark, sf_dir):
+    out = resample.hashed_bootstrap(_balances(spark, sf_dir), "d", "c_custkey", 200)
+    reference = _balances(spark, sf_dir).agg(F.avg("v").alias("reference"))
+    out = resample.significance(out.crossJoin(reference), F.col("reference"))
+    return out.select(F.round("mean", 4).alias("mean"), F.round("pct_change", 4).alias("pct_change"), "significant")
+
+
 @query()
 def bootstrap_exact(spark, sf_dir):
     """NumPy's stream for each nation: no SQL. The tests hold it against NumPy itself."""
@@ -214,21 +258,12 @@ def differing_values(spark, sf_dir):
 @query(_CUBE + " SELECT system, CAST(qa_id AS VARCHAR) AS qa_id, round(value, 6) AS value, 'mrr' AS metric, 5 AS k, 'dense' AS retriever FROM c")
 def cube_round_trip(spark, sf_dir):
     """The cube as one JSON document, written to the shared folder and read back."""
-    import uuid
-
     cube = _cube(spark, sf_dir).select("system", F.lit("dense").alias("retriever"), F.lit("mrr").alias("metric"), F.lit(5).alias("k"), F.col("qa_id").cast("string").alias("qa_id"), F.round("value", 6).alias("value"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    path = f"{base.rstrip('/')}/cube-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "cube")
     sinks.cube_json(cube).write.text(path)
     return corpus.read_cube(spark, path)
 
 
-def _local_folder() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="lectern-")
-
-
 _LP = "WITH l AS (SELECT l_orderkey, l_linenumber, -CAST(l_quantity AS DOUBLE) / 10 AS pc, -CAST(l_extendedprice AS DOUBLE) / 10000 AS pr, -CAST(l_discount AS DOUBLE) * 10 AS rc, -CAST(l_tax AS DOUBLE) * 10 AS rr, CAST(l_quantity AS INT) AS nc, l_linenumber + 1 AS nr FROM lineitem)"
 
 

@@ -62,32 +62,51 @@ def chunk_base_lines(spark, sf_dir):
     return chunk.line_chunks(rendering(spark, sf_dir, "raw")).select("page_id", "pos", "text")
 
 
-@query()
+#: Segments of a page walked in windows of 8: a chunk ends before the first segment that shares no word with the one before.
+_TOPICS = f"""WITH RECURSIVE p AS (SELECT doc_id AS page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS s FROM documents),
+b AS (SELECT page_id, s, len(s) AS n, list_filter(range(1, len(s)), lambda i: NOT list_has_any(string_split_regex(lower(s[i]), '\\s+'), string_split_regex(lower(s[i + 1]), '\\s+'))) AS breaks FROM p WHERE len(s) > 0),
+w AS (SELECT page_id, s, n, breaks, 0 AS fr, coalesce(list_min(list_filter(breaks, lambda i: i > 0 AND i < least(8, n))), least(8, n)) AS cut FROM b
+UNION ALL SELECT page_id, s, n, breaks, cut AS fr, coalesce(list_min(list_filter(breaks, lambda i: i > cut AND i < least(cut + 8, n))), least(cut + 8, n)) AS cut FROM w WHERE cut < n)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY fr) - 1 AS INT) AS pos, array_to_string(s[fr + 1 : cut], chr(10)) AS text FROM w"""
+
+
+@query(_TOPICS)
 def chunk_topics(spark, sf_dir):
     return chunk.topic_chunks(rendering(spark, sf_dir, "raw")).select("page_id", "pos", "text")
 
 
-@query(
-    f"""WITH {SQL_PROBE}, a AS (SELECT qa_id, answer_span AS s, text AS t, strpos(text, answer_span) - 1 AS p, length(text) AS n, length(answer_span) AS m FROM qa_v JOIN documents ON doc_id = qa_id),
+_EXPANDED = f"""WITH {SQL_PROBE}, a AS (SELECT qa_id, answer_span AS s, text AS t, strpos(text, answer_span) - 1 AS p, length(text) AS n, length(answer_span) AS m FROM qa_v JOIN documents ON doc_id = qa_id),
 b AS (SELECT *, greatest(p - greatest(100, m), 0) AS st0, least(n, p + m + greatest(100, m)) AS en0 FROM a),
 c AS (SELECT *, st0 - length(string_split(substr(t, 1, st0), chr(10))[-1]) AS st, en0 + length(string_split(substr(t, en0 + 1), chr(10))[1]) AS en FROM b),
 d AS (SELECT *, {sql_strip('substr(t, st + 1, en - st)')} AS wide, greatest(p + m // 2 - 400, 0) AS ca, least(n, p + m // 2 + 400) AS cb FROM c)
-SELECT qa_id, CASE WHEN p < 0 THEN NULL WHEN length(wide) > 800 THEN {sql_strip('substr(t, ca + 1, cb - ca)')} WHEN wide = '' THEN NULL ELSE wide END AS chunk FROM d"""
-)
+"""
+_CHUNK = f"CASE WHEN p < 0 THEN NULL WHEN length(wide) > 800 THEN {sql_strip('substr(t, ca + 1, cb - ca)')} WHEN wide = '' THEN NULL ELSE wide END"
+
+
+@query(_EXPANDED + f"SELECT qa_id, {_CHUNK} AS chunk FROM d")
 def expand_to_chunk(spark, sf_dir):
     rows = probe(spark, sf_dir).select("qa_id", "answer_span").join(documents(spark, sf_dir).select(F.col("doc_id").alias("qa_id"), "text"), "qa_id")
     return rows.select("qa_id", chunk.expand_span(F.col("answer_span"), F.col("text")).alias("chunk"))
 
 
-@query()
+_NATIVE = f"WITH {sql_renderings('para')}, {sql_native()}"
+_BLANK = "'[^ ' || chr(9) || chr(10) || ']*'"
+#: The blank nearest to the middle, the left one on ties, an eighth of the text away at most.
+_HALVES = _NATIVE + f""", hm AS (SELECT page_id, pos, text AS t, length(text) AS n, length(text) // 2 AS mid, greatest(1, length(text) // 8) AS reach FROM chunks_v),
+hs AS (SELECT *, substr(t, mid - reach + 2, reach) AS l, substr(t, mid + 1, reach) AS r FROM hm),
+hc AS (SELECT *, mid - reach + length(l) - length(regexp_extract(l, {_BLANK} || '$')) AS back, mid + length(regexp_extract(r, '^' || {_BLANK})) AS ahead FROM hs),
+ha AS (SELECT *, CASE WHEN ahead - mid < mid - back THEN ahead ELSE back END AS cut FROM hc),
+hh AS (SELECT page_id, pos, n, {sql_strip('substr(t, 1, cut)')} AS head, {sql_strip('substr(t, cut + 1)')} AS tail FROM ha),
+halves AS (SELECT page_id, pos, CASE WHEN n >= 40 AND least(length(head), length(tail)) >= 20 THEN head END AS head, CASE WHEN n >= 40 AND least(length(head), length(tail)) >= 20 THEN tail END AS tail FROM hh)
+"""
+
+
+@query(_HALVES + "SELECT page_id, pos, head, tail FROM halves")
 def split_midpoint(spark, sf_dir):
     rows = chunk.native_chunks(rendering(spark, sf_dir, "para"))
     return rows.select("page_id", "pos", chunk.midpoint_split(F.col("text")).alias("s")).select("page_id", "pos", "s.head", "s.tail")
 
 
-_NATIVE = f"WITH {sql_renderings('para')}, {sql_native()}"
-
-
 @query(_NATIVE + "SELECT * FROM (SELECT page_id, pos, md5(text) AS prev_md5, md5(lead(text) OVER (PARTITION BY page_id ORDER BY pos)) AS next_md5 FROM chunks_v) WHERE next_md5 IS NOT NULL")
 def chunk_adjacency(spark, sf_dir):
     rows = chunk.adjacent(chunk.native_chunks(rendering(spark, sf_dir, "para")))
@@ -130,9 +149,7 @@ d AS (SELECT page_id, nx, ny, round(least(mx, my)::DOUBLE / greatest(nx, ny), 6)
 def _diff(spark, sf_dir):
     rows = renderings(spark, sf_dir, "para", "trunc").withColumn("markdown", F.when(F.col("system") == "trunc", F.replace("markdown", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("markdown")))
     positions = chunk.boundary_positions(chunk.native_chunks(rows), ("system", "page_id"))
-    side = lambda s: positions.where(F.col("system") == s).groupBy("page_id").agg(F.collect_set("position").alias(s))
-    both = side("para").join(side("trunc"), "page_id")
-    return both.select("page_id", F.size("para").cast("long").alias("nx"), F.size("trunc").cast("long").alias("ny"), F.round(chunk.boundary_jaccard(F.col("para"), F.col("trunc")), 6).alias("jaccard"))
+    return chunk.boundaries_near(positions, "para", "trunc").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(_DIFF + "SELECT page_id, nx, ny, jaccard FROM d")
@@ -152,11 +169,40 @@ def boundary_stats(spark, sf_dir):
     return chunk.native_chunks(rendering(spark, sf_dir, "para")).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("sd"), F.min(n).alias("low"), F.max(n).alias("high"), F.countDistinct("page_id").alias("pages"))
 
 
-@query()
+def _clarity_sql(pairs: str) -> str:
+    """The offline scorer in closed form: the likelihood of a text depends only on how often each character was seen before.
+
+    ``pairs`` gives (page_id, pos, prev, nxt), nxt null where there is nothing to score.
+    """
+    log_rising = "(lgamma({k} + {m} + 1) - lgamma({k} + 1))"
+    return f"""{pairs},
+x AS (SELECT page_id, pos, unnest(string_split(nxt, '')) AS ch FROM pairs WHERE nxt <> ''), m AS (SELECT page_id, pos, ch, count(*) AS m FROM x GROUP BY ALL),
+y AS (SELECT page_id, pos, unnest(string_split(prev, '')) AS ch FROM pairs WHERE nxt <> '' AND prev <> ''), k AS (SELECT page_id, pos, ch, count(*) AS k FROM y GROUP BY ALL),
+l AS (SELECT page_id, pos, sum({log_rising.format(k='0', m='m')}) AS plain, sum({log_rising.format(k='coalesce(k, 0)', m='m')}) AS given FROM m LEFT JOIN k USING (page_id, pos, ch) GROUP BY ALL),
+bc AS (SELECT page_id, pos, exp(((lgamma(length(prev) + length(nxt) + 256) - lgamma(length(prev) + 256) - given) - (lgamma(length(nxt) + 256) - lgamma(256) - plain)) / length(nxt)) AS bc FROM pairs LEFT JOIN l USING (page_id, pos))
+"""
+
+
+_PAIRS = _NATIVE + ", pairs AS (SELECT * FROM (SELECT page_id, pos, text AS prev, lead(text) OVER (PARTITION BY page_id ORDER BY pos) AS nxt FROM chunks_v) WHERE nxt IS NOT NULL)"
+
+
+def _rounded(rows, *columns):
+    return rows.withColumns({c: F.round(c, 4) for c in columns})
+
+
+@query(_clarity_sql(_PAIRS) + "SELECT count(bc) AS n, count(*) - count(bc) AS skipped, round(avg(bc), 4) AS mean, round(median(bc), 4) AS median, round(stddev_samp(bc), 4) AS sd, round(min(bc), 4) AS low, round(max(bc), 4) AS high FROM bc")
 def boundary_clarity(spark, sf_dir):
     """With the offline scorer; a language model takes its place as a function."""
     pairs = chunk.adjacent(chunk.native_chunks(rendering(spark, sf_dir, "para")))
-    return hooks.summary(hooks.boundary_clarity(pairs))
+    return _rounded(hooks.summary(hooks.boundary_clarity(pairs)), "mean", "median", "sd", "low", "high")
+
+
+@query(_clarity_sql(_HALVES + ", pairs AS (SELECT page_id, pos, head AS prev, tail AS nxt FROM halves)") + "SELECT count(bc) AS n, count(*) - count(bc) AS skipped, round(avg(bc), 4) AS mean, round(median(bc), 4) AS median FROM bc")
+def chunk_stickiness(spark, sf_dir):
+    """How much the first half of a chunk tells about the second; chunks too short to halve are skipped."""
+    halves = chunk.native_chunks(rendering(spark, sf_dir, "para")).select("page_id", "pos", chunk.midpoint_split(F.col("text")).alias("s"))
+    pairs = halves.select("page_id", "pos", F.col("s.head").alias("prev_text"), F.col("s.tail").alias("next_text"))
+    return _rounded(hooks.summary(hooks.boundary_clarity(pairs)), "mean", "median").select("n", "skipped", "mean", "median")
 
 
 _SYSTEMS = ("para", "trunc")
@@ -172,9 +218,8 @@ def _located(spark, sf_dir):
     """All renderings at once: a page's key names its system too."""
     key = F.concat_ws("/", "system", F.col("page_id").cast("string"))
     pages = renderings(spark, sf_dir, *_SYSTEMS)
-    chunks = chunk.native_chunks(pages).withColumn("page_id", key)
     qa = probe(spark, sf_dir).withColumn("system", F.explode(F.array(*map(F.lit, _SYSTEMS)))).withColumn("page_id", key)
-    return coverage.classify(qa, pages.withColumn("page_id", key).select("page_id", "markdown"), chunks.select("page_id", "text"), False)
+    return coverage.classify_pieces(qa, pages.withColumn("page_id", key), chunk.native_pieces(F.col("markdown"), 30), False)
 
 
 @query(_LOCATED + "SELECT system, qa_id, location FROM located")
@@ -204,25 +249,31 @@ def absent_by_source(spark, sf_dir):
 
 
 _TOKENS = rf"regexp_extract_all(lower({{}}), '{tx.TOKEN}')"
-_LADDER = f"""WITH {sql_renderings('trunc')}, {SQL_PROBE}, q AS (SELECT qa_id, question_type, answer_span AS a, markdown AS p, {sql_norm('answer_span')} AS na, {sql_norm('markdown')} AS np FROM qa_v JOIN pages_v USING (page_id)),
-r AS MATERIALIZED (SELECT qa_id, question_type, {sql_strip('a')} <> '' AND contains(p, {sql_strip('a')}) AS l0, na <> '' AND contains(np, na) AS l1,
+_LADDER = f"""WITH {sql_renderings('raw', 'trunc')}, {SQL_PROBE}, q AS (SELECT system, qa_id, question_type, answer_span AS a, markdown AS p, {sql_norm('answer_span')} AS na, {sql_norm('markdown')} AS np FROM qa_v JOIN pages_v USING (page_id)),
+r AS MATERIALIZED (SELECT system, qa_id, question_type, {sql_strip('a')} <> '' AND contains(p, {sql_strip('a')}) AS l0, na <> '' AND contains(np, na) AS l1,
   regexp_replace(na, '[{tx.SEPARATORS}]', '', 'g') <> '' AND contains(regexp_replace(np, '[{tx.SEPARATORS}]', '', 'g'), regexp_replace(na, '[{tx.SEPARATORS}]', '', 'g')) AS l2,
   CASE WHEN len({_TOKENS.format('a')}) = 0 THEN FALSE ELSE len(list_filter({_TOKENS.format('a')}, lambda t: list_contains({_TOKENS.format('p')}, t)))::DOUBLE / len({_TOKENS.format('a')}) >= 0.9::DOUBLE END AS l3 FROM q)
 """
 
 
-@query(_LADDER + "SELECT rung, coalesce(question_type, 'all') AS level, count(*) AS n, round(avg((NOT present)::INT), 6) AS absent FROM (SELECT question_type, unnest(['L0_exact', 'L1_normalized', 'L2_numeric', 'L3_token_recall']) AS rung, unnest([l0, l1, l2, l3]) AS present FROM r) GROUP BY GROUPING SETS ((rung), (rung, question_type))")
+@query(_LADDER + "SELECT system, rung, coalesce(question_type, 'all') AS level, count(*) AS n, round(avg((NOT present)::INT), 6) AS absent FROM (SELECT system, question_type, unnest(['L0_exact', 'L1_normalized', 'L2_numeric', 'L3_token_recall']) AS rung, unnest([l0, l1, l2, l3]) AS present FROM r) GROUP BY GROUPING SETS ((system, rung), (system, rung, question_type))")
 def ladder_rates(spark, sf_dir):
-    pages = rendering(spark, sf_dir, "trunc").select("page_id", "markdown")
-    out = coverage.absent_rates(probe(spark, sf_dir), pages, ("L0_exact", "L1_normalized", "L2_numeric", "L3_token_recall"), exact_unicode=False)
+    """Whole texts, and the first 60 % of each as a parser that loses text."""
+    pages = renderings(spark, sf_dir, "raw", "trunc").select("system", "page_id", "markdown")
+    out = coverage.absent_rates(probe(spark, sf_dir), pages, ("L0_exact", "L1_normalized", "L2_numeric", "L3_token_recall"), exact_unicode=False, within=("system",))
     return out.withColumn("absent", F.round("absent", 6))
 
 
-@query()
+#: A common substring of at least 0.8 of the answer is one of exactly that length.
+_LCS = f"""WITH {sql_renderings('raw', 'trunc')}, {SQL_PROBE}, q AS (SELECT system, qa_id, {sql_norm('answer_span')} AS a, {sql_norm('markdown')} AS p FROM qa_v JOIN pages_v USING (page_id)),
+l AS (SELECT *, CAST(ceil(length(a) * 0.8::DOUBLE - 1e-9::DOUBLE) AS BIGINT) AS k FROM q)
+SELECT system, qa_id, a <> '' AND len(list_filter(range(1, length(a) - k + 2), lambda i: contains(p, substr(a, i, k)))) > 0 AS present FROM l"""
+
+
+@query(_LCS)
 def ladder_l4_lcs(spark, sf_dir):
-    """Longest common substrings: no SQL. Held against a plain dynamic program in the tests."""
-    rows = probe(spark, sf_dir).join(rendering(spark, sf_dir, "trunc").select("page_id", "markdown"), "page_id")
-    return rows.select("qa_id", coverage.l4(F.col("answer_span"), F.col("markdown")).alias("present"))
+    rows = probe(spark, sf_dir).join(renderings(spark, sf_dir, "raw", "trunc").select("system", "page_id", "markdown"), "page_id")
+    return rows.select("system", "qa_id", coverage.l4(F.col("answer_span"), F.col("markdown")).alias("present"))
 
 
 @query(f"WITH {SQL_PROBE} SELECT qa_id, question_type FROM qa_v WHERE page_id NOT IN (SELECT doc_id FROM labels)")
@@ -289,12 +340,18 @@ def text_similarity(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_PROBE}, v AS (SELECT qa_id, CASE WHEN NOT contains(text, answer_span) THEN 'span not in page' WHEN NOT length(question) BETWEEN 20 AND 200 THEN 'question length' WHEN NOT length(answer_span) BETWEEN 10 AND 100 THEN 'span length' WHEN NOT contains(substr(text, 1, 2000), answer_span) THEN 'no chunk' ELSE 'ok' END AS reason FROM qa_v JOIN documents ON doc_id = qa_id)
+    _EXPANDED
+    + """, q AS (SELECT d.*, qa_v.question, CASE WHEN qa_id % 19 = 0 THEN s || '?' ELSE s END AS span FROM d JOIN qa_v USING (qa_id)),
+v AS (SELECT CASE WHEN NOT contains(t, span) THEN 'span not in page' WHEN NOT length(question) BETWEEN 5 AND 200 THEN 'question length' WHEN NOT length(span) BETWEEN 1 AND 100 THEN 'span length' WHEN chunk IS NULL OR NOT contains(chunk, span) THEN 'no chunk' ELSE 'ok' END AS reason FROM (SELECT *, """
+    + _CHUNK
+    + """ AS chunk FROM q))
 SELECT reason, count(*) AS n FROM v GROUP BY reason"""
 )
 def qa_validation(spark, sf_dir):
+    """Each span's chunk is expanded around it in the whole text; every 19th span is not in its page."""
     rows = probe(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("qa_id"), "text"), "qa_id")
-    v = coverage.validate(F.col("question"), F.col("answer_span"), F.substring("text", 1, 2000), F.col("text"), (20, 200), (10, 100))
+    span = F.when(F.col("qa_id") % 19 == 0, F.concat("answer_span", F.lit("?"))).otherwise(F.col("answer_span"))
+    v = coverage.validate(F.col("question"), span, chunk.expand_span(F.col("answer_span"), F.col("text")), F.col("text"))
     return rows.select(v.alias("v")).groupBy(F.col("v.reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -304,7 +361,9 @@ def message_extract(spark, sf_dir):
     return turns.select("conv_id", corpus.assistant_message(F.col("messages")).alias("markdown"), F.size("messages").cast("long").alias("turns"))
 
 
-@query("SELECT 'hit' AS metric, 5 AS k, 'dense' AS retriever, count(*) AS n FROM region")
+@query("SELECT CASE event_type WHEN 'click' THEN 'hit' ELSE 'mrr' END AS metric, CAST(user_id % 10 + 1 AS INT) AS k, 'scorer-' || event_type AS retriever, count(*) AS n FROM events GROUP BY ALL")
 def metric_keys(spark, sf_dir):
-    rows = read(spark, sf_dir, "region").select(corpus.parse_metric_key(F.lit("hit@5__dense")).alias("m"))
+    """Keys made of every event, parsed again."""
+    key = F.concat(F.when(F.col("event_type") == "click", "hit").otherwise("mrr"), F.lit("@"), (F.col("user_id") % 10 + 1).cast("string"), F.lit("__scorer-"), F.col("event_type"))
+    rows = read(spark, sf_dir, "events").select(corpus.parse_metric_key(key).alias("m"))
     return rows.groupBy("m.metric", "m.k", "m.retriever").agg(F.count("*").alias("n"))
