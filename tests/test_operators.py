@@ -255,7 +255,171 @@ def test_store_is_bound(spark, tmp_path):
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5, None)], "name string, v double, w string")
     assert sinks.markdown_table(df).split("\n")[2] == "| a | 0.5000 |  |"
-    sinks.write_atomic(str(tmp_path / "r.md"), "x")
-    assert (tmp_path / "r.md").read_text() == "x"
+    for text in ("x", "y é"):
+        sinks.publish(spark, f"file://{tmp_path}/r.md", text)
+        assert (tmp_path / "r.md").read_text() == text
     with pytest.raises(ValueError):
-        sinks.dumps_strict({"x": float("nan")})
+        sinks.report_json({"x": float("nan")})
+    with pytest.raises(gates.GateError):
+        sinks.markdown_table(spark.range(5).toDF("n"), limit=4)
+    rates = spark.createDataFrame([("a", 10, 0.5, 0.25, 0.25), ("b", 10, 0.75, 0.125, 0.125)], "system string, total long, coverage double, split_rate double, parser_fault double")
+    assert sinks.coverage_report(rates).split("\n")[2] == "| b | 10 | 75.0 % | 12.5 % | 12.5 % |"
+    ladder = spark.createDataFrame([("a", "L0", 0.5), ("b", "L0", 0.25)], "system string, rung string, absent double")
+    assert sinks.ladder_report(ladder, "a").split("\n")[3] == "| b | 25.0 (-25.0) |"
+    sheet = sinks.review_sheet(spark.createDataFrame([(1, "<b>", bytearray(b"png"))], "slot int, answer string, image binary"), "Sheet", ("answer",), "image").first().value
+    assert "&lt;b&gt;" in sheet and "base64,cG5n" in sheet
+
+
+def test_missing_pages_and_parts(spark, tmp_path):
+    for part, name, text in (("a", "p1", "one"), ("b", "p2", "two"), ("b", "p3 +é", "")):
+        (tmp_path / part).mkdir(exist_ok=True)
+        (tmp_path / part / f"{name}.md").write_text(text)
+    got = {r.page_id: r.markdown for r in corpus.parsed_pages(spark, str(tmp_path)).collect()}
+    assert got == {"p1": "one", "p2": "two", "p3 +é": ""}
+    allowed = spark.createDataFrame([("p2",)], "page_id string")
+    assert [r.page_id for r in corpus.parsed_pages(spark, str(tmp_path), allowed).collect()] == ["p2"]
+    (tmp_path / "a" / "p2.md").write_text("again")
+    with pytest.raises(gates.GateError):
+        corpus.parsed_pages(spark, str(tmp_path))
+    with pytest.raises(gates.GateError):
+        corpus.parser_output(spark, f"{tmp_path}/a", spark.createDataFrame([("x", "nowhere")], "page_id string, stem string"), "p", strict=True)
+
+
+def test_documents_of_one_name(spark, tmp_path):
+    for part in "ab":
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "doc.pdf").write_text("x")
+    with pytest.raises(gates.GateError):
+        corpus.document_index(spark, str(tmp_path), ".pdf")
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"a": [1, 2]}')
+    assert corpus.read_config(str(tmp_path / "c.json")) == {"a": [1, 2]}
+
+
+def test_gates_on_numbers(spark):
+    df = spark.range(6).withColumn("v", F.col("id") / 10)
+    gates.require_counts(df, rows=6, id=6)
+    with pytest.raises(gates.GateError):
+        gates.require_counts(df, rows=5)
+    gates.require_status("ok", ("ok", "partial"))
+    with pytest.raises(gates.GateError):
+        gates.require_status("bad", ("ok",))
+    assert gates.mean_gap_gate(df, "v", 0.5) and not gates.mean_gap_gate(df, "v", 0.6) and not gates.mean_gap_gate(df.where("id < 0"), "v", 0.0)
+    assert [r.id for r in sample.first_rows(df, "id", 2).collect()] == [0, 1]
+    answers = spark.createDataFrame([("x",)] * 8 + [("",), (None,)], "pred string")
+    gates.require_answers(answers, least=0.8)
+    with pytest.raises(gates.GateError):
+        gates.require_answers(answers)
+
+
+def test_gates_on_paths(spark, tmp_path):
+    (tmp_path / "there").write_text("x")
+    gates.require_files(spark, f"file://{tmp_path}/there")
+    with pytest.raises(gates.GateError):
+        gates.require_files(spark, f"file://{tmp_path}/there", f"file://{tmp_path}/gone")
+    assert gates.require_cache_path("file:///c/x/y", "file:///c/x") == "file:///c/x/y"
+    for bad in ("file:///c/x/../y", "file:///c/xy", "file:///d"):
+        with pytest.raises(gates.GateError):
+            gates.require_cache_path(bad, "file:///c/x")
+    assert incremental.wait_for(spark, f"file://{tmp_path}/*", 1, 0.01) == 1
+    with pytest.raises(gates.GateError):
+        incremental.wait_for(spark, f"file://{tmp_path}/*.none", 1, 0.002, 0.01)
+
+
+def test_completions(spark):
+    from lectern.operators import hooks
+
+    def make():
+        seen = {}
+
+        def ask(prompts):
+            out = []
+            for p in prompts:
+                seen[p] = seen.get(p, 0) + 1
+                out.append(None if p == "never" else "" if p == "late" and seen[p] < 2 else p.upper())
+            return out
+
+        return ask
+
+    df = spark.createDataFrame([("a",), ("late",), ("never",)], "prompt string")
+    assert {r.prompt: r.reply for r in hooks.completed(df, make, parallel=1).collect()} == {"a": "A", "late": "LATE", "never": None}
+
+
+def test_judging(spark):
+    from lectern.operators import judge
+
+    df = spark.createDataFrame([('{"ok": true, "n": 1}',), ('{"ok": true}',), ('{"ok": "x", "n": 1}',), ('{"ok": true, "n": 1, "z": 2}',), ("[]",), (None,)], "t string")
+    got = [r.v for r in df.select(judge.strict_reply(F.col("t"), {"ok": "boolean", "n": "int"}).alias("v")).collect()]
+    assert got[0].ok is True and got[0].n == 1 and got[1:] == [None] * 5
+
+
+def test_degenerate_statistics(spark):
+    one = spark.range(1)
+    low, high = st.wilson(F.lit(0), F.lit(3), 1.96, clamp=False)
+    assert one.select(low.alias("a")).first().a == pytest.approx(0, abs=1e-12) and one.select(high.alias("b")).first().b < 1
+    assert math.isnan(one.select(st.kappa(F.lit(1.0), F.lit(1.0)).alias("k")).first().k)
+    empty = spark.createDataFrame([], "retriever string, k int, mrr double, hit double")
+    assert metrics.rcps(empty).first().rcps == 0.0
+    ranked = metrics.ranking(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "name string, s double"), "name", "s", fixed=("b", "a"))
+    assert {r.name: r.rk for r in ranked.collect()} == {"b": 1, "a": 2}
+
+
+def test_numbers_without_a_window_over_all(spark):
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in rng.choice([0.0, 1.0, 2.5, -3.0, 1e6], 300)] + [float(x) for x in rng.normal(size=200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double")
+    got = {r.k: r.i for r in resample.numbered(df, "v", "k").collect()}
+    assert got == {k: n for n, k in enumerate(sorted(range(500), key=lambda k: (values[k], k)))}
+    ranks = {r.k: r.r for r in resample.average_ranks(df, "v", "r").collect()}
+    assert all(r == sum(x < values[k] for x in values) + (sum(x == values[k] for x in values) + 1) / 2 for k, r in ranks.items())
+
+
+def test_poisson_bootstrap(spark):
+    values = np.random.default_rng(3).normal(1, 2, 400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k int, v double")
+    got = resample.poisson_bootstrap(df, "v", "k", 400).first()
+    wide = 1.96 * values.std() / 20
+    assert got.mean == pytest.approx(values.mean()) and got.low == pytest.approx(values.mean() - wide, abs=0.08) and got.high == pytest.approx(values.mean() + wide, abs=0.08)
+
+
+def test_projection_head(spark):
+    rng = np.random.default_rng(6)
+    w1, b1, w2, b2, x = rng.normal(size=(4, 4)), rng.normal(size=4), rng.normal(size=(3, 4)), rng.normal(size=3), rng.normal(size=(5, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, x array<double>")
+    got = [r.y for r in df.select("i", vx.projection_head(w1, b1, w2, b2, np.ones(3), np.zeros(3))("x").alias("y")).orderBy("i").collect()]
+    for row, y in zip(x, got):
+        h = w1 @ row + b1
+        h = np.array([v * 0.5 * (1 + math.erf(v / math.sqrt(2))) for v in h])
+        z = w2 @ h + b2
+        z = (z - z.mean()) / np.sqrt(z.var() + 1e-5)
+        assert y == pytest.approx(z / np.linalg.norm(z))
+
+
+def test_in_batch_negatives(spark):
+    anchors = spark.createDataFrame([(f"q{i}", f"p{i % 7}", f"c{i % 7}") for i in range(60)] + [("none", "p1", None)], "qa_id string, page_id string, chunk_id string")
+    got = prefer.in_batch_negatives(anchors, 10).collect()
+    page = {r.qa_id: r.page_id for r in anchors.collect()}
+    assert got and all(r.chunk_id != "c" + page[r.qa_id][1:] for r in got) and "none" not in {r.qa_id for r in got}
+
+
+def test_tables_in_text(spark):
+    rows = [("| a | b |\n|---|:-:|\n| 1 | 2 |", True), ("<TABLE class='x'><tr></tr></TABLE>", True), ("a --- b", False), ("plain", False)]
+    got = [r.t for r in spark.createDataFrame(rows, "text string, want boolean").select(tx.has_table(F.col("text")).alias("t")).collect()]
+    assert got == [w for _, w in rows]
+
+
+def test_candidates_are_ranked_in_their_pool(spark):
+    asks = spark.createDataFrame([("p", "q", 1.0)], "page_id string, qa_id string, ask double")
+    own = spark.createDataFrame([("p", 0, "a", 0.5, ["q"]), ("p", 0, "b", 0.9, []), ("p", 1, "c", 0.2, []), ("p", 2, "d", 0.95, ["q"])], "page_id string, candidate int, chunk_id string, item double, relevant array<string>")
+    pool = spark.createDataFrame([("p", "x", 0.7), ("p", "y", 0.1)], "page_id string, chunk_id string, item double")
+    got = {r.candidate: r.rcps for r in retrieve.candidate_scores(asks, own, pool, lambda a, b: a * b).collect()}
+    assert got == {0: round((0 + 1 / 3 + 1 / 3) / 3, 6), 1: 0.0, 2: 1.0}
+
+
+def test_truncated_context(spark):
+    df = spark.createDataFrame([(list(range(10)), list(range(100, 106))), ([], [1]), (list(range(3)), list(range(20)))], "c array<int>, t array<int>")
+    context, target = vx.truncated_context(F.col("c"), F.col("t"), 8)
+    got = [(r.c, r.t) for r in df.select(context.alias("c"), target.alias("t")).collect()]
+    assert got == [([6, 7, 8, 9], [100, 101, 102, 103]), ([], [1]), ([0, 1, 2], [0, 1, 2, 3])]
