@@ -7,23 +7,30 @@ cannot give goes up to the siblings of the parent. Each leaf then takes a prefix
 epochs: every epoch has its own order, by a seeded hash of the id, and the prefix is the documents
 that begin before the leaf's budget is used up.
 
-The plan of budgets is a table of one row for each leaf. The prefix needs no sort of a whole leaf:
-ranges of the hash cut each leaf and epoch into ``BUCKETS`` equal parts, whose sums are added up,
-and only the part in which the budget ends is ordered.
+The plan of budgets is a table of one row for each leaf. The prefix needs no sort of a leaf: the order is a
+hash of 60 bits, and the place where a budget ends is found by its digits to the base 1024, the sums of which
+are pre-aggregated. Rows that no digit tells apart (equal id and equal text) are cut inside the tie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import staged
+from . import kernels
+from .common import Scratch
+from .tokens import encoder
 
-#: Parts of the hash range into which a leaf is cut; a hot leaf spreads over as many tasks.
-BUCKETS = 1024
-#: Nodes of the tree that the plan holds on the driver, at most.
+#: Bits of the order, and of a digit of it.
+ORDER_BITS, DIGIT = 60, 10
+#: Nodes of the tree that the plan holds on the driver, at most; more raise an error.
 MAX_LEAVES = 100_000
+LEAF = ["d", "l", "s"]
+
+Weights = Mapping[tuple, float] | Callable[[Mapping[tuple, float]], tuple[Mapping[tuple, float], float]]
 
 
 def water_fill(budget: float, weights: Mapping, supplies: Mapping) -> dict:
@@ -68,60 +75,134 @@ def budget_tree(leaves: Mapping[tuple, float], weights: Mapping[tuple, float], b
     return go((), budget, sorted(leaves, key=str)) if leaves else {}
 
 
-def domain_of(source: str = "source", domains: int = 4) -> Column:
-    """A domain of a source, where the data name none: a fixed partition of the sources."""
-    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(domains)).cast("string"))
+def _order(epoch) -> Column:
+    """The place of a row in an epoch's seeded order, of ``ORDER_BITS`` bits."""
+    return F.shiftrightunsigned(F.xxhash64("h", epoch), 64 - ORDER_BITS)
 
 
-def token_estimate(text_col: str = "text") -> Column:
-    """A quarter of the UTF-8 bytes, rounded up, and at least 1."""
-    return F.greatest(F.ceil(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / 4), F.lit(1)).cast("long")
+def _keyed(df: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str, seed: int) -> list[Column]:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keys = [text(domain), text(F.col(lang_col)), text(F.col(source_col))]
+    return [*(k.alias(n) for k, n in zip(keys, LEAF)), F.xxhash64(F.col(id_col).cast("string"), text(F.col(text_col)), F.lit(seed)).alias("h")]
 
 
-def mix(df: DataFrame, budget: float | None = None, weights: Mapping[tuple, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, factor: float = 1.0, max_epochs: int = 4, seed: int = 17) -> DataFrame:
-    """Documents selected for the target weights, with (domain, lang, source, epoch, order, n_tokens) in a struct ``mix``.
+def _counts(path: str):
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            counts = [np.diff(offsets) for _, offsets in enc.batches(batch.column(batch.num_columns - 1))]
+            n = np.maximum(np.concatenate(counts) if counts else np.zeros(0, np.int64), 1)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "n"])
 
-    A row comes once for each epoch that selects it, beside all its columns (a column ``mix`` of its own
-    is replaced). ``n_tokens`` is estimated as a quarter of the UTF-8 bytes, rounded up, and at least 1;
-    ``order`` is the place in the epoch's seeded order. ``budget`` is a number of tokens, or None for
-    ``factor`` times those of all rows. Null language, source or text count as '' (a leaf of their own
-    and an empty text). Repeated rows are separate and tied in order, which any order resolves alike.
-    An empty table gives an empty result.
+    return run
+
+
+def token_rows(df: DataFrame, path: str, domain: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """(id, d, l, s, h, n) of every row: the leaf, the seed of its order, and its tokens (1 at least), without its text."""
+    rows = df.select(F.col(id_col).alias("id"), *_keyed(df, domain, id_col, text_col, lang_col, source_col, seed), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(kernels.tidy(_counts(path), keep=True), f"id {dict(rows.dtypes)['id']}, d string, l string, s string, h long, n long")
+
+
+def _cuts(light: DataFrame, wanted: dict[tuple, tuple[int, float]], order: Callable[[Column], Column]) -> dict[tuple, tuple[int, int, int]]:
+    """For each leaf with a rest: (cut, rows taken of those at the cut, rows at the cut); all rows of a lower order are taken.
+
+    ``wanted`` has (epoch, rest) of leaves. A round finds one digit of the place where the rest ends, over the rows of the
+    digits found before; a leaf is done when one order is left.
     """
-    names = ["d", "l", "s"]
-    keys = [domain if domain is not None else domain_of(source_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))]
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, names)], token_estimate(text_col).alias("n"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"))
-    light = inner.select(*names, "n", "h")
-
-    # Sums of the parts of each leaf: the only thing that is shuffled of all rows, and pre-aggregated.
-    part = lambda h, e: F.pmod(F.xxhash64(h, e), F.lit(BUCKETS)).cast("int")
-    parts = light.groupBy(*names, part(F.col("h"), F.lit(0)).alias("part")).agg(F.sum("n").alias("n"))
-    rows = parts.groupBy(*names).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
+    spark = light.sparkSession
+    state = {leaf: (0, 0, 0.0) for leaf, (_, rest) in wanted.items() if rest > 0}  # digits found, their value, tokens before
+    done: dict[tuple, tuple[int, int, int]] = {}
+    while state:
+        rows = [(*leaf, wanted[leaf][0], wanted[leaf][1], ORDER_BITS - DIGIT * k, value, before) for leaf, (k, value, before) in state.items()]
+        table = spark.createDataFrame(rows, "d string, l string, s string, epoch int, rest double, shift int, value long, before double")
+        own = light.join(F.broadcast(table), LEAF).withColumn("o", order(F.col("epoch")))
+        right = lambda by: F.call_function("shiftright", F.col("o"), by)
+        # At the first digit the shift is 60, so that all rows have the value 0.
+        own = own.where(right(F.col("shift")) == F.col("value"))
+        parts = own.groupBy(*LEAF, "rest", "before", right(F.col("shift") - DIGIT).alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("o").alias("a"), F.max("o").alias("z"))
+        until = Window.partitionBy(*LEAF).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(until), F.lit(0)))
+        at = Window.partitionBy(*LEAF).orderBy(F.desc("part"))
+        ends = parts.where("start < rest").withColumn("k", F.row_number().over(at)).where("k = 1")
+        for r in ends.collect():  # one for each leaf
+            leaf = (r.d, r.l, r.s)
+            if r.a == r.z:
+                done[leaf] = (r.a, min(r.rows, int(-((r.start - r.rest) // (r.n / r.rows)))), r.rows)
+                del state[leaf]
+            else:
+                state[leaf] = (state[leaf][0] + 1, r.part, r.start)
+    return done
+
+
+def _planned(light: DataFrame, weights: Weights, budget: float | None, factor: float, max_epochs: int) -> dict[tuple, tuple[int, float]]:
+    """(whole epochs, tokens of the next one) of each leaf with supply."""
+    rows = light.groupBy(*LEAF).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     leaves = {(r.d, r.l, r.s): float(r.n) for r in rows}
+    if callable(weights):
+        weights, budget = weights(leaves)
     want = float(sum(leaves.values()) * factor if budget is None else budget)
-    plan = budget_tree({k: v * max_epochs for k, v in leaves.items()}, weights or {}, want)
-    spark = df.sparkSession
-    # Whole epochs need no order; the last one has a rest.
-    plan_rows = [(*k, int(b // leaves[k]), float(b - b // leaves[k] * leaves[k])) for k, b in plan.items() if leaves[k] > 0]
-    table = spark.createDataFrame(plan_rows, "d string, l string, s string, whole int, rest double")
-
-    last = light.join(F.broadcast(table.where("rest > 0")), names).select(*names, "rest", "whole", F.xxhash64("h", "whole").alias("o"), "n")
-    spread = (F.shiftrightunsigned(F.col("o"), 54)).cast("int").alias("part")
-    sums = last.groupBy(*names, "rest", "whole", spread).agg(F.sum("n").alias("n"))
-    before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = staged(sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "parts")
-    # cut: the part in which the budget ends; within it the order decides.
-    cut = cuts.where("start < rest and start + n >= rest").select(*names, F.col("part").alias("cut"), F.col("start").alias("cut_start"), "rest")
-    edge = last.select(*names, "o", "n", spread).join(F.broadcast(cut), names).where("part = cut")
-    # The order within the part is by hash; ties (repeated rows) stay together.
-    inside = Window.partitionBy(*names).orderBy("o").rangeBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("at", F.col("cut_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).where("at < rest")
-    limits = edge.groupBy(*names).agg(F.max("o").alias("last"), F.max("cut").alias("cut"))
-    full = table.join(limits, names, "left")
-    chosen = inner.join(F.broadcast(full), names).withColumn("o", F.xxhash64("h", "whole")).withColumn("part", F.shiftrightunsigned(F.col("o"), 54).cast("int"))
-    extra = F.coalesce((F.col("part") < F.col("cut")) | ((F.col("part") == F.col("cut")) & (F.col("o") <= F.col("last"))), F.lit(False))
-    epochs = F.when(F.col("whole") + extra.cast("int") > 0, F.sequence(F.lit(0), F.col("whole") + extra.cast("int") - 1))
-    out = chosen.withColumn("epoch", F.explode(epochs))
-    return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != "mix"), F.struct(F.col("d").alias("domain"), F.col("l").alias("lang"), F.col("s").alias("source"), F.col("epoch"), F.xxhash64("h", "epoch").alias("order"), F.col("n").alias("n_tokens")).alias("mix"))
+    plan = budget_tree({k: v * max_epochs for k, v in leaves.items()}, weights, want)
+    out = {}
+    for k, b in plan.items():
+        whole = int((b + 1e-6) // leaves[k])
+        out[k] = (whole, max(0.0, b - whole * leaves[k]) if whole < max_epochs else 0.0)
+        if out[k][1] < 1e-6:
+            out[k] = (whole, 0.0)
+    return out
+
+
+def select(rows: DataFrame, light: DataFrame, weights: Weights, budget: float | None = None, factor: float = 1.0, max_epochs: int = 4) -> DataFrame:
+    """``rows`` (with d, l, s, h and any more columns) once for each epoch that selects them, with ``epoch`` and ``order``.
+
+    ``light`` has d, l, s, h and the tokens n of the same rows. A leaf's budget may be passed by the document in which it
+    ends, by no more.
+    """
+    spark = rows.sparkSession
+    wanted = _planned(light, weights, budget, factor, max_epochs)
+    cuts = _cuts(light, wanted, _order)
+    table = [(*k, whole, *(cuts[k] if k in cuts else (-1, 0, 0))) for k, (whole, _) in wanted.items()]
+    table = spark.createDataFrame(table, "d string, l string, s string, whole int, cut long, taken long, tied long")
+    own = rows.join(F.broadcast(table), LEAF).withColumn("_o", _order(F.col("whole")))
+    at_cut, some = F.col("_o") == F.col("cut"), F.col("taken") < F.col("tied")
+    extra = (F.col("_o") < F.col("cut")) | (at_cut & ~some)
+    if any(0 < taken < tied for _, taken, tied in cuts.values()):
+        # Equal rows, of which some are taken: they are written, so that each has a number that stays, and cut by that.
+        tie = Scratch(spark, "tie").stage(own.where(at_cut & some).withColumn("_number", F.monotonically_increasing_id()), "tied")
+        number = lambda _: F.shiftrightunsigned(F.xxhash64("_number"), 64 - ORDER_BITS)
+        inner = _cuts(tie.select(*LEAF, "_number", F.lit(1).alias("n")), {k: (0, float(taken)) for k, (_, taken, tied) in cuts.items() if 0 < taken < tied}, number)
+        limits = spark.createDataFrame([(*k, cut) for k, (cut, _, _) in inner.items()], "d string, l string, s string, _last long")
+        tie = tie.join(F.broadcast(limits), LEAF).withColumn("_extra", number(None) <= F.col("_last")).drop("_number", "_last")
+        own = own.where(~(at_cut & some)).withColumn("_extra", extra).unionByName(tie)
+    else:
+        own = own.withColumn("_extra", extra)
+    times = F.col("whole") + F.col("_extra").cast("int")
+    own = own.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    return own.withColumn("order", _order(F.col("epoch"))).select(*rows.columns, "epoch", "order")
+
+
+def mix(df: DataFrame, path: str, weights: Weights, budget: float | None = None, *, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", factor: float = 1.0, max_epochs: int = 4, seed: int = 17) -> DataFrame:
+    """Documents selected for the target weights, with (domain, lang, source, epoch, order) in a struct ``mix``.
+
+    A row comes once for each epoch that selects it, beside all its columns (a column ``mix`` of its own
+    is replaced). Tokens are those of the tokenizer at ``path``, and at least 1 for each row; ``order`` is the place in the epoch's
+    seeded order. ``domain`` names the tree's first level for each row. ``budget`` is a number of tokens, or None for
+    ``factor`` times those of all rows; ``weights`` may be a function of the leaves' tokens that gives both. Null domain,
+    language, source or text count as '' (a leaf of their own and an empty text). Rows of one id (null
+    ids too) are ordered by their texts; of rows equal in both as many are taken as the budget has room for.
+    An empty table gives an empty result.
+    """
+    scratch = Scratch(df.sparkSession, "mixing")
+    names = dict(id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, seed=seed)
+    light = scratch.stage(token_rows(df, path, domain, **names).drop("id"), "light")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_keyed(df, domain, **names))
+    out = select(rows, light, weights, budget, factor, max_epochs)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != "mix"), F.struct(F.col("d").alias("domain"), F.col("l").alias("lang"), F.col("s").alias("source"), "epoch", "order").alias("mix"))
+
+
+def mix_ids(df: DataFrame, path: str, weights: Weights, budget: float | None = None, *, domain: Column, id_col: str = "doc_id", factor: float = 1.0, max_epochs: int = 4, **names) -> DataFrame:
+    """(id_col, domain, lang, source, epoch, order, n_tokens) of what ``mix`` selects, without texts."""
+    light = Scratch(df.sparkSession, "mixing").stage(token_rows(df, path, domain, id_col=id_col, **names), "light")
+    out = select(light, light.drop("id"), weights, budget, factor, max_epochs)
+    return out.select(F.col("id").alias(id_col), F.col("d").alias("domain"), F.col("l").alias("lang"), F.col("s").alias("source"), "epoch", "order", F.col("n").alias("n_tokens"))

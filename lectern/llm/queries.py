@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import decision_list, flac, html_text, importance, language, mixing, packing, pii, token_cache
-from .common import shared_dir, table
+from .common import Scratch, table
 from .jaccard_join import jaccard_components
 from .tokens import tokenizer_path
 
@@ -13,6 +13,11 @@ from .tokens import tokenizer_path
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
+def domain_of(source: str = "source", domains: int = 4) -> Column:
+    """The domain of a source. The tables name none, so sources are dealt to ``domains`` of them."""
+    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(domains)).cast("string"))
+
+
 def language_weights(domains: int = 4) -> dict[tuple, float]:
     return {(f"domain{d}", lang): w for d in range(domains) for lang, w in LANGUAGES.items()}
 
@@ -26,7 +31,9 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), f"{shared_dir(spark)}/token-counts")
+    """With an empty cache of its own, so that all is encoded in each run."""
+    cache = f"{Scratch(spark, 'token-cache').path}/counts"
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), cache)
 
 
 def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +65,7 @@ def op9_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, weights=language_weights()).select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.epoch", "mix.order", "mix.n_tokens")
+    return mixing.mix_ids(table(spark, sf_dir, "documents"), tokenizer_path(), language_weights(), domain=domain_of())
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets)}
