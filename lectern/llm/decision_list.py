@@ -27,13 +27,19 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: More low bits of a window's hash that its place takes, besides those it needs (for tests of collisions).
+EXTRA_BITS = 0
+
+
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that the array has twice or more, the first ones included.
 
     Each window becomes a 64-bit word: the low bits its place, the others of its hash. Sorted, equal
-    windows are neighbours; the places of those, sorted again, cover up to three words each. O(n log n).
+    windows are neighbours, and so may be a few others; the windows that have such a neighbour are sorted by their
+    words, and only those with equal words count. Their places, sorted again, cover up to three words each. O(n log n).
     """
-    def places(w):
+    def alike(w):
+        """Places of windows whose hash, as far as it is kept, another one has."""
         n = F.size(w)
 
         def found(bits):
@@ -43,20 +49,31 @@ def repeated_words(words: Column) -> Column:
             def repeats(s):
                 head = lambda v: F.call_function("shiftrightunsigned", v, bits)
                 same = lambda v, j: F.coalesce(head(F.get(s, j)) == head(v), F.lit(False))
-                return F.sort_array(F.transform(F.filter(s, lambda v, j: same(v, j - 1) | same(v, j + 1)), lambda v: v.bitwiseAND(mask)))
+                return F.transform(F.filter(s, lambda v, j: same(v, j - 1) | same(v, j + 1)), lambda v: v.bitwiseAND(mask).cast("int"))
 
             return _let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key)), repeats)
 
-        return F.when(n >= 4, _let(F.length(F.bin(n.cast("bigint"))), found)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= 4, _let(F.length(F.bin(n.cast("bigint"))) + EXTRA_BITS, found)).otherwise(F.array().cast("array<int>"))
+
+    def equal(w, places):
+        def repeats(s):
+            same = lambda v, j: F.coalesce((F.get(s, j)["a"] == v["a"]) & (F.get(s, j)["b"] == v["b"]) & (F.get(s, j)["c"] == v["c"]), F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, lambda v, j: same(v, j - 1) | same(v, j + 1)), lambda v: v["p"]))
+
+        window = lambda p: F.struct(F.get(w, p).alias("a"), F.get(w, p + 1).alias("b"), F.get(w, p + 2).alias("c"), p.alias("p"))
+        return _let(F.sort_array(F.transform(places, window)), repeats)
 
     def covered(p):
-        return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(p, j + 1) - x, F.lit(3).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    return _let(_let(words, places), covered)
+    return _let(words, lambda w: _let(alike(w), lambda p: F.when(F.size(p) > 0, _let(equal(w, p), covered)).otherwise(F.lit(0).cast("bigint"))))
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with a struct ``stats`` of base counts and of ``STATISTICS``. Null texts count as empty; shares of nothing are 0."""
+    """``df`` with a struct ``stats`` of base counts and of ``STATISTICS`` (in place of a column ``stats`` of its own).
+
+    Null texts count as empty; shares of nothing are 0. Repeated rows stay; an empty table gives an empty one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     gone = lambda t, kind: F.length(t) - F.length(F.regexp_replace(t, f"[{kind}]+", ""))
 
@@ -119,7 +136,10 @@ def _covers(x: np.ndarray, rule: list[tuple[int, bool, float]]) -> np.ndarray:
 
 
 def learn(x: np.ndarray, bad: np.ndarray, names=STATISTICS, max_rules: int = MAX_RULES, max_terms: int = MAX_TERMS, precision: float = PRECISION) -> DecisionList:
-    """Rules for ``bad`` rows. With no bad row, or none that can be told apart, the list is empty."""
+    """Rules for ``bad`` rows. With no row, no bad row, or none that can be told apart, the list is empty.
+
+    Of cuts and statistics of equal gain the first wins. ``x`` has no nulls (``statistics`` gives none).
+    """
     rules = []
     left = np.ones(len(x), bool)
     third = np.arange(len(x)) % 3 == 2
@@ -163,10 +183,15 @@ def learn(x: np.ndarray, bad: np.ndarray, names=STATISTICS, max_rules: int = MAX
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DecisionList:
-    """Learn from ``sample`` documents with a quality label (1 good, 0 bad), by least hashed id."""
+    """Learn from ``sample`` documents with a quality label (1 good, 0 bad), by least hashed id.
+
+    An id with several labels is bad if any says so; of several texts of an id the least counts, so repeated rows do not
+    add to the sample. Null ids and labels are no examples.
+    """
     known = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").alias("q"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample).groupBy("id").agg(F.min("q").alias("q"))
+    picked = known.where("id is not null").groupBy("id").agg(F.min("q").alias("q")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", "q").agg(F.min("text").alias("text"))
     got = statistics(rows).select("id", "q", *(F.col(f"stats.{s}").cast("double").alias(s) for s in STATISTICS)).orderBy(F.xxhash64("id"), "id").collect()
     if not got:
         return DecisionList([])
@@ -174,7 +199,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def judge(df: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row; other columns are ignored."""
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row; other columns are ignored.
+
+    A null or blank text has no words and fails the base rules. Equal texts are judged alike, repeated rows stay, and an
+    empty table gives an empty result.
+    """
     rows = statistics(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "stats")
     s = lambda name: F.col(f"stats.{name}")
     failed = (s("n_words") < 50) | (100 * s("n_repeat_words") > 50 * s("n_words"))
