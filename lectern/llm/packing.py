@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import bounded_batches, staged
+from .common import Scratch
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -28,7 +28,9 @@ CAPACITY = 2048
 SLACK = 8
 #: Items that one best-fit run holds in memory.
 RUN = 1 << 18
-#: Larger underfull bins of a run that go on, for each small one.
+#: Larger underfull bins of a run that go on, for each small one. Any two small bins fit together, and a small one fits
+#: with a larger one only if that has room for it, so what stays behind could have merged only with what a run has fewer than
+#: one in SPARE of: at most as many sequences too many as small bins go on, one for each run of ``RUN`` items.
 SPARE = 64
 FAN_IN = 8
 
@@ -120,7 +122,6 @@ def _packed(capacity: int, last: bool):
 
 def tokenised_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every row; a null text counts as empty and has its end id alone."""
-    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(kernels.tidy(_pieces(path, end_id, capacity), keep=True), f"id {dict(rows.dtypes)['id']}, piece int, start long, length long, ids_crc32 long")
 
@@ -136,7 +137,9 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kind = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     extra = ", bin long, at long, goes boolean, fill long"
     tasks = max(1, rest.rdd.getNumPartitions())
-    level = staged(rest.mapInArrow(_packed(capacity, tasks == 1), kind(rest) + extra), "bins")
+    scratch = Scratch(items.sparkSession, "packing")
+    level = scratch.stage(rest.mapInArrow(_packed(capacity, tasks == 1), kind(rest) + extra), "bins")
+    rounds = []
     moved = None  # (bin, to, shift) of first-round bins that later rounds have put into others
     on = level.where("goes").groupBy("bin").agg(F.max("fill").alias("length"))
     n = 0
@@ -145,7 +148,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         tasks = -(-tasks // FAN_IN)
         here = on.withColumnRenamed("bin", "item").coalesce(tasks).mapInArrow(_packed(capacity, tasks == 1), "item long, length long" + extra)
         # Bins of later rounds get numbers of their own: the round in the bits below the task's.
-        here = staged(here.select("item", (F.col("bin") + F.lit(n) * F.lit(1 << 58)).alias("bin"), "at", "goes", "fill"), "round")
+        here = scratch.stage(here.select("item", (F.col("bin") + F.lit(n) * F.lit(1 << 58)).alias("bin"), "at", "goes", "fill"), "round")
+        rounds.append(here)
         if moved is None:
             moved = here.select("item", "bin", "at")
         else:
@@ -155,7 +159,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = items.columns
     done = level.select(*names, "bin", "at")
     if moved is not None:
-        moved = staged(moved, "moved")
+        moved = scratch.stage(moved, "moved")
+        scratch.drop(*rounds)
         up = moved.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("at").alias("shift"))
         done = level.where("goes").select(*names, "bin", "at").join(up, "bin", "left").select(*names, F.coalesce("to", "bin").alias("bin"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at")).unionByName(level.where("not goes").select(*names, "bin", "at"))
     packed = done.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
@@ -168,5 +173,5 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     Repeated rows are packed each for itself; rows with a null id too. Other columns are ignored.
     """
-    pieces = staged(tokenised_pieces(df, path, id_col, text_col, end_id, capacity), "pieces")
+    pieces = Scratch(df.sparkSession, "packing").stage(tokenised_pieces(df, path, id_col, text_col, end_id, capacity), "pieces")
     return pack_items(pieces, capacity).withColumnRenamed("id", id_col)
