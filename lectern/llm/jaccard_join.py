@@ -99,12 +99,17 @@ def _summed(batches):
 def _classes(profile: DataFrame) -> np.ndarray:
     """The frequency class of each cell: 0 up to what chance puts there (three deviations above the mean, and four), one more for each doubling of the rest."""
     sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(kernels.tidy(_summed), "block int, counts binary")
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.uint32)
     for row in sums.toLocalIterator():
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
-    load = float(np.median(counts))
-    over = counts - (load + 3 * math.sqrt(load) + 4)
-    return np.where(over > 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+    load = float(np.partition(counts, CELLS // 2)[CELLS // 2])
+    out = np.zeros(CELLS, np.uint8)
+    for i in range(0, CELLS, 1 << 16):  # the driver has little memory
+        over = counts[i : i + (1 << 16)] - (load + 3 * math.sqrt(load) + 4)
+        out[i : i + (1 << 16)] = np.where(over > 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0)
+    del counts
+    kernels.trim()
+    return out
 
 
 def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
