@@ -5,11 +5,14 @@ Each stage works on what its predecessor kept. The first four return the columns
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.llm import language, mixing, packing, pii
-from lectern.llm.common import staged
+from lectern.llm.common import Scratch
 from lectern.llm.jaccard_join import drop_near_copies
+from lectern.llm.queries import domain_of
 from lectern.llm.tokens import tokenizer_path
 from lectern.session import ship
 
@@ -37,19 +40,23 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def smoothed(leaves: Mapping[tuple, float]) -> tuple[dict[tuple, float], float]:
+    """Weights of languages below each domain, their share to the power ``SMOOTHING``, and the budget in which no leaf has less than one epoch."""
+    sizes: dict[tuple, float] = {}
+    for (domain, lang, _), n in leaves.items():
+        sizes[domain, lang] = sizes.get((domain, lang), 0.0) + n
+    own = {d: {k: n for k, n in sizes.items() if k[0] == d} for d in {d for d, _ in sizes}}
+    weights = {k: n**SMOOTHING / sum(x**SMOOTHING for x in own[k[0]].values()) for k, n in sizes.items()}
+    need = max((n / sum(own[k[0]].values()) / weights[k] for k, n in sizes.items()), default=1.0)
+    return weights, 1.0001 * sum(leaves.values()) * need
+
+
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: languages weigh their share to the power ``SMOOTHING``, in a budget that gives each leaf
-    one epoch at least; rare languages are repeated, up to four epochs."""
+    one epoch at least; rare languages are repeated, up to four epochs. An empty table stays empty; a column ``mix``
+    of the documents' own would not."""
     ship(spark)
-    sizes = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), mixing.domain_of().alias("domain")).agg(F.sum(mixing.token_estimate()).alias("n")).limit(mixing.MAX_LEAVES).collect()
-    total = sum(r.n for r in sizes)
-    weights: dict[tuple, float] = {}
-    for domain in {r.domain for r in sizes}:
-        own = {r.lang: r.n for r in sizes if r.domain == domain}
-        scale = sum(n**SMOOTHING for n in own.values())
-        weights |= {(domain, lang): n**SMOOTHING / scale for lang, n in own.items()}
-    need = max((r.n / sum(x.n for x in sizes if x.domain == r.domain) / weights[r.domain, r.lang] for r in sizes), default=1.0)
-    return mixing.mix(docs, budget=1.0001 * total * need if sizes else 0.0, weights=weights).select(docs.columns)
+    return mixing.mix(docs, tokenizer_path(), smoothed, domain=domain_of()).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +73,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch, before = Scratch(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
