@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.vectors import perplexity_ratio
 
@@ -13,7 +13,7 @@ from ..functions.vectors import perplexity_ratio
 def completed(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str | None]]], prompt: str = "prompt", out: str = "reply", retries: int = 1, valid: Callable[[str], bool] = bool, parallel: int | None = None) -> DataFrame:
     """Replies to a prompt column. ``make`` builds the client once for each task; invalid replies are asked again,
     and the last answer stays whatever it is. ``parallel`` bounds the tasks that call at once."""
-    schema = rows.schema.add(out, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         ask = make()
@@ -29,6 +29,55 @@ def completed(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, schema)
 
 
+def completed_pending(rows: DataFrame, store: str, key: str, make: Callable[[], Callable[[list[str]], list[str | None]]], prompt: str = "prompt", **how) -> DataFrame:
+    """(key, value, seq) of all rows: replies that a store has are not asked for again, and a row without a reply stays pending."""
+    from ..streaming.incremental import score_pending
+
+    ask = lambda pending: completed(pending.select(key, prompt), make, prompt, "value", **how).select(key, "value", F.lit(0).alias("seq"))
+    return score_pending(rows, store, key, ask, f"{key} {dict(rows.dtypes)[key]}, value string, seq int")
+
+
+def chat_client(url: str, model: str, system: str | None = None, timeout: float = 60.0, headers: dict[str, str] | None = None, **options) -> Callable[[], Callable[[list[str]], list[str | None]]]:
+    """A client of a chat-completions server, as ``completed`` takes it: a prompt's first reply, or None where the server has none."""
+    def make():
+        import json
+        import urllib.request
+
+        def one(prompt: str) -> str | None:
+            turns = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
+            body = json.dumps({"model": model, "messages": turns, **options}).encode()
+            request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", body, {"Content-Type": "application/json", **(headers or {})})
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as reply:
+                    return json.load(reply)["choices"][0]["message"]["content"]
+            except (OSError, ValueError, LookupError):
+                return None
+
+        return lambda prompts: [one(p) for p in prompts]
+
+    return make
+
+
+def parsed_by_command(rows: DataFrame, command: list[str], content: str = "content", out: str = "markdown", timeout: float = 600.0) -> DataFrame:
+    """``rows`` with what a command prints for a row's bytes on its standard input; null where it fails or takes too long."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+
+    def run(batches):
+        import subprocess
+
+        for batch in batches:
+            texts = []
+            for raw in batch[content]:
+                try:
+                    done = subprocess.run(command, input=bytes(raw) if raw is not None else b"", capture_output=True, timeout=timeout)
+                    texts.append(done.stdout.decode(errors="replace") if done.returncode == 0 else None)
+                except (OSError, subprocess.TimeoutExpired):
+                    texts.append(None)
+            yield batch.assign(**{out: texts})
+
+    return rows.mapInPandas(run, schema)
+
+
 def unigram_nll(text: str, context: str | None) -> float | None:
     """Offline stand-in for a language model: mean negative log-likelihood of characters, smoothed, over the text's own and its context's counts."""
     import math

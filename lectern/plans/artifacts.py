@@ -403,6 +403,16 @@ def encoded_search(spark, sf_dir):
     return retrieve.search(asks, spark.read.parquet(base), encoder, 5, "asymmetric").withColumn("rk", F.col("rk").cast("long"))
 
 
+@query("SELECT vec_id, round(CAST(embedding AS DOUBLE[])[1], 6) AS head FROM embeddings WHERE vec_id % 3 = 0")
+def vector_cache(spark, sf_dir):
+    """Vectors kept under a fingerprint, looked up by key."""
+    store, made = fresh_dir(spark, "vectors"), {"encoder": "stored", "version": 1}
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    incremental.save_vectors(rows, store, made)
+    got = incremental.load_vectors(spark, store, made, rows.where("vec_id % 3 = 0"), "vec_id")
+    return got.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
+
+
 @query("SELECT vec_id, round((CAST(embedding AS DOUBLE[])[2] + CAST(embedding AS DOUBLE[])[3]) / 2, 6) AS inside, round(list_sum(CAST(embedding AS DOUBLE[])[1:4]) / 4, 6) AS fallback FROM embeddings")
 def span_pooling(spark, sf_dir):
     """Late pooling: the mean over a chunk's own tokens, and over all of them where it has none (first four numbers as tokens)."""

@@ -48,6 +48,24 @@ def score_pending(rows: DataFrame, store: str, key: str, score: Callable[[DataFr
     return keep_last(_read(spark, f"{store}/results", schema), (key,), order)
 
 
+def save_vectors(vectors: DataFrame, store: str, fingerprint: dict) -> None:
+    """Keep encoded rows under the settings that made them; a store of other settings is refused."""
+    bind(vectors.sparkSession, store, fingerprint)
+    vectors.write.mode("append").parquet(f"{store}/results")
+
+
+def load_vectors(spark: SparkSession, store: str, fingerprint: dict, keys: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """The vectors of a store that was made with these settings, of the given keys only; keys that it lacks raise."""
+    bind(spark, store, fingerprint)
+    got = spark.read.parquet(f"{store}/results")
+    if keys is None:
+        return got
+    gone = keys.select(key).distinct().join(got, key, "left_anti").count()
+    if gone:
+        raise GateError(f"{gone} keys have no vector")
+    return got.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def read_json_checkpoint(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
     """JSON lines whose cut-off last line is dropped; the last of each key stays."""
     return keep_last(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), (key,), order)

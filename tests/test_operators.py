@@ -423,3 +423,55 @@ def test_truncated_context(spark):
     context, target = vx.truncated_context(F.col("c"), F.col("t"), 8)
     got = [(r.c, r.t) for r in df.select(context.alias("c"), target.alias("t")).collect()]
     assert got == [([6, 7, 8, 9], [100, 101, 102, 103]), ([], [1]), ([0, 1, 2], [0, 1, 2, 3])]
+
+
+def test_chat_client(spark, tmp_path):
+    import http.server
+    import json
+    import threading
+
+    from lectern.operators import hooks
+
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body["messages"][-1]["content"])
+            bad = body["messages"][-1]["content"] == "bad"
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"" if bad else json.dumps({"choices": [{"message": {"content": body["model"] + ":" + body["messages"][-1]["content"]}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = hooks.chat_client(f"http://127.0.0.1:{server.server_port}/v1", "m", "be brief")
+        df = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "bad")], "key string, prompt string")
+        for _ in range(2):
+            got = {r.key: r.value for r in hooks.completed_pending(df, f"file://{tmp_path}/s", "key", client, retries=0).collect()}
+            assert got == {"1": "m:a", "2": "m:b"}
+        assert asked.count("a") == asked.count("b") == 1 and asked.count("bad") == 2
+    finally:
+        server.shutdown()
+
+
+def test_parsed_by_command(spark):
+    from lectern.operators import hooks
+
+    df = spark.createDataFrame([(1, bytearray(b"<b>x</b>")), (2, None)], "k int, content binary")
+    assert {r.k: r.markdown for r in hooks.parsed_by_command(df, ["cat"]).collect()} == {1: "<b>x</b>", 2: ""}
+    assert {r.markdown for r in hooks.parsed_by_command(df, ["false"]).collect()} == {None}
+
+
+def test_vectors_are_bound(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, embedding array<double>")
+    incremental.save_vectors(df, f"file://{tmp_path}/v", {"m": 1})
+    with pytest.raises(gates.GateError):
+        incremental.load_vectors(spark, f"file://{tmp_path}/v", {"m": 2})
+    with pytest.raises(gates.GateError):
+        incremental.load_vectors(spark, f"file://{tmp_path}/v", {"m": 1}, spark.createDataFrame([("z",)], "chunk_id string"))
+    assert incremental.load_vectors(spark, f"file://{tmp_path}/v", {"m": 1}).count() == 2
