@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import file_system, fresh_dir
 from . import kernels
 
 
@@ -20,27 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _local_dir() -> str:
-    path = tempfile.mkdtemp(prefix="lectern-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return "file://" + path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local master (driver and executors are one process) has a temporary folder,
-    removed at exit; on a cluster this is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _local_dir()
-
-
 #: What holds while a step is written: rows can be long, so few bytes cross to Python at once; shuffle files go when the step has ended.
 _STEP = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -65,12 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self._hadoop(self.path)[0].deleteOnExit(self._hadoop(self.path)[1])
-
-    def _hadoop(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        self.spark, self.path, self.n = spark, fresh_dir(spark, label), 0
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -83,7 +53,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            fs, p = self._hadoop(t._staged)
+            fs, p = file_system(self.spark, t._staged)
             fs.delete(p, True)
 
 

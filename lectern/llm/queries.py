@@ -8,6 +8,7 @@ from . import decision_list, flac, html_text, importance, language, mixing, pack
 from .common import Scratch, table
 from .jaccard_join import jaccard_components
 from .tokens import tokenizer_path
+from .trees import BoostedTrees
 
 #: Target weights of languages below every domain; sources below a language have the weight of their supply.
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -68,5 +69,41 @@ def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(table(spark, sf_dir, "documents"), tokenizer_path(), language_weights(), domain=domain_of())
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets)}
-ORACLE_SQL: dict[str, str] = {}
+def text_statistics_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 7 that no model decides."""
+    rows = decision_list.judge(table(spark, sf_dir, "documents"), decision_list.DecisionList([]))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of operator 8 that no model decides."""
+    none = pii.PiiModel(BoostedTrees(-9.0, []), float("inf"))
+    return pii.pii_report(table(spark, sf_dir, "documents"), none).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)), b AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS z FROM s UNION SELECT r.a, b.y FROM r JOIN b ON r.z = b.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(z) AS component_id FROM r GROUP BY a) c ON c.a = doc_id"""
+
+_STATISTICS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1), v AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN c USING (doc_id, g)), r AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS lines FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM x LEFT JOIN r USING (doc_id)"""
+
+_LUHN = "list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN (length({0}) - i) % 2 = 0 THEN CAST({0}[i] AS INT) WHEN CAST({0}[i] AS INT) > 4 THEN 2 * CAST({0}[i] AS INT) - 9 ELSE 2 * CAST({0}[i] AS INT) END)) % 10 = 0"
+_PERSONAL_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c, list_transform(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM d)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: NOT regexp_full_match(y, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: length(x) BETWEEN 12 AND 19 AND {_LUHN.format('x')})) AS BIGINT) AS n_card, CAST(len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM f"""
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, text_statistics_base, personal_data_base)}
+#: The others need a tokenizer, a codec, a trained model or the rules of HTML: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}

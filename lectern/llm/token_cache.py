@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import shared_dir
 from . import kernels
-from .common import Scratch, among, id_bits, join_counts, shared_dir
+from .common import Scratch, among, id_bits, join_counts
 from .tokens import encoder
 
 RULES = "counts-1"
