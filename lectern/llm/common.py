@@ -118,6 +118,25 @@ def id_bits(ids: DataFrame) -> np.ndarray | None:
     return bits
 
 
+def unit_hash(*columns) -> Column:
+    """A number in [0, 1) from the hash of columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def least_hashed(rows: DataFrame, hashed: Column, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of the least hash (a number in [0, 1)), ties by columns.
+
+    Rows far above the cut that ``n`` of this many rows must have stay out of the ordering, so tasks send about twice ``n`` rows
+    in all, not ``n`` each.
+    """
+    own = rows.withColumn("_h", hashed)
+    total = own.count()
+    below = own.where(F.col("_h") < min(1.0, (2 * n + 100) / max(total, 1)))
+    if below.count() < min(n, total):  # repeated ids: few hashes for many rows
+        below = own
+    return below.orderBy("_h", *ties).limit(n).drop("_h")
+
+
 #: A key is hot if it has more than LEAST_HOT rows and more than this part of all; so there are fewer hot keys than HOT.
 HOT, LEAST_HOT = 50_000, 256
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import least_hashed, unit_hash
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Labelled documents that are learned from, at most, by least hashed id.
 SAMPLE = 8000
@@ -189,7 +191,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     add to the sample. Null ids and labels are no examples.
     """
     known = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").alias("q"))
-    picked = known.where("id is not null").groupBy("id").agg(F.min("q").alias("q")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    picked = least_hashed(known.where("id is not null").groupBy("id").agg(F.min("q").alias("q")), unit_hash("id"), sample, "id")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     rows = rows.groupBy("id", "q").agg(F.min("text").alias("text"))
     got = statistics(rows).select("id", "q", *(F.col(f"stats.{s}").cast("double").alias(s) for s in STATISTICS)).orderBy(F.xxhash64("id"), "id").collect()

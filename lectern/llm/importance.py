@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels
-from .common import Scratch, _step
+from .common import Scratch, _step, least_hashed, unit_hash
 
 BUCKETS = 1 << 19
 #: Occurrences that every cell may be taken to have beside its own, in either model, and the share of held-out target text that must be drawn.
@@ -191,7 +191,7 @@ def importance_resample(df: DataFrame, labels: DataFrame, keep: float | None = N
     An empty table gives an empty result. Other columns are ignored.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    good = good.orderBy(F.xxhash64("id"), "id").limit(target).withColumn("target", 1 + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)))
+    good = least_hashed(good, unit_hash("id"), target, "id").withColumn("target", 1 + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(F.broadcast(good), "id", "left")
     shared = df.sparkSession.sparkContext.broadcast(log_ratios(marked, F.col("target")))

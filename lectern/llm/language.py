@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
+from .common import unit_hash
 
 MAX_N = 4
 #: Labelled documents of each language, by least hashed id: landmarks, and rows of the regression.
@@ -151,13 +152,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     repeated rows do not add to the sample. Without an example the model has no label.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    labels = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    counts = {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    labels = sorted(counts)
     if not labels:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
     share = min(1.0, FULL_LABELS / len(labels))
     landmarks, training = (min(n, max(LEAST, int(n * share))) for n in (landmarks, training))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
+    # Of a label's rows only those of small hashes are ordered: about twice as many as are wanted, whatever their number.
+    shares = df.sparkSession.createDataFrame([(k, (2.0 * training + 60) / n) for k, n in counts.items()], "lang string, share double")
+    ids = rows.select("id", "lang").join(F.broadcast(shares), "lang").where(unit_hash("id") < F.col("share")).select("id", "lang").distinct()
     picked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
     sample = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
     got = sorted(sample.mapInArrow(kernels.tidy(_sets), f"id {dict(sample.dtypes)['id']}, lang string, codes binary").collect(), key=lambda r: (r.lang, zlib.crc32(str(r.id).encode()), str(r.id)))

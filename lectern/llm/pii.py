@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import least_hashed, unit_hash
 from .trees import BoostedTrees, boost
 
 #: The base kinds, and those of added spans.
@@ -350,7 +351,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int
     some = df.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).where(F.length(F.trim("text")) > 0)
     begin = F.pmod(F.xxhash64("id", F.lit(5)), F.greatest(F.length("text") - PIECE, F.lit(1))) + 1
     piece = F.substring(F.col("text"), begin.cast("int"), F.lit(PIECE))
-    pieces = [r.piece for r in some.select(piece.alias("piece"), F.xxhash64("id", "text").alias("h")).orderBy("h", "piece").limit(docs).collect()]
+    pieces = [r.piece for r in least_hashed(some.select(piece.alias("piece"), unit_hash("id", "text").alias("h")), F.col("h"), docs, "piece").collect()]
     if not pieces:
         return PiiModel(BoostedTrees(-9.0, []), float("inf"))
     c = F.col("c")
