@@ -440,7 +440,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``threshold`` is a fraction: sets link when den * intersection >= num * union. A null or empty
     text, or one without words, has the empty set and links with nothing; equal texts have one
     component; rows with a null id are returned with a null component. Rows that share an id are
-    one node that has the links of all its texts. Other columns are ignored.
+    one node that has the links of all its texts. Ids are cast to long; one that is no number raises an error. Repeated
+    rows come back as often as they are there; an empty table gives an empty result. Other columns are ignored.
     """
     docs, classes, links = jaccard_nodes(df, id_col, text_col, k, threshold, region)
     parts = connected_components(links)
