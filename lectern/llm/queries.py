@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decision_list, flac, html_text, importance, language, mixing, packing, pii, token_cache
+from . import decision_list, flac, html_text, importance, language, mixing, packing, pii, row_patterns, token_cache
 from .common import Scratch, table
 from .jaccard_join import jaccard_components
 from .tokens import tokenizer_path
@@ -69,6 +69,11 @@ def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(table(spark, sf_dir, "documents"), tokenizer_path(), language_weights(), domain=domain_of())
 
 
+def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = row_patterns.zigzags(table(spark, sf_dir, "clicks"))
+    return found.withColumn("match_no", F.col("match_no").cast("long")).withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
+
+
 def text_statistics_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of operator 7 that no model decides."""
     rows = decision_list.judge(table(spark, sf_dir, "documents"), decision_list.DecisionList([]))
@@ -104,6 +109,20 @@ f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[
 SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: NOT regexp_full_match(y, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0)) AS BIGINT) AS n_ip,
   CAST(len(list_filter(c, lambda x: length(x) BETWEEN 12 AND 19 AND {_LUHN.format('x')})) AS BIGINT) AS n_card, CAST(len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM f"""
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, text_statistics_base, personal_data_base)}
+# Independent of the regular expression: the chain after a start ends at the last higher row before one that is neither.
+_ZIGZAG_SQL = """WITH d AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT client_id, click_id, ts, kind, CAST(floor(100 * value + 0.5) AS BIGINT) AS c FROM d),
+o AS (SELECT *, row_number() OVER w AS r, lag(c) OVER w AS pc, lag(ts) OVER w AS pt FROM b WINDOW w AS (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST, c NULLS FIRST, kind NULLS FIRST)),
+l AS (SELECT *, coalesce(ts - pt <= INTERVAL 30 MINUTE, false) AS near, coalesce(ts - pt <= INTERVAL 30 MINUTE AND kind <> 'error' AND c < pc, false) AS d, coalesce(ts - pt <= INTERVAL 30 MINUTE AND kind <> 'error' AND c > pc, false) AS u FROM o),
+g AS (SELECT *, sum(CASE WHEN d OR u THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY r) AS seg FROM l),
+e AS (SELECT client_id, seg, min(r) AS r0, max(r) FILTER (WHERE u) AS last_u, string_agg(CASE WHEN d THEN 'D' WHEN u THEN 'U' ELSE 'A' END, '' ORDER BY r) AS letters FROM g GROUP BY client_id, seg),
+x AS (SELECT g.client_id, g.r, g.click_id, g.c, e.r0, e.last_u, e.letters, lead(g.d) OVER w AS next_d, sum(g.c) OVER w AS run FROM g JOIN e USING (client_id, seg) WINDOW w AS (PARTITION BY g.client_id ORDER BY g.r)),
+m AS (SELECT * FROM x WHERE c IS NOT NULL AND next_d AND last_u > r + 1),
+p AS (SELECT m.client_id, m.r, m.click_id AS first_id, m.c, m.run - m.c AS before, m.letters, m.r0, m.last_u, z.click_id AS z_id, z.run AS z_run, n.click_id AS n_id, z.run + n.c AS n_run, coalesce(n.near AND n.kind = 'click' AND n.c >= m.c, false) AS peak
+  FROM m JOIN x z ON z.client_id = m.client_id AND z.r = m.last_u LEFT JOIN g n ON n.client_id = m.client_id AND n.r = m.last_u + 1)
+SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY r) AS match_no, first_id, CASE WHEN peak THEN n_id ELSE z_id END AS last_id, last_u - r + 1 + CAST(peak AS BIGINT) AS n_rows,
+  CAST(CASE WHEN peak THEN n_run ELSE z_run END - before AS BIGINT) AS sum_cents, sha256('A' || substr(letters, r - r0 + 2, last_u - r) || CASE WHEN peak THEN 'P' ELSE '' END) AS labels_sha256 FROM p"""
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, op12_row_patterns, text_statistics_base, personal_data_base)}
 #: The others need a tokenizer, a codec, a trained model or the rules of HTML: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "op12_row_patterns": _ZIGZAG_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}
