@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decision_list, flac, html_text, importance, language, mixing, packing, pii, row_patterns, suffix_dedup, token_cache
+from . import alignment, decision_list, flac, html_text, importance, language, mixing, packing, pii, row_patterns, suffix_dedup, token_cache
 from .common import Scratch, table
 from .jaccard_join import jaccard_components
 from .tokens import tokenizer_path
@@ -69,6 +69,10 @@ def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(table(spark, sf_dir, "documents"), tokenizer_path(), language_weights(), domain=domain_of())
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = row_patterns.zigzags(table(spark, sf_dir, "clicks"))
     return found.withColumn("match_no", F.col("match_no").cast("long")).withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
@@ -128,6 +132,6 @@ p AS (SELECT m.client_id, m.r, m.click_id AS first_id, m.c, m.run - m.c AS befor
 SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY r) AS match_no, first_id, CASE WHEN peak THEN n_id ELSE z_id END AS last_id, last_u - r + 1 + CAST(peak AS BIGINT) AS n_rows,
   CAST(CASE WHEN peak THEN n_run ELSE z_run END - before AS BIGINT) AS sum_cents, sha256('A' || substr(letters, r - r0 + 2, last_u - r) || CASE WHEN peak THEN 'P' ELSE '' END) AS labels_sha256 FROM p"""
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, op12_row_patterns, op13_suffix_array_dedup, text_statistics_base, personal_data_base)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, op11_tokenizer_alignment, op12_row_patterns, op13_suffix_array_dedup, text_statistics_base, personal_data_base)}
 #: The others need a tokenizer, a codec, a trained model or the rules of HTML: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "op12_row_patterns": _ZIGZAG_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}

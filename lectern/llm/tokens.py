@@ -30,24 +30,32 @@ _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
 
 
 class Encoder:
-    """Ids of texts under one tokenizers file, without added begin or end tokens."""
+    """Ids of texts under one tokenizers file, without added begin or end tokens.
 
-    def __init__(self, path: str):
+    ``special``: whether the strings of added tokens in a text are these tokens; else they are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("dropout")
         tokens = spec.get("added_tokens", [])
         self.plain &= not any(t.get(flag) for t in tokens for flag in ("lstrip", "rstrip", "single_word"))
-        self.added = {t["content"].encode(): t["id"] for t in tokens}
+        self.added = {t["content"].encode(): t["id"] for t in tokens} if special else {}
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
+        self._make_cache(self.tokenizer.get_vocab_size())
+
+    def _make_cache(self, vocabulary: int, width: int = WIDTH) -> None:
+        self.width = width
         self.keys = np.zeros(CACHE, np.uint64)
         self.lengths = np.zeros(CACHE, np.uint8)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
-        self.ids = np.zeros((CACHE, WIDTH), self.kind)
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
+        self.ids = np.zeros((CACHE, width), self.kind)
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
         self.codes = np.zeros(0x110000, np.uint64)
 
@@ -87,6 +95,9 @@ class Encoder:
             start[after] = True
         return np.flatnonzero(start)
 
+    def _encoded(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def _look_up(self, text: str, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Lengths and rows of ids of pre-tokens, and the ids of those that are longer than a row."""
         slot = (hashes % np.uint64(CACHE)).astype(np.int64)
@@ -100,16 +111,16 @@ class Encoder:
         if len(miss):
             _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             at = miss[first]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())], add_special_tokens=False)]
+            got = self._encoded([text[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))
             row = np.repeat(np.arange(len(got)), sizes)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            table = np.zeros((len(got), WIDTH), self.kind)
-            table[row[place < WIDTH], place[place < WIDTH]] = flat[place < WIDTH]
+            table = np.zeros((len(got), self.width), self.kind)
+            table[row[place < self.width], place[place < self.width]] = flat[place < self.width]
             lengths[miss], rows[miss] = sizes[back], table[back]
             # A new entry takes its first place if that is free, else its second.
-            fits = sizes <= WIDTH
+            fits = sizes <= self.width
             put = np.where(self.keys[slot[at]] == 0, slot[at], second[first])[fits]
             self.keys[put], self.lengths[put], self.ids[put] = hashes[at[fits]], sizes[fits], table[fits]
             # Of entries put into one place, the last wrote all three arrays.
@@ -130,17 +141,17 @@ class Encoder:
         hashes = np.maximum(kernels.span_hashes(self.codes[points], starts, stops), np.uint64(1))  # 0 is an empty place
         lengths, rows, long = self._look_up(text, hashes, starts, stops)
         if long:
-            repeats = np.maximum(1, -(-lengths // WIDTH))
+            repeats = np.maximum(1, -(-lengths // self.width))
             where = np.concatenate([[0], np.cumsum(repeats)])
             rows, parts = np.repeat(rows, repeats, 0), np.repeat(lengths, repeats)
             for i, ids in long.items():
-                for k in range(0, len(ids), WIDTH):
-                    part = ids[k : k + WIDTH]
-                    rows[where[i] + k // WIDTH, : len(part)] = part
-                    parts[where[i] + k // WIDTH] = len(part)
+                for k in range(0, len(ids), self.width):
+                    part = ids[k : k + self.width]
+                    rows[where[i] + k // self.width, : len(part)] = part
+                    parts[where[i] + k // self.width] = len(part)
         else:
             parts = lengths
-        flat = rows[np.arange(WIDTH) < parts[:, None]].astype(np.int32)
+        flat = rows[np.arange(self.width) < parts[:, None]].astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return flat, ends[np.searchsorted(starts, at)]
 
@@ -154,7 +165,7 @@ class Encoder:
         out, at = [], 0
         while at < len(text):
             end = min(len(text), at + kernels.SLICE_BYTES)
-            while end < len(text) and not _between(text, end):
+            while end < len(text) and not self._between(text, end):
                 end += 1
             out.append(self._slice(np.frombuffer(part := text[at:end].encode(), np.uint8), np.array([0, len(part)]))[0])
             at = end
@@ -186,18 +197,58 @@ class Encoder:
                 parts.append(self._whole(raw[a:b]) if d in whole else self._long(raw[a:b]))
             yield np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    @staticmethod
+    def _between(text: str, at: int) -> bool:
+        """Whether a pre-token surely begins here: a blank or line feed between two others, or no letter, number or space after a letter."""
+        c, before = text[at], text[at - 1]
+        if c in " \n":
+            return not before.isspace() and at + 1 < len(text) and not text[at + 1].isspace()
+        return before.isalpha() and not c.isalnum() and not c.isnumeric() and not c.isspace()
+
+
+class PieceEncoder(Encoder):
+    """Ids of texts under one sentencepiece file, for texts that begin with the blank which the library would add.
+
+    No piece has a blank after another character, so no merge crosses the place where blanks begin: texts are cut there, and equal parts
+    have equal ids. A model with such pieces, or one that changes texts before, raises.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("a piece has a blank inside")
+        if self.model.normalize(" \ufb01  a ") != "\u2581\u2581\ufb01\u2581\u2581a\u2581":
+            raise ValueError("this model changes texts")
+        self.plain, self.split = True, None
+        self._make_cache(len(pieces), 16)
+        self.codes = np.zeros(0x110000, np.uint64)
+        self.known = np.zeros(0x110000, bool)
+
+    def _encoded(self, parts: list[str]) -> list[list[int]]:
+        return self.model.encode([p[1:] for p in parts], num_threads=1) if parts else []
+
+    def _starts(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        new = points[~self.known[points]]
+        if len(new):
+            self.codes[new] = kernels.mix(new.astype(np.uint64) + np.uint64(0x7654321))
+            self.known[new] = True
+        blank = (points == 32) | (points == 0x2581)
+        start = begins.copy()
+        start[1:] |= blank[1:] & ~blank[:-1]
+        return np.flatnonzero(start)
 
-def _between(text: str, at: int) -> bool:
-    """Whether a pre-token surely begins here: a blank or line feed between two others, or no letter, number or space after a letter."""
-    c, before = text[at], text[at - 1]
-    if c in " \n":
-        return not before.isspace() and at + 1 < len(text) and not text[at + 1].isspace()
-    return before.isalpha() and not c.isalnum() and not c.isnumeric() and not c.isspace()
+    @staticmethod
+    def _between(text: str, at: int) -> bool:
+        return text[at] == " " and text[at - 1] not in " \u2581"
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """One encoder for each file and worker process."""
-    return kernels.held(("encoder", path), lambda: Encoder(path))
+    make = (lambda: PieceEncoder(path)) if path.endswith(".model") else (lambda: Encoder(path, special))
+    return kernels.held(("encoder", path, special), make)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
