@@ -222,13 +222,14 @@ class PieceEncoder(Encoder):
             raise ValueError("a piece has a blank inside")
         if self.model.normalize(" \ufb01  a ") != "\u2581\u2581\ufb01\u2581\u2581a\u2581":
             raise ValueError("this model changes texts")
-        self.plain, self.split = True, None
+        self.plain, self.split, self.blank = True, None, pieces.index("\u2581")
         self._make_cache(len(pieces), 16)
         self.codes = np.zeros(0x110000, np.uint64)
         self.known = np.zeros(0x110000, bool)
 
     def _encoded(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode([p[1:] for p in parts], num_threads=1) if parts else []
+        # The library adds no blank to nothing.
+        return [[self.blank] if len(p) == 1 else ids for p, ids in zip(parts, self.model.encode([p[1:] for p in parts], num_threads=1))] if parts else []
 
     def _starts(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
         new = points[~self.known[points]]
