@@ -34,10 +34,13 @@ from .common import Scratch
 GRAM, BUCKET = 0.68, 1 << 20
 #: Suffixes that a task holds before equal ones become one, and starts of a long text that are looked at together.
 HELD, PART = 1 << 20, 1 << 19
+#: Digests that a task remembers, so as not to look at a text again.
+SEEN = 1 << 18
 #: Ranges that are finished by a plain sort.
 SMALL = 1 << 14
 
-_FOUND = "t0 long, t1 long, many boolean, doc binary, s long, n long"
+#: Suffixes: two tokens, document, first start (above a bit: whether it stands for several), starts; without tokens, starts known to repeat.
+_FOUND = "t0 long, t1 long, doc {}, at long, n int"
 
 
 def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
@@ -114,8 +117,8 @@ def _spans(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 class _Held:
     """Suffixes of a task; when there are enough, those that share all tokens become one, and their runs are known to repeat."""
 
-    def __init__(self):
-        self.parts, self.docs, self.n = [], [], 0
+    def __init__(self, kind: pa.DataType):
+        self.kind, self.parts, self.docs, self.n = kind, [], [], 0
 
     def add(self, docs: list, doc: np.ndarray, s: np.ndarray, n: np.ndarray, t0: np.ndarray, t1: np.ndarray):
         self.parts.append((doc + len(self.docs), s, n, t0, t1))
@@ -124,8 +127,8 @@ class _Held:
 
     def batch(self) -> pa.RecordBatch:
         doc, s, n, t0, t1 = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-        keys = pa.array(self.docs, pa.binary())
-        self.__init__()
+        keys = pa.array(self.docs, self.kind)
+        self.__init__(self.kind)
         order = multikey_quicksort([t0, t1])
         new = np.flatnonzero(np.concatenate([[True], (t0[order][1:] != t0[order][:-1]) | (t1[order][1:] != t1[order][:-1])])[: len(order)])
         count = np.diff(np.concatenate([new, [len(order)]]))
@@ -133,16 +136,22 @@ class _Held:
         again = order[np.repeat(many, count)]
         own, first, runs = _spans(doc[again], s[again], n[again])
         ids, token = np.concatenate([doc[one], own]), lambda t: pa.concat_arrays([pa.array(t[one].view(np.int64)), pa.nulls(len(own), pa.int64())])
-        return pa.record_batch(
-            [token(t0), token(t1), pa.array(np.concatenate([many, np.zeros(len(own), bool)])), keys.take(pa.array(ids)), pa.array(np.concatenate([s[one], first])), pa.array(np.concatenate([n[one], runs]))],
-            names=["t0", "t1", "many", "doc", "s", "n"],
-        )
+        at = np.concatenate([s[one] << 1 | many, first << 1])
+        return pa.record_batch([token(t0), token(t1), keys.take(pa.array(ids)), pa.array(at), pa.array(np.concatenate([n[one], runs]).astype(np.int32))], names=["t0", "t1", "doc", "at", "n"])
 
 
 def _anchored(length: int, gram: int):
     def run(batches):
-        held = _Held()
+        held, seen = _Held(pa.binary()), set()
         for batch in batches:
+            # A copy of a text goes whole whatever it has, and one of them stands for all.
+            new = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    new.append(i)
+                    if len(seen) < SEEN:
+                        seen.add(key)
+            batch = batch.take(pa.array(new, pa.int64()))
             keys = batch.column(0)
             for i, j, data, offsets in kernels.slices(batch.column(1)):
                 docs = keys.slice(i, j - i).to_pylist()
@@ -158,9 +167,9 @@ def _anchored(length: int, gram: int):
 
 
 def _strings(length: int):
-    """Suffixes at the strings of some runs of starts of (doc, text, s, n)."""
+    """Suffixes at the strings of some runs of starts of (number, text, s, n)."""
     def run(batches):
-        held, half = _Held(), length // 2
+        held, half = _Held(pa.int64()), length // 2
         for batch in batches:
             text = batch.column(1).cast(pa.large_binary())
             raw = np.frombuffer(text.buffers()[2], np.uint8) if len(text) and text.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -189,18 +198,20 @@ def _strings(length: int):
     return run
 
 
-_SORTED = "kind int, pid int, t0 long, t1 long, multi boolean, head boolean, tail boolean, below boolean, above boolean, doc binary, s long, n long"
+_SORTED = "kind int, pid int, t0 long, t1 long, multi boolean, head boolean, tail boolean, below boolean, above boolean, doc {}, s long, n int"
 
 
 def _bucket(batches):
     """One bucket, sorted and compared: repeated runs of starts (kind 0), suffixes to look at (1), those that wait for the edges (2), the edges (3, 4)."""
-    table = pa.Table.from_batches(list(batches))
-    if not len(table):
+    batches = [b for b in batches if len(b)]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     t0, t1 = (table.column(c).to_numpy() for c in (0, 1))  # signed, as the ranges are
     order = multikey_quicksort([t0, t1])
     t0, t1 = t0[order], t1[order]
-    many = table.column(2).to_numpy()[order]
+    at = table.column(3).to_numpy()[order]
+    many, doc, n = at & 1 > 0, table.column(2).combine_chunks(), table.column(4).to_numpy()[order]
     gram = t0[1:] == t0[:-1]
     same = gram & (t1[1:] == t1[:-1])
     head, tail = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
@@ -215,18 +226,21 @@ def _bucket(batches):
     kinds = np.concatenate([kind[kind >= 0], np.ones(len(extra), int), [3, 4]])
     pid = TaskContext.get().partitionId()
     for a in range(0, len(rows), 1 << 16):
-        r = rows[a : a + (1 << 16)]
-        rest = table.select([3, 4, 5]).take(pa.array(order[r])).combine_chunks()
-        columns = [pa.array(kinds[a : a + (1 << 16)].astype(np.int32)), pa.array(np.full(len(r), pid, np.int32)), *(pa.array(t[r]) for t in (t0, t1)), *(pa.array(f[r]) for f in (multi, head, tail, below, above))]
-        yield pa.record_batch([*columns, *(c.combine_chunks() for c in rest.columns)], names=["kind", "pid", "t0", "t1", "multi", "head", "tail", "below", "above", "doc", "s", "n"])
+        r, k = rows[a : a + (1 << 16)], kinds[a : a + (1 << 16)].astype(np.int32)
+        tokens = [pa.array(t[r], mask=k < 2) for t in (t0, t1)]
+        flags = [pa.array(f[r], mask=k != 2) for f in (multi, head, tail, below, above)]
+        yield pa.record_batch([pa.array(k), pa.array(np.full(len(r), pid, np.int32)), *tokens, *flags, doc.take(pa.array(order[r])), pa.array(at[r] >> 1), pa.array(n[r])], names=["kind", "pid", "t0", "t1", "multi", "head", "tail", "below", "above", "doc", "s", "n"])
 
 
-def _neighbours(scratch: Scratch, found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(repeated, ragged): runs (doc, s, n) all of whose strings repeat, and runs that share a leading token with another only."""
+_RUN = ["doc", "s", "n"]
+
+
+def _neighbours(scratch: Scratch, found: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repeated, ragged, table): runs (doc, s, n) all of whose strings repeat, and runs that share a leading token with another only; the table to drop then."""
     suffixes = found.where("t0 is not null")
     buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
-    dealt = suffixes.repartitionByRange(buckets, "t0", "t1", "doc", "s")
-    ordered = scratch.stage(dealt.mapInArrow(kernels.tidy(_bucket), _SORTED), label)
+    dealt = suffixes.repartitionByRange(buckets, "t0", "t1", "doc", "at")
+    ordered = scratch.stage(dealt.mapInArrow(kernels.tidy(_bucket), _SORTED.format(dict(found.dtypes)["doc"])), label)
     # Two rows for each bucket: as many as the splitters that Spark keeps itself.
     edges: dict[int, dict[int, tuple]] = {}
     for row in ordered.where("kind >= 3").select("pid", "kind", "t0", "t1").collect():
@@ -240,8 +254,9 @@ def _neighbours(scratch: Scratch, found: DataFrame, label: str) -> tuple[DataFra
     waits = waits.select("doc", "s", "n", "multi", "head", "tail", "below", "above", F.coalesce(first, F.lit(False)).alias("on"), F.coalesce(last, F.lit(False)).alias("off"), F.coalesce(F.col("t0") == F.col("p0"), F.lit(False)).alias("g"), F.coalesce(F.col("t0") == F.col("q0"), F.lit(False)).alias("h"))
     repeats = F.col("multi") | F.col("on") | F.col("off")
     ragged = (F.col("head") & ~F.col("on") & (F.col("below") | F.col("g"))) | (F.col("tail") & ~F.col("off") & (F.col("above") | F.col("h")))
-    runs = ["doc", "s", "n"]
-    return ordered.where("kind = 0").select(runs).unionByName(waits.where(repeats).select(runs)), ordered.where("kind = 1").select(runs).unionByName(waits.where(ragged).select(runs))
+    known = found.where("t0 is null").select("doc", F.shiftright("at", 1).alias("s"), "n")
+    repeated = known.unionByName(ordered.where("kind = 0").select(_RUN)).unionByName(waits.where(repeats).select(_RUN))
+    return repeated, ordered.where("kind = 1").select(_RUN).unionByName(waits.where(ragged).select(_RUN)), ordered
 
 
 def _kept(length: int):
@@ -287,23 +302,23 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = scratch.stage(rows.where(F.octet_length("text") >= length).groupBy("doc").agg(F.count("*").alias("copies"), F.min("place").alias("place")), "digests")
 
     long_ = rows.where(F.octet_length("text") >= length)
-    found = scratch.stage(long_.select("doc", "text").mapInArrow(kernels.tidy(_anchored(length, gram)), _FOUND), "anchors")
-    runs = ["doc", "s", "n"]
-    repeated, ragged = _neighbours(scratch, found, "sorted")
-    parts = [found.where("t0 is null").select(runs), repeated]
-    # One text of each digest is looked up again; its runs come to it, not to its copies.
-    asked = scratch.stage(ragged.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("runs")).join(distinct.select("doc", "place"), "doc"), "ragged")
-    texts = long_.select("doc", "place", "text").join(asked.hint("shuffle_hash"), ["doc", "place"]).select("doc", "text", F.transform("runs", lambda x: x["s"]).alias("s"), F.transform("runs", lambda x: x["n"]).alias("n"))
-    strings = scratch.stage(texts.mapInArrow(kernels.tidy(_strings(length)), _FOUND), "strings")
-    repeated, _ = _neighbours(scratch, strings, "sorted")
-    parts += [strings.where("t0 is null").select(runs), repeated]
-
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    single = distinct.where("copies = 1").select("doc", "place")
-    spans = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    found = scratch.stage(single.join(spans, "doc", "left").select("doc", "place", "runs"), "spans")
+    found = scratch.stage(long_.select("doc", "text").mapInArrow(kernels.tidy(_anchored(length, gram)), _FOUND.format("binary")), "anchors")
+    repeated, ragged, ordered = _neighbours(scratch, found, "sorted")
+    runs = F.sort_array(F.collect_list(F.struct("s", "n"))).alias("runs")
+    # One text of each digest is looked up again; its runs come to it, not to its copies. It gets a number, shorter than its digest.
+    asked = ragged.distinct().groupBy("doc").agg(runs).join(distinct, "doc").withColumn("number", F.monotonically_increasing_id())
+    asked = scratch.stage(asked.select("number", "doc", "place", "copies", "runs"), "ragged")
+    first = scratch.stage(repeated.join(distinct.where("copies = 1").select("doc"), "doc", "left_semi"), "repeated")
+    scratch.drop(found, ordered)
+    texts = long_.select("doc", "place", "text").join(asked.hint("shuffle_hash"), ["doc", "place"]).select("number", "text", F.transform("runs", lambda x: x["s"]).alias("s"), F.transform("runs", lambda x: x["n"]).alias("n"))
+    strings = scratch.stage(texts.mapInArrow(kernels.tidy(_strings(length)), _FOUND.format("long")), "strings")
+    repeated, _, ordered = _neighbours(scratch, strings, "sorted")
+    second = repeated.groupBy("doc").agg(runs).withColumnRenamed("doc", "number").join(asked.where("copies = 1").select("number", "doc"), "number").select("doc", "runs")
+    second = scratch.stage(second, "more")
+    scratch.drop(strings, ordered)
+
+    spans = first.groupBy("doc").agg(runs).unionByName(second).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = scratch.stage(distinct.where("copies = 1").select("doc", "place").join(spans, "doc", "left"), "spans")
     # A row that is not the only one of its digest finds nothing here, and goes whole if it is long enough.
     out = rows.select("id", "text", "doc", "place").join(found.withColumn("known", F.lit(True)).hint("shuffle_hash"), ["doc", "place"], "left")
     out = out.select("id", "text", F.col("known").isNull().alias("whole"), F.transform("runs", lambda x: x["s"]).alias("s"), F.transform("runs", lambda x: x["n"]).alias("n"))
