@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .matching import levenshtein, longest_common, sequence_ratio  # noqa: F401
+
 # Structure characters that matching ignores, and separators that the numeric rung ignores too.
 STRUCTURE = r"|*#`>~_"
 SEPARATORS = r",.\-‐-―/()\[\]{}:;%·・､、。"
@@ -133,59 +134,19 @@ def escape_html(text: Column) -> Column:
 def text_ned(a: Column, b: Column) -> Column:
     """Levenshtein distance by the longer length; 0 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring, by a suffix automaton of the shorter text: linear in both."""
-    if len(a) > len(b):
-        a, b = b, a
-    nxt: list[dict[str, int]] = [{}]
-    link, size, last = [-1], [0], 0
-    for c in a:
-        cur = len(nxt)
-        nxt.append({})
-        size.append(size[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if size[p] + 1 == size[q]:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                size.append(size[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    best = here = state = 0
-    for c in b:
-        while state and c not in nxt[state]:
-            state = link[state]
-            here = size[state]
-        if c in nxt[state]:
-            state = nxt[state][c]
-            here += 1
-            best = max(best, here)
-    return best
+    return F.when(a == b, F.lit(0.0)).otherwise(levenshtein(a, b) / longest)
 
 
 @F.pandas_udf(T.IntegerType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else len(x) if x in y else _longest_common(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else len(x) if x in y else longest_common(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def longest_common_each(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The longest common substring of a text with each of several spans."""
+    one = lambda x, t: None if x is None else len(x) if x in t else longest_common(x, t)
+    return pd.Series([None if t is None or some is None else [one(x, t) for x in some] for t, some in zip(text, spans)])
 
 
 @F.pandas_udf(T.DoubleType())

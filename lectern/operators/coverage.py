@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import once
-from ..functions.text import longest_common_substring, normalize_for_match, numeric_form, strip, token_recall, tokens
+from ..functions.matching import found_in
+from ..functions.text import longest_common_each, longest_common_substring, normalize_for_match, numeric_form, strip, token_recall, tokens
 
 #: Fixed thresholds of the token and substring rungs.
 TOKEN_RECALL, SUBSTRING = 0.90, 0.80
@@ -15,18 +18,44 @@ TOKEN_RECALL, SUBSTRING = 0.90, 0.80
 BETWEEN = "\x01"
 
 
+#: Questions of one page that one row takes; a page with more has more rows.
+PACK = 4096
+
+
+def per_page(qa: DataFrame, forms: DataFrame, ask: dict[str, Column], answers: Callable[[], Column], missing: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``qa`` with ``answer``: what ``answers()`` gives for the questions of a page, an array beside the array ``asks``.
+
+    ``forms`` has a row for each page (or more): page_id, what is computed of a text once, and ``keep``, columns that go along. ``ask`` names what is
+    computed of a question. Questions come to their page's row in packs, so a text is there once for up to ``PACK`` of them, whatever their number, and
+    where the packs are small enough for Spark to broadcast, no text crosses an exchange. A question whose page is missing has ``missing``.
+    """
+    keyed = qa.select("page_id", F.struct(*qa.columns).alias("q"), F.struct(*(c.alias(n) for n, c in ask.items())).alias("a"))
+    many = qa.groupBy("page_id").agg(F.ceil(F.count("*") / PACK).cast("int").alias("_packs")).where("_packs > 1")
+    keyed = keyed.join(many, "page_id", "left").withColumn("_pack", F.pmod(F.xxhash64("q"), F.coalesce("_packs", F.lit(1))))
+    packs = keyed.groupBy("page_id", "_pack").agg(F.collect_list(F.struct("q", "a")).alias("_rows"))
+    packs = packs.select("page_id", F.transform("_rows", lambda r: r["q"]).alias("qs"), F.transform("_rows", lambda r: r["a"]).alias("asks"))
+    found = forms.join(packs, "page_id").select(*keep, F.explode(F.arrays_zip(F.col("qs"), answers().alias("answer"))).alias("r"))
+    found = found.select(*keep, "r.qs.*", F.col("r.answer").alias("answer"))
+    lost = qa.join(forms.select("page_id").distinct(), "page_id", "left_anti")
+    return found.unionByName(lost.select(*(F.lit(None).cast(dict(forms.dtypes)[c]).alias(c) for c in keep), *qa.columns, missing.alias("answer")))
+
+
 def classify_pieces(qa: DataFrame, pages: DataFrame, pieces: Column, exact_unicode: bool = True) -> DataFrame:
     """``qa`` (page_id, answer_span, ...) with ``location``; ``pieces`` is an array of the chunks of each of ``pages``.
 
-    Chunking, normalising and searching happen in the page's row, so no chunk text is a row of its own. A null markdown or a
-    missing page is no_parse; an empty span is absent.
+    Chunking, normalising and searching happen in the page's row, all its questions in one pass of the text. A null markdown or a
+    missing page is no_parse; an empty or null span is absent.
     """
     norm = lambda c: normalize_for_match(c, exact_unicode)
-    keys = qa.withColumn("_span", F.replace(norm(F.col("answer_span")), F.lit(BETWEEN), F.lit("")))
     texts = pages.select("page_id", norm(F.col("markdown")).alias("_page"), norm(F.array_join(pieces, BETWEEN)).alias("_chunks"), F.col("markdown").isNotNull().alias("_parsed"))
-    rows = keys.join(texts, "page_id", "left")
-    place = F.when(~F.coalesce("_parsed", F.lit(False)), "no_parse").when(F.coalesce("_span", F.lit("")) == "", "absent").when(F.coalesce(F.contains("_chunks", "_span"), F.lit(False)), "covered").when(F.contains("_page", "_span"), "split").otherwise("absent")
-    return rows.withColumn("location", place).select(*qa.columns, "location")
+
+    def places() -> Column:
+        spans = F.transform("asks", lambda a: a["span"])
+        both = F.zip_with(found_in(F.col("_chunks"), spans), found_in(F.col("_page"), spans), lambda c, p: F.when(c, "covered").when(p, "split").otherwise("absent"))
+        return F.zip_with(spans, both, lambda s, x: F.when(~F.col("_parsed"), "no_parse").when(s == "", "absent").otherwise(x))
+
+    span = F.coalesce(F.replace(norm(F.col("answer_span")), F.lit(BETWEEN), F.lit("")), F.lit(""))
+    return per_page(qa, texts, {"span": span}, places, F.lit("no_parse")).withColumnRenamed("answer", "location")
 
 
 def classify(qa: DataFrame, pages: DataFrame, chunks: DataFrame, exact_unicode: bool = True) -> DataFrame:
@@ -90,14 +119,44 @@ def l4(answer: Column, page: Column, least: float = SUBSTRING) -> Column:
 LADDER = {"L0_exact": l0, "L1_normalized": l1, "L2_numeric": l2, "L3_token_recall": l3, "L4_fuzzy_lcs": l4}
 
 
+def present(qa: DataFrame, pages: DataFrame, rungs: tuple[str, ...] = tuple(LADDER), exact_unicode: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
+    """``qa`` with ``answer``, a struct of a boolean for each rung: whether the answer is on its page. A page's forms (normalised, numeric, its
+    tokens) are computed once for all its questions; what no rung asks for is not computed."""
+    exact = {r: exact_unicode for r in rungs} | {"L4_fuzzy_lcs": True}
+    wants = lambda *names: any(r in rungs for r in names)
+    norms = sorted({exact[r] for r in ("L1_normalized", "L2_numeric", "L4_fuzzy_lcs") if r in rungs})
+    forms = pages.select("page_id", *within, "markdown", *(normalize_for_match(F.col("markdown"), e).alias(f"_norm_{e}") for e in norms))
+    answer = F.col("answer_span")
+    ask = {"plain": strip(answer)} | {f"norm_{e}": normalize_for_match(answer, e) for e in norms}
+    if wants("L2_numeric"):
+        forms = forms.withColumn("_numeric", numeric_form(F.col(f"_norm_{exact_unicode}")))
+        ask["numeric"] = numeric_form(normalize_for_match(answer, exact_unicode))
+    if wants("L3_token_recall"):
+        forms = forms.withColumn("_tokens", F.array_distinct(tokens(F.col("markdown"), exact_unicode)))
+        ask["tokens"] = tokens(answer, exact_unicode)
+
+    def inside(name: str, text: str) -> Column:
+        spans = F.transform("asks", lambda a: F.coalesce(a[name], F.lit("")))
+        return F.zip_with(spans, found_in(F.col(text), spans), lambda s, x: (s != "") & x)
+
+    def recalled() -> Column:
+        share = lambda t: F.size(F.filter(t, lambda x: F.array_contains("_tokens", x))) / F.greatest(F.size(t), F.lit(1))
+        return F.transform("asks", lambda a: F.coalesce((F.size(a["tokens"]) > 0) & (share(a["tokens"]) >= TOKEN_RECALL), F.lit(False)))
+
+    def overlaps() -> Column:
+        spans = F.transform("asks", lambda a: F.coalesce(a["norm_True"], F.lit("")))
+        return F.zip_with(spans, F.coalesce(longest_common_each(F.col("_norm_True"), spans), F.array().cast("array<int>")), lambda s, n: (s != "") & (F.coalesce(n, F.lit(0)) / F.greatest(F.length(s), F.lit(1)) >= SUBSTRING))
+
+    made = {"L0_exact": lambda: inside("plain", "markdown"), "L1_normalized": lambda: inside(f"norm_{exact_unicode}", f"_norm_{exact_unicode}"), "L2_numeric": lambda: inside("numeric", "_numeric"), "L3_token_recall": recalled, "L4_fuzzy_lcs": overlaps}
+    flags = lambda: F.arrays_zip(*(made[r]().alias(r) for r in rungs))
+    return per_page(qa, forms, ask, flags, F.struct(*(F.lit(False).alias(r) for r in rungs)), within)
+
+
 def absent_rates(qa: DataFrame, pages: DataFrame, rungs: tuple[str, ...] = tuple(LADDER), by: str = "question_type", exact_unicode: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
     """(*within, rung, level, n, absent): the share without the answer on its page, for all and by a dimension. A page that is
     not parsed is absent everywhere. ``within`` names columns of the pages (a parser) that have rates of their own."""
-    rows = qa.join(pages.select("page_id", "markdown", *within), "page_id", "left")
-    extra = lambda r: {} if r in ("L0_exact", "L4_fuzzy_lcs") else {"exact_unicode": exact_unicode}
-    found = {r: F.coalesce(LADDER[r](F.col("answer_span"), F.col("markdown"), **extra(r)), F.lit(False)) for r in rungs}
-    rows = rows.select(*within, F.col(by).cast("string").alias("level"), *(f.alias(r) for r, f in found.items()))
-    long = rows.select(*within, "level", F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), F.col(r).alias("present")) for r in rungs))).alias("x"))
+    rows = present(qa.select("page_id", "answer_span", by), pages, rungs, exact_unicode, within)
+    long = rows.select(*within, F.col(by).cast("string").alias("level"), F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), F.col(f"answer.{r}").alias("present")) for r in rungs))).alias("x"))
     sets = long.select(*within, "level", "x.*").groupingSets([[*within, "rung"], [*within, "rung", "level"]], *within, "rung", "level")
     counts = sets.agg(F.count("*").alias("n"), F.avg((~F.col("present")).cast("double")).alias("absent"), F.grouping("level").alias("g"))
     return counts.select(*within, "rung", F.when(F.col("g") == 1, "all").otherwise(F.col("level")).alias("level"), "n", "absent")

@@ -1,14 +1,13 @@
 """Ranking: every scorer gives ranked(qa_id, rk, chunk_id, score), best first, ties by id.
 
 Lexical scorers join an inverted index and add up by (query, chunk), so only pairs that share a term exist. The dense
-scorer multiplies blocks: a block of queries of checked size meets the chunks of a task in one matrix product, and
-each task keeps its own top k.
+scorer multiplies blocks: queries and chunks are dealt into a grid by hash, each cell is a few matrix products, and
+keeps its own top k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.arrays import once
 from ..functions.text import TOKEN
 
-#: Queries that meet the documents in one pass; more take more passes.
-QUERY_BLOCK = 4096
+#: Queries and documents that one cell of the grid holds, about, and documents of one matrix product.
+QUERY_BLOCK, DOC_BLOCK, STEP = 4096, 16384, 1024
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qa_id",), item: str = "chunk_id", score: str = "score", digits: int = 6) -> DataFrame:
@@ -28,88 +27,99 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qa_id",), item: str
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def _dealt(rows: DataFrame, id_col: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """Each row in one part of its own side, once for each part of the other side."""
+    rows = rows.select(*(F.col(c).alias(c) for c in rows.columns))  # sides of one table need columns of their own
+    dealt = rows.withColumn(own, F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts)).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def _on_grid(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, cell: Callable, schema: str) -> DataFrame:
+    """``cell`` on every pair of a block of queries and a block of documents: both sides are dealt by hash into a grid, whose cells cogroup
+    them. A block's size is bounded, the number of blocks follows the counts, and the driver sees no row."""
+    spread = docs.sparkSession.sparkContext.defaultParallelism
+    n, m = queries.count(), docs.count()
+    # Work for every core, but a cell has some hundred documents at least.
+    rows, columns = max(1, -(-n // QUERY_BLOCK)), max(1, -(-m // DOC_BLOCK), min(spread, m // 256))
+    left = _dealt(queries, query_id, "_row", rows, "_column", columns).groupBy("_row", "_column")
+    right = _dealt(docs, doc_id, "_column", columns, "_row", rows).groupBy("_row", "_column")
+    return left.cogroup(right).applyInArrow(cell, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def best_in_cell(k: int, names: tuple[str, str], vector: str, skip_self: bool = False) -> Callable:
+    """(query, document, score) of a table of queries and one of documents, ids by ``names``: dot products, the ``k`` best of each query and all that tie
+    with the last. Documents meet the queries ``STEP`` at a time, and what cannot be among the best goes at once."""
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, keys = left.column(names[0]).combine_chunks(), right.column(names[1]).combine_chunks()
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(ids) and len(keys):
+            q = _matrix(left.column(vector))
+            both = pa.concat_arrays([ids.cast(pa.string()), keys.cast(pa.string())]).dictionary_encode().indices.to_numpy()
+            own, theirs = both[: len(ids)], both[len(ids) :]
+            among = np.isin(theirs, own) & skip_self
+            for i in range(0, len(keys), STEP):
+                s = np.round(_matrix(right.column(vector).slice(i, STEP)) @ q.T, 6)
+                for x in np.flatnonzero(among[i : i + STEP]):
+                    s[x, own == theirs[i + x]] = -np.inf
+                m = min(k, len(s))
+                d, j = np.nonzero((s >= np.partition(s, len(s) - m, axis=0)[len(s) - m]) & np.isfinite(s))
+                j, d, x = (np.concatenate(pair) for pair in zip(kept, (j, d + i, s[d, j])))
+                order = np.lexsort((-x, j))
+                j, d, x = j[order], d[order], x[order]
+                first = np.searchsorted(j, j)
+                last = np.minimum(first + k, np.searchsorted(j, j, "right")) - 1
+                good = x >= x[last]
+                kept = j[good], d[good], x[good]
+        return pa.table({names[0]: ids.take(pa.array(kept[0])), names[1]: keys.take(pa.array(kept[1])), "score": pa.array(kept[2], pa.float64())})
+
+    return cell
+
+
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "qa_id", doc_id: str = "chunk_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, score): dot products, the ``k`` best of each task and query, at least.
+    """(query_id, doc_id, score): dot products, the ``k`` best of each block of documents and query, at least.
 
-    Task-local cuts lose nothing: a global top k row is in the top k of its task. Ties at a cut all stay. The driver holds one
-    block of queries at a time; each block reads the documents' vectors once.
+    Cuts inside a block lose nothing: a global top k row is in the top k of its block. Ties at a cut all stay. Rows without a vector
+    are left out. All pairs are scored; ``vector_index`` is the way that scores fewer.
     """
-    spark = docs.sparkSession
-    kinds = dict(docs.dtypes)
-    kind = {"int": pa.int32(), "bigint": pa.int64()}.get(dict(queries.dtypes)[query_id], pa.string())
-    out = None
-    for rows in batched(queries.select(query_id, vector).toLocalIterator(), QUERY_BLOCK):
-        ids = [r[0] for r in rows]
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
-
-        def score(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                keys = batch.column(0)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(keys):
-                    continue
-                s = np.round(flat.reshape(len(keys), -1) @ q.T, 6)
-                if skip_self:
-                    at = {x: i for i, x in enumerate(ids)}
-                    for i, x in enumerate(keys.to_pylist()):
-                        if x in at:
-                            s[i, at[x]] = -np.inf
-                m = min(k, len(keys))
-                cut = np.partition(s, len(keys) - m, axis=0)[len(keys) - m]
-                d, j = np.nonzero((s >= cut) & np.isfinite(s))
-                yield pa.record_batch([pa.array([ids[x] for x in j], kind), keys.take(pa.array(d)), pa.array(s[d, j])], names=[query_id, doc_id, "score"])
-
-        part = docs.select(doc_id, vector).mapInArrow(score, f"{query_id} {dict(queries.dtypes)[query_id]}, {doc_id} {kinds[doc_id]}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{query_id} {dict(queries.dtypes)[query_id]}, {doc_id} {kinds[doc_id]}, score double")
-    return out
+    asked, items = (rows.select(i, vector).where(F.col(vector).isNotNull()) for rows, i in ((queries, query_id), (docs, doc_id)))
+    made = f"{query_id} {dict(queries.dtypes)[query_id]}, {doc_id} {dict(docs.dtypes)[doc_id]}, score double"
+    return _on_grid(asked, query_id, items, doc_id, best_in_cell(k, (query_id, doc_id), vector, skip_self), made)
 
 
 def nearest_of_others(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(page, item, sim) of queries(page, vector) and docs(item, owner, vector), ids as longs: for each page the ``n`` items of
-    other owners most similar to any of its queries, of each task and block of queries, at least. Rows with a null are left out.
+    other owners most similar to any of its queries, of each cell of the grid, at least. Rows with a null are left out.
 
-    A cut loses nothing: an item among a page's best is among the best of its task in the block of its nearest query. Ties at
-    a cut go to the least item. The driver holds one block of queries at a time.
+    A cut loses nothing: an item among a page's best is among the best of its cell. Ties at a cut go to the least item. A page's queries
+    are in one row of the grid.
     """
-    spark = docs.sparkSession
-    rows = docs.select("item", "owner", "vector").dropna()
-    made = "page long, item long, sim double"
-    out = None
-    for block in batched(queries.select("page", "vector").dropna().orderBy("page").toLocalIterator(), QUERY_BLOCK):
-        pages, at = np.unique(np.array([r[0] for r in block], np.int64), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        vectors = np.array([r[1] for r in block], np.float64)[order]
-        shared = spark.sparkContext.broadcast((pages, np.searchsorted(at[order], np.arange(len(pages))), vectors))
-
-        def score(batches, shared=shared):
-            pages, first, q = shared.value
-            held: tuple | None = None
-            for batch in batches:
-                keys, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-                for i in range(0, len(keys), 1024):  # bounds the product
-                    m = min(1024, len(keys) - i)
-                    width = len(flat) // len(keys)
-                    v = flat[i * width : (i + m) * width].astype(np.float64).reshape(m, -1)
-                    s = np.round(np.maximum.reduceat(v @ q.T, first, axis=1), 6)
-                    s[owner[i : i + m, None] == pages] = -np.inf
-                    cut = np.partition(s, m - min(n, m), axis=0)[m - min(n, m)]
-                    d, j = np.nonzero((s >= cut) & np.isfinite(s))
-                    new = (j, keys[i : i + m][d], s[d, j])
-                    j, k, x = new if held is None else map(np.concatenate, zip(held, new))
-                    by = np.lexsort((k, -x, j))
-                    j, k, x = j[by], k[by], x[by]
-                    best = np.arange(len(j)) - np.searchsorted(j, j) < n
-                    held = j[best], k[best], x[best]
-            if held is not None:
-                yield pa.record_batch([pa.array(pages[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["page", "item", "sim"])
-
-        part = rows.mapInArrow(score, made)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], made) if out is None else out
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        pages = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            pages, at = np.unique(left.column("page").to_numpy(), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            q, first = _matrix(left.column("vector"))[order], np.searchsorted(at[order], np.arange(len(pages)))
+            keys, owner = (right.column(c).to_numpy() for c in ("item", "owner"))
+            for i in range(0, len(keys), STEP):
+                s = np.round(np.maximum.reduceat(_matrix(right.column("vector").slice(i, STEP)) @ q.T, first, axis=1), 6)
+                s[owner[i : i + STEP, None] == pages] = -np.inf
+                m = len(s)
+                d, j = np.nonzero((s >= np.partition(s, m - min(n, m), axis=0)[m - min(n, m)]) & np.isfinite(s))
+                j, k, x = (np.concatenate(pair) for pair in zip(held, (j, keys[i : i + STEP][d], s[d, j])))
+                by = np.lexsort((k, -x, j))
+                j, k, x = j[by], k[by], x[by]
+                best = np.arange(len(j)) - np.searchsorted(j, j) < n
+                held = j[best], k[best], x[best]
+        return pa.table({"page": pa.array(pages[held[0]]), "item": pa.array(held[1]), "sim": pa.array(held[2])})
+
+    return _on_grid(queries.select("page", "vector").dropna(), "page", docs.select("item", "owner", "vector").dropna(), "item", cell, "page long, item long, sim double")
 
 
 def asked_terms(queries: DataFrame, terms: str = "terms", query_id: str = "qa_id") -> DataFrame:

@@ -93,7 +93,7 @@ def test_longest_common_substring():
     for _ in range(200):
         a, b = ("".join(rng.choice(list("abc"), rng.integers(0, 14))) for _ in range(2))
         plain = max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b), default=0)
-        assert tx._longest_common(a, b) == plain
+        assert tx.longest_common(a, b) == plain
 
 
 def test_normalisation(spark):
