@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import file_system, fresh_dir
@@ -53,8 +56,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            fs, p = file_system(self.spark, t._staged)
-            fs.delete(p, True)
+            store, p = file_system(self.spark, t._staged)
+            store.delete(p, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -62,60 +65,90 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession, label).stage(df, "rows")
 
 
-#: Bits of a set of ids, at most, and for each id, about: one of 16 others passes. Beyond it a join takes its place.
-MOST_BITS, BITS_EACH = 1 << 26, 16
-_BLOCK = 1 << 15
+#: Bits of a place that count rows of a file, and of those the ones inside a block: a block of places is a file of 128 KB.
+_ROWS, _INSIDE = 39, 20
 
 
-def _place(ids: np.ndarray, size: int) -> np.ndarray:
-    return (kernels.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+def located(df: DataFrame, *columns: Column, label: str = "rows") -> DataFrame:
+    """``columns`` of a table and ``place``: in which file a row is (24 bits of a hash of its path), and which row of it.
 
+    A table that is not read from files is written to the shared folder first, with these columns only.
+    """
+    try:
+        if "_metadata" in df.columns:
+            raise AnalysisException("its own column")
+        own = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        own.schema  # noqa: B018 - resolves
+    except AnalysisException:
+        own = staged(df.select(*columns), label).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file = F.shiftleft(F.xxhash64("_file").bitwiseAND(F.lit((1 << 24) - 1)), _ROWS)
+    return own.withColumn("place", file.bitwiseOR(F.col("_row"))).drop("_file", "_row")
+
+
+def _write_blocks(folder: str):
+    """Rows (block, place) in order of blocks: each block becomes a file of bits, written whole."""
+    def run(batches):
+        block, bits = None, None
 
-def among(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether 64-bit ids may be in a set that ``id_bits`` made (all that are, and few others)."""
-    at = _place(ids, len(bits) * 8)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
-
+        def written():
+            store, base = fs.FileSystem.from_uri(folder)
+            store.create_dir(base)
+            part = f"{base}/{block}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(bits.tobytes())
+            store.move(part, f"{base}/{block}.bits")
+            return pa.record_batch([pa.array([block], pa.int64())], names=["block"])
 
-def _set_bits(size: int):
-    def run(batches):
-        seen = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = _place(batch.column(0).to_numpy(zero_copy_only=False), size)
-            np.bitwise_or.at(seen, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        step = min(_BLOCK, size) // 8
-        parts = seen.reshape(-1, step)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+            blocks, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for one in np.unique(blocks).tolist():
+                if one != block:
+                    if block is not None:
+                        yield written()
+                    block, bits = one, np.zeros(1 << (_INSIDE - 3), np.uint8)
+                at = places[blocks == one] & ((1 << _INSIDE) - 1)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if block is not None:
+            yield written()
 
     return run
 
 
-def _merged(batches):
-    """The union of each block that this task has; a running union, not a gathered group."""
-    got: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            one = np.frombuffer(bits, np.uint8)
-            got[block] = got[block] | one if block in got else one
-    yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], names=["block", "bits"])
-
-
-def id_bits(ids: DataFrame) -> np.ndarray | None:
-    """A set of the 64-bit ids of a table's first column as bits; None where it would need more than ``MOST_BITS``.
+def mark(scratch: Scratch, places: DataFrame) -> str:
+    """A folder with the places of a table's only column as bits, a file for each block of rows of an input file.
 
-    Executors merge the blocks, so the driver gets ``MOST_BITS`` once, whatever the number of tasks.
+    A scan opens the blocks of its own rows only (``marked``), so neither the driver nor a task has more of them, whatever their
+    number, and no row moves to be chosen.
     """
-    size = 1 << max(12, (BITS_EACH * ids.count()).bit_length())
-    if size > MOST_BITS:
-        return None
-    rows = ids.mapInArrow(kernels.tidy(_set_bits(size)), "block int, bits binary").repartition("block").mapInArrow(kernels.tidy(_merged), "block int, bits binary")
-    bits = np.zeros(size // 8, np.uint8)
-    step = min(_BLOCK, size) // 8
-    with _step(ids.sparkSession):
-        for row in rows.collect():
-            bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return bits
+    scratch.n += 1
+    folder = f"{scratch.path}/bits-{scratch.n}"
+    rows = places.toDF("place").select(F.shiftright("place", _INSIDE).alias("block"), "place").repartition("block").sortWithinPartitions("block")
+    scratch.stage(rows.mapInArrow(kernels.tidy(_write_blocks(folder)), "block long"), "blocks").count()
+    return folder
+
+
+def marked(folder: str, places: np.ndarray) -> np.ndarray:
+    """Whether places are among those of a folder that ``mark`` made (and those of a file whose path has the same 24 bits)."""
+    store, base = kernels.held(("store", folder), lambda: fs.FileSystem.from_uri(folder))
+    out, blocks = np.zeros(len(places), bool), places >> _INSIDE
+
+    def read(block: int):
+        try:
+            with store.open_input_stream(f"{base}/{block}.bits") as f:
+                return np.frombuffer(f.read(), np.uint8)
+        except FileNotFoundError:
+            return None
+
+    for block in np.unique(blocks).tolist():
+        last = kernels.held(("block", folder), dict)
+        if block not in last:
+            last.clear()
+            last[block] = read(block)
+        if last[block] is not None:
+            own = np.flatnonzero(blocks == block)
+            at = places[own] & ((1 << _INSIDE) - 1)
+            out[own] = (last[block][at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+    return out
 
 
 def unit_hash(*columns) -> Column:

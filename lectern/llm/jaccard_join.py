@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import Scratch, among, id_bits, join_counts, salted
+from .common import Scratch, join_counts, located, mark, marked, salted
 from .components import connected_components
 
 #: Cells of the table of shingle counts: 2^22 classes of one byte go to each executor, whatever the input.
@@ -63,27 +63,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profile(k: int):
-    """Rows (id, n, d1, d2) of documents and, at the end of a task, rows (block, counts) of shingle counts."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """Rows (id, place, n, d1, d2) of documents (place, id, text) and, at the end of a task, rows (block, counts) of shingle counts."""
+    schema = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
             sizes, first, second = [], [], []
-            for _, _, data, offsets in kernels.slices(batch.column(1)):
+            for _, _, data, offsets in kernels.slices(batch.column(2)):
                 for s in kernels.shingle_sets(data, offsets, k):
                     sizes.append(len(s))
                     first.append(int(np.sum(kernels.mix(s), dtype=np.uint64)) if len(s) else 0)
                     second.append(int(np.sum(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)) if len(s) else 0)
                     np.add.at(counts, (s[: np.searchsorted(s, COUNTED)] % np.uint64(CELLS)).astype(np.int64), 1)
             none = pa.nulls(len(sizes))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(first, np.uint64))), pa.array(_signed(np.array(second, np.uint64))), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column(1), batch.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(first, np.uint64))), pa.array(_signed(np.array(second, np.uint64))), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         blocks = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         none = pa.nulls(len(used)).cast(pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(used.astype(np.int32)), pa.array([np.minimum(blocks[i], 255).astype(np.uint8).tobytes() for i in used], pa.binary())], schema=schema)
+        yield pa.record_batch([none, none, none, none, none, pa.array(used.astype(np.int32)), pa.array([np.minimum(blocks[i], 255).astype(np.uint8).tobytes() for i in used], pa.binary())], schema=schema)
 
-    return run, "id long, n long, d1 long, d2 long, block int, counts binary"
+    return run, "id long, place long, n long, d1 long, d2 long, block int, counts binary"
 
 
 def _summed(batches):
@@ -169,13 +169,12 @@ def _anchors(k: int, num: int, den: int, region: int, classes, reps):
         return pa.record_batch([pa.array(np.array(ids, np.int64)), pa.array(np.array(sizes, np.int64)), marked, *lists], names=["id", "n", "parity", "keys", "late"])
 
     def run(batches):
-        cls, bits = classes.value, reps.value if reps is not None else None
+        cls = classes.value
         ids, sizes, marks, keys, held = [], [], [], [], 0
         for batch in batches:
-            if bits is not None:
-                batch = batch.take(pa.array(np.flatnonzero(among(bits, batch.column(0).to_numpy(zero_copy_only=False)))))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offsets in kernels.slices(batch.column(1)):
+            batch = batch.take(pa.array(np.flatnonzero(marked(reps, batch.column(0).to_numpy(zero_copy_only=False)))))
+            own = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, _, data, offsets in kernels.slices(batch.column(2)):
                 for d, s in enumerate(kernels.shingle_sets(data, offsets, k)):
                     if not len(s):
                         continue
@@ -257,14 +256,13 @@ def _regions(num: int, den: int, region: int):
 
 
 def _sets(k: int, wanted):
-    """(id, set) of the documents whose id is among the bits (and of few others)."""
+    """(id, set) of the documents whose place is marked."""
     def run(batches):
-        bits = wanted.value if wanted is not None else None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            part = batch.take(pa.array(np.flatnonzero(among(bits, ids)))) if bits is not None else batch
-            got = [s.tobytes() for _, _, data, offsets in kernels.slices(part.column(1)) for s in kernels.shingle_sets(data, offsets, k)]
-            yield pa.record_batch([part.column(0), pa.array(got, pa.binary())], names=["id", "hashes"])
+            places = batch.column(0).to_numpy(zero_copy_only=False)
+            part = batch.take(pa.array(np.flatnonzero(marked(wanted, places))))
+            got = [s.tobytes() for _, _, data, offsets in kernels.slices(part.column(2)) for s in kernels.shingle_sets(data, offsets, k)]
+            yield pa.record_batch([part.column(1), pa.array(got, pa.binary())], names=["id", "hashes"])
 
     return run
 
@@ -340,21 +338,18 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "jaccard")
     stage, drop = scratch.stage, scratch.drop
     num, den = threshold
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-
-    def only(ids: DataFrame) -> tuple[DataFrame, object]:
-        """The documents of these ids: bits to choose by in the scan, or a join where there are too many ids for that."""
-        bits = id_bits(ids)
-        return (docs, spark.sparkContext.broadcast(bits)) if bits is not None else (docs.join(ids.distinct(), "id", "left_semi"), None)
+    docs = located(df, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").select("place", "id", "text")
 
     run, schema = _profile(k)
     profile = stage(docs.mapInArrow(kernels.tidy(run), schema), "profile")
     rows_of = profile.where("block is null").select("id", "n", "d1", "d2")
+    # Ids choose the places of their rows, which are marked for the scans: no text moves to be chosen.
+    only = lambda ids: mark(scratch, profile.where("block is null").select("id", "place").join(ids.distinct(), "id", "left_semi").select("place"))
     classes = stage(rows_of.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     table = spark.sparkContext.broadcast(_classes(profile))
 
-    some, reps = only(classes.select(F.col("rep").alias("id")))
-    anchors = stage(some.mapInArrow(kernels.tidy(_anchors(k, num, den, region, table, reps)), _ANCHORS), "anchors")
+    reps = only(classes.select(F.col("rep").alias("id")))
+    anchors = stage(docs.mapInArrow(kernels.tidy(_anchors(k, num, den, region, table, reps)), _ANCHORS), "anchors")
     rows = anchors.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     rows = rows.sortWithinPartitions("key", F.xxhash64("id")).select("key", "id", "n")
     found = stage(rows.mapInArrow(kernels.tidy(_regions(num, den, region)), _REGION_SCHEMA), "regions")
@@ -389,8 +384,8 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = stage(close.unionByName(star).distinct(), "asked")
     drop(found, anchors, counted)
 
-    some, wanted = only(asked.select(F.explode(F.array("x", "y")).alias("id")).unionByName(members.select("id")).distinct())
-    sets = stage(some.mapInArrow(kernels.tidy(_sets(k, wanted)), "id long, hashes binary"), "sets")
+    wanted = only(asked.select(F.explode(F.array("x", "y")).alias("id")).unionByName(members.select("id")).distinct())
+    sets = stage(docs.mapInArrow(kernels.tidy(_sets(k, wanted)), "id long, hashes binary"), "sets")
     both = salted(salted(asked, "x", sets.toDF("x", "a")), "y", sets.toDF("y", "b")).select("x", "y", "a", "b")
     compared = stage(both.mapInArrow(kernels.tidy(_verified(num, den)), "x long, y long, linked boolean, d double"), "compared")
     links = stage(compared.where("linked").select("x", "y"), "links")

@@ -20,7 +20,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..session import shared_dir
 from . import kernels
-from .common import Scratch, among, id_bits, join_counts
+from .common import Scratch, join_counts, located, mark, marked
 from .tokens import encoder
 
 RULES = "counts-1"
@@ -35,14 +35,12 @@ def tokenizer_digest(path: str) -> str:
 
 
 def _counted(path: str, tokenizer: str, wanted):
-    """Counts of rows (place, digest, text) whose place is among the bits, each digest once in a task."""
+    """Counts of rows (place, digest, text) whose place is marked, each digest once in a task."""
     def run(batches):
         enc = encoder(path)
-        bits = wanted.value if wanted is not None else None
         seen: set[bytes] = set()
         for batch in batches:
-            if bits is not None:
-                batch = batch.take(pa.array(np.flatnonzero(among(bits, batch.column(0).to_numpy(zero_copy_only=False)))))
+            batch = batch.take(pa.array(np.flatnonzero(marked(wanted, batch.column(0).to_numpy(zero_copy_only=False)))))
             keep = []
             for i, digest in enumerate(batch.column(1).to_pylist()):
                 if digest not in seen:
@@ -76,9 +74,8 @@ def count_tokens(df: DataFrame, path: str, cache: str | None = None, id_col: str
     """(id_col, n_bytes, n_tokens, over_limit) of every row; what the cache lacks is encoded and appended to it.
 
     ``cache`` is a folder that executors share (default: one in ``spark.checkpoint.dir``). Only digests are exchanged: those
-    that the cache lacks choose one row each, which is encoded where it is read, so texts stay in place (beyond
-    ``common.MOST_BITS`` by 16 rows a join brings the texts to the digests). Rows equal in id and text are chosen together,
-    and encoded once by each task. A null text counts as empty, with 0 tokens. Nothing is appended where nothing is lacking;
+    that the cache lacks choose one row each by its place in its file, which is encoded where it is read, so texts stay in place, whatever
+    their number. A null text counts as empty, with 0 tokens. Nothing is appended where nothing is lacking;
     two appends of one text by runs at the same time leave two equal rows, which are read as one. Other columns are ignored.
     An empty table gives an empty result.
     """
@@ -87,21 +84,18 @@ def count_tokens(df: DataFrame, path: str, cache: str | None = None, id_col: str
     cache = cache or f"{shared_dir(spark)}/token-counts"
     tokenizer = tokenizer_digest(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    place = F.xxhash64(F.col("id").cast("string"), "digest")
-    each = scratch.stage(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    rows = located(df, F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    each = scratch.stage(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", "place"), "digests")
     stored = lambda: read_cache(spark, cache).where(F.col("tokenizer_digest") == tokenizer).select(F.col("text_digest").alias("digest"), "n_tokens")
-    distinct = scratch.stage(each.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("place")), "distinct")
+    distinct = scratch.stage(each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("place").alias("place")), "distinct")
     lacking = scratch.stage(distinct.join(stored(), "digest", "left_anti").select("place", "digest"), "lacking")
     if not lacking.isEmpty():
-        bits = id_bits(lacking.select("place"))
-        asked = rows.select(place.alias("place"), "digest", "text")
-        asked = asked if bits is not None else asked.join(lacking, ["place", "digest"], "left_semi")
-        made = asked.mapInArrow(kernels.tidy(_counted(path, tokenizer, spark.sparkContext.broadcast(bits) if bits is not None else None), keep=True), SCHEMA)
+        wanted = mark(scratch, lacking.select("place"))
+        made = rows.select("place", "digest", "text").mapInArrow(kernels.tidy(_counted(path, tokenizer, wanted), keep=True), SCHEMA)
         made = scratch.stage(made, "made")
         new = made.dropDuplicates(["text_digest"]).join(lacking.select(F.col("digest").alias("text_digest")), "text_digest", "left_semi")
         new.write.mode("append").parquet(cache)
         scratch.drop(made)
     known = distinct.join(stored(), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.max("copies").alias("copies"))
-    out = join_counts(each, ["digest"], known, "copies")
+    out = join_counts(each.drop("place"), ["digest"], known, "copies")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
