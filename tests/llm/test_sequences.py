@@ -117,6 +117,34 @@ def test_pieces_are_the_librarys():
         texts = texts[len(offsets) - 1 :]
 
 
+# -- marks of rows, and ids that repeat (operators 3 and 6)
+
+
+def test_marks_choose_rows_of_files(spark, tmp_path, monkeypatch):
+    """Rows are chosen by place, over many blocks and files, and from a table that is no file."""
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "_INSIDE", 3)
+    rows = spark.range(500).selectExpr("id", "id % 7 as n", "'x' as _file", "id as _row")
+    rows.repartition(6).write.parquet(f"{tmp_path}/rows")
+    F = row_patterns.F
+    for df in (spark.read.parquet(f"file://{tmp_path}/rows"), rows, spark.read.parquet(f"file://{tmp_path}/rows").withColumn("_metadata", F.lit(1))):
+        own = common.staged(common.located(df, F.col("id").alias("id")), "own")
+        assert own.columns == ["id", "place"] and own.select("place").distinct().count() == 500
+        folder = common.mark(common.Scratch(spark, "marks"), own.where("id % 5 = 2").select("place"))
+        table = own.toPandas()
+        assert sorted(table.id[common.marked(folder, table.place.to_numpy())]) == list(range(2, 500, 5))
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    from lectern.llm import jaccard_join
+
+    a, b = ("one two three four five six seven eight", "red green blue white black grey pink brown")
+    rows = [(2, a), (3, b), (5, a), (5, b), (7, "so many other words in this text here"), (9, None), (9, b)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [x for x in got if x[0] != 9] == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7)] and (9, 2) in got
+
+
 # -- 12: row patterns
 
 
