@@ -37,8 +37,31 @@ def completed_pending(rows: DataFrame, store: str, key: str, make: Callable[[],
     return score_pending(rows, store, key, ask, f"{key} {dict(rows.dtypes)[key]}, value string, seq int")
 
 
-def chat_client(url: str, model: str, system: str | None = None, timeout: float = 60.0, headers: dict[str, str] | None = None, **options) -> Callable[[], Callable[[list[str]], list[str | None]]]:
-    """A client of a chat-completions server, as ``completed`` takes it: a prompt's first reply, or None where the server has none."""
+def in_flight(one: Callable[[str], str | None], at_once: int) -> Callable[[list[str]], list[str | None]]:
+    """A client that has up to ``at_once`` calls of ``one`` in flight: a call begins when one has ended, so no more prompts wait
+    than are in a batch, and replies keep the order of the prompts. An error of a call is that prompt's None."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def safe(prompt: str) -> str | None:
+        try:
+            return one(prompt)
+        except Exception:  # noqa: BLE001 - a reply that is lost stays pending
+            return None
+
+    def ask(prompts: list[str]) -> list[str | None]:
+        if at_once <= 1 or len(prompts) <= 1:
+            return [safe(p) for p in prompts]
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(safe, prompts))
+
+    return ask
+
+
+def chat_client(url: str, model: str, system: str | None = None, timeout: float = 60.0, headers: dict[str, str] | None = None, at_once: int = 8, **options) -> Callable[[], Callable[[list[str]], list[str | None]]]:
+    """A client of a chat-completions server, as ``completed`` takes it: a prompt's first reply, or None where the server has none.
+
+    Each task has up to ``at_once`` requests in flight; ``completed(parallel=...)`` bounds the tasks, so the server sees their product at most.
+    """
     def make():
         import json
         import urllib.request
@@ -47,13 +70,10 @@ def chat_client(url: str, model: str, system: str | None = None, timeout: float
             turns = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
             body = json.dumps({"model": model, "messages": turns, **options}).encode()
             request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", body, {"Content-Type": "application/json", **(headers or {})})
-            try:
-                with urllib.request.urlopen(request, timeout=timeout) as reply:
-                    return json.load(reply)["choices"][0]["message"]["content"]
-            except (OSError, ValueError, LookupError):
-                return None
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                return json.load(reply)["choices"][0]["message"]["content"]
 
-        return lambda prompts: [one(p) for p in prompts]
+        return in_flight(one, at_once)
 
     return make
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gates import GateError
 from ..operators.prefer import keep_last
 from ..session import file_system
 from ..sources.sinks import canonical_digest
+from .commits import CommitLog
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,7 +33,7 @@ def bind(spark: SparkSession, store: str, fingerprint: dict) -> None:
     if known and set(known) != {digest}:
         raise GateError("the store was made with other inputs or settings")
     if not known:
-        if not _read(spark, f"{store}/results", "key string").isEmpty():
+        if CommitLog(spark, f"{store}/results", "key string").commits():
             raise GateError("the store has results but no fingerprint")
         spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.parquet(f"{store}/fingerprint")
 
@@ -39,25 +41,29 @@ def bind(spark: SparkSession, store: str, fingerprint: dict) -> None:
 def score_pending(rows: DataFrame, store: str, key: str, score: Callable[[DataFrame], DataFrame], schema: str, order: str = "seq") -> DataFrame:
     """Score the rows whose key the store lacks, append them, and return all results, the last of each key.
 
-    Rows that ``score`` gives with a null ``value`` stay pending: nothing is stored for them.
+    Rows that ``score`` gives with a null ``value`` stay pending: nothing is stored for them. Results are one commit of the store's
+    log: a run that dies stores nothing, and two runs at once store both, of which the last of each key is read.
     """
-    spark = rows.sparkSession
-    done = _read(spark, f"{store}/results", schema)
-    pending = rows.join(done.select(key).distinct(), key, "left_anti")
-    score(pending).where(F.col("value").isNotNull()).write.mode("append").parquet(f"{store}/results")
-    return keep_last(_read(spark, f"{store}/results", schema), (key,), order)
+    log = CommitLog(rows.sparkSession, f"{store}/results", schema)
+    pending = rows.join(log.read().select(key).distinct(), key, "left_anti")
+    log.append(score(pending).where(F.col("value").isNotNull()))
+    return keep_last(log.read(), (key,), order)
 
 
 def save_vectors(vectors: DataFrame, store: str, fingerprint: dict) -> None:
     """Keep encoded rows under the settings that made them; a store of other settings is refused."""
     bind(vectors.sparkSession, store, fingerprint)
-    vectors.write.mode("append").parquet(f"{store}/results")
+    CommitLog(vectors.sparkSession, f"{store}/results", vectors.schema).append(vectors, {"schema": vectors.schema.json()})
 
 
 def load_vectors(spark: SparkSession, store: str, fingerprint: dict, keys: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
     """The vectors of a store that was made with these settings, of the given keys only; keys that it lacks raise."""
     bind(spark, store, fingerprint)
-    got = spark.read.parquet(f"{store}/results")
+    log = CommitLog(spark, f"{store}/results", "")
+    if not (commits := log.commits()):
+        raise GateError("the store has no vectors")
+    log.schema = T.StructType.fromJson(json.loads(commits[-1].note["schema"]))
+    got = log.read()
     if keys is None:
         return got
     gone = keys.select(key).distinct().join(got, key, "left_anti").count()
