@@ -90,7 +90,8 @@ def page_key(doc_name: Column, index: Column) -> Column:
 
 
 def row_key(index: Column, prefix: str = "val") -> Column:
-    return F.concat(F.lit(f"{prefix}_"), F.lpad(index.cast("string"), 4, "0"))
+    digits = index.cast("string")
+    return F.concat(F.lit(f"{prefix}_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
 
 
 def rebase_path(path: Column, marker: str, root: str) -> Column:

@@ -7,8 +7,11 @@ in parallel.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.statistics import bootstrap_ci
@@ -49,15 +52,62 @@ def paired(treated: DataFrame, control: DataFrame, on: str, value: str) -> DataF
     return treated.select(on, F.col(value).alias("treated")).join(control.select(on, F.col(value).alias("control")), on).withColumn("delta", F.col("treated") - F.col("control"))
 
 
+def least_hashed(keys: DataFrame, sample: int, replicates: int) -> DataFrame:
+    """(rep, place, <key>): for each replicate the ``sample`` keys of least md5('replicate-key'), ties by key; keys are distinct.
+
+    Each task keeps a sketch: the least ``sample`` hashes of each replicate so far. Sketches are merged by keeping the least again, so at most
+    tasks x replicates x sample rows meet, and nothing is sorted but these.
+    """
+    key, kind = keys.columns[0], keys.dtypes[0][1]
+    text = keys.select(F.col(key), F.col(key).cast("string").alias("_text"))
+
+    def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        seen: list[pa.Array] = []
+        n = 0
+        for batch in batches:
+            texts = [b"-" + t.encode() for t in batch.column(1).to_pylist()]
+            seen.append(batch.column(0))
+            place = np.arange(n, n + len(texts))
+            n += len(texts)
+            for rep in range(replicates):
+                head = str(rep).encode()
+                digest = np.frombuffer(b"".join(hashlib.md5(head + t).digest() for t in texts), ">u8").reshape(-1, 2)
+                if rep in held:
+                    old, at = held[rep]
+                    high = old[-1, 0] if len(old) >= sample else np.uint64(2**64 - 1)
+                    few = digest[:, 0] <= high
+                    digest, at = np.concatenate([old, digest[few]]), np.concatenate([at, place[few]])
+                else:
+                    at = place
+                # All that tie with the last stay: which key comes first is told where sketches meet.
+                order = np.lexsort((digest[:, 1], digest[:, 0]))
+                if len(order) > sample:
+                    last = digest[order[sample - 1]]
+                    order = order[: int(np.searchsorted(digest[order, 0], last[0], "right"))]
+                held[rep] = digest[order], at[order]
+            # Only keys that some sketch still has are kept.
+            if len(seen) > 64:
+                used = np.unique(np.concatenate([at for _, at in held.values()]))
+                seen, n = [pa.concat_arrays(seen).take(pa.array(used))], len(used)
+                held = {rep: (d, np.searchsorted(used, at)) for rep, (d, at) in held.items()}
+        if not held:
+            return
+        every = pa.concat_arrays(seen)
+        for rep, (digest, at) in held.items():
+            raw = digest.astype(">u8").tobytes().hex()
+            yield pa.record_batch([pa.array([rep] * len(at), pa.int64()), pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.string()), every.take(pa.array(at))], names=["rep", "hash", key])
+
+    w = Window.partitionBy("rep").orderBy("hash", key)
+    return text.mapInArrow(run, f"rep long, hash string, {key} {kind}").withColumn("place", F.row_number().over(w)).where(F.col("place") <= sample).select("rep", "place", key)
+
+
 def stability(scores: DataFrame, sample: int, replicates: int = 1000) -> DataFrame:
     """Ranks of systems in sub-samples of queries without replacement: scores(system, qa_id, value) -> (rep, system, mean, rk).
 
     A sub-sample is the ``sample`` queries of least md5('replicate-query').
     """
-    spark = scores.sparkSession
-    draws = scores.select("qa_id").distinct().crossJoin(spark.range(replicates).select(F.col("id").alias("rep")))
-    w = Window.partitionBy("rep").orderBy(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("qa_id").cast("string")).cast("binary")), "qa_id")
-    taken = draws.withColumn("place", F.row_number().over(w)).where(F.col("place") <= sample).select("rep", "qa_id")
+    taken = least_hashed(scores.select("qa_id").where("qa_id is not null").distinct(), sample, replicates).select("rep", "qa_id")
     means = taken.join(scores, "qa_id").groupBy("rep", "system").agg(F.round(F.avg("value"), 9).alias("mean"))
     return means.withColumn("rk", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("mean"), "system")))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import statistics as st, text as tx, vectors as vx
 from ..operators import chunk, gates, judge, metrics, prefer, retrieve
-from ..session import file_system, fresh_dir
-from ..sources import corpus, sinks
+from ..session import fresh_dir
+from ..sources import corpus, page_files, sinks
 from ..streaming import incremental
 from .registry import query
 from .retrieval import _DENSE, _dense_cube
@@ -17,67 +16,78 @@ from .statistics import _CUBE, _PAIR, _cube, _paired
 from .views import SQL_PROBE, documents, probe, read, rendering, renderings, sql_native, sql_renderings
 
 
-def _put(spark: SparkSession, files: dict[str, str]) -> None:
-    """Small files (of the nations), through the file system that the path names."""
-    for path, text in files.items():
-        fs, p = file_system(spark, path)
-        out = fs.create(p)
-        out.write(bytearray(text.encode()))
-        out.close()
+def _pages(spark, sf_dir) -> DataFrame:
+    """The documents as pages: number, name, text. Ids are numbers from 0."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _nations(spark, sf_dir) -> list[tuple[int, str, int]]:
-    """The 25 nations: key, name, region."""
-    return [tuple(r) for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+_STEM = "'doc' || k % 4 || '_page_' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INT), '0')"
+_LINE = "'val_' || lpad(CAST(k + k // 5 AS VARCHAR), CAST(greatest(4, length(CAST(k + k // 5 AS VARCHAR))) AS INT), '0')"
+_PAGES = "WITH p AS (SELECT doc_id AS k, source, coalesce(text, '') AS text FROM documents) "
 
 
-def _record(key: int, name: str) -> str:
-    """A line of a training file: its first image names a document and a page."""
-    turns = [{"role": "user", "content": "read this"}, {"role": "assistant", "content": f"# {name}"}]
-    return json.dumps({"messages": turns, "images": [f"/data/images/documents/doc{key % 4}/page_{key:04d}.png"]})
+def _stem() -> Column:
+    k = F.col("k").cast("string")
+    return F.concat(F.lit("doc"), (F.col("k") % 4).cast("string"), F.lit("_page_"), F.lpad(k, F.greatest(F.length(k), F.lit(4)), F.lit("0")))
 
 
-def _val_file(spark, sf_dir, base: str) -> str:
-    """One line for each nation; a blank line after every fifth takes a number too."""
-    lines = []
-    for key, name, _ in _nations(spark, sf_dir):
-        lines += [_record(key, name)] + [""] * (key % 5 == 4)
-    _put(spark, {f"{base}/val.jsonl": "\n".join(lines) + "\n"})
-    return f"{base}/val.jsonl"
-
-
-_LINE = "'val_' || lpad(CAST(n_nationkey + n_nationkey // 5 AS VARCHAR), 4, '0')"
+#: Pages of one file of lines.
+_LINES = 500
 
 
-@query(f"SELECT 'p' AS parser, {_LINE} AS page_id, CASE WHEN n_nationkey % 6 = 0 THEN '' ELSE '# ' || n_name || chr(10) || 'é' END AS markdown FROM nation WHERE n_nationkey % 7 <> 0")
+def _val_file(spark, sf_dir, base: str) -> str:
+    """A training file in parts: a JSON line for each page, whose first image names its document; a blank line after every fifth takes a number too."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    image = F.concat(F.lit("/data/images/documents/doc"), (F.col("k") % 4).cast("string"), F.lit("/"), F.regexp_extract(_stem(), "page_.*", 0), F.lit(".png"))
+    line = F.to_json(F.struct(F.array(turn("user", F.lit("read this")), turn("assistant", F.concat(F.lit("# "), F.col("text")))).alias("messages"), F.array(image).alias("images")))
+    line = F.concat(line, F.when(F.col("k") % 5 == 4, "\n\n").otherwise("\n"))
+    files = _pages(spark, sf_dir).select("k", F.floor(F.col("k") / _LINES).alias("file"), line.alias("line")).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("lines"))
+    name = F.concat(F.lpad(F.col("file").cast("string"), 8, "0"), F.lit(".jsonl"))
+    page_files.write_files(files.select(name.alias("path"), F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("content")), f"{base}/val")
+    return f"{base}/val"
+
+
+@query(_PAGES + f"SELECT 'p' AS parser, {_LINE} AS page_id, CASE WHEN k % 6 = 0 THEN '' ELSE text END AS markdown FROM p WHERE k % 7 <> 0")
 def markdown_scan(spark, sf_dir):
     """A folder of Markdown files, some of them empty, joined to the numbered pages of a training file."""
     base = fresh_dir(spark, "markdown")
-    _put(spark, {f"{base}/md/doc{k % 4}_page_{k:04d}.md": "" if k % 6 == 0 else f"# {name}\né" for k, name, _ in _nations(spark, sf_dir) if k % 7})
+    own = _pages(spark, sf_dir).where("k % 7 <> 0")
+    page_files.write_files(own.select(F.concat(_stem(), F.lit(".md")).alias("path"), F.when(F.col("k") % 6 == 0, "").otherwise(F.col("text")).alias("content")), f"{base}/md")
     return corpus.parser_output(spark, f"{base}/md", corpus.page_index(spark, _val_file(spark, sf_dir, base)), "p")
 
 
-@query("SELECT 'page_' || n_nationkey AS page_id, n_name AS markdown FROM nation WHERE n_regionkey <> 2")
+@query(_PAGES + "SELECT 'page_' || k AS page_id, text AS markdown FROM p WHERE source <> 'src2'")
 def parsed_pages(spark, sf_dir):
     """Files in parts of a folder, of the allowed pages only."""
     base = fresh_dir(spark, "parts")
-    _put(spark, {f"{base}/part{r}/page_{k}.md": name for k, name, r in _nations(spark, sf_dir)})
-    allowed = read(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.concat(F.lit("page_"), F.col("n_nationkey").cast("string")).alias("page_id"))
-    return corpus.parsed_pages(spark, base, allowed)
+    page_id = F.concat(F.lit("page_"), F.col("k").cast("string"))
+    pages = _pages(spark, sf_dir)
+    page_files.write_files(pages.select(F.concat("source", F.lit("/"), page_id, F.lit(".md")).alias("path"), F.col("text").alias("content")), base)
+    return corpus.parsed_pages(spark, base, pages.where("source <> 'src2'").select(page_id.alias("page_id")))
+
+
+@query(_PAGES + "SELECT source AS part, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS size FROM p WHERE source IN ('src1', 'src2', 'src5') GROUP BY source")
+def page_files_of_parts(spark, sf_dir):
+    """The source of text files with a filter that chooses folders before any file is opened."""
+    base = fresh_dir(spark, "files")
+    page_files.write_files(_pages(spark, sf_dir).select(F.concat("source", F.lit("/"), _stem(), F.lit(".md")).alias("path"), F.col("text").alias("content")), base)
+    rows = page_files.read_files(spark, base, ".md").where(F.col("part").isin("src1", "src2", "src5"))
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query("SELECT 'docs/' || n_name || CASE WHEN n_nationkey % 8 = 0 THEN '-gone' ELSE '' END AS asked, n_nationkey % 8 <> 0 AS found FROM nation")
+@query("SELECT 'docs/d' || doc_id || CASE WHEN doc_id % 8 = 0 THEN '-gone' ELSE '' END AS asked, doc_id % 8 <> 0 AS found FROM documents")
 def document_resolve(spark, sf_dir):
     """Logical names looked up among all files below a folder."""
     base = fresh_dir(spark, "documents")
-    rows = _nations(spark, sf_dir)
-    _put(spark, {f"{base}/{r}/{name}.pdf": name for _, name, r in rows})
-    names = spark.createDataFrame([(f"docs/{name}" + "-gone" * (k % 8 == 0),) for k, name, _ in rows], "name string")
+    name = F.concat(F.lit("d"), F.col("k").cast("string"))
+    pages = _pages(spark, sf_dir)
+    page_files.write_files(pages.select(F.concat("source", F.lit("/"), name, F.lit(".pdf")).alias("path"), F.col("text").alias("content")), base)
+    names = pages.select(F.concat(F.lit("docs/"), name, F.when(F.col("k") % 8 == 0, "-gone").otherwise("")).alias("name"))
     found, missing = corpus.resolve(corpus.document_index(spark, base, ".pdf"), names)
     return found.select("asked", F.lit(True).alias("found")).unionByName(missing.select("asked", F.lit(False).alias("found")))
 
 
-@query(f"SELECT {_LINE} AS page_id, 'doc' || n_nationkey % 4 || '_page_' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS stem, '# ' || n_name AS markdown FROM nation WHERE n_nationkey % 3 = 0")
+@query(_PAGES + f"SELECT {_LINE} AS page_id, {_STEM} AS stem, '# ' || text AS markdown FROM p WHERE k % 3 = 0")
 def page_numbers(spark, sf_dir):
     """Keys by line number and the true text of each page, of a set of pages."""
     path = _val_file(spark, sf_dir, fresh_dir(spark, "lines"))
@@ -86,15 +96,16 @@ def page_numbers(spark, sf_dir):
     return wanted.join(corpus.ground_truth(spark, path, pages=wanted), "page_id")
 
 
-@query("SELECT r_name || '__p' || n_nationkey AS page_id, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS markdown FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 7")
+@query(_PAGES + "SELECT source || '-' || k // 40 || '__p' || k AS page_id, CASE WHEN k % 5 = 0 THEN '' ELSE text END AS markdown FROM p WHERE k % 40 <> 7")
 def page_json(spark, sf_dir):
-    """One JSON array of pages for each document, of the expected pages."""
+    """One JSON array of pages for each document (here up to 40 texts of a source), of the expected pages."""
     base = fresh_dir(spark, "pages")
-    names = {r.r_regionkey: r.r_name for r in read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()}
-    rows = _nations(spark, sf_dir)
-    _put(spark, {f"{base}/{name}.json": json.dumps([{"page_idx": k, "text": None if k % 5 == 0 else n} for k, n, r in rows if r == key]) for key, name in names.items()})
-    expected = spark.createDataFrame([(f"{names[r]}__p{k}",) for k, _, r in rows if k != 7], "page_id string")
-    return corpus.read_page_json(spark, base, expected)
+    name = F.concat("source", F.lit("-"), F.floor(F.col("k") / 40).cast("string"))
+    page = F.struct(F.col("k").alias("page_idx"), F.when(F.col("k") % 5 != 0, F.col("text")).alias("text"))
+    pages = _pages(spark, sf_dir).withColumn("name", name)
+    whole = pages.groupBy("name").agg(F.to_json(F.collect_list(page)).alias("content"))
+    page_files.write_files(whole.select(F.concat("name", F.lit(".json")).alias("path"), "content"), base)
+    return corpus.read_page_json(spark, base, pages.where("k % 40 <> 7").select(F.concat("name", F.lit("__p"), F.col("k").cast("string")).alias("page_id")))
 
 
 @query(f"WITH {SQL_PROBE} SELECT CAST(qa_id AS VARCHAR) AS qa_id, question_type, difficulty, FALSE AS multi_page, 0 AS n_refs, answer_span FROM qa_v")
@@ -160,7 +171,8 @@ def json_checkpoint(spark, sf_dir):
     """JSON lines with a cut-off last line: the last of each key stays."""
     base = fresh_dir(spark, "checkpoint")
     read(spark, sf_dir, "events").select("user_id", "event_id").write.json(base)
-    _put(spark, {f"{base}/part-99999-cut.json": '{"user_id": 1, "event_id": 99999999'})
+    cut = spark.createDataFrame([("part-99999-cut.json", '{"user_id": 1, "event_id": 99999999')], "path string, content string")
+    page_files.write_files(cut, base)
     rows = incremental.read_json_checkpoint(spark, base, "user_id long, event_id long", "user_id", "event_id")
     return rows.where("user_id IS NOT NULL")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import page_key, row_key
 from ..operators.gates import GateError, require_coverage, require_unique
+from ..session import file_system
+from . import page_files
 
 QA_SCHEMA = (
     "qa_id string, page_id string, doc_id string, language string, domain string, question string, answer_span string, answer_chunk string, question_type string, difficulty string, "
@@ -40,8 +42,12 @@ def invalid_enums(qa: DataFrame) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str, keep_blank_numbers: bool = True) -> DataFrame:
     """(index, value): lines of a file with their number from 0. Blank lines go, but take a number if ``keep_blank_numbers``.
 
-    Line order is what Spark's own line reader gives; numbering takes one pass for the counts of partitions.
+    Line order is what Spark's own line reader gives; numbering takes one pass for the counts of partitions. A folder's files
+    (``page_files.numbered``) are in the order of their names.
     """
+    fs, p = file_system(spark, path)
+    if keep_blank_numbers and fs.isDirectory(p):
+        return page_files.numbered(spark, path)
     lines = spark.read.text(path)
     kept = lines if keep_blank_numbers else lines.where(F.trim("value") != "")
     rows = kept.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
@@ -68,7 +74,7 @@ def assistant_message(messages):
 
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
-    """(stem, path, markdown) of every file, in no order. An empty file is an empty text."""
+    """(stem, path, markdown) of every file, in no order. An empty file is an empty text. ``page_files.read_files`` opens only files that filters choose."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     files = reader.load(folder)
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
