@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx, vectors as vx
 from ..operators import coverage, prefer, retrieve, sample
 from ..operators.chunk import native_chunks, native_pieces
-from ..streaming import incremental
+from ..streaming import incremental, keyed
 from .registry import query
 from ..session import fresh_dir
 from .views import SQL_PROBE, documents, probe, read, rendering, renderings, sql_native, sql_renderings
@@ -263,6 +263,22 @@ def events_incremental(spark, sf_dir):
     return spark.read.parquet(f"{base}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("SELECT user_id, arg_max(value, (ts, value)) AS value, max(ts) AS at, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+def events_keyed_state(spark, sf_dir):
+    """The events as files of a stream in two halves, the second after a restart on the same checkpoint: the last row and running mean of each user."""
+    base = fresh_dir(spark, "keyed")
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "value")
+    for half in (0, 1):
+        events.where(F.pmod(F.xxhash64("user_id", "ts", "value"), F.lit(2)) == half).write.mode("append").parquet(f"{base}/in")
+        source = incremental.file_stream(spark, f"{base}/in", events.schema)
+        made = keyed.latest(source, "user_id", "ts", "value")
+        store = lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+        made.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.max(F.struct("batch", "at", "value", "n", "mean")).alias("l"))
+    kind = dict(events.dtypes)["ts"]
+    return last.select("user_id", "l.value", F.col("l.at").cast(kind).alias("at"), "l.n", F.round("l.mean", 6).alias("mean"))
+
+
 def _is_folder(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
