@@ -101,3 +101,15 @@ def ranking(rows: DataFrame, name: str, score: str, by: tuple[str, ...] = (), fi
 
     tie = F.array_position(F.array(*(F.lit(x) for x in fixed)), F.col(name)) if fixed else F.col(name)
     return rows.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie)))
+
+
+def distribution(rows: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """(dimension, level, n, share): how many rows there are, and how many with each value of each dimension, in one pass. Null is a level of its own, 'null'."""
+    text = {d: F.coalesce(F.col(d).cast("string"), F.lit("null")) for d in dimensions}
+    sets = rows.select(*(c.alias(d) for d, c in text.items())).groupingSets([[], *([d] for d in dimensions)], *dimensions).agg(F.count("*").alias("n"), *(F.grouping(d).alias(f"_{d}") for d in dimensions))
+    dimension, level = F.lit("all"), F.lit("all")
+    for d in dimensions:
+        dimension, level = F.when(F.col(f"_{d}") == 0, d).otherwise(dimension), F.when(F.col(f"_{d}") == 0, F.col(d)).otherwise(level)
+    counts = sets.select(dimension.alias("dimension"), level.alias("level"), "n")
+    total = counts.where("dimension = 'all'").select(F.col("n").alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("dimension", "level", "n", F.coalesce(F.try_divide(F.col("n"), F.col("_total")), F.lit(0.0)).alias("share"))

@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import statistics as st, vectors as vx
-from ..operators import gates, metrics, resample
+from ..operators import gates, metrics, quantiles, resample
 from ..session import fresh_dir
 from ..sources import corpus, sinks
 from .registry import query
-from .views import read
-
+from .views import SQL_PROBE, probe, read
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag")
@@ -328,3 +327,30 @@ def composition(spark, sf_dir):
     return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.05), 4) AS low, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 4) AS high FROM lineitem GROUP BY ALL")
+def exact_quantiles(spark, sf_dir):
+    """Exact quantiles by narrowing ranges: no group's values meet in one place."""
+    got = quantiles.exact(read(spark, sf_dir, "lineitem"), "l_extendedprice", (0.05, 0.5, 0.95), ("l_returnflag", "l_linestatus"))
+    return got.select("l_returnflag", "l_linestatus", "n", *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("low", "median", "high"))))
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem GROUP BY l_returnflag")
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles by mergeable sketches: the rank of each is as near as the error says."""
+    at, error = (0.01, 0.25, 0.5, 0.75, 0.99), 0.002
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    got = quantiles.sketched(rows, "v", at, ("l_returnflag",), error)
+    both = rows.join(F.broadcast(got), "l_returnflag")  # a row for each of three flags
+    below = [F.sum((F.col("v") < F.col("q")[i]).cast("long")) / F.count("*") for i in range(len(at))]
+    upto = [F.sum((F.col("v") <= F.col("q")[i]).cast("long")) / F.count("*") for i in range(len(at))]
+    near = [(b <= p + error) & (u >= p - error) for b, u, p in zip(below, upto, at)]
+    return both.groupBy("l_returnflag").agg(F.count("*").alias("n"), reduce(lambda a, b: a & b, near).alias("within"))
+
+
+@query(f"WITH {SQL_PROBE}, s AS (SELECT CASE WHEN grouping(question_type) = 0 THEN 'question_type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'all' END AS dimension, coalesce(question_type, difficulty, 'all') AS level, count(*) AS n FROM qa_v GROUP BY GROUPING SETS ((), (question_type), (difficulty))) SELECT dimension, level, n, round(n / (SELECT max(n) FROM s WHERE dimension = 'all'), 6) AS share FROM s")
+def question_summary(spark, sf_dir):
+    """A run's questions by type and by difficulty."""
+    got = metrics.distribution(probe(spark, sf_dir), ("question_type", "difficulty"))
+    return got.withColumn("share", F.round("share", 6))
