@@ -123,7 +123,7 @@ def mark(scratch: Scratch, places: DataFrame) -> str:
     scratch.n += 1
     folder = f"{scratch.path}/bits-{scratch.n}"
     rows = places.toDF("place").select(F.shiftright("place", _INSIDE).alias("block"), "place").repartition("block").sortWithinPartitions("block")
-    scratch.stage(rows.mapInArrow(kernels.tidy(_write_blocks(folder)), "block long"), "blocks").count()
+    scratch.stage(rows.mapInArrow(kernels.tidy(_write_blocks(folder)), "block long"), "blocks")
     return folder
 
 

@@ -429,9 +429,8 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows_of, classes, links.unionByName(more)
 
 
-def _one_id(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, y): links between the classes of the texts of one id, as a star. Ids with one row have none."""
-    repeated = docs.where("n > 0").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
+def _one_id(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(x, y): links between the classes of the texts of one id, as a star, of the ids with several rows."""
     rows = docs.where("n > 0").join(repeated.select("id"), "id", "left_semi")
     pairs = join_counts(rows, ["d1", "d2", "n"], classes.select("d1", "d2", "n", "rep", "copies"), "copies").select("id", "rep").distinct()
     least = pairs.groupBy("id").agg(F.min("rep").alias("least"), F.count("*").alias("classes")).where("classes > 1")
@@ -448,7 +447,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows come back as often as they are there; an empty table gives an empty result. Other columns are ignored.
     """
     docs, classes, links = jaccard_nodes(df, id_col, text_col, k, threshold, region)
-    parts = connected_components(links.unionByName(_one_id(docs, classes)))
+    repeated = docs.where("n > 0").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not repeated.isEmpty():
+        links = links.unionByName(_one_id(docs, classes, repeated))
+    parts = connected_components(links)
     classes = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
     reps = join_counts(docs.where("n > 0"), ["d1", "d2", "n"], classes, "copies").select("id", "n", "component_id")
     out = reps.unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
