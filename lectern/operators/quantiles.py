@@ -13,7 +13,7 @@ CELLS, LEAF = 4096, 1024
 
 
 def sketched(df: DataFrame, value: str, probabilities: Sequence[float], by: tuple[str, ...] = (), error: float = 0.001) -> DataFrame:
-    """(*by, n, q): values whose rank is off by ``error`` x n at most. Tasks send sketches of about 1 / error numbers, which merge. Nulls are left out."""
+    """(*by, n, q): values whose rank is off by ``error`` x n and one row at most. Tasks send sketches of about 1 / error numbers, which merge. Nulls are left out."""
     rows = df.where(F.col(value).isNotNull())
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(F.col(value).cast("double"), list(probabilities), max(1, round(1 / error))).alias("q"))
 
