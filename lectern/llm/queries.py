@@ -132,6 +132,18 @@ p AS (SELECT m.client_id, m.r, m.click_id AS first_id, m.c, m.run - m.c AS befor
 SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY r) AS match_no, first_id, CASE WHEN peak THEN n_id ELSE z_id END AS last_id, last_u - r + 1 + CAST(peak AS BIGINT) AS n_rows,
   CAST(CASE WHEN peak THEN n_run ELSE z_run END - before AS BIGINT) AS sum_cents, sha256('A' || substr(letters, r - r0 + 2, last_u - r) || CASE WHEN peak THEN 'P' ELSE '' END) AS labels_sha256 FROM p"""
 
+# Every string of 400 bytes by its hash.
+_REPEATS_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM d),
+w AS MATERIALIZED (SELECT doc_id, i, hash(h[i + 1 : i + 400]) AS m FROM p),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w JOIN c USING (m)),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+g AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM r GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM g),
+q AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last, string_agg(hex(h[z + 1 : a]), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || hex(h[coalesce(last, 0) + 1 : n]))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)"""
+
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_flac, op3_digest_cache, op4_residual_packing, op5_text_density, op6_ngram_jaccard_join, op7_decision_lists, op8_candidate_boosting, op9_string_kernels, op10_hierarchical_budgets, op11_tokenizer_alignment, op12_row_patterns, op13_suffix_array_dedup, text_statistics_base, personal_data_base)}
 #: The others need a tokenizer, a codec, a trained model or the rules of HTML: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "op12_row_patterns": _ZIGZAG_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD_SQL, "op12_row_patterns": _ZIGZAG_SQL, "op13_suffix_array_dedup": _REPEATS_SQL, "text_statistics_base": _STATISTICS_SQL, "personal_data_base": _PERSONAL_SQL}
