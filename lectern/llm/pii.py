@@ -17,6 +17,11 @@ at equal scores, where it overlaps no base span.
 
 Positions: a text is split at the matches of a pattern, and the lengths of parts and matches add up in
 one pass of ``aggregate``. Patterns have no nested repetition, so long texts neither backtrack nor recurse.
+
+Spans are compared in order of their starts: running ends are searched by halving, and a sweep holds one candidate.
+So the work of a text grows with its candidates (times the logarithm of their number), not with their pairs. A sweep is
+repeated for what overlaps nothing it chose; there are as many sweeps as a chain of overlapping candidates has that each
+beat the one before (few; the result does not depend on it).
 """
 
 from __future__ import annotations
@@ -78,34 +83,80 @@ def _digits(s: Column) -> Column:
 
 
 _SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
+#: Items of a run, and runs of a greater run, in ``_gathered``.
+_RUN = 64
 
 
-def _scan(text: Column, pattern: str, made, kind: str) -> Column:
-    """An array (of the DDL type ``kind``) of ``made(hit, begin, part before)``, null results left out.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
 
-    ``made`` returns a struct, or null where a match is not valid. Positions are code points.
-    """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["part"])
-        got = made(x["hit"], begin, x["part"])
-        found = F.when(got.isNotNull(), F.concat(acc["found"], F.array(got))).otherwise(acc["found"])
-        return F.struct((begin + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint").alias("at"), found.alias("found"))
+def _gathered(items: Column, first: Column, step, kind: str, last=None) -> Column:
+    """The results of ``step(state, item) -> (state, result or null)`` in order, nulls left out; then ``last(state)``, an array.
 
+    ``kind`` is the DDL type of the array of results. A state is copied at every step, so results are gathered in runs, these
+    in greater runs, and those in one array: appending stays cheap where there are many.
+    """
     empty = F.array().cast(kind)
     state = lambda at, found: F.struct(at.alias("at"), found.alias("found"))
 
-    def runs(all_pairs):
-        """Matches are gathered in runs of 128, so that appending stays cheap in texts of many matches."""
+    def one(acc, x):
+        at, got = step(acc["at"], x)
+        pair = F.struct(at.alias("at"), got.alias("got"))
+        return _let(pair, lambda p: state(p["at"], F.when(p["got"].isNotNull(), F.concat(acc["found"], F.array(p["got"]))).otherwise(acc["found"])))
+
+    def runs(every, at, length, inner, done=None):
+        """The state after all items, from runs of ``length`` that ``inner`` folds."""
         def add(acc, b):
-            run = F.aggregate(F.slice(all_pairs, b * 128 + 1, F.lit(128)), state(acc["at"], empty), step)
-            return F.transform(F.array(run), lambda r: state(r["at"], F.concat(acc["found"], r["found"])))[0]
+            return _let(inner(F.slice(every, b * length + 1, F.lit(length)), acc["at"]), lambda r: state(r["at"], F.concat(acc["found"], r["found"])))
+
+        numbers = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.floor((F.size(every) - 1) / length).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(numbers, state(at, empty), add, done)
+
+    folded = lambda some, at: F.aggregate(some, state(at, empty), one)
+    greater = lambda some, at: _let(some, lambda s: runs(s, at, _RUN, folded))
+    done = lambda acc: F.concat(acc["found"], last(acc["at"])) if last else acc["found"]
+    return _let(items, lambda every: runs(every, first, _RUN * _RUN, greater, done))
+
+
+def _below(values: Column, x: Column) -> Column:
+    """How many of an array's rising values are less than ``x``, by halving."""
+    n = F.size(values)
+    bits = F.when(n > 0, F.floor(F.log2(n.cast("double"))).cast("int")).otherwise(F.lit(0))
+
+    def step(at, k):
+        to = at + F.pow(F.lit(2.0), k.cast("double")).cast("int")
+        return F.when((to <= n) & (F.get(values, to - 1) < x), to).otherwise(at)
+
+    return F.aggregate(F.sequence(bits, F.lit(0)), F.lit(0), step)
+
+
+def _running_max(values: Column) -> Column:
+    """The greatest of the values up to each place, over distances of 1, 2, 4 and so on."""
+    n = F.size(values)
+    distances = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2((n - 1).cast("double"))).cast("int")), lambda k: F.pow(F.lit(2.0), k.cast("double")).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(distances, values, lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, F.greatest(v, F.get(acc, i - d))).otherwise(v)))
+
+
+def _apart(spans: Column, from_: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``from_``, which is in order of its starts."""
+    none_over = lambda starts, ends: F.filter(spans, lambda c: _let(_below(starts, c["end"]), lambda k: (k == 0) | (F.get(ends, k - 1) <= c["start"])))
+    return _let(from_, lambda f: F.when(F.size(f) > 0, _let(F.transform(f, lambda b: b["start"]), lambda starts: _let(_running_max(F.transform(f, lambda b: b["end"])), lambda ends: none_over(starts, ends)))).otherwise(spans))
+
+
+def _scan(text: Column, pattern: str, made, kind: str) -> Column:
+    """An array (of the DDL type ``kind``) of ``made(hit, begin, part before)``, null results left out.
+
+    ``made`` returns a struct, or null where a match is not valid. Positions are code points.
+    """
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-        count = F.floor((F.size(all_pairs) - 1) / 128).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), count), state(F.lit(0).cast("bigint"), empty), add, lambda acc: acc["found"])
+    def step(at, x):
+        begin = at + F.length(x["part"])
+        return (begin + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint"), made(x["hit"], begin, x["part"])
 
-    return F.transform(F.array(pairs), runs)[0]
+    return _gathered(pairs, F.lit(0).cast("bigint"), step, kind)
 
 
 def _spans(text: Column, pattern: str, valid, order: int, trim: bool = False) -> Column:
@@ -180,7 +231,8 @@ def candidates(text: Column) -> Column:
         F.when(text.rlike(SPELLED), _proposed(text, SPELLED, None, 6)).otherwise(none),
         *(F.when(_has_digit(text), _proposed(text, p, lead, 6)).otherwise(none) for p, lead in ((GROUPS, None), (IBAN, None), (NUMBER, "^" + _NUMBER_OF))),
     ]
-    return F.array_distinct(F.concat(*found))
+    new = lambda every: F.filter(every, lambda c, i: (i == 0) | (c != F.get(every, i - 1)))
+    return _let(F.sort_array(F.concat(*found)), new)
 
 
 _KEY_PREFIX = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,})$"
@@ -376,30 +428,60 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int
     return PiiModel(trees, float(score[order[good[-1]]]) if len(good) else float("inf"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once for each row."""
-    return F.transform(F.array(value), body)[0]
+_PICKED = "array<struct<start:bigint,end:bigint,rank:struct<loss:double,short:bigint,start:bigint>,ord:int>>"
+
+
+def _chosen(picked: Column) -> Column:
+    """Of ``_PICKED`` spans those that the least ``rank`` keeps: in order of ranks, each that overlaps none kept before it.
+
+    A sweep in order of starts holds one span; one that overlaps it takes its place if its rank is less, else goes; one
+    that does not lets it out. All spans that overlap an earlier one overlap what starts between the two, so what comes out
+    has no better span left beside it. What overlaps nothing that came out is swept again.
+    """
+    item = _PICKED[len("array<") : -1]
+
+    def step(held, x):
+        free = held.isNull() | (held["end"] <= x["start"])
+        return F.when(free | (x["rank"] < held["rank"]), x).otherwise(held), F.when(free, held)
+
+    def sweep(left):
+        return _gathered(left, F.lit(None).cast(item), step, _PICKED, lambda held: F.array(held))
+
+    def again(acc, _):
+        out = lambda best: F.struct(_apart(acc["left"], best).alias("left"), F.concat(acc["kept"], best).alias("kept"))
+        return F.when(F.size(acc["left"]) > 0, _let(sweep(acc["left"]), out)).otherwise(acc)
 
+    def grown(held, x):
+        """(end, spans) of what hangs together, given out where the next span lies apart."""
+        free = held.isNull() | (held["end"] <= x["start"])
+        more = F.struct(F.greatest(held["end"], x["end"]).alias("end"), (held["n"] + 1).alias("n"))
+        return F.when(free, F.struct(x["end"].alias("end"), F.lit(1).alias("n"))).otherwise(more), F.when(free, held["n"])
 
-def _added(text: Column, base: Column, model: PiiModel) -> Column:
-    """Spans of the candidates that the trees select and no base span overlaps."""
+    def rounds(p):
+        # A sweep settles one or more of each set of spans that hang together, so the largest bounds the sweeps. They go
+        # by groups, which are passed over when nothing is left.
+        largest = F.array_max(_gathered(p, F.lit(None).cast("struct<end:bigint,n:int>"), grown, "array<int>", lambda held: F.array(held["n"])))
+        times = F.transform(F.array(largest), lambda n: F.sequence(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int")))[0]
+        state = F.struct(p.alias("left"), F.array().cast(_PICKED).alias("kept"))
+        return _let(times, lambda ts: F.aggregate(ts, state, lambda acc, _: F.when(F.size(acc["left"]) > 0, F.aggregate(ts, acc, again)).otherwise(acc), lambda acc: acc["kept"]))
+
+    return _let(F.sort_array(picked), lambda p: F.when(F.size(p) > 1, rounds(p)).otherwise(p))
+
+
+def _picked(text: Column, base: Column, model: PiiModel) -> Column:
+    """The candidates that the trees select and no base span overlaps."""
     if not model.trees.trees or model.threshold == float("inf"):
-        return F.array().cast(_SPAN)
+        return F.array().cast(_PICKED)
     count = len(features(F.lit(""), F.lit("")))
 
     def scored(c):
         described = F.struct(*(f.alias(f"f{i}") for i, f in enumerate(features(c["value"], c["before"]))))
         score = _let(described, lambda d: model.trees.expression([d[f"f{i}"] for i in range(count)]))
-        return F.struct((-score).alias("loss"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"))
-
-    over = lambda spans, c: F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    free = F.filter(candidates(text), lambda c: ~over(base, c))
-    picked = F.sort_array(F.filter(F.transform(free, scored), lambda c: c["loss"] <= -model.threshold))
+        rank = F.struct((-score).alias("loss"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), rank.alias("rank"), c["value"].alias("value"))
 
-    def add(kept, c):
-        return F.when(over(kept, c), kept).otherwise(F.concat(kept, F.array(F.struct(c["start"].alias("start"), _kind(c["value"]).alias("ord"), c["end"].alias("end")))))
-
-    return F.aggregate(picked, F.array().cast(_SPAN), add)
+    kept = F.filter(F.transform(_apart(candidates(text), base), scored), lambda c: c["rank"]["loss"] <= -model.threshold)
+    return F.transform(kept, lambda c: F.struct(c["start"], c["end"], c["rank"], _kind(c["value"]).alias("ord"))).cast(_PICKED)
 
 
 def _joined(spans: Column) -> Column:
@@ -407,9 +489,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _all_spans(text: Column, model: PiiModel, body) -> Column:
-    """``body(base spans, all spans)`` of a text that is not null, both computed once."""
-    return _let(base_spans(text), lambda base: _let(F.sort_array(F.concat(base, _added(text, base, model))), lambda spans: body(base, spans)))
+def _spanned(df: DataFrame, text: Column, model: PiiModel) -> DataFrame:
+    """The columns of ``df`` as c0, c1 and so on, the ``text``, its base spans as ``base`` and all spans as ``spans``."""
+    own = (F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))
+    found = df.select(*own, text.alias("text"))
+    found = found.withColumn("base", F.when(F.col("text").isNotNull(), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN)))
+    picked = F.when(F.col("text").isNotNull(), _picked(F.col("text"), F.col("base"), model)).otherwise(F.array().cast(_PICKED))
+    added = F.transform(_chosen(F.col("picked")), lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end")))
+    return found.withColumn("picked", picked).withColumn("spans", F.sort_array(F.concat("base", added))).drop("picked")
 
 
 def find_pii(df: DataFrame, model: PiiModel, text_col: str = "text", base_col: str = "pii_base", spans_col: str = "pii_spans") -> DataFrame:
@@ -421,16 +508,36 @@ def find_pii(df: DataFrame, model: PiiModel, text_col: str = "text", base_col: s
     for c in (base_col, spans_col):
         if c in df.columns:
             raise ValueError(f"the table has a column {c} of its own")
-    found = _all_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model, lambda base, spans: F.struct(base.alias("base"), spans.alias("spans")))
-    return df.select("*", found.alias(spans_col)).select("*", F.col(f"{spans_col}.base").alias(base_col)).withColumn(spans_col, F.col(f"{spans_col}.spans"))
+    found = _spanned(df, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), model)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)), F.col("base").alias(base_col), F.col("spans").alias(spans_col))
 
 
 #: Code points of a part of a text in redaction.
 _PART = 4096
 
 
+def _joined_up(spans: Column) -> Column:
+    """Spans that overlap as one, named by the first; so starts and ends rise."""
+    item = _SPAN[len("array<") : -1]
+
+    def join(held, s):
+        free = held.isNull() | (held["end"] <= s["start"])
+        longer = F.struct(held["start"].alias("start"), held["ord"].alias("ord"), F.greatest(held["end"], s["end"]).alias("end"))
+        return F.when(free, s).otherwise(longer), F.when(free, held)
+
+    return F.when(F.size(spans) > 1, _gathered(spans, F.lit(None).cast(item), join, _SPAN, lambda held: F.array(held))).otherwise(spans)
+
+
 def _masked(text: Column, spans: Column) -> Column:
-    """The text with its spans as kinds in brackets, part by part, so that no growing text is copied for each span."""
+    """The text with its spans, which do not overlap, as kinds in brackets, part by part, so that no growing text is copied for each span.
+
+    A part finds its own spans by halving.
+    """
+    sides = F.struct(F.transform(spans, lambda s: s["start"]).alias("starts"), F.transform(spans, lambda s: s["end"]).alias("ends"))
+    return _let(sides, lambda e: _in_parts(text, spans, e["starts"], e["ends"]))
+
+
+def _in_parts(text: Column, spans: Column, starts: Column, ends: Column) -> Column:
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def part(c, j):
@@ -444,7 +551,8 @@ def _masked(text: Column, spans: Column) -> Column:
 
         first = F.struct(low.alias("at"), F.lit("").alias("out"))
         masked = lambda own: F.aggregate(own, first, step, lambda acc: F.concat(acc["out"], F.substring(c, (acc["at"] - low + 1).cast("int"), F.lit(_PART))))
-        own = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < low + _PART))
+        before = _below(ends, low + 1)
+        own = _let(before, lambda k: F.slice(spans, k + 1, _below(starts, low + _PART) - k))
         return _let(own, lambda o: F.when(F.size(o) > 0, masked(o)).otherwise(c))
 
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), part), "")
@@ -457,9 +565,12 @@ def redact(df: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
     are redacted alike; repeated rows stay; an empty table gives an empty one.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    clean = _all_spans(text, model, lambda base, spans: F.when(F.size(spans) > 0, _masked(text, spans)).otherwise(text))
-    clean = F.when(text.isNotNull() & (_worth(text) | F.contains(text, F.lit("@"))), clean).otherwise(text)
-    return df.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    worth = F.when(_worth(text) | F.contains(text, F.lit("@")), text)
+    found = _spanned(df.withColumns({text_col: text}) if df.schema[text_col].dataType.simpleString() != "string" else df, worth, model)
+    found = found.withColumn("spans", _joined_up(F.col("spans")))
+    names = {c: F.col(f"c{i}") for i, c in enumerate(df.columns)}
+    clean = F.when(F.size("spans") > 0, _masked(F.col("text"), F.col("spans"))).otherwise(names[text_col])
+    return found.select(*((clean if c == text_col else own).alias(c) for c, own in names.items()))
 
 
 def pii_report(df: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

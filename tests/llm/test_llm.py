@@ -573,6 +573,86 @@ def test_redact(spark, empty, odd, pii_model):
     assert [r.text for r in pii.redact(odd, none).orderBy("doc_id").collect()] == [r.text for r in odd.orderBy("doc_id").collect()]
 
 
+def plain_choice(items):
+    """Of (start, end, loss, ...) the best that overlap none kept before."""
+    kept = []
+    for c in sorted(items, key=lambda c: (c[2], c[0] - c[1], c[0])):
+        if all(c[1] <= k[0] or k[1] <= c[0] for k in kept):
+            kept.append(c)
+    return sorted(c[:2] for c in kept)
+
+
+def test_choice_of_spans(spark):
+    rng = random.Random(9)
+    sets = [[], [(3, 5, 1.0)], [(2 * i, 2 * i + 3, -float(i)) for i in range(300)], [(2 * i, 2 * i + 3, float(i)) for i in range(300)], [(0, 10_000, -1.0)] + [(i, i + 2, 0.5) for i in range(0, 9000, 3)], [(0, 10_000, 1.0)] + [(i, i + 2, 0.5) for i in range(0, 9000, 3)]]
+    for n in (2, 5, 63, 64, 65, 300, 4095, 4097):
+        wide = rng.choice((20, 400, 4 * n))
+        starts = [rng.randrange(wide) for _ in range(n)]
+        sets.append([(a, a + rng.randrange(1, 12), float(rng.randrange(8))) for a in starts])
+    for _ in range(60):
+        sets.append([(a, a + rng.randrange(1, 9), float(rng.randrange(5))) for a in (rng.randrange(40) for _ in range(rng.randrange(30)))])
+    rows = [(i, [(a, b, (loss, a - b, a), 9) for a, b, loss in s]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, f"i int, p {pii._PICKED}")
+    for r in df.select("i", pii._chosen(F.col("p")).alias("p")).collect():
+        assert sorted((c.start, c.end) for c in r.p) == plain_choice(sets[r.i]), sets[r.i][:20]
+
+
+def plain_candidates(x):
+    """(start, end, value, before) of every generator, by Python's patterns."""
+    leads = {pii.TOKEN: (r"^(?:[^=:]*+[=:])?[\"'(\[{<]*", 6, pii._ENDING), pii.ASSIGNED: (None, 1, pii._ENDING), pii.SPELLED: ("", 6, None), pii.GROUPS: ("", 6, None), pii.IBAN: ("", 6, None), pii.NUMBER: (None, 6, None)}
+    own = {pii.ASSIGNED: pii._CREDENTIAL + pii._ASSIGNS, pii.NUMBER: pii._NUMBER_OF}
+    out = set()
+    for pattern, (lead, least, ending) in leads.items():
+        last = 0
+        for m in re.finditer(pattern, x, re.A):
+            head = re.match(own.get(pattern, lead), m[0], re.A)[0]
+            value = m[0][len(head) :]
+            value = re.sub(ending, "", value, flags=re.A) if ending else value
+            if len(value) >= least:
+                out.add((m.start() + len(head), m.start() + len(head) + len(value), value, x[last : m.start()][-48:] + head))
+            last = m.end()
+    return out
+
+
+def test_added_spans_against_plain(spark, pii_model):
+    rng = random.Random(78)
+    made = [t for t, _ in other_plants(rng)]
+    pieces = [*made, "a.b@c.example", "(743) 555-3824", "555 12 34 56 78 90 12-34-56-78", "call 212-555-0147", "10.0.0.1", "+1 415 555 2671", "token=12-34-56-78-90", "4111 1111 1111 1111", "ssn 078-05-1120", "no data", "é日本"]
+    texts = [rng.choice((" ", ", ", "\n")).join(rng.choice(pieces) for _ in range(n)) for n in (1, 2, 3, 8, 40, 700) for _ in range(8 if n < 100 else 2)]
+    texts.append("12-34-56." * 3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    proposed = collections.defaultdict(list)
+    for r in df.select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("c")).collect():
+        proposed[r.doc_id].append(tuple(r.c))
+    rows = sorted({c[2:] for own in proposed.values() for c in own})
+    described = spark.createDataFrame(rows, "value string, before string").select("value", "before", F.array(*pii.features(F.col("value"), F.col("before"))).alias("x"), pii._kind(F.col("value")).alias("kind")).collect()
+    score = dict(zip([(r.value, r.before) for r in described], pii_model.trees.score(np.array([r.x for r in described]))))
+    kind = {r.value: r.kind for r in described}
+    for r in pii.pii_report(df, pii_model).collect():
+        x = texts[r.doc_id]
+        own = plain_candidates(x)
+        assert len(proposed[r.doc_id]) == len(own) and set(proposed[r.doc_id]) == own
+        base = brute_spans(x)
+        free = [c for c in own if all(c[1] <= a or b <= c[0] for a, _, b in base)]
+        some = [(a, b, -score[v, w]) for a, b, v, w in free if score[v, w] >= pii_model.threshold]
+        spans = sorted(base + [(a, kind[x[a:b]], b) for a, b in plain_choice(some)])
+        assert r.spans == joined(spans) and r.n_added == len(spans) - len(base)
+
+
+def test_dense_long_text(spark, pii_model):
+    """A list of contacts: every span is named once, and nothing else of the text changes."""
+    x = "".join(f"p{i}@m{i % 9}.example ({i % 700 + 200}) 555-{i % 10_000:04d}\n" for i in range(12_000))
+    df = spark.createDataFrame([(1, x)], "doc_id long, text string")
+    spans = [s.split(":") for s in pii.pii_report(df, pii_model).collect()[0].spans.split(",")]
+    assert sum(k == "email" for k, _, _ in spans) == 12_000 and len(spans) > 20_000
+    out, at = [], 0
+    for k, a, b in spans:
+        if int(a) >= at:
+            out += [x[at : int(a)], f"[{k.upper()}]"]
+        at = max(at, int(b))
+    assert pii.redact(df, pii_model).collect()[0].text == "".join(out) + x[at:]
+
+
 def test_candidates_overlap(spark):
     rows = [(1, 'the "password": "correcthorse" of one'), (2, "call (743) 555-3824 or write to me at host dot example"), (3, "DE89 3704 0044 0532 0130 00")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
