@@ -23,18 +23,67 @@ def hashed_index(replicate: Column, row: Column, n: Column) -> Column:
     return head.cast("long") % n
 
 
-def hashed_bootstrap(values: DataFrame, value: str, order: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
-    """(n, mean, low, high, p_positive). Rows are numbered by ``order``; replicates run in parallel and only their sums meet."""
-    rows = numbered(values.select(F.col(value).cast("double").alias("v"), F.col(order).alias("_order")), "_order", out="i")
-    n = rows.count()
-    spark = values.sparkSession
-    draws = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(spark.range(n).select(F.col("id").alias("j")))  # replicates x n draws are the method
-    drawn = draws.select("rep", hashed_index(F.col("rep"), F.col("j"), F.lit(n)).alias("i")).groupBy("rep", "i").agg(F.count("*").alias("times"))
-    means = drawn.join(rows, "i").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.lit(n)).alias("m"))
+#: Draws of one piece, and rows of one block: an offset in a block takes two bytes.
+PIECE, BLOCK = 1 << 20, 1 << 16
+
+
+def _heads(texts: list[bytes]) -> np.ndarray:
+    """The first 32 bits of each text's md5."""
+    return np.frombuffer(b"".join([hashlib.md5(t).digest() for t in texts]), ">u4")[::4]
+
+
+def _tasks(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _intervals(rows: DataFrame, means: DataFrame, alpha: float) -> DataFrame:
+    """(n, mean, low, high, p_positive) of the values ``v`` and the replicates' means ``m``."""
     interval = means.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("p_positive"))
     return rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).crossJoin(interval).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_positive")
 
 
+def hashed_bootstrap(values: DataFrame, value: str, order: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(n, mean, low, high, p_positive). Rows are numbered by ``order``; replicates run in parallel and only their sums meet.
+
+    All replicates x n draws are made, in pieces; a draw goes to its row's block as an offset of two bytes, packed by piece, and a block's
+    task adds up its own rows. Null values count as no row of a replicate's mean.
+    """
+    plain = values.select(F.col(value).cast("double").alias("v"), F.col(order).alias("_order"))
+    rows, n = numbered(plain, "_order", out="i").select("i", "v"), plain.count()
+    spark = values.sparkSession
+    each = -(-n // PIECE)
+
+    def draw(batches):
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                rep, first = x // each, x % each * PIECE
+                at = _heads([b"%d-%d" % (rep, j) for j in range(first, min(n, first + PIECE))]).astype(np.int64) % n
+                at.sort()
+                cuts = np.flatnonzero(np.diff(at // BLOCK)) + 1
+                offsets = np.split((at % BLOCK).astype("<u2"), cuts)
+                blocks = at[np.concatenate([[0], cuts])] // BLOCK
+                yield pa.record_batch([pa.array(blocks), pa.array([rep] * len(blocks), pa.int64()), pa.array([o.tobytes() for o in offsets], pa.binary())], names=["block", "rep", "offsets"])
+
+    def add(draws: pa.Table, own: pa.Table) -> pa.Table:
+        v, known = np.zeros(BLOCK), np.zeros(BLOCK, bool)
+        at = own.column("i").to_numpy() % BLOCK
+        v[at], known[at] = own.column("v").to_numpy(), True
+        sums, counts = np.zeros(replicates), np.zeros(replicates, np.int64)
+        for rep, offsets in zip(draws.column("rep").to_pylist(), draws.column("offsets")):
+            at = np.frombuffer(offsets.as_buffer(), "<u2")
+            sums[rep] += v[at].sum()
+            counts[rep] += known[at].sum()
+        return pa.table({"rep": np.arange(replicates), "s": sums, "c": counts})
+
+    pieces = spark.range(0, replicates * each, 1, max(1, min(replicates * each, _tasks(values))))
+    drawn = pieces.mapInArrow(draw, "block long, rep long, offsets binary").groupBy("block")
+    own = rows.where(F.col("v").isNotNull()).withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("block")
+    sums = drawn.cogroup(own).applyInArrow(add, "rep long, s double, c long")
+    means = sums.groupBy("rep").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
+    return _intervals(plain, means, alpha)
+
+
 def exact_bootstrap(values: DataFrame, by: tuple[str, ...], value: str, order: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(*by, n, mean, low, high, p_positive) with NumPy's stream. A group of values (not of texts) meets in one task: its
     order is what the stream indexes. Groups beyond memory take :func:`hashed_bootstrap`."""
@@ -178,19 +227,29 @@ def poisson_bootstrap(values: DataFrame, value: str, key: str, replicates: int =
     each replicate leave a task.
     """
     rows = values.select(F.col(value).cast("double").alias("v"), F.col(key).cast("string").alias("key"))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    unit = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = F.lit(len(POISSON))
-    for k in reversed(range(len(POISSON))):
-        weight = F.when(unit < POISSON[k], k).otherwise(weight)
-    means = drawn.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    interval = means.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("p_positive"))
-    return rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).crossJoin(interval).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_positive")
+    steps = np.array(POISSON)
+
+    def add(batches):
+        for batch in batches:
+            # As an expression has it: a null value has a weight, and a null key the greatest.
+            v, keys = batch.column(0).fill_null(0.0).to_numpy(), batch.column(1).drop_null().to_pylist()
+            there, ends = batch.column(1).is_valid().to_numpy(zero_copy_only=False), [b"-" + t.encode() for t in keys]
+            sums = np.zeros((2, replicates))
+            for rep in range(replicates):
+                head, w = b"%d" % rep, np.full(len(v), len(POISSON))
+                w[there] = np.searchsorted(steps, _heads([head + t for t in ends]) / float(1 << 32), "right")
+                sums[:, rep] = (w * v).sum(), w.sum()
+            yield pa.record_batch([pa.array(np.arange(replicates)), pa.array(sums[0]), pa.array(sums[1])], names=["rep", "s", "w"])
+
+    # A small file is one task's otherwise; a row is two numbers.
+    sums = rows.repartition(_tasks(values), "key").mapInArrow(add, "rep long, s double, w double")
+    means = sums.groupBy("rep").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    return _intervals(rows, means, alpha)
 
 
-def in_points(interval: DataFrame, digits: int = 4) -> DataFrame:
-    """Mean and interval of a bootstrap in percentage points."""
-    return interval.select("n", *(F.round(F.col(c) * 100, digits).alias(f"{c}_pp") for c in ("mean", "low", "high")), "p_positive")
+def in_points(interval: DataFrame, digits: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and interval of a bootstrap, and other columns, in percentage points."""
+    return interval.select("n", *(F.round(F.col(c) * 100, digits).alias(f"{c}_pp") for c in ("mean", "low", "high")), "p_positive", *(F.round(F.col(c) * 100, digits).alias(f"{c}_pp") for c in also))
 
 
 def significance(interval: DataFrame, reference: Column) -> DataFrame:

@@ -166,7 +166,7 @@ def seed_merged(spark, sf_dir):
     """Three runs' paired differences as one, in points, and the deviation of the runs."""
     rows = _balances(spark, sf_dir).select("c_custkey", (F.col("c_custkey") % 3).alias("seed"), (F.col("d") / 10000).alias("d"))
     out = resample.seed_merged(rows, "seed", "d", "c_custkey", 200)
-    return resample.in_points(out).crossJoin(out.select(F.round(100 * F.col("seed_std"), 4).alias("seed_std_pp"))).withColumn("p_positive", F.round("p_positive", 6))
+    return resample.in_points(out, also=("seed_std",)).withColumn("p_positive", F.round("p_positive", 6))
 
 
 @query(_BOOT.format(value="CAST(c_acctbal AS DOUBLE) - 100.0::DOUBLE * (c_custkey % 90)") + "SELECT round((SELECT avg(v) FROM v), 4) AS mean, round(100 * (SELECT avg(v) FROM v) / (SELECT avg(CAST(c_acctbal AS DOUBLE)) FROM customer), 4) AS pct_change, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS significant FROM m")
