@@ -12,6 +12,7 @@ import datetime
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,21 +37,24 @@ class Latest(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("latest", "at timestamp, value double, n long, total double")
 
-    def _row(self, key, closed: bool) -> pd.DataFrame:
-        at, value, n, total = self.state.get()
+    def _row(self, key, held: tuple, closed: bool) -> pd.DataFrame:
+        at, value, n, total = held
         return pd.DataFrame({self.key: [key[0]], "at": [pd.Timestamp(at)], "value": [value], "n": [n], "mean": [total / n], "closed": [closed]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, value, n, total = self.state.get() if self.state.exists() else (None, None, 0, 0.0)
+        # Each call of the state is a message to the JVM: one to read, one to write. A key's rows are few, so arrays and no frames.
+        at, value, n, total = self.state.get() or (None, None, 0, 0.0)
         for some in rows:
-            some = some.dropna(subset=[self.at, self.value])
-            if not len(some):
+            times, values = some[self.at].to_numpy("datetime64[ns]"), some[self.value].to_numpy(np.float64)
+            kept = ~(np.isnat(times) | np.isnan(values))
+            times, values = times[kept], values[kept]
+            if not len(times):
                 continue
-            best = some.sort_values([self.at, self.value]).iloc[-1]
-            new = (best[self.at].to_pydatetime(), float(best[self.value]))
+            newest = times.max()
+            new = (pd.Timestamp(newest).to_pydatetime(), float(values[times == newest].max()))
             if at is None or new > (pd.Timestamp(at).to_pydatetime(), value):
                 at, value = new
-            n, total = n + len(some), total + float(some[self.value].sum())
+            n, total = n + len(times), total + float(values.sum())
         if not n:
             return
         self.state.update((at, value, n, total))
@@ -60,13 +64,13 @@ class Latest(StatefulProcessor):
             # From the newest row or the watermark: a key of late rows only is quiet from now on.
             newest = int(pd.Timestamp(at).tz_localize(self.zone).timestamp() * 1000)
             self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
-        yield self._row(key, False)
+        yield self._row(key, (at, value, n, total), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            row = self._row(key, True)
+        held = self.state.get()
+        if held:
             self.state.clear()
-            yield row
+            yield self._row(key, held, True)
 
     def close(self) -> None:
         pass
