@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
-from .common import unit_hash
+from .common import given, unit_hash
 
 MAX_N = 4
 #: Labelled documents of each language, by least hashed id: landmarks, and rows of the regression.
@@ -160,7 +160,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     landmarks, training = (min(n, max(LEAST, int(n * share))) for n in (landmarks, training))
     order = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
     # Of a label's rows only those of small hashes are ordered: about twice as many as are wanted, whatever their number.
-    shares = df.sparkSession.createDataFrame([(k, (2.0 * training + 60) / n) for k, n in counts.items()], "lang string, share double")
+    shares = given(df.sparkSession, [(k, (2.0 * training + 60) / n) for k, n in counts.items()], "lang string, share double")
     ids = rows.select("id", "lang").join(F.broadcast(shares), "lang").where(unit_hash("id") < F.col("share")).select("id", "lang").distinct()
     picked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= training).select("id", "lang")
     sample = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))

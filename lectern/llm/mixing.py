@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels
-from .common import Scratch
+from .common import Scratch, given
 from .tokens import encoder
 
 #: Bits of the order, and of a digit of it.
@@ -114,7 +114,7 @@ def _cuts(light: DataFrame, wanted: dict[tuple, tuple[int, float]], order: Calla
     done: dict[tuple, tuple[int, int, int]] = {}
     while state:
         rows = [(*leaf, wanted[leaf][0], wanted[leaf][1], ORDER_BITS - DIGIT * k, value, before) for leaf, (k, value, before) in state.items()]
-        table = spark.createDataFrame(rows, "d string, l string, s string, epoch int, rest double, shift int, value long, before double")
+        table = given(spark, rows, "d string, l string, s string, epoch int, rest double, shift int, value long, before double")
         own = light.join(F.broadcast(table), LEAF).withColumn("o", order(F.col("epoch")))
         right = lambda by: F.call_function("shiftright", F.col("o"), by)
         # At the first digit the shift is 60, so that all rows have the value 0.
@@ -163,7 +163,7 @@ def select(rows: DataFrame, light: DataFrame, weights: Weights, budget: float |
     wanted = _planned(light, weights, budget, factor, max_epochs)
     cuts = _cuts(light, wanted, _order)
     table = [(*k, whole, *(cuts[k] if k in cuts else (-1, 0, 0))) for k, (whole, _) in wanted.items()]
-    table = spark.createDataFrame(table, "d string, l string, s string, whole int, cut long, taken long, tied long")
+    table = given(spark, table, "d string, l string, s string, whole int, cut long, taken long, tied long")
     own = rows.join(F.broadcast(table), LEAF).withColumn("_o", _order(F.col("whole")))
     at_cut, some = F.col("_o") == F.col("cut"), F.col("taken") < F.col("tied")
     extra = (F.col("_o") < F.col("cut")) | (at_cut & ~some)
@@ -172,7 +172,7 @@ def select(rows: DataFrame, light: DataFrame, weights: Weights, budget: float |
         tie = Scratch(spark, "tie").stage(own.where(at_cut & some).withColumn("_number", F.monotonically_increasing_id()), "tied")
         number = lambda _: F.shiftrightunsigned(F.xxhash64("_number"), 64 - ORDER_BITS)
         inner = _cuts(tie.select(*LEAF, "_number", F.lit(1).alias("n")), {k: (0, float(taken)) for k, (_, taken, tied) in cuts.items() if 0 < taken < tied}, number)
-        limits = spark.createDataFrame([(*k, cut) for k, (cut, _, _) in inner.items()], "d string, l string, s string, _last long")
+        limits = given(spark, [(*k, cut) for k, (cut, _, _) in inner.items()], "d string, l string, s string, _last long")
         tie = tie.join(F.broadcast(limits), LEAF).withColumn("_extra", number(None) <= F.col("_last")).drop("_number", "_last")
         own = own.where(~(at_cut & some)).withColumn("_extra", extra).unionByName(tie)
     else:

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import least_hashed, unit_hash
+from .common import given, least_hashed, unit_hash
 from .trees import BoostedTrees, boost
 
 #: The base kinds, and those of added spans.
@@ -385,7 +385,8 @@ def planted(spark: SparkSession, pieces: list[str], n: int, seed: int = 3) -> Da
         left = " ".join([*words[:at], ""]) + lead
         quote = '"' if lead.endswith('"') else ""
         rows.append((i, left + value + rng.choice([quote, quote + "."]) + " " + " ".join(words[at:]), len(left), len(left) + len(value), bool(i % 2)))
-    return spark.createDataFrame(rows, "row int, text string, start long, end long, personal boolean")
+    # Dealt out, so that their candidates are found in tasks.
+    return given(spark, rows, "row int, text string, start long, end long, personal boolean").repartition(spark.sparkContext.defaultParallelism)
 
 
 @dataclass
