@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,8 +73,27 @@ def assistant_message(messages):
     return F.get(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(0))["content"]
 
 
+def _arrow_reads(folder: str, recursive: bool = False) -> bool:
+    """Whether tasks can list and open the files themselves; stores that only Spark reads, and other patterns of folders, go by Spark's file source."""
+    if set("*?[{") & set(folder if recursive else folder.removesuffix("/*")):
+        return False
+    try:
+        return page_files.reaches(folder)
+    except (ValueError, NotImplementedError, OSError):
+        return False
+
+
+def _files(spark: SparkSession, folder: str, pattern: str = "*.md") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(rows with stem and path of the files, what adds their texts as ``markdown``): so that names meet other rows before any file is opened."""
+    if _arrow_reads(folder):
+        return page_files.listed(spark, folder, pattern).select("stem", "path"), lambda rows: page_files.opened(rows, folder)
+    return read_markdown(spark, folder, pattern), lambda rows: rows
+
+
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
     """(stem, path, markdown) of every file, in no order. An empty file is an empty text. ``page_files.read_files`` opens only files that filters choose."""
+    if _arrow_reads(folder, recursive):
+        return page_files.opened(page_files.listed(spark, folder, pattern, recursive).select("stem", "path"), folder)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     files = reader.load(folder)
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
@@ -87,20 +106,21 @@ def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md", recur
 
 def parsed_pages(spark: SparkSession, root: str, allowed: DataFrame | None = None) -> DataFrame:
     """(page_id, markdown) of ``<root>/<part>/<page_id>.md``; of the allowed pages only. Two files of one page raise."""
-    files = read_markdown(spark, f"{root}/*").select(F.col("stem").alias("page_id"), "markdown")
+    files, with_texts = _files(spark, f"{root}/*")
+    files = files.withColumnRenamed("stem", "page_id")
     files = files if allowed is None else files.join(allowed.select("page_id").distinct(), "page_id", "left_semi")
     require_unique(files.select("page_id"), "page_id")
-    return files
+    return with_texts(files).select("page_id", "markdown")
 
 
 def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: str, strict: bool = False) -> DataFrame:
     """(parser, page_id, markdown) of the pages of an index that have a file; ``strict`` raises where any has none."""
-    files = read_markdown(spark, folder).select("stem", "markdown")
+    files, with_texts = _files(spark, folder)
     if strict:
         gone = index.join(files, "stem", "left_anti").count()
         if gone:
             raise GateError(f"{parser}: {gone} pages have no file")
-    return index.join(files, "stem").select(F.lit(parser).alias("parser"), "page_id", "markdown")
+    return with_texts(index.join(files, "stem").select("page_id", *files.columns)).select(F.lit(parser).alias("parser"), "page_id", "markdown")
 
 
 def document_index(spark: SparkSession, root: str, suffix: str) -> DataFrame:

@@ -8,6 +8,7 @@ order of (modification time, path), up to ``per_batch`` in a batch.
 
 from __future__ import annotations
 
+import fnmatch
 import sys
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 FORMAT = "text_pages"
@@ -167,6 +169,64 @@ def numbered(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return lines.join(F.broadcast(offsets), "path").where(F.trim("text") != "").select((F.col("line") + F.col("before")).alias("index"), F.col("text").alias("value"))
 
 
+def reaches(folder: str) -> bool:
+    """Whether a folder is there and Arrow can reach it; a URI that it can't read raises."""
+    store, base = fs.FileSystem.from_uri(folder.removesuffix("/*"))
+    return store.get_file_info(base).type == fs.FileType.Directory
+
+
+#: Bytes of text after which a task hands over what it has read.
+_BATCH_BYTES = 4 << 20
+
+
+def listed(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """(stem, path, size) of the files of a folder whose names fit a pattern; ``<folder>/*`` has those of its folders too. No file is opened.
+
+    A folder is listed in a task, so the driver has only the folders' names. Hidden files (``.``, ``_``) are left out.
+    """
+    store, base = fs.FileSystem.from_uri(folder.removesuffix("/*"))
+    below = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.Directory and not f.base_name.startswith((".", "_"))] if folder.endswith("/*") else []
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder.removesuffix("/*"))
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                own = store.get_file_info(fs.FileSelector(one, recursive=recursive))
+                own = [f for f in own if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern) and not any(p.startswith((".", "_")) for p in f.path[len(base) :].split("/"))]
+                for i in range(0, len(own), 8192):
+                    some = own[i : i + 8192]
+                    stems = [f.base_name.rsplit(".", 1)[0] for f in some]
+                    yield pa.record_batch([pa.array(stems, pa.string()), pa.array([f.path for f in some], pa.string()), pa.array([f.size for f in some], pa.int64())], names=["stem", "path", "size"])
+
+    folders = [base, *below] if not recursive else [base]
+    rows = spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())}))
+    return rows.repartition(len(folders), "folder").mapInArrow(run, "stem string, path string, size long")
+
+
+def opened(rows: DataFrame, folder: str, path: str = "path", out: str = "markdown") -> DataFrame:
+    """``rows`` with the text of the file at ``path``, in the store of ``folder``. Rows are dealt to all cores before, so texts cross no exchange for it.
+
+    An empty file is an empty text; bytes that are not UTF-8 raise.
+    """
+    spark, at = rows.sparkSession, rows.columns.index(path)
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches):
+        store, _ = fs.FileSystem.from_uri(folder.removesuffix("/*"))
+        for batch in batches:
+            begin, texts, held = 0, [], 0
+            for name in batch.column(at).to_pylist():
+                with store.open_input_file(name) as f:
+                    raw = f.read()
+                texts.append(raw.decode())
+                held += len(raw)
+                if held >= _BATCH_BYTES or begin + len(texts) == len(batch):
+                    yield pa.record_batch([*batch.slice(begin, len(texts)).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+                    begin, texts, held = begin + len(texts), [], 0
+
+    return rows.repartition(tasks, path).mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+
+
 def write_files(rows: DataFrame, folder: str, path: str = "path", content: str = "content") -> int:
     """Write the content of each row (text or binary) to a file below ``folder``, in the tasks; how many. A path outside the folder raises.
 
@@ -174,14 +234,18 @@ def write_files(rows: DataFrame, folder: str, path: str = "path", content: str =
     """
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
+        there = set()
         for batch in batches:
             n = 0
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if name.startswith("/") or ".." in name.split("/"):
                     raise ValueError(f"{name} is outside the folder")
                 target = f"{base}/{name}"
-                store.create_dir(target.rsplit("/", 1)[0])
-                part = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                above = target.rsplit("/", 1)[0]
+                if above not in there:
+                    store.create_dir(above)
+                    there.add(above)
+                part = f"{above}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(body.as_buffer() if body.is_valid else b"")
                 store.move(part, target)
