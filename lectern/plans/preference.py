@@ -172,12 +172,11 @@ def candidate_scores_hard(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("item"), F.col("label").cast("long").alias("owner"), F.col("embedding").alias("vector"))
     asks = e.where("item % 50 = 0").withColumnRenamed("owner", "page")
     pool = prefer.hard_negatives(retrieve.nearest_of_others(asks, e, POOL), POOL, "page", "item")
-    asked = asks.select(F.col("page").alias("page_id"), F.col("item").alias("qa_id"), F.col("vector").alias("ask"))
-    near = F.filter(F.col("asks"), lambda q: (q != F.col("item")) & (q % 7 == F.floor(F.col("item") / 3) % 7)).alias("relevant")
-    queries = asked.groupBy("page_id").agg(F.collect_list("qa_id").alias("asks"))
-    own = e.join(queries, F.col("owner") == F.col("page_id")).select("page_id", (F.col("item") % 3).cast("int").alias("candidate"), "item", "vector", near).toDF("page_id", "candidate", "chunk_id", "item", "relevant")
+    asked = asks.select(F.col("page").alias("page_id"), F.col("item").alias("qa_id"), F.col("vector").alias("ask"), (F.col("item") % 7).alias("topic"))
+    own = e.select(F.col("owner").alias("page_id"), (F.col("item") % 3).cast("int").alias("candidate"), F.col("item").alias("chunk_id"), F.col("vector").alias("item"), (F.floor(F.col("item") / 3) % 7).alias("topic"))
+    own = own.join(F.broadcast(asked.select("page_id").distinct()), "page_id", "left_semi")
     pool = pool.select(F.col("page").alias("page_id"), F.col("item").alias("chunk_id")).join(e.select(F.col("item").alias("chunk_id"), F.col("vector").alias("item")), "chunk_id")
-    return retrieve.candidate_scores(asked, own, pool, vx.dot, itself=False).withColumnRenamed("page_id", "page")
+    return retrieve.dense_candidate_scores(asked, own, pool).withColumnRenamed("page_id", "page")
 
 
 _NEGATIVES = _POS + (
