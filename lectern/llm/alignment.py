@@ -152,7 +152,7 @@ def _encoded(path_a: str, path_b: str):
         for batch in batches:
             kind = batch.schema.field(0).type
             column = batch.column(1)
-            for (i, j, data, offsets), (ids_a, at_a), (ids_b, at_b) in zip(kernels.slices(column), enc_a.batches(column), enc_b.batches(column)):
+            for (i, j, data, offsets), (ids_a, at_a), (ids_b, at_b) in zip(kernels.slices(column), enc_a.batches(column, kernels.SLICE_BYTES), enc_b.batches(column, kernels.SLICE_BYTES)):
                 good = _same(a, ids_a, at_a, data, offsets) & _same(b, ids_b, at_b, data, offsets)
                 na, nb = np.diff(at_a), np.diff(at_b)
                 if not good.all():

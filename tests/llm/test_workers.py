@@ -1,8 +1,12 @@
 """What operators leave in the Python workers that they share."""
 
+import random
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
-from lectern.llm import kernels
+from lectern.llm import kernels, tokens
 from lectern.llm.common import given
 
 
@@ -28,3 +32,18 @@ def test_given(spark):
     assert given(spark, [], schema).collect() == []
     # No rows that a Python worker has to read.
     assert "LocalRelation" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_encoder_memory():
+    """Encoding holds the arrays of a small slice beside a bounded cache, and ids do not depend on the slices."""
+    rng = random.Random(5)
+    texts = pa.array([" ".join(str(rng.randrange(3000)) for _ in range(400)) for _ in range(600)])
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert enc.keys.nbytes + enc.lengths.nbytes + enc.ids.nbytes <= 32 << 20
+    flat = lambda budget: np.concatenate([ids for ids, _ in enc.batches(texts, *budget)])
+    want = flat([kernels.SLICE_BYTES])
+    tracemalloc.start()
+    assert (flat([]) == want).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak
