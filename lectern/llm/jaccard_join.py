@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import Scratch, join_counts, located, mark, marked, salted
+from .common import Scratch, join_counts, join_long_counts, located, mark, marked, salted
 from .components import connected_components
 
 #: Cells of the table of shingle counts: 2^22 classes of one byte go to each executor, whatever the input.
@@ -100,7 +100,8 @@ def _classes(profile: DataFrame) -> np.ndarray:
     """The frequency class of each cell: 0 up to what chance puts there (three deviations above the mean, and four), one more for each doubling of the rest."""
     sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(kernels.tidy(_summed), "block int, counts binary")
     counts = np.zeros(CELLS, np.uint32)
-    for row in sums.toLocalIterator():
+    # A job for each partition, so there are few, of 2 MB.
+    for row in sums.coalesce(8).toLocalIterator():
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
     load = float(np.partition(counts, CELLS // 2)[CELLS // 2])
     out = np.zeros(CELLS, np.uint8)
@@ -407,11 +408,13 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop(members, asked, close)
     mixed = placed.groupBy("pivot").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("pivot", "n")
     cuts = placed.groupBy("pivot", "shell").agg(F.count("*").alias("n")).withColumn("cuts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    placed = join_counts(join_counts(placed, ["pivot"], mixed, "n"), ["pivot", "shell"], cuts, "n").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    total = placed.count()
+    placed = join_long_counts(join_long_counts(placed, ["pivot"], mixed, "n", total), ["pivot", "shell"], cuts, "n", total).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     placed = stage(placed.select("pivot", "shell", "cut", "id", "component"), "blocks")
     blocks = placed.groupBy("pivot", "shell", "cut").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     # The blocks of one pivot meet in several tasks, of 64 blocks on one side each.
-    blocks = blocks.join(blocks.groupBy("pivot").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts")), "pivot")
+    sizes = stage(blocks, "sizes")
+    blocks = stage(sizes.join(sizes.groupBy("pivot").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts")), "pivot"), "shells")
     one = blocks.select("pivot", "shell", "cut", "least", "most", F.pmod(F.xxhash64("shell", "cut"), F.col("parts")).cast("int").alias("part"))
     two = blocks.select("pivot", "shell", "cut", "least", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).toDF("pivot", "shell_2", "cut_2", "least_2", "most_2", "part")
     far = F.lit(int(2 * SHELLS / gap))
@@ -419,14 +422,15 @@ def jaccard_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = (F.col("shell") < F.col("shell_2")) | ((F.col("shell") == F.col("shell_2")) & (F.col("cut") <= F.col("cut_2")))
     meets = one.join(two, ["pivot", "part"]).where(later & inside & (F.least("least", "least_2") != F.greatest("most", "most_2")))
     meets = meets.select("pivot", "shell", "cut", "shell_2", "cut_2", F.xxhash64("pivot", "shell", "cut", "shell_2", "cut_2").alias("task"))
-    sides = meets.select("pivot", "shell", "cut", "task", F.lit(0).alias("side")).unionByName(
-        meets.where((F.col("shell") != F.col("shell_2")) | (F.col("cut") != F.col("cut_2"))).select("pivot", F.col("shell_2").alias("shell"), F.col("cut_2").alias("cut"), "task", F.lit(1).alias("side"))
-    )
+    ends = F.array(F.struct(F.lit(0).alias("side"), "shell", "cut"), F.struct(F.lit(1).alias("side"), F.col("shell_2").alias("shell"), F.col("cut_2").alias("cut")))
+    same = (F.col("shell") == F.col("shell_2")) & (F.col("cut") == F.col("cut_2"))
+    sides = stage(meets.select("pivot", "task", F.explode(F.when(same, F.slice(ends, 1, 1)).otherwise(ends)).alias("s")).select("pivot", "task", "s.*"), "sides")
     work = placed.join(sides, ["pivot", "shell", "cut"]).select("task", "side", "id", "component").distinct()
     work = work.join(sets, "id").select("task", "side", "id", "component", "hashes")
     more = stage(work.groupBy("task").applyInArrow(_block_links(num, den), "x long, y long"), "more")
-    drop(sets, placed, compared)
-    return rows_of, classes, links.unionByName(more)
+    drop(sets, placed, compared, sizes, blocks, sides)
+    # The components of the first links stand for these, so the next search for components begins with stars.
+    return rows_of, classes, parts.where("id <> component").toDF("x", "y").unionByName(more)
 
 
 def _one_id(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -452,7 +456,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = links.unionByName(_one_id(docs, classes, repeated))
     parts = connected_components(links)
     classes = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
-    reps = join_counts(docs.where("n > 0"), ["d1", "d2", "n"], classes, "copies").select("id", "n", "component_id")
+    reps = join_long_counts(docs.where("n > 0"), ["d1", "d2", "n"], classes, "copies").select("id", "n", "component_id")
     out = reps.unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     lost = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"))
     return out.unionByName(lost.toDF("id", "n", "component_id")).toDF(id_col, "n_shingles", "component_id")
