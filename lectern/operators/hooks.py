@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.vectors import perplexity_ratio
+from ..session import fresh_dir, kept
+from . import quantiles
 
 
 def completed(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str | None]]], prompt: str = "prompt", out: str = "reply", retries: int = 1, valid: Callable[[str], bool] = bool, parallel: int | None = None) -> DataFrame:
@@ -114,10 +117,52 @@ def unigram_nll(text: str, context: str | None) -> float | None:
     return total / len(text)
 
 
+#: Cells of a table of counts: texts times different characters.
+_CELLS = 1 << 20
+
+
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1, dtype=np.float64)))])
+
+
+def unigram_nlls(texts: list[str | None], contexts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(plain, given): what ``unigram_nll`` gives each text without and with its context, NaN for None. How often a text has each character says all,
+    so the counts of many texts are one table."""
+    n = len(texts)
+    out = np.full((2, n), np.nan)
+    points = lambda xs: np.frombuffer("".join(xs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t or "") for t in texts], np.int64)
+    before = np.array([len(c or "") for c in contexts], np.int64)
+    x, y = points([t or "" for t in texts]), points([c or "" for c in contexts])
+    alphabet = np.unique(x)
+    if not len(alphabet):
+        return out[0], out[1]
+    code = np.full(int(max(alphabet[-1], y.max() if len(y) else 0)) + 1, -1, np.int64)
+    code[alphabet] = np.arange(len(alphabet))
+    x, y, width = code[x], code[y], len(alphabet)
+    logs = _log_factorials(int(max(sizes.max() + before.max() + 256, 256)))
+    begin, start = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(before)])
+    step = max(1, _CELLS // width)
+    for i in range(0, n, step):
+        j = min(n, i + step)
+        count = lambda z, at, k: np.bincount((np.repeat(np.arange(j - i), k[i:j]) * width + z[at[i] : at[j]])[z[at[i] : at[j]] >= 0], minlength=(j - i) * width)
+        own, seen = count(x, begin, sizes), count(y, start, before)
+        cells = np.flatnonzero(own)
+        text, own, seen = cells // width, own[cells], seen[cells]
+        m, k = sizes[i:j], before[i:j]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[0, i:j] = (logs[m + 255] - logs[255] - np.bincount(text, logs[own], j - i)) / m
+            out[1, i:j] = (logs[k + m + 255] - logs[k + 255] - np.bincount(text, logs[own + seen] - logs[seen], j - i)) / m
+    return out[0], out[1]
+
+
 def boundary_clarity(pairs: DataFrame, nll: Callable[[str, str | None], float | None] = unigram_nll, prev: str = "prev_text", nxt: str = "next_text") -> DataFrame:
     """``bc`` = ppl(next | prev) / ppl(next) and ``skip_reason`` of neighbouring texts; stickiness is the same on the halves of one chunk."""
     @F.pandas_udf("struct<plain:double,given:double>")
     def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        if nll is unigram_nll:
+            plain, given = unigram_nlls(b.tolist(), a.tolist())
+            return pd.DataFrame({"plain": plain, "given": given})
         return pd.DataFrame({"plain": [nll(y, None) if y is not None else None for y in b], "given": [nll(y, x) if y is not None else None for x, y in zip(a, b)]}, dtype="float64")
 
     rows = pairs.withColumn("_nll", score(F.col(prev), F.col(nxt)))
@@ -130,6 +175,13 @@ def valid_ratio(rows: DataFrame, ratio: Column, out: str = "bc") -> DataFrame:
     return rows.withColumn(out, F.when(reason.isNull(), ratio)).withColumn("skip_reason", reason)
 
 
-def summary(scores: DataFrame, value: str = "bc", by: tuple[str, ...] = ()) -> DataFrame:
+def summary(scores: DataFrame, value: str = "bc", by: tuple[str, ...] = (), median: bool = True) -> DataFrame:
     """Over all boundaries, not over pages: mean, median, sample deviation, range, and how many were left out."""
-    return scores.groupBy(*by).agg(F.count(value).alias("n"), F.count(F.when(F.col(value).isNull(), 1)).alias("skipped"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return scores.groupBy(*by).agg(F.count(value).alias("n"), F.count(F.when(F.col(value).isNull(), 1)).alias("skipped"), F.avg(value).alias("mean"), *([F.median(value).alias("median")] if median else []), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def large_summary(scores: DataFrame, value: str = "bc") -> DataFrame:
+    """What ``summary`` gives over all rows, where the values are too many for one task: they are a table of one column, and the median comes from narrowing ranges."""
+    rows = kept(scores.select(value), fresh_dir(scores.sparkSession, "scores"))
+    half = quantiles.exact(rows, value, [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    return summary(rows, value, median=False).join(half, F.lit(True), "left").select("n", "skipped", "mean", "median", "sd", "low", "high")
