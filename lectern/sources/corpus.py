@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -124,9 +125,13 @@ def parser_output(spark: SparkSession, folder: str, index: DataFrame, parser: st
 
 
 def document_index(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """(name, path) of all files below a folder; two files of one name raise."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).inputFiles()
-    files = spark.createDataFrame([(f,) for f in files], "path string").select(_decoded(F.col("path")).alias("path"))
+    """(name, path) of all files below a folder, listed in tasks where they can; two files of one name raise."""
+    if _arrow_reads(root, True):
+        store = re.match("[a-z0-9]+://[^/]*", root)
+        files = page_files.below(spark, root, f"*{suffix}").select(F.concat(F.lit(store[0] if store else "file://"), "path").alias("path"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).inputFiles()
+        files = spark.createDataFrame([(f,) for f in files], "path string").select(_decoded(F.col("path")).alias("path"))
     return require_unique(files.select(F.regexp_replace(F.substring_index("path", "/", -1), rf"{suffix.replace('.', '[.]')}$", "").alias("name"), "path"), "name")
 
 

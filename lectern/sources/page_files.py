@@ -12,6 +12,7 @@ import fnmatch
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from ..session import fresh_dir, kept
+
 FORMAT = "text_pages"
 
 
@@ -175,6 +178,36 @@ def reaches(folder: str) -> bool:
     return store.get_file_info(base).type == fs.FileType.Directory
 
 
+def below(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(stem, path, size) of the files below a folder, at any depth, whose names fit a pattern. No file is opened.
+
+    Tasks list the folders of a level, each once, into a table in the shared folder, which has those of the next level too: the driver has no name of
+    a file. Hidden files and folders (``.``, ``_``) are left out.
+    """
+    _, base = fs.FileSystem.from_uri(root)
+    made, tables = fresh_dir(spark, "listing"), []
+
+    def run(batches):
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                own = [f for f in store.get_file_info(fs.FileSelector(one)) if not f.base_name.startswith((".", "_"))]
+                own = [f for f in own if f.type == fs.FileType.Directory or (f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))]
+                for i in range(0, len(own), 8192):
+                    some = own[i : i + 8192]
+                    columns = [[f.base_name.rsplit(".", 1)[0] for f in some], [f.path for f in some], pa.array([f.size for f in some], pa.int64()), [f.type == fs.FileType.Directory for f in some]]
+                    yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), columns[2], pa.array(columns[3], pa.bool_())], names=["stem", "path", "size", "folder"])
+
+    folders = spark.createDataFrame(pa.table({"path": pa.array([base], pa.string())}))
+    while True:
+        level = kept(folders.mapInArrow(run, "stem string, path string, size long, folder boolean"), f"{made}/{len(tables)}")
+        tables.append(level.where(~F.col("folder")).drop("folder"))
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, tables)
+        folders = folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 #: Bytes of text after which a task hands over what it has read.
 _BATCH_BYTES = 4 << 20
 
